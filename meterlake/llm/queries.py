@@ -1,13 +1,15 @@
 """The subpackage's queries, and SQL for those that SQL can express."""
 
-from meterlake.llm import bpe, embeddings, fingerprints, mixing, sharding, warc
+from meterlake.llm import bpe, embeddings, fingerprints, mixing, quality, sharding, substrings, warc
 
 QUERIES = {
     "op1_chunk_fingerprints": fingerprints.op1_chunk_fingerprints,
+    "op2_co_training": quality.op2_co_training,
     "op3_feistel_shards": sharding.op3_feistel_shards,
     "op4_warc_salvage": warc.op4_warc_salvage,
     "op6_mix_sources": mixing.op6_mix_sources,
     "op7_byte_bpe": bpe.op7_byte_bpe,
+    "op9_line_hashing": substrings.op9_line_hashing,
     "op10_rotation_codes": embeddings.op10_rotation_codes,
 }
 ORACLE_SQL = {"op6_mix_sources": mixing.ORACLE_OP6}
