@@ -56,15 +56,27 @@ def _grouped(row: np.ndarray, feature: np.ndarray, weight: np.ndarray, rows: int
 
 
 def text_view(column: pa.Array) -> View:
-    """Words and last three bytes of words."""
+    """Words, the last two and three bytes of words, whether a word repeats the one before, and
+    the share of distinct words in steps."""
     data, offsets = T.utf8(column)
     starts, ends, bounds = T.words(data, offsets)
-    row = np.repeat(np.arange(len(column)), np.diff(bounds))
+    n, count = len(column), np.diff(bounds)
+    row = np.repeat(np.arange(n), count)
     whole = T.word_hashes(data, starts, ends)
-    tail = T.mix(T.word_hashes(data, np.maximum(ends - 3, starts), ends) + T._B)
-    size = 1 << TEXT_BITS
-    feature = (np.concatenate([whole, tail]) % np.uint64(size)).astype(np.int64)
-    return _grouped(np.concatenate([row, row]), feature, np.ones(2 * len(row)), len(column), size)
+    tails = [T.mix(T.word_hashes(data, np.maximum(ends - k, starts), ends) + np.uint64(k)) for k in (2, 3)]
+    same = np.zeros(len(row), bool)
+    same[1:] = (whole[1:] == whole[:-1]) & (row[1:] == row[:-1])
+    again = T.mix(same[same].astype(np.uint64) + np.uint64(99))
+    by = np.lexsort((whole, row))
+    new = np.ones(len(row), bool)
+    new[1:] = (whole[by][1:] != whole[by][:-1]) | (row[by][1:] != row[by][:-1])
+    share = np.bincount(row[by][new], minlength=n) / np.maximum(count, 1)
+    # few words say little about their share of distinct ones
+    step = np.where(count >= 20, np.floor(share * 10), 99).astype(np.uint64)
+    size = np.uint64(1 << TEXT_BITS)
+    feature = np.concatenate([whole, *tails, again, T.mix(step + np.uint64(1000))]) % size
+    rows = np.concatenate([row, row, row, row[same], np.arange(n)])
+    return _grouped(rows, feature.astype(np.int64), np.ones(len(rows)), n, int(size))
 
 
 def meta_view(lang: list, source: list, column: pa.Array) -> View:
