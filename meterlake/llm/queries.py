@@ -1,6 +1,6 @@
 """The subpackage's queries, and SQL for those that SQL can express."""
 
-from meterlake.llm import bpe, embeddings, fingerprints, mixing, quality, sharding, substrings, warc
+from meterlake.llm import bpe, embeddings, fingerprints, lattice, mixing, quality, sharding, substrings, warc
 
 QUERIES = {
     "op1_chunk_fingerprints": fingerprints.op1_chunk_fingerprints,
@@ -9,6 +9,7 @@ QUERIES = {
     "op4_warc_salvage": warc.op4_warc_salvage,
     "op6_mix_sources": mixing.op6_mix_sources,
     "op7_byte_bpe": bpe.op7_byte_bpe,
+    "op8_subword_lattice": lattice.op8_subword_lattice,
     "op9_line_hashing": substrings.op9_line_hashing,
     "op10_rotation_codes": embeddings.op10_rotation_codes,
 }
