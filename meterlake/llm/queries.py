@@ -1,12 +1,13 @@
 """The subpackage's queries, and SQL for those that SQL can express."""
 
-from meterlake.llm import bpe, embeddings, fingerprints, lattice, mixing, quality, sharding, substrings, warc
+from meterlake.llm import bpe, embeddings, fingerprints, lattice, mixing, ngram_join, quality, sharding, substrings, warc
 
 QUERIES = {
     "op1_chunk_fingerprints": fingerprints.op1_chunk_fingerprints,
     "op2_co_training": quality.op2_co_training,
     "op3_feistel_shards": sharding.op3_feistel_shards,
     "op4_warc_salvage": warc.op4_warc_salvage,
+    "op5_combination_prefixes": ngram_join.op5_combination_prefixes,
     "op6_mix_sources": mixing.op6_mix_sources,
     "op7_byte_bpe": bpe.op7_byte_bpe,
     "op8_subword_lattice": lattice.op8_subword_lattice,
