@@ -5,6 +5,7 @@ pre-token that is none is merged from its bytes, which are linked, by a heap of
 
 import base64
 import heapq
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from meterlake.llm import text as T
 
 #: Pre-tokens that a worker remembers; when full it starts anew.
-MEMO = 200_000
+MEMO = 400_000
 _M = 2**64 - 1
 
 
@@ -80,46 +81,47 @@ class PerfectHash:
         return self.ids[slot] if self.keys[slot] == key else -1
 
 
-def merge(piece: bytes, rank: Callable[[bytes], int]) -> list[int]:
+def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of a piece: the adjacent pair of the least rank, leftmost among equals, is joined until
-    no pair has a rank. rank gives -1 for what is no entry."""
-    n = len(piece)
-    nxt, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-    heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank(piece[i : i + 2])) >= 0]
+    no pair has a rank. Links lead from each part's first byte to its neighbours' first bytes."""
+    n, get, push, pop = len(piece), ranks.get, heapq.heappush, heapq.heappop
+    nxt, before = list(range(1, n + 2)), list(range(-1, n))
+    heap = [(r, i, i + 2) for i in range(n - 1) if (r := get(piece[i : i + 2])) is not None]
     heapq.heapify(heap)
     while heap:
-        _, i, end = heapq.heappop(heap)
+        _, i, end = pop(heap)
         j = nxt[i]
-        if not alive[i] or j >= n or nxt[j] != end:
+        if j < 0 or j >= n or nxt[j] != end:  # either part has been joined to another meanwhile
             continue
-        alive[j], nxt[i] = False, end
+        nxt[i], nxt[j] = end, -1
         if end < n:
             before[end] = i
-            if (r := rank(piece[i : nxt[end]])) >= 0:
-                heapq.heappush(heap, (r, i, nxt[end]))
-        if (p := before[i]) >= 0 and (r := rank(piece[p:end])) >= 0:
-            heapq.heappush(heap, (r, p, end))
+            if (r := get(piece[i : nxt[end]])) is not None:
+                push(heap, (r, i, nxt[end]))
+        p = before[i]
+        if p >= 0 and (r := get(piece[p:end])) is not None:
+            push(heap, (r, p, end))
     out, i = [], 0
     while i < n:
-        out.append(rank(piece[i : nxt[i]]))
+        out.append(ranks[piece[i : nxt[i]]])
         i = nxt[i]
     return out
 
 
 class Encoder(dict):
-    """From a pre-token to its ids, packed as little-endian unsigned 32-bit integers."""
+    """From a pre-token to its ids, packed as unsigned 32-bit integers in the machine's order, which
+    must be little-endian. A byte that is no entry is a KeyError."""
 
     def __init__(self, entries: list[bytes], pattern: str):
         super().__init__()
         self.hash, self.find = PerfectHash(entries), regex.compile(pattern).findall
+        self.ranks = {entry: i for i, entry in enumerate(entries)}
 
     def __missing__(self, token: str) -> bytes:
         raw = token.encode()
         i = self.hash.get(raw)
-        ids = [i] if i >= 0 else merge(raw, self.hash.get)
-        if min(ids, default=0) < 0:
-            raise ValueError("the vocabulary lacks a single byte")
-        self[token] = packed = np.array(ids, "<u4").tobytes()
+        ids = [i] if i >= 0 else merge(raw, self.ranks)
+        self[token] = packed = array("I", ids).tobytes()
         return packed
 
     def encode(self, text: str) -> bytes:
