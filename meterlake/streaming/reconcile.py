@@ -1,0 +1,82 @@
+"""Incremental ingest: new lines of logs become occurrences, and only the calls that they touch
+are made anew. Nothing is dropped for being late; a source that is rewritten or gone is retracted."""
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
+
+from meterlake.functions import usage
+from meterlake.operators import metering, pricing, reconcile
+from meterlake.schemas import CALL, OCCURRENCE, TOKENS
+from meterlake.sinks.store import Store
+from meterlake.sources import kimi
+from meterlake.sources.lines import LogLines, texts
+
+CALLS = CALL + ", provider_request_id string"
+CONTEXT = "path string, generation long, byte_offset long, text string"
+BATCHES = "batch_id long, changed boolean, lines long, retracted_sources long"
+
+
+def record_usage(records: DataFrame, states: DataFrame) -> DataFrame:
+    """Occurrences of usage records: fingerprint, provider and metering. records have path,
+    generation, byte_offset, session_id and agent_id besides what the parsers give."""
+    provider = usage.provider_of(F.col("model"))
+    made = usage.event_fingerprint(provider, F.col("provider_request_id"), F.col("step_uuid"), F.col("model"), F.col("request_metadata"), F.col("timestamp_ms"))
+    rows = records.select(F.col("path").alias("source_path"), "generation", "byte_offset", made.alias("event_fingerprint"), "timestamp_ms", provider.alias("provider"), F.col("model").alias("raw_model"), *TOKENS, "session_id", "agent_id", "provider_request_id", "step_uuid")
+    out = metering.meter(rows, states)
+    return out.select(*[c.split()[0] for c in OCCURRENCE.split(", ")])
+
+
+class Reconciler:
+    """Folds batches of log lines into a store of occurrences and canonical, priced calls."""
+
+    def __init__(self, spark: SparkSession, folder: str, sessions: DataFrame, rates: DataFrame, states: DataFrame):
+        self.spark, self.store = spark, Store(spark, folder)
+        self.sessions, self.rates, self.states = sessions, rates, states
+
+    @property
+    def occurrences(self) -> DataFrame:
+        return self.store.read("occurrences", OCCURRENCE)
+
+    @property
+    def calls(self) -> DataFrame:
+        return self.store.read("calls", CALLS)
+
+    def batch(self, lines: DataFrame, batch_id: int) -> None:
+        """A batch that is delivered again changes nothing: its places are known already."""
+        if batch_id in {r.batch_id for r in self.store.read("batches", BATCHES).tail(1)}:
+            return
+        counts = lines.agg(F.count_if(F.col("op") == "line").alias("lines"), F.count_if(F.col("op") == "retract").alias("gone")).first()
+        old, context = self.occurrences, self.store.read("context", CONTEXT)
+        gone = lines.where("op = 'retract'").select(F.col("path").alias("source_path"), "generation")
+        left = old.join(gone, ["source_path", "generation"], "left_anti")
+        fresh = texts(lines.where("op = 'line'"))
+        # the step that a file's last batch left open comes before its new lines
+        carried = context.join(fresh.select("path", "generation").distinct(), ["path", "generation"], "left_semi")
+        rows = fresh.select("path", "generation", "byte_offset", "text").unionByName(carried)
+        one = rows.withColumn("path", F.concat_ws("\x00", "path", F.col("generation").cast("string")))
+        back = lambda df: df.withColumns({"generation": F.split("path", "\x00")[1].cast("long"), "path": F.split("path", "\x00")[0]})
+        found = kimi.placed(back(kimi.usage_records(one)))
+        new = reconcile.record_once(left, record_usage(found, self.states))
+        self.store.publish("occurrences", new)
+        new = self.occurrences
+        keys = reconcile.affected(old, new)
+        made = reconcile.rebuilt(self.calls.select(*_canonical_columns()), new, self.sessions, keys).select(*_canonical_columns())
+        self.store.publish("calls", pricing.sticky_price(made, self.calls, self.rates).select(*[c.split()[0] for c in CALLS.split(", ")]))
+        open_ = back(kimi.open_steps(one)).select("path", "generation", "byte_offset", "text")
+        kept = context.join(lines.where("op = 'line'").select("path").distinct(), "path", "left_anti").join(gone.withColumnRenamed("source_path", "path"), ["path", "generation"], "left_anti")
+        self.store.publish("context", kept.unionByName(open_))
+        row = self.spark.createDataFrame([(batch_id, bool(counts.lines or counts.gone), counts.lines, counts.gone)], BATCHES)
+        self.store.publish("batches", row)
+
+    def start(self, logs: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+        """Follows wire logs below a folder; every: as '30 seconds', or once over what is there."""
+        self.spark.dataSource.register(LogLines)
+        stream = self.spark.readStream.format("log-lines").option("path", logs).option("suffix", "wire.jsonl").load()
+        writer = stream.writeStream.foreachBatch(self.batch).option("checkpointLocation", checkpoint)
+        return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+def _canonical_columns() -> list[str]:
+    priced = {"resolved_model_key", "input_cost_nano", "cache_creation_cost_nano", "cache_read_cost_nano", "output_cost_nano", "total_cost_nano", "rate_id", "pricing_confidence", "pricing_basis"}
+    return [c.split()[0] for c in CALLS.split(", ") if c.split()[0] not in priced]
