@@ -5,13 +5,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlake.functions import times, usage
+from meterlake.functions import times, usage, variants
 from meterlake.operators import audits, cache_window, canonical, diagnostics, metering, pricing, reconcile
 from meterlake.operators.carry import carried
 from meterlake.operators.filters import Filters
 from meterlake.plans import dashboard
 from meterlake.plans.testdata import NOW, Data
+from meterlake.plans.testlogs import write_wires
 from meterlake.schemas import COSTS, TOKENS
+from meterlake.session import shared_path
+from meterlake.sources import lines
+from meterlake.streaming.reconcile import Reconciler
 
 NY = "America/New_York"
 FILTERED = Filters(from_ms=1704400000000, to_ms=1706000000000, provider="moonshotai", agent_type="main", time_zone=NY)
@@ -343,3 +347,35 @@ def hourly_activity(d: Data):
     """Calls per UTC day and hour, over all calls."""
     day = times.day_key(F.col("timestamp_ms")).alias("utc_day")
     return d.calls.groupBy(day, F.hour(F.timestamp_millis("timestamp_ms")).alias("utc_hour")).agg(F.count("*").alias("calls"))
+
+
+@query
+def jsonl_byte_offsets(d: Data):
+    """Each conversation as a file of one line a turn and a tail without an end."""
+    c = d.table("conversations").select("conv_id", F.struct("turn", F.regexp_replace(F.coalesce("text", F.lit("")), "[\\r\\n]", " ").alias("t")).alias("s"))
+    whole = F.concat_ws("\n", F.transform(F.array_sort(F.collect_list("s")), lambda s: s["t"]), F.lit("tail"))
+    files = c.groupBy(F.col("conv_id").cast("string").alias("path")).agg(F.encode(whole, "UTF-8").alias("content"))
+    return lines.split(files).select("path", "byte_offset", F.octet_length("line").cast("long").alias("bytes"))
+
+
+#: Values of n in a record, whether they are a token count, and whether they are present.
+TYPED = ["10", '"10"', "10.0", "10.5", "-1", "9007199254740992", "1e3", "true", "null", "[1]"]
+
+
+@query
+def variant_typing(d: Data):
+    """What a JSON value counts for: numbers that are whole, safe and not negative."""
+    n = F.element_at(F.lit([f'{{"n":{x}}}' for x in TYPED] + ["{}", "{bad"]), (F.col("event_id") % 12 + 1).cast("int"))
+    v = variants.json(n)
+    rows = d.events.select("event_id", variants.count(v, "$.n").alias("tokens"), F.coalesce(variants.present(v, "$.n"), F.lit(False)).alias("present"), variants.is_object(v).alias("readable"))
+    return rows.groupBy((F.col("event_id") % 12).alias("kind"), "tokens", "present", "readable").agg(F.count("*").alias("events"))
+
+
+@query
+def stream_reconcile(d: Data):
+    """events as wire logs, one a user, read as a stream into a store of canonical, priced calls."""
+    logs = shared_path(d.spark, "logs")
+    write_wires(d.raw_calls, logs)
+    made = Reconciler(d.spark, shared_path(d.spark, "ledger"), d.sessions, d.bundled, d.states)
+    made.start(logs, shared_path(d.spark, "checkpoint")).awaitTermination()
+    return made.calls.select("event_fingerprint", "session_id", "timestamp_ms", "raw_model", *TOKENS, "total_cost_nano", "is_metered", "metering_basis")

@@ -282,4 +282,12 @@ ORACLES = {
     "fingerprint": f"""WITH {CALLS} SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'request:' || provider || ':' || event_id WHEN 1 THEN 'step:' || provider || ':s' || event_id ELSE 'fallback:' || sha256('{{"model":"' || raw_model || '","requestMetadata":' || CASE WHEN event_id % 2 = 0 THEN '"meta"' ELSE 'null' END || ',"timestampMs":' || timestamp_ms
       || ',"tokens":{{"cacheCreation":' || cache_creation_tokens || ',"cacheCreation1h":' || cache_creation_1h_tokens || ',"cacheCreation5m":' || cache_creation_5m_tokens || ',"cacheRead":' || cache_read_tokens || ',"inputOther":' || input_other_tokens || ',"output":' || output_tokens || '}}}}') END AS event_fingerprint FROM raw""",
     "hourly_activity": f"WITH {CALLS} SELECT {_UTC_DAY} AS utc_day, CAST(timestamp_ms // 3600000 % 24 AS INTEGER) AS utc_hour, count(*) AS calls FROM calls GROUP BY 1, 2",
+    "jsonl_byte_offsets": """WITH t AS (SELECT CAST(conv_id AS VARCHAR) AS path, turn, strlen(regexp_replace(coalesce(text, ''), '[\\r\\n]', ' ', 'g')) AS bytes, regexp_replace(coalesce(text, ''), '[\\r\\n]', ' ', 'g') AS x FROM conversations)
+      SELECT path, CAST(coalesce(sum(bytes + 1) OVER (PARTITION BY path ORDER BY turn, x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS byte_offset, bytes FROM t""",
+    "variant_typing": "SELECT event_id % 12 AS kind, CAST(CASE event_id % 12 WHEN 0 THEN 10 WHEN 2 THEN 10 WHEN 6 THEN 1000 END AS BIGINT) AS tokens, event_id % 12 < 10 AS present, event_id % 12 < 11 AS readable, count(*) AS events FROM events GROUP BY 1, 2, 3, 4",
+    "stream_reconcile": f"""WITH {CALLS}, {_values('st', ['id', 'sub', 'policy', 'since'], STATES)}, w AS (SELECT event_id, timestamp_ms, provider, raw_model, session_id, input_other_tokens, cache_creation_tokens, CAST(0 AS BIGINT) AS cache_creation_5m_tokens, CAST(0 AS BIGINT) AS cache_creation_1h_tokens, cache_read_tokens, output_tokens FROM raw),
+      z AS (SELECT w.event_id, arg_max(st.policy, st.since) AS policy FROM w LEFT JOIN st ON st.since <= w.timestamp_ms GROUP BY 1),
+      p AS (SELECT c.*, {_costs()} FROM w c LEFT JOIN bundled r ON r.provider = c.provider AND r.model_key = {_PLAIN.replace('raw_model', 'c.raw_model')}),
+      b AS (SELECT p.*, CASE WHEN provider <> 'anthropic' THEN 'metered-api' WHEN policy = 'enterprise-api' THEN 'enterprise-api' WHEN policy = 'pro-fable' THEN CASE WHEN raw_model = 'claude-fable-5' THEN 'pro-fable' ELSE 'pro-subscription-excluded' END ELSE 'subscription-excluded' END AS metering_basis FROM p JOIN z USING (event_id))
+      SELECT 'step:' || provider || ':' || event_id AS event_fingerprint, session_id, timestamp_ms, raw_model, {', '.join(TOKENS)}, total_cost_nano, metering_basis IN ('metered-api', 'enterprise-api', 'pro-fable') AS is_metered, metering_basis FROM b""",
 }

@@ -1,5 +1,8 @@
 """Session settings that the ledger's semantics rest on."""
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 #: Calendar arithmetic assumes UTC sessions; integer sums must raise on overflow, not wrap.
@@ -20,3 +23,13 @@ def build(master: str = "local[*]", partitions: int | None = None) -> SparkSessi
     if partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
     return configure(builder.getOrCreate())
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path below the folder that driver and executors share, spark.checkpoint.dir; a local
+    one only where that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = "file://" + tempfile.mkdtemp(prefix="meterlake-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
