@@ -19,10 +19,11 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     """Of each group of linked documents that with the least doc_id. Rows of one id are one
     document, of which the row with the least text stays; rows without an id all stay."""
     found = ngram_join.similar_documents(docs, SHINGLE_WORDS, PERCENT)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    named = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("_id"), "left_semi")
+    kept = found.where("doc_id = component_id").select("doc_id").distinct()
+    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").select(*docs.columns)
     order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    named = named.withColumn("_place", F.row_number().over(order)).where("_place = 1").select(*docs.columns)
+    place = "place_" + max(docs.columns, key=len)  # a name that no column has
+    named = named.withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).select(*docs.columns)
     return named.unionByName(docs.where("doc_id is null"))
 
 

@@ -141,7 +141,8 @@ def _once(key: tuple, make: Callable[[], object]):
 
 
 def _with_column(df: DataFrame, name: str, column: str, make: Callable[[], Callable[[pa.Array], list]]) -> DataFrame:
-    """Adds a binary column made from another one, slice by slice."""
+    """Adds a binary column made from another one, slice by slice; one of its name is replaced."""
+    df = df.drop(name)
     to = df.select("*", F.lit(b"").alias(name)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +159,7 @@ def encode(df: DataFrame, text: str, ranks: str, pattern: str, name: str = "ids"
     """Adds the ids of each whole text as packed little-endian unsigned 32-bit integers.
 
     ranks is the path of a rank file on every executor. No special tokens. A null or empty text
-    has no ids. Other columns stay, so name must not clash with one."""
+    has no ids. A column of that name is replaced, the others stay."""
 
     def make():
         encoder = _once((ranks, pattern), lambda: Encoder(read_ranks(ranks), pattern))

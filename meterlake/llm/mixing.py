@@ -38,7 +38,9 @@ def mix_sources(df: DataFrame, source: str, size: str, key: str, weights: list[i
     and whatever else goes along. Sources by code point, null last, take the weights in turn.
     The budget is the sum of all sizes. A source without any size, and an empty table, take
     nothing. The driver holds one row for each source; rows with equal keys keep one order by
-    size, so reruns agree."""
+    size, so reruns agree. Columns of these names are replaced, others stay."""
+    needed, columns = [source, size, key], df.columns
+    df = scratch.packed(df, *needed)
     found = sorted(df.groupBy(source).agg(F.sum(size).alias("s"), F.count("*").alias("n")).collect(), key=lambda r: (r[0] is None, r[0] or ""))
     own = [weights[i % len(weights)] for i in range(len(found))]
     goal = targets([r.s for r in found], own, sum(r.s for r in found), epochs)
@@ -57,7 +59,8 @@ def mix_sources(df: DataFrame, source: str, size: str, key: str, weights: list[i
     whole = F.when(F.col("source_size") > 0, F.expr("_budget div source_size")).otherwise(0)
     rest = F.when(F.col("source_size") > 0, F.col("_budget") % F.col("source_size")).otherwise(0)
     cut = F.least(F.greatest(rest - F.col("_base") - F.col("_before"), F.lit(0)), F.col(size))
-    return df.withColumn("taken", (F.col(size) * whole + cut).cast("long")).drop("_budget", "_ranges", "_range", "_before", "_base", "_s", "_r")
+    df = df.withColumn("taken", (F.col(size) * whole + cut).cast("long"))
+    return scratch.unpacked(df, needed, columns, "source_size", "target", "taken")
 
 
 def with_keys(docs: DataFrame, seed: int) -> DataFrame:
@@ -80,8 +83,9 @@ def mixed_documents(docs: DataFrame, seed: int = 6) -> DataFrame:
     set anew. Documents without words are in no mixture.
 
     The budgets are planned over narrow rows; the texts move once, to meet their counts."""
-    kept = docs.columns
-    keyed = with_keys(docs, seed)
+    kept, needed = docs.columns, [c for c in ("doc_id", "text", "source", "n_chars") if c in docs.columns]
+    kind = docs.schema["n_chars"].dataType if "n_chars" in kept else None
+    keyed = with_keys(scratch.packed(docs, *needed), seed)
     plan = scratch.written(keyed.select("source", "_size", "_key"), "mix")
     plan = mix_sources(plan, "source", "_size", "_key", [1, 2, 3])
     # rows with one key are alike in id, text and so size: they share what was taken of them
@@ -94,7 +98,8 @@ def mixed_documents(docs: DataFrame, seed: int = 6) -> DataFrame:
     found = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
     text = F.when(F.col("_first").isNull(), F.col("text")).otherwise(F.array_join(F.slice(found, 1, F.col("_first").cast("int")), " "))
     out = out.withColumn("text", text)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*kept) if "n_chars" in kept else out.select(*kept)
+    out = out if kind is None else out.withColumn("n_chars", F.length("text").cast(kind))
+    return scratch.unpacked(out, needed, kept)
 
 
 ORACLE_OP6 = r"""

@@ -204,7 +204,9 @@ def classify(docs: DataFrame, labels: DataFrame, seed: int = 2) -> DataFrame:
     """Adds text_score, meta_score and score, the probabilities of quality 1, and keep.
 
     Null texts are empty. Without labels of both classes every score is null and every row is
-    kept. Rows alike in all columns get the same scores; other columns stay as they are."""
+    kept. Rows alike in all columns get the same scores. Columns of these names are replaced,
+    others stay as they are."""
+    docs = docs.drop("text_score", "meta_score", "score", "keep")
     model = train(docs, labels, seed)
     if model is None:
         return docs.select("*", *[F.lit(None).cast("double").alias(c) for c in ("text_score", "meta_score", "score")], F.lit(True).alias("keep"))

@@ -4,6 +4,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
@@ -26,6 +27,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def packed(df: DataFrame, *needed: str) -> DataFrame:
+    """The needed columns, and all others in a struct _rest, where their names clash with nothing."""
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in needed]
+    return df.select(*needed, F.struct(*rest).alias("_rest")) if rest else df
+
+
+def unpacked(df: DataFrame, needed: list[str], columns: list[str], *added: str) -> DataFrame:
+    """Undoes packed: columns in their order, then added ones; those replace others of their name."""
+    kept = [F.col(c) if c in needed else F.col(f"_rest.`{c}`").alias(c) for c in columns if c not in added]
+    return df.select(*kept, *added)
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's shuffle partitions; operators size their own exchanges by it."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -66,14 +66,16 @@ def shard_rows(df: DataFrame, key: str, ties: list[str], shards: int, seed: int
     """Adds row (rank by key, null first, then ties), shard int and slot long.
 
     Rows alike in key and ties are interchangeable: the set of results is the same on each run.
-    An empty table gives no rows."""
-    out, n = order.numbered(df, key, ties, scratch.partitions(df.sparkSession), "row")
+    An empty table gives no rows. Columns of these names are replaced, others stay."""
+    needed = list(dict.fromkeys([key, *ties]))
+    out, n = order.numbered(scratch.packed(df, *needed), key, ties, scratch.partitions(df.sparkSession), "row")
 
     @F.pandas_udf("long")
     def place(row: pd.Series) -> pd.Series:
         return pd.Series(permute(row.to_numpy(), n, seed))
 
-    return out.withColumn("_place", place("row")).withColumn("shard", (F.col("_place") % shards).cast("int")).withColumn("slot", F.floor(F.col("_place") / shards).cast("long")).drop("_place")
+    out = out.withColumn("_place", place("row")).withColumn("shard", (F.col("_place") % shards).cast("int")).withColumn("slot", F.floor(F.col("_place") / shards).cast("long"))
+    return scratch.unpacked(out, needed, df.columns, "row", "shard", "slot")
 
 
 def op3_feistel_shards(spark, sf_dir: str, shards: int = 8, seed: int = 20) -> DataFrame:

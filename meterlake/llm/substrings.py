@@ -119,7 +119,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     points, of what was taken out.
 
     doc_id ranks documents (null last, then by a hash of the text). Rows alike in id and text
-    count as one document and share its result. Null texts stay null. Other columns stay as they are."""
+    count as one document and share its result. Null texts stay null. A column removed is replaced,
+    others stay as they are. An empty table gives no rows."""
+    needed, whole = ["doc_id", "text"], docs.columns
+    docs = scratch.packed(docs, *needed)
     kept = docs.columns
     keyed = docs.withColumns({"_h": F.xxhash64("text"), "_rank": F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))})
     found = _repeats(keyed.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "_h", "text"))
@@ -146,7 +149,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 arrays = [pa.array(texts, part.schema.field(c).type) if c == "text" else part[c] for c in kept]
                 yield pa.RecordBatch.from_arrays([*arrays, pa.array(taken, spans)], names=[*kept, "removed"])
 
-    return joined.mapInArrow(cut, to)
+    return scratch.unpacked(joined.mapInArrow(cut, to), needed, whole, "removed")
 
 
 def op9_line_hashing(spark, sf_dir: str) -> DataFrame:

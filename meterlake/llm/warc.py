@@ -218,6 +218,7 @@ def archived(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
     """Writes a record for each page (page_id, url, html) and gives the table of the archives.
 
     An id that occurs in several rows: each row is a record; all rows of the smallest id are responses."""
+    pages = pages.select("page_id", "url", "html")
     again = revisits(pages, least).withColumnRenamed("page_id", "_id")
     rows = pages.join(again, pages.page_id == again._id, "left")
     small = F.octet_length(F.coalesce("html", F.lit(""))) < least
