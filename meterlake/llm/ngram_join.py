@@ -16,8 +16,10 @@ square; a set near the upper edge of its size class gives signatures for the nex
 Signatures only nominate. Exact copies are one set from the start. Members of a bucket are first
 compared with its least member (a star, as many pairs as members). Only where a bucket still
 joins different components are its other pairs compared, but for those that the distances to
-the bucket's centre rule out. Every comparison is of whole sets."""
+the bucket's centre rule out. Before whole sets meet, the least hashes of both rule out pairs whose
+chance to be similar, given these, is below RULED_OUT; every other comparison is of whole sets."""
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -38,6 +40,8 @@ FREQUENT = 500_000
 SMALL = 40
 #: Expected frequent shingles in a group of a set at the lower edge of its class.
 CROWD = 8
+#: Least hashes of a set that go along with its signatures, and the chance below which they rule a pair out.
+LEAST, RULED_OUT = 64, 1e-12
 
 
 def allowed(n: int, percent: int) -> int:
@@ -146,6 +150,41 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return got.select("a", "b", (1 - F.col("o") / F.col("whole")).alias("far"), (100 * F.col("o") >= percent * F.col("whole")).alias("linked"))
 
 
+def _least_shared(percent: int) -> list[int]:
+    """For each number k of least hashes of a union the number of shared ones below which two sets
+    are ruled out: by Chernoff's bound on k draws that are each shared with the threshold's chance."""
+    t, found = percent / 100, [0]
+    for k in range(1, LEAST + 1):
+        x = 0
+        while x < t * k:
+            q = x / k
+            away = (q * math.log(q / t) if q else 0.0) + (1 - q) * math.log((1 - q) / (1 - t)) if t < 1 else math.inf
+            if math.exp(-k * away) >= RULED_OUT:
+                break
+            x += 1
+        found.append(x)
+    return found
+
+
+def _likely(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
+    """The pairs a, b that their least hashes do not rule out."""
+    least = np.array(_least_shared(percent))
+
+    @F.pandas_udf("boolean")
+    def likely(x: pd.Series, y: pd.Series) -> pd.Series:
+        out = []
+        for a, b in zip(x, y, strict=True):
+            a, b = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+            whole = np.union1d(a, b)[:LEAST]
+            both = np.intersect1d(a, b, assume_unique=True)
+            out.append(int(np.searchsorted(both, whole[-1], side="right")) >= least[len(whole)])
+        return pd.Series(out, dtype="bool")
+
+    one = signed.select(F.col("doc_id").alias("a"), F.col("low").alias("la"))
+    two = signed.select(F.col("doc_id").alias("b"), F.col("low").alias("lb"))
+    return pairs.join(one, "a").join(two, "b").where(likely("la", "lb")).select("a", "b")
+
+
 def _sizes_fit(a: str, b: str, percent: int):
     return (100 * F.least(a, b) >= percent * F.greatest(a, b))
 
@@ -183,32 +222,34 @@ def similar_documents(docs: DataFrame, width: int = 3, percent: int = 90) -> Dat
     shared = spark.sparkContext.broadcast(np.sort(top.select("token").toArrow()["token"].to_numpy().view(np.uint64)))
 
     def signed(part):
-        frequent, out, sizes = shared.value, [], []
+        frequent, out, sizes, low = shared.value, [], [], []
         for u in _sets(part, width):
             sizes.append(len(u))
+            low.append(u[:LEAST].tobytes())
             if not len(u):
                 out.append(u)
                 continue
             w = window(u, percent)
             at = np.minimum(np.searchsorted(frequent, w), max(0, len(frequent) - 1))
             out.append(signatures(len(u), w, frequent[at] == w if len(frequent) else np.zeros(len(w), bool), percent))
-        return [part["doc_id"], pa.array(sizes, pa.int64()), _lists(out)]
+        return [part["doc_id"], pa.array(sizes, pa.int64()), _lists(out), pa.array(low, pa.binary())]
 
-    signed = _mapped(docs, "doc_id long, n long, s array<long>", signed).join(firsts.select(F.col("first").alias("doc_id")), "doc_id", "left_semi")
+    signed = _mapped(docs, "doc_id long, n long, s array<long>, low binary", signed).join(firsts.select(F.col("first").alias("doc_id")), "doc_id", "left_semi")
     signed = scratch.written(signed.dropDuplicates(["doc_id"]), "signatures")
     rows = signed.select(F.col("doc_id").alias("id"), "n", F.explode("s").alias("s"))
 
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Only the sets of documents in these pairs are made."""
+        wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+        texts = docs.join(wanted, "doc_id", "left_semi")
+        packed = _mapped(texts, "id long, n long, members binary", lambda part: (lambda sets: [part["doc_id"], pa.array([len(u) for u in sets], pa.int64()), pa.array([u.tobytes() for u in sets], pa.binary())])(_sets(part, width)))
+        return _verified(pairs, packed.dropDuplicates(["id"]), percent)
+
     stars = rows.groupBy("s").agg(F.min(F.struct("id", "n")).alias("c"), F.count("*").alias("k")).where("k > 1").select("s", F.col("c.id").alias("centre"), F.col("c.n").alias("cn"), "k")
     inside = scratch.written(rows.join(stars, "s"), "buckets")
     pairs = inside.where("id <> centre").where(_sizes_fit("n", "cn", percent)).select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct()
-    pairs = scratch.written(pairs, "pairs")
-
-    wanted = inside.select("id").distinct()
-    texts = docs.join(wanted.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
-    packed = _mapped(texts, "id long, n long, members binary", lambda part: (lambda sets: [part["doc_id"], pa.array([len(u) for u in sets], pa.int64()), pa.array([u.tobytes() for u in sets], pa.binary())])(_sets(part, width)))
-    sets = scratch.written(packed.dropDuplicates(["id"]), "members")
-
-    near = scratch.written(_verified(pairs, sets, percent), "near")
+    pairs = scratch.written(_likely(pairs, signed, percent), "pairs")
+    near = scratch.written(verified(pairs), "near")
     links = near.where("linked").select("a", "b")
     first = graph.components(links, "a", "b").withColumnRenamed("component", "part")
 
@@ -221,8 +262,8 @@ def similar_documents(docs: DataFrame, width: int = 3, percent: int = 90) -> Dat
     slack = (100 - percent) / 100 + 1e-9
     rest = open_.withColumnsRenamed({"id": "a", "far": "fa"}).join(other, "s").where("a > b and part <> pb and b <> centre and a <> centre").where(_sizes_fit("n", "nb", percent))
     rest = rest.where(F.coalesce(F.abs(F.col("fa") - F.col("fb")) <= slack, F.lit(True))).select("a", "b").distinct()
-    rest = rest.join(near.select("a", "b"), ["a", "b"], "left_anti")
-    more = scratch.written(_verified(rest, sets, percent), "more").where("linked").select("a", "b")
+    rest = scratch.written(_likely(rest.join(near.select("a", "b"), ["a", "b"], "left_anti"), signed, percent), "rest")
+    more = scratch.written(verified(rest), "more").where("linked").select("a", "b")
     whole = graph.components(links.union(more), "a", "b")
 
     label = firsts.join(whole.withColumnRenamed("id", "first"), "first", "left").select("d1", "d2", F.coalesce("component", "first").alias("component"))
