@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from meterlake.functions import times
 from meterlake.operators.ordered import running
+from meterlake.session import stored
 
 STREAM = ["session_id", "agent_id", "model"]
 ORDER = ["request_ms", "usage_ms", "event_fingerprint"]
@@ -114,8 +115,9 @@ def miss_median(found: DataFrame) -> DataFrame:
 
 
 def analyze(calls: DataFrame, options: Options = Options()) -> DataFrame:  # noqa: B008
-    """The report as one row: counts, medians and the three change points."""
-    found = transitions(calls, options)
+    """The report as one row: counts, medians and the three change points. The transitions are
+    written once, as the report reads them eight times."""
+    found = stored(transitions(calls, options), "transitions")
     counts = found.agg(F.count("*").alias("transitions"), *[F.count_if(F.col("kind") == k).alias(n) for k, n in (("hit", "hits"), ("miss", "misses"), ("ambiguous", "ambiguous"))], *[F.count_if(F.col("reason") == r).alias(r) for r in EXCLUSIONS])
     size = calls.agg(F.count("*").alias("calls"), F.countDistinct(*STREAM).alias("streams"))
     out = counts.crossJoin(size).crossJoin(miss_median(found)).crossJoin(longest_hit_run(found))  # one row each

@@ -7,15 +7,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def running(df: DataFrame, lead: Column, chunk: int, order: list, sums: dict[str, Column], position: str | None = None) -> DataFrame:
-    """Adds running sums, and the position from 0, in the order by lead (a long) and then order."""
+def running(df: DataFrame, lead: Column, chunk: int, order: list, sums: dict[str, Column], position: str | None = None, whole: dict[str, Column] | None = None) -> DataFrame:
+    """Adds running sums, and the position from 0, in the order by lead (a long) and then order;
+    whole: sums over all rows.
+
+    The chunks' totals are a second, narrow pass over df: only what the sums need is read again."""
     df = df.withColumn("_chunk", F.floor(lead / chunk))
     make = dict(sums) | ({position: F.lit(1)} if position else {})
     if not make:
         return df.drop("_chunk")
-    totals = df.groupBy("_chunk").agg(*[F.sum(x).alias(f"_{k}") for k, x in make.items()])
+    all_ = whole or {}
+    totals = df.groupBy("_chunk").agg(*[F.sum(x).alias(f"_{k}") for k, x in (make | all_).items()])
     before = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select("_chunk", *[F.coalesce(F.sum(f"_{k}").over(before), F.lit(0)).alias(f"_{k}") for k in make])
+    every = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    bases = totals.select("_chunk", *[F.coalesce(F.sum(f"_{k}").over(before), F.lit(0)).alias(f"_{k}") for k in make], *[F.sum(f"_{k}").over(every).alias(k) for k in all_])
     within = Window.partitionBy("_chunk").orderBy(lead, *order).rowsBetween(Window.unboundedPreceding, 0)
     out = df.withColumns({k: F.sum(x).over(within) for k, x in make.items()}).join(bases, "_chunk")
     out = out.withColumns({k: F.col(k) + F.col(f"_{k}") - (1 if k == position else 0) for k in make})

@@ -76,12 +76,12 @@ def auto_bucket(d: Data):
 
 @query
 def chart_rows_trailing(d: Data):
-    return _six(dashboard.chart_rows(dashboard.series(d.ledger, ONE, "call"), "call"))
+    return _six(dashboard.chart_rows(dashboard.series(d.ledger, ONE, "call", end=True), "call"))
 
 
 @query
 def chart_rows_hour(d: Data):
-    return _six(dashboard.chart_rows(dashboard.series(d.ledger, Filters(), "hour"), "hour"))
+    return _six(dashboard.chart_rows(dashboard.series(d.ledger, Filters(), "hour", end=True), "hour"))
 
 
 @query

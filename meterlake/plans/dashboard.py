@@ -3,7 +3,7 @@ the two bounds that choose a resolution."""
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterlake.functions import labels, times, usage
@@ -13,8 +13,8 @@ from meterlake.operators.pricing import rate_columns
 from meterlake.schemas import COSTS, TOKENS
 
 PARTS = COSTS[:4]
-#: Observations of a trailing average.
-TRAILING = 20
+#: Observations of a trailing average, and of a block that one task sorts.
+TRAILING, BLOCK = 20, 1 << 16
 #: A context is rebuilt if a prompt has this many tokens and this share of them isn't cached.
 REBUILD_TOKENS, REBUILD_FRESH = 20_000, 0.5
 #: Share of archived sessions that the newer group should hold.
@@ -93,27 +93,36 @@ def _measured(ledger: Ledger, filters: Filters) -> DataFrame:
     return rows.select("event_fingerprint", "timestamp_ms", *COSTS, "cache_read_tokens", usage.prompt_tokens().alias("prompt_tokens"), usage.main_prompt_tokens().alias("main"), usage.subagent_prompt_tokens().alias("sub"), usage.no_cache_extra_nano().alias("no_cache_extra_cost_nano"))
 
 
-def series(ledger: Ledger, filters: Filters, bucket: str) -> DataFrame:
-    """A point per bucket, or per call, with costs, tokens, peaks and running sums.
+def series(ledger: Ledger, filters: Filters, bucket: str, end: bool = False) -> DataFrame:
+    """A point per bucket, or per call, with costs, tokens, peaks and running sums; with end also
+    the last total, end_total_cost_nano.
 
     bucket: minute, hour, day, week or call. Buckets without calls have no point."""
     rows = _measured(ledger, filters)
     zero = F.lit(0)
     if bucket == "call":
         points = rows.select("event_fingerprint", F.col("timestamp_ms").alias("bucket_start_ms"), F.lit(1).cast("long").alias("call_count"), *[F.coalesce(c, zero).alias(c) for c in [*COSTS, "no_cache_extra_cost_nano"]], "cache_read_tokens", "prompt_tokens", F.coalesce("main", zero).alias("peak_main_prompt_tokens"), F.coalesce("sub", zero).alias("peak_subagent_prompt_tokens"), F.when(F.col("total_cost_nano").isNull(), 1).otherwise(0).cast("long").alias("unpriced_calls"))
-        return cumulative(points, ["event_fingerprint"], times.HOUR)
+        return cumulative(points, ["event_fingerprint"], times.HOUR, end)
     points = rows.groupBy(times.bucket_start_ms(F.col("timestamp_ms"), bucket, filters.time_zone).alias("bucket_start_ms")).agg(
         F.count("*").alias("call_count"), *[_total(c).alias(c) for c in [*COSTS, "no_cache_extra_cost_nano", "cache_read_tokens", "prompt_tokens"]],
         F.coalesce(F.max("main"), zero).alias("peak_main_prompt_tokens"), F.coalesce(F.max("sub"), zero).alias("peak_subagent_prompt_tokens"), F.count_if(F.col("total_cost_nano").isNull()).alias("unpriced_calls"))
-    return cumulative(points, [], 1000 * times.SPACING[bucket])
+    return cumulative(points, [], None, end)
 
 
-def cumulative(points: DataFrame, ties: list[str], chunk: int) -> DataFrame:
-    """Adds observation (from 0) and the running costs; the total is the sum of its parts."""
+def cumulative(points: DataFrame, ties: list[str], chunk: int | None, end: bool = False) -> DataFrame:
+    """Adds observation (from 0) and the running costs; the total is the sum of its parts.
+
+    chunk: milliseconds that are summed up by themselves; None where the points are sums over time
+    already, whose number grows with the span of time and not with the calls: these are one task's."""
     sums = {f"cumulative_{c}": F.col(c) for c in [*PARTS, "no_cache_extra_cost_nano"]}
-    out = running(points, F.col("bucket_start_ms"), chunk, ties, sums, "observation")
-    total = sum((F.col(f"cumulative_{c}") for c in PARTS[1:]), F.col(f"cumulative_{PARTS[0]}"))
-    out = out.withColumn("cumulative_total_cost_nano", total)
+    total = sum((F.col(c) for c in PARTS[1:]), F.col(PARTS[0]))
+    if chunk is None:
+        order = Window.orderBy("bucket_start_ms", *ties).rowsBetween(Window.unboundedPreceding, 0)
+        whole = Window.orderBy("bucket_start_ms", *ties).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        out = points.withColumns({k: F.sum(x).over(order) for k, x in sums.items()} | {"observation": F.row_number().over(Window.orderBy("bucket_start_ms", *ties)).cast("long") - 1} | ({"end_total_cost_nano": F.sum(total).over(whole)} if end else {}))
+    else:
+        out = running(points, F.col("bucket_start_ms"), chunk, ties, sums, "observation", {"end_total_cost_nano": total} if end else None)
+    out = out.withColumn("cumulative_total_cost_nano", sum((F.col(f"cumulative_{c}") for c in PARTS[1:]), F.col(f"cumulative_{PARTS[0]}")))
     return out.withColumn("cumulative_no_cache_cost_nano", F.col("cumulative_total_cost_nano") + F.col("cumulative_no_cache_extra_cost_nano")).drop("cumulative_no_cache_extra_cost_nano")
 
 
@@ -122,26 +131,25 @@ def timeseries(ledger: Ledger, filters: Filters, now_ms: int) -> DataFrame:
 
 
 def chart_rows(points: DataFrame, resolution: str) -> DataFrame:
-    """Points with trailing average cost and hit ratio, idle gaps, rebuilt contexts and what
-    remains to the end.
-
-    Neighbours meet by observation number in equi joins, so no task holds the whole series."""
-    more = points.withColumns({"_total": F.col("total_cost_nano"), "_read": F.col("cache_read_tokens"), "_prompt": F.col("prompt_tokens")})
-    sums = {f"_run{c}": F.col(c) for c in ("_total", "_read", "_prompt")}
-    more = running(more, F.col("observation"), 1 << 16, [], sums)
-    ago = more.select((F.col("observation") + TRAILING).alias("observation"), *[F.col(c).alias(f"_old{c}") for c in sums])
-    last = more.select((F.col("observation") + 1).alias("observation"), F.col("bucket_start_ms").alias("_before_ms"))
-    end = points.agg(F.max_by("cumulative_total_cost_nano", "observation").alias("_end"))
-    rows = more.join(ago, "observation", "left").join(last, "observation", "left").crossJoin(end)  # one row
-    inside = {c: F.col(c) - F.coalesce(f"_old{c}", F.lit(0)) for c in sums}
+    """Points (with their end) with trailing average cost and hit ratio, idle gaps, rebuilt contexts
+    and what remains to the end.
+
+    Blocks of observations are sorted by themselves; each also gets the last rows of the block
+    before it, so that no task holds the whole series and none is computed twice."""
+    block, place = F.floor(F.col("observation") / BLOCK), F.pmod("observation", F.lit(BLOCK))
+    ghost = place >= BLOCK - TRAILING + 1
+    rows = points.withColumn("_in", F.explode(F.when(ghost, F.array(F.struct(block.alias("b"), F.lit(False).alias("g")), F.struct((block + 1).alias("b"), F.lit(True).alias("g")))).otherwise(F.array(F.struct(block.alias("b"), F.lit(False).alias("g"))))))
+    order = Window.partitionBy("_in.b").orderBy("observation")
+    trail = order.rowsBetween(1 - TRAILING, 0)
     idle = F.greatest(F.col("bucket_start_ms") - F.col("_before_ms") - times.SPACING.get(resolution, 0), F.lit(0))
+    rows = rows.withColumns({"_total": F.sum("total_cost_nano").over(trail), "_read": F.sum("cache_read_tokens").over(trail), "_prompt": F.sum("prompt_tokens").over(trail), "_before_ms": F.lag("bucket_start_ms").over(order)}).where("not _in.g")
     fresh = usage.ratio(F.col("prompt_tokens") - F.col("cache_read_tokens"), F.col("prompt_tokens"))
     rebuilt = (F.lit(resolution == "call")) & (F.col("peak_main_prompt_tokens") > 0) & (F.col("prompt_tokens") >= REBUILD_TOKENS) & (fresh >= REBUILD_FRESH)
     positive = lambda c: F.when(F.col(c) > 0, F.col(c))
     return rows.select(
-        "observation", "bucket_start_ms", "total_cost_nano", (inside["_run_total"] / F.least(F.col("observation") + 1, F.lit(TRAILING))).alias("trailing_average_nano"), usage.ratio(inside["_run_read"], inside["_run_prompt"]).alias("trailing_hit_ratio"),
+        "observation", "bucket_start_ms", "total_cost_nano", (F.col("_total") / F.least(F.col("observation") + 1, F.lit(TRAILING))).alias("trailing_average_nano"), usage.ratio(F.col("_read"), F.col("_prompt")).alias("trailing_hit_ratio"),
         usage.ratio(F.col("cache_read_tokens"), F.col("prompt_tokens")).alias("hit_ratio"), F.when(idle >= times.HOUR, idle).otherwise(0).alias("idle_gap_ms"), rebuilt.cast("int").alias("context_rebuild"),
-        positive("peak_main_prompt_tokens").alias("context_main"), positive("peak_subagent_prompt_tokens").alias("context_subagent"), (F.col("_end") - F.col("cumulative_total_cost_nano")).alias("remaining_nano"))
+        positive("peak_main_prompt_tokens").alias("context_main"), positive("peak_subagent_prompt_tokens").alias("context_subagent"), (F.col("end_total_cost_nano") - F.col("cumulative_total_cost_nano")).alias("remaining_nano"))
 
 
 def sessions(ledger: Ledger, filters: Filters, private: bool = False) -> DataFrame:

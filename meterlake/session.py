@@ -3,7 +3,7 @@
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Calendar arithmetic assumes UTC sessions; integer sums must raise on overflow, not wrap.
 SETTINGS = {"spark.sql.session.timeZone": "UTC", "spark.sql.ansi.enabled": "true", "spark.sql.adaptive.enabled": "true"}
@@ -25,6 +25,13 @@ def build(master: str = "local[*]", partitions: int | None = None) -> SparkSessi
     return configure(builder.getOrCreate())
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df as a written table, for reports that read it several times."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path below the folder that driver and executors share, spark.checkpoint.dir; a local
     one only where that is unset."""

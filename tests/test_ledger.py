@@ -187,13 +187,22 @@ def test_sums_agree(spark):
 
 def test_chart(spark):
     at = [0, 3 * times.HOUR]
-    points = spark.createDataFrame([(i, at[i], c, r, p, p, 0, t) for i, (c, r, p, t) in enumerate([(1, 90_000, 100_000, 1), (3, 50_000, 100_000, 4)])], "observation long, bucket_start_ms long, total_cost_nano long, cache_read_tokens long, prompt_tokens long, peak_main_prompt_tokens long, peak_subagent_prompt_tokens long, cumulative_total_cost_nano long")
+    points = spark.createDataFrame([(i, at[i], c, r, p, p, 0, t, 4) for i, (c, r, p, t) in enumerate([(1, 90_000, 100_000, 1), (3, 50_000, 100_000, 4)])], "observation long, bucket_start_ms long, total_cost_nano long, cache_read_tokens long, prompt_tokens long, peak_main_prompt_tokens long, peak_subagent_prompt_tokens long, cumulative_total_cost_nano long, end_total_cost_nano long")
     got = dashboard.chart_rows(points, "call").orderBy("observation").collect()
     assert [r.trailing_average_nano for r in got] == [1, 2] and [round(r.trailing_hit_ratio, 9) for r in got] == [0.9, 0.7]
     assert [r.idle_gap_ms for r in got] == [0, 3 * times.HOUR] and [r.context_rebuild for r in got] == [0, 1] and [r.remaining_nano for r in got] == [3, 0]
     assert [r.idle_gap_ms for r in dashboard.chart_rows(points, "hour").orderBy("observation").collect()] == [0, 2 * times.HOUR]
 
 
+def test_chart_over_blocks(spark, monkeypatch):
+    """Trailing sums and gaps reach over the edges of blocks."""
+    monkeypatch.setattr(dashboard, "BLOCK", 30)
+    points = spark.range(100).select(F.col("id").alias("observation"), (F.col("id") * 1000).alias("bucket_start_ms"), F.col("id").alias("total_cost_nano"), F.lit(1).alias("cache_read_tokens"), F.lit(2).alias("prompt_tokens"), F.lit(0).alias("peak_main_prompt_tokens"), F.lit(0).alias("peak_subagent_prompt_tokens"), F.lit(0).alias("cumulative_total_cost_nano"), F.lit(0).alias("end_total_cost_nano"))
+    got = dashboard.chart_rows(points, "call").orderBy("observation").collect()
+    assert [r.trailing_average_nano for r in got] == [sum(range(max(0, i - 19), i + 1)) / min(20, i + 1) for i in range(100)]
+    assert all(r.idle_gap_ms == 0 for r in got)
+
+
 def test_running_sums(spark):
     df = spark.range(1000).select("id", (F.col("id") * 37 % 101).alias("lead"))
     got = running(df, F.col("lead"), 10, ["id"], {"total": F.col("id")}, "at").orderBy("lead", "id").collect()
