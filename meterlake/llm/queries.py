@@ -14,4 +14,4 @@ QUERIES = {
     "op9_line_hashing": substrings.op9_line_hashing,
     "op10_rotation_codes": embeddings.op10_rotation_codes,
 }
-ORACLE_SQL = {"op6_mix_sources": mixing.ORACLE_OP6}
+ORACLE_SQL = {"op4_warc_salvage": warc.ORACLE_OP4, "op5_combination_prefixes": ngram_join.ORACLE_OP5, "op6_mix_sources": mixing.ORACLE_OP6}

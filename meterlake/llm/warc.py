@@ -233,3 +233,13 @@ def op4_warc_salvage(spark, sf_dir: str) -> DataFrame:
         return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
     found = read_archives(spark, folder, with_payload=False).where("kind = 'record'")
     return found.select(page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page_of("refers_to").alias("refers_to"))
+
+
+ORACLE_OP4 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+f AS (SELECT h, min(page_id) AS least, sha1(h) AS x FROM p GROUP BY h)
+SELECT page_id, strlen(h) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(x, 1 + CAST(i // 4 AS INTEGER) * 5, 5) AS INTEGER) >> (15 - 5 * CAST(i % 4 AS INTEGER))) & 31), 1)), '') AS payload_digest,
+  CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> least THEN least END AS refers_to
+FROM p JOIN f USING (h)
+"""
