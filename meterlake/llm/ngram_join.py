@@ -14,9 +14,10 @@ Groups grow in number with the size of the sets, so signatures grow with the tex
 square; a set near the upper edge of its size class gives signatures for the next class too.
 
 Signatures only nominate. Exact copies are one set from the start. Members of a bucket are first
-compared with its least member (a star, as many pairs as members). Only where a bucket still
-joins different components are its other pairs compared, but for those that the distances to
-the bucket's centre rule out. Before whole sets meet, the least hashes of both rule out pairs whose
+compared with its least member (a star, as many pairs as members). Where a bucket then still holds
+many components, as a cloud of near copies does, a few of them by hash send a member that meets all
+others, and the crowd's sets are joined once more by prefixes, in the order of the crowd's own
+frequencies. In all other buckets the pairs of different components that are left meet. Before whole sets meet, the least hashes of both rule out pairs whose
 chance to be similar, given these, is below RULED_OUT; every other comparison is of whole sets."""
 
 import math
@@ -26,7 +27,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterlake.llm import graph, scratch
@@ -42,6 +43,11 @@ SMALL = 40
 CROWD = 8
 #: Least hashes of a set that go along with its signatures, and the chance below which they rule a pair out.
 LEAST, RULED_OUT = 64, 1e-12
+#: Components above which a bucket is crowded, components of it that send a member, and buckets that a
+#: document knows.
+CLOUD, SENT, KNOWN = 32, 8, 8
+#: Ids that go to every task at most; more meet the texts by a shuffle.
+WANTED = 1_000_000
 
 
 def allowed(n: int, percent: int) -> int:
@@ -138,7 +144,7 @@ def _mapped(docs: DataFrame, to: str, make) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b, far (Jaccard distance) and linked for pairs of whole sets."""
+    """The pairs a, b whose whole sets are similar enough."""
 
     @F.pandas_udf("long")
     def shared(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -147,7 +153,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("members").alias("ma"))
     right = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("members").alias("mb"))
     got = pairs.join(left, "a").join(right, "b").withColumn("o", shared("ma", "mb")).withColumn("whole", F.col("na") + F.col("nb") - F.col("o"))
-    return got.select("a", "b", (1 - F.col("o") / F.col("whole")).alias("far"), (100 * F.col("o") >= percent * F.col("whole")).alias("linked"))
+    return got.where(100 * F.col("o") >= percent * F.col("whole")).select("a", "b")
 
 
 def _least_shared(percent: int) -> list[int]:
@@ -185,6 +191,28 @@ def _likely(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").where(likely("la", "lb")).select("a", "b")
 
 
+def _crowd_pairs(docs: DataFrame, crowd: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs a, b of different parts of a crowd (id, part) that may be similar.
+
+    Members follow one order, the rarest in the crowd first, so that what sets a near copy apart
+    stands in front. A similar pair's first common member stands so early that enough can follow it
+    in both sets; in the smaller set that is among the first few, its head. Only heads are looked
+    up: what the whole crowd has in common stands behind them and brings no pair."""
+    texts = docs.join(crowd.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    sets = _mapped(texts, "id long, m array<long>", lambda part: [part["doc_id"], _lists(_sets(part, width))]).dropDuplicates(["id"])
+    members = scratch.written(sets.select("id", F.size("m").cast("long").alias("n"), F.explode("m").alias("token")), "crowd-members")
+    often = members.groupBy("token").agg(F.count("*").alias("often"))
+    order = Window.partitionBy("id").orderBy("often", "token")
+    ranked = members.join(often, "token").withColumn("at", F.row_number().over(order) - 1)
+    ranked = ranked.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100)).join(crowd, "id")
+    ranked = scratch.written(ranked.select("token", "id", "n", "at", "part"), "crowd-heads")
+    enough = lambda n, at, whole: (100 + percent) * (n - at) >= percent * whole
+    head = ranked.where(enough(F.col("n"), F.col("at"), 2 * F.col("n"))).select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ab"), F.col("part").alias("pb"))
+    whole = F.col("n") + F.col("nb")
+    met = ranked.join(head, "token").where((F.col("part") != F.col("pb")) & (F.col("nb") <= F.col("n")) & _sizes_fit("n", "nb", percent) & enough(F.col("n"), F.col("at"), whole) & enough(F.col("nb"), F.col("ab"), whole))
+    return met.select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
+
+
 def _sizes_fit(a: str, b: str, percent: int):
     return (100 * F.least(a, b) >= percent * F.greatest(a, b))
 
@@ -238,33 +266,52 @@ def similar_documents(docs: DataFrame, width: int = 3, percent: int = 90) -> Dat
     signed = scratch.written(signed.dropDuplicates(["doc_id"]), "signatures")
     rows = signed.select(F.col("doc_id").alias("id"), "n", F.explode("s").alias("s"))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Only the sets of documents in these pairs are made."""
-        wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        """The links among pairs a, b. Only the sets of documents in likely pairs are made: where
+        these are few, counted, their ids go to all tasks and no text moves."""
+        pairs = scratch.written(_likely(pairs, signed, percent), name)
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        wanted = F.broadcast(wanted) if wanted.count() <= WANTED else wanted
         texts = docs.join(wanted, "doc_id", "left_semi")
         packed = _mapped(texts, "id long, n long, members binary", lambda part: (lambda sets: [part["doc_id"], pa.array([len(u) for u in sets], pa.int64()), pa.array([u.tobytes() for u in sets], pa.binary())])(_sets(part, width)))
-        return _verified(pairs, packed.dropDuplicates(["id"]), percent)
+        return scratch.written(_verified(pairs, packed.dropDuplicates(["id"]), percent), f"{name}-links")
+
+    def parts(links: DataFrame, of: DataFrame) -> DataFrame:
+        """Rows of buckets with the component of each member, where a bucket still has several."""
+        own = graph.components(links, "a", "b").withColumnRenamed("component", "_part")
+        of = of.join(own, "id", "left").withColumn("part", F.coalesce("_part", "id")).drop("_part")
+        mixed = of.groupBy("s").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("s")
+        return of.join(mixed, "s")
 
+    # round 0: each bucket's members against its least
     stars = rows.groupBy("s").agg(F.min(F.struct("id", "n")).alias("c"), F.count("*").alias("k")).where("k > 1").select("s", F.col("c.id").alias("centre"), F.col("c.n").alias("cn"), "k")
     inside = scratch.written(rows.join(stars, "s"), "buckets")
     pairs = inside.where("id <> centre").where(_sizes_fit("n", "cn", percent)).select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct()
-    pairs = scratch.written(_likely(pairs, signed, percent), "pairs")
-    near = scratch.written(verified(pairs), "near")
-    links = near.where("linked").select("a", "b")
-    first = graph.components(links, "a", "b").withColumnRenamed("component", "part")
-
-    # buckets that still join different components, and how far their members are from the centre
-    open_ = inside.where("k > 2").join(first, "id", "left").withColumn("part", F.coalesce("part", "id"))
-    open_ = open_.join(near.select(F.col("a").alias("id"), F.col("b").alias("centre"), "far"), ["id", "centre"], "left").withColumn("far", F.when(F.col("id") == F.col("centre"), 0.0).otherwise(F.col("far")))
-    mixed = open_.groupBy("s").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("s")
-    open_ = scratch.written(open_.join(mixed, "s").select("s", "id", "n", "part", "centre", "far"), "open")
-    other = open_.select("s", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("part").alias("pb"), F.col("far").alias("fb"))
-    slack = (100 - percent) / 100 + 1e-9
-    rest = open_.withColumnsRenamed({"id": "a", "far": "fa"}).join(other, "s").where("a > b and part <> pb and b <> centre and a <> centre").where(_sizes_fit("n", "nb", percent))
-    rest = rest.where(F.coalesce(F.abs(F.col("fa") - F.col("fb")) <= slack, F.lit(True))).select("a", "b").distinct()
-    rest = scratch.written(_likely(rest.join(near.select("a", "b"), ["a", "b"], "left_anti"), signed, percent), "rest")
-    more = scratch.written(verified(rest), "more").where("linked").select("a", "b")
-    whole = graph.components(links.union(more), "a", "b")
+    links = verified(pairs, "stars")
+
+    # what is left open; each document knows its least such buckets, so that a pair that shares
+    # several is met in one of few
+    open_ = scratch.written(parts(links, inside.where("k > 2").select("s", "id", "n")).drop("part"), "open")
+    least = open_.groupBy("id").agg(F.slice(F.sort_array(F.collect_set("s")), 1, KNOWN).alias("t"))
+    open_ = scratch.written(open_.join(least, "id"), "open-known")
+    here = (F.col("part") != F.col("pb")) & _sizes_fit("n", "nb", percent) & ~F.exists(F.array_intersect("t", "tb"), lambda x: x < F.col("s"))
+    now = parts(links, open_)
+    crowds = now.groupBy("s").agg(F.approx_count_distinct("part").alias("crowd")).where(F.col("crowd") > CLOUD)
+    crowded = scratch.written(now.join(crowds, "s"), "crowded")
+    if not crowded.isEmpty():
+        # some components of each crowded bucket, by hash, send one member each to meet all others
+        chosen = crowded.where(F.pmod(F.xxhash64("part"), F.col("crowd")) < SENT)
+        sent = chosen.groupBy("s", "part").agg(F.min(F.struct(F.xxhash64("id"), "id", "n", "t")).alias("c")).select("s", F.col("part").alias("pb"), F.col("c.id").alias("b"), F.col("c.n").alias("nb"), F.col("c.t").alias("tb"))
+        met = crowded.join(sent, "s").where(here).select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
+        links = links.union(verified(met, "sent"))
+        own = graph.components(links, "a", "b").withColumnRenamed("component", "_part")
+        crowd = crowded.select("id").distinct().join(own, "id", "left").select("id", F.coalesce("_part", "id").alias("part"))
+        links = links.union(verified(_crowd_pairs(docs, scratch.written(crowd, "crowd"), width, percent), "crowd-pairs"))
+        open_ = open_.join(crowds.select("s"), "s", "left_anti")
+    left = scratch.written(parts(links, open_), "left")
+    other = left.select("s", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("part").alias("pb"), F.col("t").alias("tb"))
+    rest = left.join(other, "s").where(F.col("id") > F.col("b")).where(here).select(F.col("id").alias("a"), "b").distinct()
+    whole = graph.components(links.union(verified(rest, "rest")), "a", "b")
 
     label = firsts.join(whole.withColumnRenamed("id", "first"), "first", "left").select("d1", "d2", F.coalesce("component", "first").alias("component"))
     out = every.join(label, ["d1", "d2"], "left")
