@@ -170,6 +170,39 @@ def test_join_with_frequent_shingles(spark):
     assert got == {i: i // 4 * 4 for i in range(160)}
 
 
+def _edited(seed: int, words: list[str], edits: int) -> str:
+    out, rng = list(words), np.random.default_rng(seed)
+    for k in rng.choice(len(out), edits, replace=False):
+        out[k] = f"new{rng.integers(10**9)}"
+    return " ".join(out)
+
+
+def test_join_with_a_cloud_of_near_copies(spark):
+    """More copies with edits of their own than a bucket may hold components, by brute force."""
+    from .test_contracts import components, jaccard_links, shingle_sets
+
+    base = text(5, 150).split()
+    rows = [{"doc_id": i, "text": _edited(i, base, 1 + i % 5)} for i in range(300)]
+    df = spark.createDataFrame([(r["doc_id"], r["text"]) for r in rows], "doc_id long, text string")
+    sets = shingle_sets(rows, 3)
+    want = components(list(sets), jaccard_links(sets, 90))
+    assert {r.doc_id: r.component_id for r in ngram_join.similar_documents(df, 3, 90).collect()} == want
+    assert len(set(want.values())) > ngram_join.CLOUD
+
+
+def test_crowd_pairs_are_complete(spark):
+    from .test_contracts import jaccard_links, shingle_sets
+
+    base = text(6, 120).split()
+    rows = [{"doc_id": i, "text": _edited(i, base[: 120 - i % 7], i % 4)} for i in range(120)]
+    docs = spark.createDataFrame([(r["doc_id"], r["text"]) for r in rows], "doc_id long, text string")
+    crowd = spark.createDataFrame([(i, i) for i in range(120)], "id long, part long")
+    for percent in (80, 90):
+        got = {tuple(sorted(r)) for r in ngram_join._crowd_pairs(docs, crowd, 3, percent).collect()}
+        links = {tuple(sorted(p)) for p in jaccard_links(shingle_sets(rows, 3), percent)}
+        assert links and links <= got
+
+
 def test_pipeline_stages(spark, edge, empty):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     for folder in (SMALL, edge):
