@@ -276,10 +276,16 @@ def similar_documents(docs: DataFrame, width: int = 3, percent: int = 90) -> Dat
         packed = _mapped(texts, "id long, n long, members binary", lambda part: (lambda sets: [part["doc_id"], pa.array([len(u) for u in sets], pa.int64()), pa.array([u.tobytes() for u in sets], pa.binary())])(_sets(part, width)))
         return scratch.written(_verified(pairs, packed.dropDuplicates(["id"]), percent), f"{name}-links")
 
-    def parts(links: DataFrame, of: DataFrame) -> DataFrame:
+    def grown(links: DataFrame, own: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """All links and their components; without new links these are as before."""
+        if more.isEmpty():
+            return links, own
+        links = links.union(more)
+        return links, scratch.written(graph.components(links, "a", "b"), "components")
+
+    def parts(own: DataFrame, of: DataFrame) -> DataFrame:
         """Rows of buckets with the component of each member, where a bucket still has several."""
-        own = graph.components(links, "a", "b").withColumnRenamed("component", "_part")
-        of = of.join(own, "id", "left").withColumn("part", F.coalesce("_part", "id")).drop("_part")
+        of = of.join(own.withColumnRenamed("component", "_part"), "id", "left").withColumn("part", F.coalesce("_part", "id")).drop("_part")
         mixed = of.groupBy("s").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("s")
         return of.join(mixed, "s")
 
@@ -288,14 +294,15 @@ def similar_documents(docs: DataFrame, width: int = 3, percent: int = 90) -> Dat
     inside = scratch.written(rows.join(stars, "s"), "buckets")
     pairs = inside.where("id <> centre").where(_sizes_fit("n", "cn", percent)).select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct()
     links = verified(pairs, "stars")
+    own = scratch.written(graph.components(links, "a", "b"), "components")
 
     # what is left open; each document knows its least such buckets, so that a pair that shares
     # several is met in one of few
-    open_ = scratch.written(parts(links, inside.where("k > 2").select("s", "id", "n")).drop("part"), "open")
+    open_ = scratch.written(parts(own, inside.where("k > 2").select("s", "id", "n")), "open")
     least = open_.groupBy("id").agg(F.slice(F.sort_array(F.collect_set("s")), 1, KNOWN).alias("t"))
-    open_ = scratch.written(open_.join(least, "id"), "open-known")
+    now = scratch.written(open_.join(least, "id"), "open-known")
+    open_ = now.drop("part")
     here = (F.col("part") != F.col("pb")) & _sizes_fit("n", "nb", percent) & ~F.exists(F.array_intersect("t", "tb"), lambda x: x < F.col("s"))
-    now = parts(links, open_)
     crowds = now.groupBy("s").agg(F.approx_count_distinct("part").alias("crowd")).where(F.col("crowd") > CLOUD)
     crowded = scratch.written(now.join(crowds, "s"), "crowded")
     if not crowded.isEmpty():
@@ -303,15 +310,14 @@ def similar_documents(docs: DataFrame, width: int = 3, percent: int = 90) -> Dat
         chosen = crowded.where(F.pmod(F.xxhash64("part"), F.col("crowd")) < SENT)
         sent = chosen.groupBy("s", "part").agg(F.min(F.struct(F.xxhash64("id"), "id", "n", "t")).alias("c")).select("s", F.col("part").alias("pb"), F.col("c.id").alias("b"), F.col("c.n").alias("nb"), F.col("c.t").alias("tb"))
         met = crowded.join(sent, "s").where(here).select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
-        links = links.union(verified(met, "sent"))
-        own = graph.components(links, "a", "b").withColumnRenamed("component", "_part")
-        crowd = crowded.select("id").distinct().join(own, "id", "left").select("id", F.coalesce("_part", "id").alias("part"))
-        links = links.union(verified(_crowd_pairs(docs, scratch.written(crowd, "crowd"), width, percent), "crowd-pairs"))
+        links, own = grown(links, own, verified(met, "sent"))
+        crowd = crowded.select("id").distinct().join(own, "id", "left").select("id", F.coalesce("component", "id").alias("part"))
+        links, own = grown(links, own, verified(_crowd_pairs(docs, scratch.written(crowd, "crowd"), width, percent), "crowd-pairs"))
         open_ = open_.join(crowds.select("s"), "s", "left_anti")
-    left = scratch.written(parts(links, open_), "left")
+    left = scratch.written(parts(own, open_), "left")
     other = left.select("s", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("part").alias("pb"), F.col("t").alias("tb"))
     rest = left.join(other, "s").where(F.col("id") > F.col("b")).where(here).select(F.col("id").alias("a"), "b").distinct()
-    whole = graph.components(links.union(verified(rest, "rest")), "a", "b")
+    _, whole = grown(links, own, verified(rest, "rest"))
 
     label = firsts.join(whole.withColumnRenamed("id", "first"), "first", "left").select("d1", "d2", F.coalesce("component", "first").alias("component"))
     out = every.join(label, ["d1", "d2"], "left")
