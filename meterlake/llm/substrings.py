@@ -3,8 +3,16 @@
 A unit is a sentence of a line; a sentence with one capitalised word inside is cut before that
 word, as a passage that is pasted behind an unfinished sentence begins there. Units are compared
 by a digest of their words, lower-cased (A-Z) and without punctuation at their ends. Of units
-with one digest the earliest ranked (by document, then place) stays. Of the others, those are
-removed that make up a whole line of LINE_WORDS or more, or a run of RUN_WORDS or more."""
+with one digest the earliest ranked (by document, then place) stays. Each of the others is
+compared word by word, to both sides, with the words around that earliest place. Removed is what
+makes up a whole repeated line of LINE_WORDS or more, repeated units of RUN_WORDS or more in a
+row, or a unit with what matches on both sides, if that has RUN_WORDS or more.
+
+Passages need not hold a whole sentence: in long sentences, and in long rows of sentences too
+short to be hashed, anchors are hashed too. Those are the runs of ANCHOR_WORDS with the least hash
+of WINDOW runs that follow each other, so a text of ANCHOR_WORDS + WINDOW - 1 words has the same
+one wherever it stands. A passage of more than 50 words holds a hashed sentence whole, or so many
+words of one such stretch."""
 
 from collections.abc import Iterator
 
@@ -20,13 +28,19 @@ from meterlake.llm import text as T
 UNIT_WORDS = 3
 #: Words in repeated units that a run, and a whole line, must have to be removed.
 RUN_WORDS, LINE_WORDS = 20, 8
+#: Words of an anchor, and runs of so many words of which the one with the least hash is one.
+ANCHOR_WORDS, WINDOW = 8, 10
+#: Words on each side of an earliest place that copies are compared with: so many that match hold
+#: another hashed place, from which a longer match goes on.
+CONTEXT = 51
 
 _PUNCT = np.zeros(256, bool)
 _PUNCT[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
 
 
 class Units:
-    """The units of a column of texts: row, line, first byte, words and digest of each, by place."""
+    """The units of a column of texts: row, line, first byte, words and digest of each, by place;
+    the words that have more than punctuation, and the anchors among them."""
 
     def __init__(self, column: pa.Array):
         self.data, self.offsets = T.utf8(column)
@@ -65,12 +79,96 @@ class Units:
         self.row, self.line, self.start, self.words = rows[at], np.cumsum(line)[at], starts[at], count
         self.digest = T.mix(total + count.astype(np.uint64) * T._A).view(np.int64)
         self.bounds = np.searchsorted(self.row, np.arange(len(self.offsets)))
+        self.begin = np.cumsum(count) - count  # the unit's first word
+        self.word, self.word_start, self.word_end = word, starts[real], ends[real]
+        self.word_line = np.cumsum(line)[real]
+        self.word_bounds = np.searchsorted(rows[real], np.arange(len(self.offsets)))
+        size = np.bincount(sentence[real], minlength=int(strong.sum()))
+        few = size < UNIT_WORDS
+        new = begin[strong]
+        new[1:] |= ~(few[1:] & few[:-1])
+        self.anchor, self.anchor_digest = self._anchors(np.cumsum(new)[sentence[real]] - 1)
+
+    def _anchors(self, stretch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First words and digests of the anchors, given the stretch of each word."""
+        long = np.bincount(stretch)[stretch] >= ANCHOR_WORDS + WINDOW - 1 if len(stretch) else np.zeros(0, bool)
+        at = np.flatnonzero(long)
+        if not len(at):
+            return at, np.zeros(0, np.int64)
+        edge = np.concatenate([[0], np.flatnonzero(np.diff(stretch[at])) + 1, [len(at)]])
+        grams, to = T.shingles(self.word[at], edge, ANCHOR_WORDS)
+        of = np.repeat(np.arange(len(edge) - 1), np.diff(to))
+        inside = np.flatnonzero(of[: len(of) - WINDOW + 1] == of[WINDOW - 1 :])
+        least = np.unique(inside + np.lib.stride_tricks.sliding_window_view(grams, WINDOW)[inside].argmin(axis=1))
+        return at[least + (edge[:-1] - to[:-1])[of[least]]], grams[least].view(np.int64)
+
+    def hashed(self) -> pa.Array:
+        """Of each row first word (from the row's first), number of words and digest of what is hashed, by place."""
+        unit = np.flatnonzero(self.words >= UNIT_WORDS)
+        start = np.concatenate([self.begin[unit], self.anchor])
+        by = np.argsort(start, kind="stable")
+        start = start[by]
+        size = np.concatenate([self.words[unit], np.full(len(self.anchor), ANCHOR_WORDS)])[by]
+        digest = np.concatenate([self.digest[unit], self.anchor_digest])[by]
+        row = np.searchsorted(self.word_bounds, start, side="right") - 1
+        flat = pa.StructArray.from_arrays([pa.array(start - self.word_bounds[row], pa.int32()), pa.array(size, pa.int32()), pa.array(digest, pa.int64())], names=["start", "size", "digest"])
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(self.offsets))), pa.int32()), flat)
+
+    def short_hashes(self, row: int) -> np.ndarray:
+        """Half of the hash of each word of a row."""
+        return (self.word[self.word_bounds[row] : self.word_bounds[row + 1]] >> np.uint64(32)).astype("<u4")
+
+    def matches(self, row: int, repeats: list[dict]) -> list[tuple[int, int]]:
+        """Ranges of a row's words that match an earlier place and have RUN_WORDS or more. A repeat
+        without the words around its earliest place joins those that it touches."""
+        own, parts = self.short_hashes(row), []
+        for r in repeats:
+            s, e = r["start"], r["start"] + r["size"]
+            if r["left"] is None:
+                parts.append((s, e, False))
+                continue
+            left, right = (np.frombuffer(r[k], "<u4") for k in ("left", "right"))
+            k = min(len(left), s)
+            unlike = np.flatnonzero(left[len(left) - k :][::-1] != own[s - k : s][::-1])
+            s -= int(unlike[0]) if len(unlike) else k
+            k = min(len(right), len(own) - e)
+            unlike = np.flatnonzero(right[:k] != own[e : e + k])
+            e += int(unlike[0]) if len(unlike) else k
+            parts.append((s, e, e - s >= RUN_WORDS))
+        sure = [p for p in parts if p[2]]
+        if not sure:
+            return []
+        merged: list[list] = []
+        for s, e, long in sorted(sure + [p for p, r in zip(parts, repeats, strict=True) if r["left"] is None]):
+            if merged and s <= merged[-1][1]:
+                merged[-1][1:] = max(e, merged[-1][1]), long or merged[-1][2]
+            else:
+                merged.append([s, e, long])
+        return [(s, e) for s, e, long in merged if long]
 
-    def removed(self, row: int, repeated: np.ndarray) -> list[tuple[int, int]]:
-        """Byte ranges of a row's text to remove, given its units that occur earlier elsewhere."""
+    def removed(self, row: int, repeats: list[dict]) -> list[tuple[int, int]]:
+        """Byte ranges of a row's text to remove, given what of it occurs earlier elsewhere."""
+        zero, first, last = self.offsets[row], self.word_bounds[row], self.word_bounds[row + 1]
+        gone = self._whole_units(row, repeats)
+        for s, e in self.matches(row, repeats):
+            s, e = first + s, first + e
+            # a range that ends with its line takes the break along only if it begins a line too
+            cut = e < last and self.word_line[e] != self.word_line[e - 1] and s > first and self.word_line[s] == self.word_line[s - 1]
+            end = self.word_end[e - 1] if cut else self.word_start[e] if e < last else self.offsets[row + 1]
+            gone.append((int(self.word_start[s] - zero), int(end - zero)))
+        merged: list[tuple[int, int]] = []
+        for s, e in sorted(gone):
+            if merged and s <= merged[-1][1]:
+                merged[-1] = (merged[-1][0], max(e, merged[-1][1]))
+            else:
+                merged.append((s, e))
+        return merged
+
+    def _whole_units(self, row: int, repeats: list[dict]) -> list[tuple[int, int]]:
+        """Byte ranges of runs of repeated units and of repeated lines."""
         a, b = self.bounds[row], self.bounds[row + 1]
-        again = np.zeros(b - a, bool)
-        again[repeated] = True
+        found = {(r["start"], r["size"]) for r in repeats}
+        again = np.array([(s, k) in found for s, k in zip((self.begin[a:b] - self.word_bounds[row]).tolist(), self.words[a:b].tolist(), strict=True)], bool)
         words, line = self.words[a:b], self.line[a:b]
         short = words < UNIT_WORDS
         # a short unit is in a run if the nearest longer ones on both sides are
@@ -96,22 +194,49 @@ class Units:
 
 
 def _repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, _h and the numbers of the units that an earlier ranked place has too."""
+    """_rank, _h and the hashed places that an earlier ranked place has too, with the words around
+    that one; without them where the places before and behind go on at the same earlier text."""
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in T.slices(batch, "text"):
-                u = Units(part["text"])
-                kept = np.where(u.words >= UNIT_WORDS, u.digest, 0)
-                yield pa.RecordBatch.from_arrays([part["doc_id"], part["_h"], pa.ListArray.from_arrays(pa.array(u.bounds, pa.int32()), pa.array(kept, pa.int64()))], names=["doc_id", "_h", "units"])
+                yield pa.RecordBatch.from_arrays([part["_rank"], part["_h"], Units(part["text"]).hashed()], names=["_rank", "_h", "places"])
 
-    rows = docs.mapInArrow(digests, "doc_id long, _h long, units array<long>")
+    rows = docs.mapInArrow(digests, "_rank long, _h long, places array<struct<start:int,size:int,digest:long>>")
     rows = scratch.written(rows, "units")
     # rows alike in id and text are one document
-    one = rows.select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("_rank"), "_h", F.posexplode("units").alias("unit", "digest")).where("digest <> 0")
-    first = one.groupBy("digest").agg(F.min(F.struct("_rank", "_h", "unit")).alias("f"), F.count("*").alias("n")).where("n > 1").select("digest", "f")
-    again = one.join(first.hint("shuffle_hash"), "digest").where(F.struct("_rank", "_h", "unit") != F.col("f"))
-    return again.groupBy("_rank", "_h").agg(F.collect_set("unit").alias("repeats"))
+    one = rows.select("_rank", "_h", F.explode("places").alias("p")).select("p.digest", "_rank", "_h", "p.start", "p.size")
+    first = one.groupBy("digest").agg(F.min(F.struct("_rank", "_h", "start")).alias("f"), F.count("*").alias("n")).where("n > 1").select("digest", "f")
+    again = one.join(first.hint("shuffle_hash"), "digest").where(F.struct("_rank", "_h", "start") != F.col("f"))
+    again = again.groupBy("_rank", "_h").agg(F.array_sort(F.collect_set(F.struct("start", "size", "digest", "f"))).alias("all"))
+    same = "x.f._rank = y.f._rank and x.f._h = y.f._h and x.start - x.f.start = y.start - y.f.start"
+    inner = f"""transform(all, (x, i) -> named_struct('start', x.start, 'size', x.size, 'digest', x.digest, 'f', x.f, 'inner',
+        exists(array(get(all, i - 1)), y -> coalesce(y.start + y.size >= x.start and {same}, false))
+        and exists(array(get(all, i + 1)), y -> coalesce(x.start + x.size >= y.start and {same}, false))))"""
+    again = scratch.settled(again.select("_rank", "_h", F.expr(inner).alias("all")), "repeats")
+    each = again.select("_rank", "_h", F.explode("all").alias("p"))
+    ends = each.where("not p.inner").select("_rank", "_h", "p.start", "p.size", "p.digest", "p.f")
+    asked = ends.groupBy(F.col("f._rank").alias("_r"), F.col("f._h").alias("_g")).agg(F.collect_set(F.struct(F.col("f.start").alias("start"), "size", "digest")).alias("places"))
+    asked = docs.join(asked, (docs._rank == asked._r) & (docs._h == asked._g)).select("text", "places")
+
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in T.slices(batch, "text"):
+                u, made = Units(part["text"]), []
+                for i, places in enumerate(part["places"]):
+                    own = u.short_hashes(i)
+                    for p in places.as_py():
+                        s, e = p["start"], p["start"] + p["size"]
+                        made.append((p["digest"], own[max(0, s - CONTEXT) : s].tobytes(), own[e : e + CONTEXT].tobytes()))
+                digest, left, right = zip(*made, strict=True) if made else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(digest, pa.int64()), pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["digest", "left", "right"])
+
+    known = asked.mapInArrow(around, "digest long, left binary, right binary").dropDuplicates(["digest"])
+    known = scratch.settled(known, "around")
+    ends = ends.join(known.hint("shuffle_hash"), "digest").select("_rank", "_h", "start", "size", "left", "right")
+    none = F.lit(None).cast("binary")
+    rest = each.where("p.inner").select("_rank", "_h", "p.start", "p.size", none.alias("left"), none.alias("right"))
+    return ends.unionByName(rest).groupBy("_rank", "_h").agg(F.collect_list(F.struct("start", "size", "left", "right")).alias("repeats"))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -125,7 +250,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     docs = scratch.packed(docs, *needed)
     kept = docs.columns
     keyed = docs.withColumns({"_h": F.xxhash64("text"), "_rank": F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))})
-    found = _repeats(keyed.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "_h", "text"))
+    found = _repeats(keyed.where("text is not null").select("_rank", "_h", "text"))
     found = found.withColumnsRenamed({"_rank": "_r", "_h": "_g"})
     joined = keyed.join(found, (keyed._rank == found._r) & (keyed._h == found._g), "left").select(*kept, "repeats")
     to = docs.select("*", F.lit(None).cast("array<struct<start:long,end:long>>").alias("removed")).schema
@@ -136,7 +261,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             for part in T.slices(batch, "text"):
                 u, texts, taken = Units(part["text"]), [], []
                 for i, (text, repeats) in enumerate(zip(part["text"].to_pylist(), part["repeats"], strict=True)):
-                    gone = u.removed(i, repeats.values.to_numpy()) if repeats.is_valid and text else []
+                    gone = u.removed(i, repeats.as_py()) if repeats.is_valid and text else []
                     if not gone:
                         texts.append(text)
                         taken.append([])

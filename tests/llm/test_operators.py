@@ -124,6 +124,22 @@ def test_substrings(spark):
             assert "".join(kept) == got[i].text
 
 
+def test_substrings_passages_from_mid_sentence(spark):
+    """Passages of over 50 words, none ending or beginning with a sentence, in any letter case and script."""
+    short = " ".join(f"stück{i} Haus{i} im Wald{i} steht Still{i}{'.' if i % 3 == 2 else ''}" for i in range(14))
+    one = " ".join(f"lang{i}" for i in range(60))
+    two = " ".join(f"слово{i}" for i in range(26)) + ". " + " ".join(f"Слово{i}" for i in range(26))
+    tiny = " ".join(f"No{i} so{i}." for i in range(30))
+    far = " ".join(f"far{i}" for i in range(400))
+    passages = [short, one, two, tiny, far]
+    rows = [(k, f"Own beginning of {k} a {p} and own end of it {k}.\nOther line {k}.") for k, p in enumerate(passages)]
+    rows += [(100 + k, f"Quite another start{k} with {p} then something else{k} follows.\nLast words{k} stay here.") for k, p in enumerate(passages)]
+    got = {r.doc_id: r for r in substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k in range(len(passages)):
+        assert got[k].text == rows[k][1]
+        assert got[100 + k].text == f"Quite another start{k} with then something else{k} follows.\nLast words{k} stay here."
+
+
 def test_quality_held_out(spark):
     folder = "/root/testdata/sf0.01"
     scored = quality.classify(docs_of(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
