@@ -150,6 +150,18 @@ def test_quality_held_out(spark):
     assert np.mean([g.keep for g in good]) > 0.97 and np.mean([g.score for g in good]) > np.mean([g.score for g in bad]) + 0.3
 
 
+def test_quality_rejects_bad(spark):
+    """Most bad documents go, by labels that neither fitting nor calibration has seen."""
+    folder = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    unseen = F.pmod(F.xxhash64("doc_id", F.lit(99)), F.lit(4)) == 0
+    scored = quality.classify(docs_of(spark, folder), labels.where(~unseen))
+    rows = scored.join(labels.where(unseen).select("doc_id", "quality"), "doc_id").select("quality", "keep").collect()
+    share = {q: np.mean([r.keep for r in rows if r.quality == q]) for q in (0, 1)}
+    print("unseen labels", Counter(r.quality for r in rows), "kept shares", share)
+    assert share[0] < 0.5 and share[1] > 0.97
+
+
 def test_quality_without_labels(spark, edge):
     docs = docs_of(spark, edge)
     none = spark.read.parquet(f"{edge}/labels.parquet").limit(0)
