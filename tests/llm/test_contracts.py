@@ -224,6 +224,22 @@ def test_op8_is_a_distribution(spark):
     assert np.allclose(one, [1 + 1 / 258, 1, 2 / 258 + 1 / 258**2])
 
 
+def test_op8_takes_pieces_of_any_length():
+    import public_tokenizers
+    import sentencepiece
+
+    from meterlake.llm.lattice import Pieces, likelihoods, read_pieces
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    raw = [model.id_to_piece(i).replace("▁", " ").encode() for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
+    long = {p for p in raw if len(p) > 16 and b" " not in p[1:]}
+    assert long and long <= set(read_pieces(path).entries)
+    entries = [bytes([b]) for b in range(256)] + ["электростанция".encode()]
+    pieces = Pieces(entries, np.log(np.full(257, 1 / 257)))
+    assert np.allclose(likelihoods(pa.array([entries[-1]], pa.binary()), pieces), -np.log(257))
+
+
 def test_op10(spark, folder):
     rows = rows_of(folder, "embeddings")
     good = [r for r in rows if r["vec_id"] is not None and r["embedding"] and all(x is not None and math.isfinite(x) for x in r["embedding"]) and any(r["embedding"])]
