@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 
 from meterlake.functions import times, usage
 
-#: Account states up to this number go to every task; more are met by day.
-STATES = 10_000
+#: Account states up to this number go to every task and meet each call there; more are met by day.
+STATES = 100
 
 
 def intervals(states: DataFrame) -> DataFrame:

@@ -17,11 +17,13 @@ _names = lambda schema: [c.split()[0] for c in schema.split(", ")]
 def kimi_parts(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Usage records, sessions and agents below <root>/sessions. A session without a state file
     begins and ends with the times of its logs."""
-    found, states = lines.files(spark, root, "wire.jsonl"), lines.files(spark, root, "state.json")
-    records = kimi.placed(kimi.usage_records(lines.texts(lines.split(found))))
-    logs = kimi.placed(found.select("path", "modified_ms"))
+    states = lines.files(spark, root, "state.json")
+    records = kimi.placed(kimi.usage_records(lines.texts(lines.read(spark, root, "wire.jsonl"))))
+    logs = kimi.placed(lines.listed(spark, root, "wire.jsonl"))
     known = kimi.states(states)
-    bare = logs.join(known, "session_id", "left_anti").groupBy("session_id").agg(F.min("workspace_key").alias("workspace_key"), F.min("modified_ms").alias("created_at_ms"), F.max("modified_ms").alias("updated_at_ms"))
+    bare = logs.join(known, "session_id", "left_anti").groupBy("session_id")
+    times = [F.min("modified_ms").alias("created_at_ms"), F.max("modified_ms").alias("updated_at_ms")]
+    bare = bare.agg(F.min("workspace_key").alias("workspace_key"), *times)
     none = F.lit(None).cast("string")
     bare = bare.select("session_id", F.lit("moonshotai").alias("provider"), "workspace_key", none.alias("work_directory"), none.alias("title"), "created_at_ms", "updated_at_ms")
     agents = reconcile.merged_agents(kimi.state_agents(states), logs.select("session_id", "agent_id", F.col("path").alias("source_path")))
@@ -31,8 +33,7 @@ def kimi_parts(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, Da
 
 def claude_parts(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Usage records, sessions and agents below <root>/projects."""
-    found = lines.files(spark, root, "*.[jJ][sS][oO][nN][lL]")
-    text = lines.texts(lines.split(found))
+    text, found = lines.texts(lines.read(spark, root)), lines.listed(spark, root)
     return claude.placed(claude.usage_records(text)), claude.sessions(text, found).select(*_names(SESSION)), claude.agents(text).select(*_names(AGENT))
 
 
@@ -57,8 +58,7 @@ def import_totals(made: Ledger) -> DataFrame:
 
 def transcripts(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """Usage records, and the scan of every line, of claude transcripts for diagnostics."""
-    found = lines.files(spark, root, "*.[jJ][sS][oO][nN][lL]")
-    return claude.usage_records(lines.texts(lines.split(found))), claude.scan(lines.texts(lines.split(found, tail=True)))
+    return claude.usage_records(lines.texts(lines.read(spark, root))), claude.scan(lines.texts(lines.read(spark, root, tail=True)))
 
 
 def diagnose(spark: SparkSession, root: str, what: str, day: str) -> DataFrame:

@@ -1,11 +1,26 @@
-"""Versions of a table in a folder that driver and executors share: written whole, then published."""
+"""Tables in a folder that driver and executors share, changed together and published at once."""
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Parts of a table with a key: a change rewrites only those that it touches.
+BUCKETS = 64
+_WHOLE = "all"
+
+
+def bucket_of(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
 
 
 class Store:
-    """Each publish is a new folder v<number>; readers take the highest that is complete. A writer
-    that dies leaves a folder without _SUCCESS, which nobody reads."""
+    """Each commit is a manifest that names the folders of every table; readers take the highest.
+
+    A writer that dies before its manifest is written leaves folders that nobody reads, whatever it
+    had written by then; the next commit takes the same number and writes them anew. keep: commits
+    whose folders stay, for readers that began before the last."""
 
     def __init__(self, spark: SparkSession, folder: str, keep: int = 2):
         import pyarrow.fs as pafs
@@ -13,21 +28,85 @@ class Store:
         self.spark, self.folder, self.keep = spark, folder.rstrip("/"), keep
         self.files, self.top = pafs.FileSystem.from_uri(self.folder)
 
-    def versions(self, table: str) -> list[int]:
+    def _names(self, folder: str) -> list[str]:
         import pyarrow.fs as pafs
 
-        found = self.files.get_file_info(pafs.FileSelector(f"{self.top}/{table}", recursive=True, allow_not_found=True))
-        return sorted(int(f.path.split("/")[-2][1:]) for f in found if f.base_name == "_SUCCESS")
+        return [f.base_name for f in self.files.get_file_info(pafs.FileSelector(f"{self.top}/{folder}", allow_not_found=True))]
+
+    def versions(self) -> list[int]:
+        """Numbers of the commits, in order."""
+        return sorted(int(name.removesuffix(".json")) for name in self._names("manifests") if name.endswith(".json"))
+
+    def manifest(self, version: int | None = None) -> dict[str, dict[str, str]]:
+        """For each table the folder of each bucket; empty before the first commit."""
+        known = self.versions()
+        if not known:
+            return {}
+        with self.files.open_input_stream(f"{self.top}/manifests/{version or known[-1]}.json") as f:
+            return json.loads(f.read())
+
+    def read(self, table: str, schema: str, buckets: Iterable[int] | None = None) -> DataFrame:
+        """The published table, or those of its buckets; empty before its first commit."""
+        return self._load(self.manifest().get(table, {}), schema, buckets)
+
+    def _load(self, parts: dict[str, str], schema: str, buckets: Iterable[int] | None) -> DataFrame:
+        wanted = parts if buckets is None else {str(b) for b in buckets}
+        paths = [f"{self.folder}/{path}" for b, path in sorted(parts.items()) if b in wanted]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def read(self, table: str, schema: str) -> DataFrame:
-        """The published version; empty before the first."""
-        known = self.versions(table)
-        return self.spark.read.schema(schema).parquet(f"{self.folder}/{table}/v{known[-1]}") if known else self.spark.createDataFrame([], schema)
+    def begin(self) -> "Commit":
+        return Commit(self)
 
     def publish(self, table: str, df: DataFrame) -> int:
-        known = self.versions(table)
-        version = known[-1] + 1 if known else 1
-        df.write.mode("overwrite").parquet(f"{self.folder}/{table}/v{version}")
-        for old in known[: -self.keep]:
-            self.files.delete_dir(f"{self.top}/{table}/v{old}")
-        return version
+        """A commit of one whole table."""
+        commit = self.begin()
+        commit.write(table, df)
+        return commit.publish()
+
+
+class Commit:
+    """Tables to be published together: written one after the other, seen by readers all at once."""
+
+    def __init__(self, store: Store):
+        self.store, self.parts = store, store.manifest()
+        self.version = (store.versions() or [0])[-1] + 1
+
+    def read(self, table: str, schema: str, buckets: Iterable[int] | None = None) -> DataFrame:
+        """The table as it is in this commit so far."""
+        return self.store._load(self.parts.get(table, {}), schema, buckets)
+
+    def write(self, table: str, df: DataFrame) -> None:
+        """The table is df from now on."""
+        path = f"{table}/v{self.version}"
+        df.write.mode("overwrite").parquet(f"{self.store.folder}/{path}")
+        self.parts[table] = {_WHOLE: path}
+
+    def write_buckets(self, table: str, df: DataFrame, key: str, buckets: Iterable[int]) -> None:
+        """df takes the place of the table's rows in these buckets of key; the others stay."""
+        path = f"{table}/v{self.version}"
+        rows = df.withColumn("_bucket", bucket_of(key))
+        rows.write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.store.folder}/{path}")
+        made = {name.removeprefix("_bucket=") for name in self.store._names(path) if name.startswith("_bucket=")}
+        kept = {b: p for b, p in self.parts.get(table, {}).items() if b not in {str(b) for b in buckets}}
+        self.parts[table] = kept | {b: f"{path}/_bucket={b}" for b in made}
+
+    def publish(self) -> int:
+        """Makes the commit visible by one file that appears whole, then drops what no kept commit names."""
+        store, name = self.store, f"{self.store.top}/manifests/{self.version}"
+        store.files.create_dir(f"{store.top}/manifests", recursive=True)
+        with store.files.open_output_stream(f"{name}.part") as f:
+            f.write(json.dumps(self.parts, sort_keys=True).encode())
+        store.files.move(f"{name}.part", f"{name}.json")
+        self._clean()
+        return self.version
+
+    def _clean(self) -> None:
+        store, known = self.store, self.store.versions()
+        old, kept = known[: -store.keep], known[-store.keep :]
+        folders = lambda v: {path.split("/_bucket=")[0] for parts in store.manifest(v).values() for path in parts.values()}
+        used = set().union(*map(folders, kept))
+        for version in old:
+            for path in folders(version) - used:
+                if store._names(path):
+                    store.files.delete_dir(f"{store.top}/{path}")
+            store.files.delete_file(f"{store.top}/manifests/{version}.json")

@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import os
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,11 +17,33 @@ EDGE = 4096
 
 
 def files(spark: SparkSession, folder: str, pattern: str = "*.jsonl") -> DataFrame:
-    """path and content of files below a folder, one row a file; for files of up to some hundred MB."""
+    """path, content and modified_ms of files below a folder, one row a file; for files of up to some
+    hundred MB. A folder that isn't there holds none."""
+    import pyarrow.fs as pafs
+
+    store, top = _open(folder)
+    if store.get_file_info(top).type == pafs.FileType.NotFound:
+        return spark.createDataFrame([], "path string, content binary, modified_ms long")
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
     return found.select("path", "content", F.unix_millis("modificationTime").alias("modified_ms"))
 
 
+def read(spark: SparkSession, folder: str, suffix: str = ".jsonl", tail: bool = False) -> DataFrame:
+    """path, byte_offset and line of files of any size below a folder, as split() gives them: each task
+    reads a range of a file's bytes."""
+    spark.dataSource.register(LogLines)
+    found = spark.read.format("log-lines").option("path", folder).option("suffix", suffix).option("tail", str(tail)).load()
+    return found.select("path", "byte_offset", "line")
+
+
+def listed(spark: SparkSession, folder: str, suffix: str = ".jsonl") -> DataFrame:
+    """path and modified_ms of the files that read() takes; the driver lists them, as it does for any read."""
+    store, _ = _open(folder)
+    known = sorted(_sizes(folder, suffix))
+    rows = [(f.path, f.mtime_ns // 1_000_000) for f in store.get_file_info(known)] if known else []
+    return spark.createDataFrame(rows, "path string, modified_ms long")
+
+
 def split(found: DataFrame, tail: bool = False) -> DataFrame:
     """path, byte_offset and line (binary, without its end and one CR before it).
 
@@ -47,7 +70,7 @@ class _Range(InputPartition):
 def _open(folder: str):
     import pyarrow.fs as pafs
 
-    return pafs.FileSystem.from_uri(folder)
+    return pafs.FileSystem.from_uri(folder if ":/" in folder else f"file://{os.path.abspath(folder)}")
 
 
 def _sizes(folder: str, suffix: str) -> dict[str, int]:
@@ -58,8 +81,9 @@ def _sizes(folder: str, suffix: str) -> dict[str, int]:
     return {f.path: f.size for f in found if f.is_file and f.path.lower().endswith(suffix)}
 
 
-def _read(folder: str, part: _Range) -> Iterator[tuple]:
-    """The lines that begin in the range and are complete. Only whole lines are kept in memory."""
+def _read(folder: str, part: _Range, tail: bool = False) -> Iterator[tuple]:
+    """The lines that begin in the range and are complete, and with tail what stands behind the file's
+    last line end. Only whole lines are kept in memory."""
     if part.op != "line":
         yield part.op, part.path, part.generation, None, None
         return
@@ -81,6 +105,8 @@ def _read(folder: str, part: _Range) -> Iterator[tuple]:
             cut = rest.find(b"\n")
             if cut < 0:
                 if not (chunk := f.read(1 << 20)):
+                    if tail and rest:
+                        yield "line", part.path, part.generation, at, rest.removesuffix(b"\r")
                     return
                 rest += chunk
                 continue
@@ -96,12 +122,14 @@ def _ranges(path: str, generation: int, start: int, end: int, size: int) -> list
 class _Batch(DataSourceReader):
     def __init__(self, options: dict):
         self.folder, self.suffix, self.range = options["path"], options.get("suffix", ".jsonl"), int(options.get("range", RANGE))
+        self.tail = options.get("tail", "false").lower() == "true"
 
     def partitions(self):
         return [r for path, size in sorted(_sizes(self.folder, self.suffix).items()) for r in _ranges(path, 0, 0, size, self.range)]
 
     def read(self, partition):
-        return _read(self.folder, partition)
+        # without files Spark still asks for one partition, which is None
+        return _read(self.folder, partition, self.tail) if partition is not None else iter(())
 
 
 class _Stream(DataSourceStreamReader):
@@ -169,7 +197,7 @@ class _Stream(DataSourceStreamReader):
 
 
 class LogLines(DataSource):
-    """spark.dataSource.register(LogLines); format("log-lines"), options path, suffix and range.
+    """spark.dataSource.register(LogLines); format("log-lines"), options path, suffix, range and, in batch, tail.
 
     For files of any size, and as a stream that takes up each file at its checkpoint."""
 

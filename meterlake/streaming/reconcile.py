@@ -7,32 +7,36 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from meterlake.functions import usage
 from meterlake.operators import metering, pricing, reconcile
-from meterlake.schemas import CALL, OCCURRENCE, TOKENS
-from meterlake.sinks.store import Store
-from meterlake.sources import kimi
+from meterlake.schemas import CALL, COSTS, OCCURRENCE, SESSION, TOKENS
+from meterlake.sinks.store import Commit, Store, bucket_of
+from meterlake.sources import claude, kimi
 from meterlake.sources.lines import LogLines, texts
 
 CALLS = CALL + ", provider_request_id string"
 CONTEXT = "path string, generation long, byte_offset long, text string"
-BATCHES = "batch_id long, changed boolean, lines long, retracted_sources long"
+BATCHES = "batch_id long, changed boolean, lines long, retracted_sources long, added_occurrences long, malformed long"
 
 
 def record_usage(records: DataFrame, states: DataFrame) -> DataFrame:
     """Occurrences of usage records: fingerprint, provider and metering. records have path,
     generation, byte_offset, session_id and agent_id besides what the parsers give."""
     provider = usage.provider_of(F.col("model"))
-    made = usage.event_fingerprint(provider, F.col("provider_request_id"), F.col("step_uuid"), F.col("model"), F.col("request_metadata"), F.col("timestamp_ms"))
-    rows = records.select(F.col("path").alias("source_path"), "generation", "byte_offset", made.alias("event_fingerprint"), "timestamp_ms", provider.alias("provider"), F.col("model").alias("raw_model"), *TOKENS, "session_id", "agent_id", "provider_request_id", "step_uuid")
-    out = metering.meter(rows, states)
-    return out.select(*[c.split()[0] for c in OCCURRENCE.split(", ")])
+    parts = [F.col(c) for c in ("provider_request_id", "step_uuid", "model", "request_metadata", "timestamp_ms")]
+    named = {"source_path": F.col("path"), "event_fingerprint": usage.event_fingerprint(provider, *parts), "provider": provider}
+    rows = records.withColumns(named).withColumnRenamed("model", "raw_model")
+    return metering.meter(rows, states).select(*_names(OCCURRENCE))
 
 
 class Reconciler:
-    """Folds batches of log lines into a store of occurrences and canonical, priced calls."""
+    """Folds batches of log lines of both families into a store of occurrences and canonical, priced
+    calls. What a batch changes is published at once; a batch that fails before that leaves nothing.
+
+    Occurrences and calls lie in buckets by fingerprint, and a batch rewrites only those that it touches.
+    sessions are those to begin with; refresh_sessions takes up changes."""
 
     def __init__(self, spark: SparkSession, folder: str, sessions: DataFrame, rates: DataFrame, states: DataFrame):
         self.spark, self.store = spark, Store(spark, folder)
-        self.sessions, self.rates, self.states = sessions, rates, states
+        self.given_sessions, self.rates, self.states = sessions, rates, states
 
     @property
     def occurrences(self) -> DataFrame:
@@ -42,41 +46,117 @@ class Reconciler:
     def calls(self) -> DataFrame:
         return self.store.read("calls", CALLS)
 
+    @property
+    def sessions(self) -> DataFrame:
+        known = "sessions" in self.store.manifest()
+        return self.store.read("sessions", SESSION) if known else _filled(self.given_sessions, SESSION)
+
+    @property
+    def batches(self) -> DataFrame:
+        """Counters of the last batch: whether it changed the ledger, and what of."""
+        return self.store.read("batches", BATCHES)
+
     def batch(self, lines: DataFrame, batch_id: int) -> None:
-        """A batch that is delivered again changes nothing: its places are known already."""
-        if batch_id in {r.batch_id for r in self.store.read("batches", BATCHES).tail(1)}:
+        """A batch that is delivered again changes nothing: it is known by its number, its lines by place."""
+        if batch_id in {r.batch_id for r in self.batches.tail(1)}:
             return
-        counts = lines.agg(F.count_if(F.col("op") == "line").alias("lines"), F.count_if(F.col("op") == "retract").alias("gone")).first()
-        old, context = self.occurrences, self.store.read("context", CONTEXT)
+        commit = self.store.begin()
+        context = self.store.read("context", CONTEXT)
         gone = lines.where("op = 'retract'").select(F.col("path").alias("source_path"), "generation")
-        left = old.join(gone, ["source_path", "generation"], "left_anti")
         fresh = texts(lines.where("op = 'line'"))
         # the step that a file's last batch left open comes before its new lines
-        carried = context.join(fresh.select("path", "generation").distinct(), ["path", "generation"], "left_semi")
-        rows = fresh.select("path", "generation", "byte_offset", "text").unionByName(carried)
-        one = rows.withColumn("path", F.concat_ws("\x00", "path", F.col("generation").cast("string")))
-        back = lambda df: df.withColumns({"generation": F.split("path", "\x00")[1].cast("long"), "path": F.split("path", "\x00")[0]})
-        found = kimi.placed(back(kimi.usage_records(one)))
-        new = reconcile.record_once(left, record_usage(found, self.states))
-        self.store.publish("occurrences", new)
-        new = self.occurrences
-        keys = reconcile.affected(old, new)
-        made = reconcile.rebuilt(self.calls.select(*_canonical_columns()), new, self.sessions, keys).select(*_canonical_columns())
-        self.store.publish("calls", pricing.sticky_price(made, self.calls, self.rates).select(*[c.split()[0] for c in CALLS.split(", ")]))
-        open_ = back(kimi.open_steps(one)).select("path", "generation", "byte_offset", "text")
-        kept = context.join(lines.where("op = 'line'").select("path").distinct(), "path", "left_anti").join(gone.withColumnRenamed("source_path", "path"), ["path", "generation"], "left_anti")
-        self.store.publish("context", kept.unionByName(open_))
-        row = self.spark.createDataFrame([(batch_id, bool(counts.lines or counts.gone), counts.lines, counts.gone)], BATCHES)
-        self.store.publish("batches", row)
-
-    def start(self, logs: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-        """Follows wire logs below a folder; every: as '30 seconds', or once over what is there."""
+        wires = fresh.where(F.col("path").rlike(kimi.WIRE)).select("path", "generation", "byte_offset", "text")
+        carried = context.join(wires.select("path", "generation").distinct(), ["path", "generation"], "left_semi")
+        steps = _by_generation(wires.unionByName(carried))
+        others = _by_generation(fresh.where(~F.col("path").rlike(kimi.WIRE)))
+        found = [kimi.placed(_with_generation(kimi.usage_records(steps))), claude.placed(_with_generation(claude.usage_records(others)))]
+        recorded = [record_usage(f, self.states) for f in found]
+        commit.write("fresh", recorded[0].unionByName(recorded[1]))
+        commit.write("gone", gone)
+        new, gone = commit.read("fresh", OCCURRENCE), commit.read("gone", "source_path string, generation long")
+        retracted = self.occurrences.join(F.broadcast(gone), ["source_path", "generation"], "left_semi")
+        keys = new.select("event_fingerprint").union(retracted.select("event_fingerprint"))
+        known = self._rewrite(commit, keys, lambda old: reconcile.record_once(old.join(F.broadcast(gone), ["source_path", "generation"], "left_anti"), new))
+        open_ = _with_generation(kimi.open_steps(steps)).select("path", "generation", "byte_offset", "text")
+        kept = context.join(wires.select("path").distinct(), "path", "left_anti")
+        kept = kept.join(gone.withColumnRenamed("source_path", "path"), ["path", "generation"], "left_anti")
+        commit.write("context", kept.unionByName(open_))
+        commit.write("batches", self._counted(batch_id, lines, fresh, known))
+        commit.publish()
+
+    def _rewrite(self, commit: Commit, keys: DataFrame, change) -> tuple[int, int]:
+        """Occurrences as change makes them, and the calls of keys anew, in the buckets that keys touch.
+        Gives the numbers of occurrences there before and after."""
+        commit.write("keys", keys.distinct())
+        keys = commit.read("keys", "event_fingerprint string")
+        buckets = [r.b for r in keys.select(bucket_of("event_fingerprint").alias("b")).distinct().collect()]
+        if not buckets:
+            return 0, 0
+        old = self.store.read("occurrences", OCCURRENCE, buckets)
+        commit.write_buckets("occurrences", change(old).select(*_names(OCCURRENCE)), "event_fingerprint", buckets)
+        now, calls = commit.read("occurrences", OCCURRENCE, buckets), self.store.read("calls", CALLS, buckets)
+        sessions = commit.read("sessions", SESSION) if "sessions" in commit.parts else self.sessions
+        made = reconcile.rebuilt(calls.select(*_canonical_columns()), now, sessions, keys).select(*_canonical_columns())
+        priced = pricing.sticky_price(made, calls, self.rates).select(*_names(CALLS))
+        commit.write_buckets("calls", priced, "event_fingerprint", buckets)
+        return old.count(), now.count()
+
+    def _counted(self, batch_id: int, lines: DataFrame, fresh: DataFrame, known: tuple[int, int]) -> DataFrame:
+        counts = lines.agg(F.count_if(F.col("op") == "line").alias("lines"), F.count_if(F.col("op") == "retract").alias("gone")).first()
+        wire = F.col("path").rlike(kimi.WIRE)
+        bad = kimi.malformed(fresh.where(wire)).union(claude.malformed(fresh.where(~wire)))
+        malformed = bad.agg(F.coalesce(F.sum("malformed"), F.lit(0))).first()[0]
+        before, after = known
+        row = (batch_id, before != after or bool(counts.gone), counts.lines, counts.gone, after - before, malformed)
+        return self.spark.createDataFrame([row], BATCHES)
+
+    def refresh_sessions(self, sessions: DataFrame) -> None:
+        """Takes up new and changed sessions; where the age of one has changed, the calls that it has a
+        part in are attributed anew. Sessions that are not named stay."""
+        commit, new = self.store.begin(), _filled(sessions, SESSION)
+        old = self.sessions
+        commit.write("sessions", old.join(new, "session_id", "left_anti").unionByName(new))
+        age = old.select("session_id", F.col("created_at_ms").alias("_old"))
+        changed = new.join(age, "session_id", "left").where(~F.col("created_at_ms").eqNullSafe(F.col("_old"))).select("session_id")
+        keys = self.occurrences.join(changed, "session_id", "left_semi").select("event_fingerprint")
+        self._rewrite(commit, keys, lambda occurrences: occurrences)
+        commit.publish()
+
+    def classify(self, detected_state_id: int | None = None) -> None:
+        """Meters the occurrences that have no account state yet, as after the first detection of one."""
+        commit = self.store.begin()
+        bare = self.occurrences.where("provider = 'anthropic' and account_state_id is null")
+        self._rewrite(commit, bare.select("event_fingerprint"), lambda old: metering.backfill(old, self.states, detected_state_id))
+        commit.publish()
+
+    def start(self, logs: str, checkpoint: str, every: str | None = None, suffix: str = ".jsonl") -> StreamingQuery:
+        """Follows logs below a folder; every: as '30 seconds', or once over what is there."""
         self.spark.dataSource.register(LogLines)
-        stream = self.spark.readStream.format("log-lines").option("path", logs).option("suffix", "wire.jsonl").load()
+        stream = self.spark.readStream.format("log-lines").option("path", logs).option("suffix", suffix).load()
         writer = stream.writeStream.foreachBatch(self.batch).option("checkpointLocation", checkpoint)
         return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
+def _by_generation(lines: DataFrame) -> DataFrame:
+    """Each generation of a file as a path of its own, as the parsers carry state along a path."""
+    return lines.withColumn("path", F.concat_ws("\x00", "path", F.col("generation").cast("string")))
+
+
+def _with_generation(rows: DataFrame) -> DataFrame:
+    parts = F.split("path", "\x00")
+    return rows.withColumns({"generation": parts[1].cast("long"), "path": parts[0]})
+
+
+def _filled(df: DataFrame, schema: str) -> DataFrame:
+    """The schema's columns, null where df lacks one."""
+    kinds = [c.split() for c in schema.split(", ")]
+    return df.select(*[F.col(c) if c in df.columns else F.lit(None).cast(kind).alias(c) for c, kind in kinds])
+
+
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
 def _canonical_columns() -> list[str]:
-    priced = {"resolved_model_key", "input_cost_nano", "cache_creation_cost_nano", "cache_read_cost_nano", "output_cost_nano", "total_cost_nano", "rate_id", "pricing_confidence", "pricing_basis"}
-    return [c.split()[0] for c in CALLS.split(", ") if c.split()[0] not in priced]
+    priced = {*COSTS, "resolved_model_key", "rate_id", "pricing_confidence", "pricing_basis"}
+    return [c for c in _names(CALLS) if c not in priced]

@@ -7,7 +7,7 @@ from meterlake.plans import dashboard, ingest
 from meterlake.operators.filters import Filters
 from meterlake.schemas import ACCOUNT_STATE
 from meterlake.sinks import files
-from meterlake.sinks.store import Store
+from meterlake.sinks.store import Store, bucket_of
 from meterlake.sources import catalogs
 
 from .test_sources import assistant, put, step, usage
@@ -37,6 +37,8 @@ def test_ledger_from_logs(spark, tmp_path):
     again = ingest.ledger(spark, catalogs.bundled(spark).limit(0), pro, k, c, previous=made.calls)
     assert ingest.import_totals(again).first().total_cost_nano == t.total_cost_nano
     assert ingest.ledger(spark, catalogs.bundled(spark), pro).calls.count() == 0
+    nowhere = ingest.ledger(spark, catalogs.bundled(spark), pro, f"{tmp_path}/none", f"{tmp_path}/none")
+    assert (nowhere.calls.count(), nowhere.sessions.count(), nowhere.agents.count()) == (0, 0, 0)
 
 
 def test_diagnose(spark, tmp_path):
@@ -67,9 +69,28 @@ def test_csv_and_store(spark, tmp_path):
     assert json.loads(files.json_lines(df).first().line) == {"a": 'claude,"odd"', "b": None, "c": 1}
     files.write_csv(df, str(tmp_path / "csv"), one_file=True)
     assert next((tmp_path / "csv").glob("*.csv")).read_text() == 'a,b,c\n"claude,""odd""",,1\n'
-    store = Store(spark, f"file://{tmp_path}/store")
-    assert store.read("t", "a string, b string, c int").count() == 0
-    for _ in range(4):
-        store.publish("t", df)
-    assert store.versions("t") == [2, 3, 4] or store.versions("t") == [3, 4]
-    assert store.read("t", "a string, b string, c int").count() == 1
+
+
+def test_store(spark, tmp_path):
+    """Commits are seen whole or not at all; buckets that a commit doesn't touch stay as they are."""
+    store, schema = Store(spark, f"file://{tmp_path}/store"), "k string, n long"
+    assert store.read("t", schema).count() == 0
+    for n in range(4):
+        store.publish("t", spark.createDataFrame([("a", n)], schema))
+    assert store.versions() == [3, 4] and sorted(p.name for p in (tmp_path / "store/t").iterdir()) == ["v3", "v4"]
+    rows = spark.createDataFrame([(f"k{i}", i) for i in range(100)], schema)
+    commit = store.begin()
+    commit.write_buckets("u", rows, "k", range(64))
+    assert store.read("u", schema).count() == 0 and commit.read("u", schema).count() == 100
+    commit.publish()
+    ((bucket,),) = rows.where("k = 'k7'").select(bucket_of("k")).collect()
+    there = store.read("u", schema, [bucket])
+    kept = there.where("k <> 'k7'").collect()
+    commit = store.begin()
+    commit.write_buckets("u", there.where("k <> 'k7'"), "k", [bucket])
+    commit.publish()
+    assert sorted(store.read("u", schema, [bucket]).collect()) == sorted(kept)
+    assert sorted(r.n for r in store.read("u", schema).collect()) == [n for n in range(100) if n != 7]
+    for _ in range(3):
+        store.publish("t", spark.createDataFrame([("a", 9)], schema))
+    assert store.read("u", schema).count() == 99

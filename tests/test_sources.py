@@ -5,7 +5,7 @@ import json
 import pytest
 
 from meterlake.operators import catalog, reconcile
-from meterlake.schemas import ACCOUNT_STATE
+from meterlake.schemas import ACCOUNT_STATE, SESSION
 from meterlake.sources import catalogs, claude, exports, kimi, lines
 from meterlake.streaming.reconcile import Reconciler
 
@@ -170,3 +170,65 @@ def test_stream_reconcile(spark, tmp_path):
     assert [r[:3] for r in run()] == [("step:moonshotai:u1", "s1", 40), ("step:moonshotai:u2", "s1", 1)]
     put(wire, step("u9"), usage(out=7))
     assert [r[:3] for r in run()] == [("step:moonshotai:u9", "s1", 7)]
+
+
+@pytest.mark.parametrize("at", ["calls", "publish"])
+def test_reconcile_survives_crashes(spark, tmp_path, at):
+    """A failure after the occurrences are written, or before a batch is published, leaves the store as it
+    was; the batch again gives all of it."""
+    from meterlake.sinks.store import Commit
+
+    put(tmp_path / "logs/sessions/ws/s1/wire.jsonl", step("u1"), usage(), step("u2"), usage(out=1))
+    zero = {"input_tokens": 0, "cache_read_input_tokens": 0, "cache_creation_input_tokens": 0}
+    put(tmp_path / "logs/projects/p/a.jsonl", assistant(usage=zero | {"output_tokens": 5}, requestId="r1"))
+    sessions = spark.createDataFrame([("s1", "moonshotai", "ws", None, None, 5, 5)], SESSION)
+    states = spark.createDataFrame([(1, "pro", "pro-fable", 0)], ACCOUNT_STATE)
+    batch = texts_of(spark, f"file://{tmp_path}/logs")
+    made = Reconciler(spark, f"file://{tmp_path}/store", sessions, catalogs.bundled(spark), states)
+    counts = lambda: (made.occurrences.count(), made.calls.count())
+    whole, publish = Commit.write_buckets, Commit.publish
+
+    def write_buckets(self, table, *args):
+        if table == at:
+            raise OSError
+        whole(self, table, *args)
+
+    def failing(self):
+        raise OSError
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(Commit, "write_buckets", write_buckets)
+        patch.setattr(Commit, "publish", failing if at == "publish" else publish)
+        with pytest.raises(OSError):
+            made.batch(batch, 0)
+    assert counts() == (0, 0)
+    made.batch(batch, 0)
+    assert counts() == (3, 3)
+    if at == "calls":
+        made.batch(batch, 1)
+        assert counts() == (3, 3) and not made.batches.first().changed
+
+
+def texts_of(spark, folder):
+    spark.dataSource.register(lines.LogLines)
+    return spark.read.format("log-lines").option("path", folder).load()
+
+
+def test_reconcile_takes_up_sessions_and_states(spark, tmp_path):
+    put(tmp_path / "logs/sessions/ws/s1/wire.jsonl", step("u1"), usage())
+    put(tmp_path / "logs/sessions/ws/s2/wire.jsonl", step("u1"), usage())
+    zero = {"input_tokens": 0, "cache_read_input_tokens": 0, "cache_creation_input_tokens": 0}
+    put(tmp_path / "logs/projects/p/a.jsonl", assistant(usage=zero | {"output_tokens": 5}, requestId="r1"))
+    session = lambda i, at: (i, "moonshotai", "ws", None, None, at, at)
+    sessions = spark.createDataFrame([session("s1", 5), session("s2", 9)], SESSION)
+    none = spark.createDataFrame([], ACCOUNT_STATE)
+    made = Reconciler(spark, f"file://{tmp_path}/store", sessions, catalogs.bundled(spark), none)
+    made.batch(texts_of(spark, f"file://{tmp_path}/logs"), 0)
+    got = lambda: {r.session_id: r.metering_basis for r in made.calls.collect()}
+    before = got()
+    assert set(before) == {"s1", "anthropic:a"} and made.calls.where("account_state_id is not null").isEmpty()
+    made.refresh_sessions(spark.createDataFrame([session("s2", 1)], SESSION))
+    assert set(got()) == {"s2", "anthropic:a"} and made.sessions.count() == 2
+    made.states = spark.createDataFrame([(1, "enterprise", "enterprise-api", 0)], ACCOUNT_STATE)
+    made.classify()
+    assert got()["anthropic:a"] == "enterprise-api"
