@@ -1,18 +1,16 @@
-"""Substring dedup by hashing lines and the sentences in them.
-
-A unit is a sentence of a line; a sentence with one capitalised word inside is cut before that
-word, as a passage that is pasted behind an unfinished sentence begins there. Units are compared
-by a digest of their words, lower-cased (A-Z) and without punctuation at their ends. Of units
-with one digest the earliest ranked (by document, then place) stays. Each of the others is
-compared word by word, to both sides, with the words around that earliest place. Removed is what
-makes up a whole repeated line of LINE_WORDS or more, repeated units of RUN_WORDS or more in a
-row, or a unit with what matches on both sides, if that has RUN_WORDS or more.
-
-Passages need not hold a whole sentence: in long sentences, and in long rows of sentences too
-short to be hashed, anchors are hashed too. Those are the runs of ANCHOR_WORDS with the least hash
-of WINDOW runs that follow each other, so a text of ANCHOR_WORDS + WINDOW - 1 words has the same
-one wherever it stands. A passage of more than 50 words holds a hashed sentence whole, or so many
-words of one such stretch."""
+"""Substring dedup by hashing lines.
+
+A unit is a line, compared by a 128-bit digest of its words, lower-cased (A-Z) and without
+punctuation at their ends. Of units with one digest the earliest ranked (by document, then place)
+stays, the others go.
+
+Passages are also pasted into lines, where no line's digest finds them. For those, anchors are
+hashed: runs of ANCHOR_WORDS words, of WINDOW such runs that follow each other the one with the
+least hash. A text of ANCHOR_WORDS + WINDOW - 1 words has the same anchor wherever it stands. An
+anchor that occurs earlier is compared word by word, to both sides, with the words around its
+earliest place, and matches of a given number of words go. From one anchor to the next a digest of
+all words between them tells whether both places go on alike, so that only the ends of a match are
+compared word by word."""
 
 from collections.abc import Iterator
 
@@ -24,259 +22,253 @@ from pyspark.sql import functions as F
 from meterlake.llm import scratch
 from meterlake.llm import text as T
 
-#: Words of a unit that is hashed; shorter ones go with the units on both sides of them.
-UNIT_WORDS = 3
-#: Words in repeated units that a run, and a whole line, must have to be removed.
-RUN_WORDS, LINE_WORDS = 20, 8
+#: Words that a repeated line must have to be removed from a corpus of prose: shorter ones, as headings
+#: and greetings, are no sign of a copy. Words that a match inside lines must have.
+LINE_WORDS, RUN_WORDS = 8, 20
 #: Words of an anchor, and runs of so many words of which the one with the least hash is one.
-ANCHOR_WORDS, WINDOW = 8, 10
+ANCHOR_WORDS, WINDOW = 10, 40
 #: Words on each side of an earliest place that copies are compared with: so many that match hold
-#: another hashed place, from which a longer match goes on.
-CONTEXT = 51
+#: another anchor, from which a longer match goes on.
+CONTEXT = ANCHOR_WORDS + WINDOW + 1
+#: Documents whose ids go to every task at most; more meet the texts by a shuffle.
+WANTED = 1_000_000
 
 _PUNCT = np.zeros(256, bool)
 _PUNCT[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
 
 
-class Units:
-    """The units of a column of texts: row, line, first byte, words and digest of each, by place;
-    the words that have more than punctuation, and the anchors among them."""
+class Words:
+    """The words of a column of texts that have more than punctuation: row bounds, hash, byte range
+    and line of each."""
 
     def __init__(self, column: pa.Array):
         self.data, self.offsets = T.utf8(column)
         data, (starts, ends, bounds) = self.data, T.words(self.data, self.offsets)
-        n = len(starts)
-        rows = np.repeat(np.arange(len(self.offsets) - 1), np.diff(bounds))
-        begin = np.zeros(n + 1, bool)
-        begin[bounds] = True
-        begin = begin[:n]
-        line = begin.copy()
-        breaks = np.cumsum(data == 10)
-        if n:
-            line[1:] |= breaks[starts[1:]] != breaks[ends[:-1] - 1]
-        strong = line.copy()
-        strong[1:] |= np.isin(data[ends[:-1] - 1], (0x21, 0x2E, 0x3F)) if n else False
-        second = data[np.minimum(starts + 1, len(data) - 1)] if n else data[:0]
-        first = data[starts]
-        capital = ((first >= 65) & (first <= 90)) | ((first == 0xC3) & (second >= 0x80) & (second <= 0x9E))
-        sentence = np.cumsum(strong) - 1
-        inner = capital & ~strong
-        weak = inner & (np.bincount(sentence[inner], minlength=n + 1)[sentence] == 1)
-        at = np.flatnonzero(strong | weak)
         lo, hi = starts.copy(), ends.copy()
-        while len(i := np.flatnonzero((hi > lo) & _PUNCT[data[np.maximum(hi - 1, 0)]])) if n else False:
+        while len(i := np.flatnonzero((hi > lo) & _PUNCT[data[np.maximum(hi - 1, 0)]])) if len(lo) else False:
             hi[i] -= 1
-        while len(i := np.flatnonzero((hi > lo) & _PUNCT[data[np.minimum(lo, len(data) - 1)]])) if n else False:
+        while len(i := np.flatnonzero((hi > lo) & _PUNCT[data[np.minimum(lo, len(data) - 1)]])) if len(lo) else False:
             lo[i] += 1
         real = hi > lo
-        unit = np.cumsum(strong | weak) - 1
-        word, of = T.word_hashes(data, lo[real], hi[real]), unit[real]
-        count = np.bincount(of, minlength=len(at))
-        place = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-        power = np.cumprod(np.full(int(place.max(initial=0)) + 1, T._B))
-        total = np.zeros(len(at), np.uint64)
-        np.add.at(total, of, T.mix(word) * power[place])
-        self.row, self.line, self.start, self.words = rows[at], np.cumsum(line)[at], starts[at], count
-        self.digest = T.mix(total + count.astype(np.uint64) * T._A).view(np.int64)
-        self.bounds = np.searchsorted(self.row, np.arange(len(self.offsets)))
-        self.begin = np.cumsum(count) - count  # the unit's first word
-        self.word, self.word_start, self.word_end = word, starts[real], ends[real]
-        self.word_line = np.cumsum(line)[real]
-        self.word_bounds = np.searchsorted(rows[real], np.arange(len(self.offsets)))
-        size = np.bincount(sentence[real], minlength=int(strong.sum()))
-        few = size < UNIT_WORDS
-        new = begin[strong]
-        new[1:] |= ~(few[1:] & few[:-1])
-        self.anchor, self.anchor_digest = self._anchors(np.cumsum(new)[sentence[real]] - 1)
-
-    def _anchors(self, stretch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First words and digests of the anchors, given the stretch of each word."""
-        long = np.bincount(stretch)[stretch] >= ANCHOR_WORDS + WINDOW - 1 if len(stretch) else np.zeros(0, bool)
-        at = np.flatnonzero(long)
-        if not len(at):
-            return at, np.zeros(0, np.int64)
-        edge = np.concatenate([[0], np.flatnonzero(np.diff(stretch[at])) + 1, [len(at)]])
-        grams, to = T.shingles(self.word[at], edge, ANCHOR_WORDS)
-        of = np.repeat(np.arange(len(edge) - 1), np.diff(to))
-        inside = np.flatnonzero(of[: len(of) - WINDOW + 1] == of[WINDOW - 1 :])
-        least = np.unique(inside + np.lib.stride_tricks.sliding_window_view(grams, WINDOW)[inside].argmin(axis=1))
-        return at[least + (edge[:-1] - to[:-1])[of[least]]], grams[least].view(np.int64)
-
-    def hashed(self) -> pa.Array:
-        """Of each row first word (from the row's first), number of words and digest of what is hashed, by place."""
-        unit = np.flatnonzero(self.words >= UNIT_WORDS)
-        start = np.concatenate([self.begin[unit], self.anchor])
+        self.start, self.end = starts[real], ends[real]
+        self.hash = T.word_hashes(data, lo[real], hi[real])
+        rows = np.repeat(np.arange(len(self.offsets) - 1), np.diff(bounds))[real]
+        self.bounds = np.searchsorted(rows, np.arange(len(self.offsets)))
+        # lines are numbered over all rows; a row begins a new one
+        self.line = np.cumsum(data == 10)[self.start] + rows if len(data) else rows
+
+    def digests(self, first: np.ndarray, last: np.ndarray, base: np.uint64) -> np.ndarray:
+        """A 64-bit digest of each range of words: a polynomial in base, wherever the range stands."""
+        n = len(self.hash)
+        power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, base)]))
+        back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, np.uint64(pow(int(base), -1, 2**64)))]))
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(T.mix(self.hash + base) * power[:n])])
+        size = (last - first).astype(np.uint64)
+        return T.mix((sums[last] - sums[first]) * back[first] + size * T._A)
+
+    def lines(self) -> tuple[np.ndarray, np.ndarray]:
+        """First word, and the word behind the last, of each line that has words."""
+        first = np.flatnonzero(np.concatenate([[True], self.line[1:] != self.line[:-1]])) if len(self.line) else np.zeros(0, int)
+        return first, np.append(first[1:], len(self.line)).astype(np.int64) if len(first) else first
+
+    def anchors(self) -> np.ndarray:
+        """First words of the anchors, in order."""
+        grams, to = T.shingles(self.hash, self.bounds, ANCHOR_WORDS)
+        of = np.repeat(np.arange(len(to) - 1), np.diff(to))
+        inside = np.flatnonzero(of[: max(0, len(of) - WINDOW + 1)] == of[WINDOW - 1 :])
+        if not len(inside):
+            return inside
+        least = np.lib.stride_tricks.sliding_window_view(grams, WINDOW)[inside].argmin(axis=1)
+        at = np.unique(inside + least)
+        return at + (self.bounds[:-1] - to[:-1])[of[at]]
+
+    def hashed(self, line_words: int) -> pa.Array:
+        """What is hashed of each row, in order: first word (from the row's first), number of words,
+        digest; check, the other half of a line's digest, 0 for anchors; and for those the digest of
+        the words up to the end of the next anchor, 0 for a row's last."""
+        first, last = self.lines()
+        long = last - first >= line_words
+        first, last = first[long], last[long]
+        at = self.anchors()
+        row = np.searchsorted(self.bounds, at, side="right") - 1
+        follows = np.flatnonzero(row[1:] == row[:-1])
+        gap = np.zeros(len(at), np.uint64)
+        gap[follows] = self.digests(at[follows], at[follows + 1] + ANCHOR_WORDS, T._C) | np.uint64(1)
+        check = self.digests(first, last, T._C) | np.uint64(1)
+        digest = np.concatenate([self.digests(first, last, T._B), self.digests(at, at + ANCHOR_WORDS, T._B)])
+        start = np.concatenate([first, at])
+        size = np.concatenate([last - first, np.full(len(at), ANCHOR_WORDS)])
+        check, gap = np.concatenate([check, np.zeros(len(at), np.uint64)]), np.concatenate([np.zeros(len(first), np.uint64), gap])
         by = np.argsort(start, kind="stable")
-        start = start[by]
-        size = np.concatenate([self.words[unit], np.full(len(self.anchor), ANCHOR_WORDS)])[by]
-        digest = np.concatenate([self.digest[unit], self.anchor_digest])[by]
-        row = np.searchsorted(self.word_bounds, start, side="right") - 1
-        flat = pa.StructArray.from_arrays([pa.array(start - self.word_bounds[row], pa.int32()), pa.array(size, pa.int32()), pa.array(digest, pa.int64())], names=["start", "size", "digest"])
+        row = np.searchsorted(self.bounds, start[by], side="right") - 1
+        longs = [pa.array(x[by].view(np.int64)) for x in (digest, check, gap)]
+        flat = [pa.array(start[by] - self.bounds[row], pa.int32()), pa.array(size[by], pa.int32()), *longs]
+        flat = pa.StructArray.from_arrays(flat, names=["start", "size", "digest", "check", "gap"])
         return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(self.offsets))), pa.int32()), flat)
 
     def short_hashes(self, row: int) -> np.ndarray:
         """Half of the hash of each word of a row."""
-        return (self.word[self.word_bounds[row] : self.word_bounds[row + 1]] >> np.uint64(32)).astype("<u4")
-
-    def matches(self, row: int, repeats: list[dict]) -> list[tuple[int, int]]:
-        """Ranges of a row's words that match an earlier place and have RUN_WORDS or more. A repeat
-        without the words around its earliest place joins those that it touches."""
-        own, parts = self.short_hashes(row), []
-        for r in repeats:
-            s, e = r["start"], r["start"] + r["size"]
-            if r["left"] is None:
-                parts.append((s, e, False))
-                continue
-            left, right = (np.frombuffer(r[k], "<u4") for k in ("left", "right"))
-            k = min(len(left), s)
-            unlike = np.flatnonzero(left[len(left) - k :][::-1] != own[s - k : s][::-1])
-            s -= int(unlike[0]) if len(unlike) else k
-            k = min(len(right), len(own) - e)
-            unlike = np.flatnonzero(right[:k] != own[e : e + k])
-            e += int(unlike[0]) if len(unlike) else k
-            parts.append((s, e, e - s >= RUN_WORDS))
-        sure = [p for p in parts if p[2]]
-        if not sure:
-            return []
-        merged: list[list] = []
-        for s, e, long in sorted(sure + [p for p, r in zip(parts, repeats, strict=True) if r["left"] is None]):
-            if merged and s <= merged[-1][1]:
-                merged[-1][1:] = max(e, merged[-1][1]), long or merged[-1][2]
-            else:
-                merged.append([s, e, long])
-        return [(s, e) for s, e, long in merged if long]
-
-    def removed(self, row: int, repeats: list[dict]) -> list[tuple[int, int]]:
-        """Byte ranges of a row's text to remove, given what of it occurs earlier elsewhere."""
-        zero, first, last = self.offsets[row], self.word_bounds[row], self.word_bounds[row + 1]
-        gone = self._whole_units(row, repeats)
-        for s, e in self.matches(row, repeats):
+        return (self.hash[self.bounds[row] : self.bounds[row + 1]] >> np.uint64(32)).astype("<u4")
+
+    def removed(self, row: int, lines: list[dict], matches: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """Byte ranges of a row's text to remove, given its repeated lines and ranges of words."""
+        zero, first, last = self.offsets[row], self.bounds[row], self.bounds[row + 1]
+        behind = lambda e: self.start[e] if e < last else self.offsets[row + 1]
+        gone = [(self.start[first + r["start"]] - zero, behind(first + r["start"] + r["size"]) - zero) for r in lines]
+        for s, e in matches:
             s, e = first + s, first + e
             # a range that ends with its line takes the break along only if it begins a line too
-            cut = e < last and self.word_line[e] != self.word_line[e - 1] and s > first and self.word_line[s] == self.word_line[s - 1]
-            end = self.word_end[e - 1] if cut else self.word_start[e] if e < last else self.offsets[row + 1]
-            gone.append((int(self.word_start[s] - zero), int(end - zero)))
-        merged: list[tuple[int, int]] = []
-        for s, e in sorted(gone):
-            if merged and s <= merged[-1][1]:
-                merged[-1] = (merged[-1][0], max(e, merged[-1][1]))
-            else:
-                merged.append((s, e))
-        return merged
-
-    def _whole_units(self, row: int, repeats: list[dict]) -> list[tuple[int, int]]:
-        """Byte ranges of runs of repeated units and of repeated lines."""
-        a, b = self.bounds[row], self.bounds[row + 1]
-        found = {(r["start"], r["size"]) for r in repeats}
-        again = np.array([(s, k) in found for s, k in zip((self.begin[a:b] - self.word_bounds[row]).tolist(), self.words[a:b].tolist(), strict=True)], bool)
-        words, line = self.words[a:b], self.line[a:b]
-        short = words < UNIT_WORDS
-        # a short unit is in a run if the nearest longer ones on both sides are
-        known = np.flatnonzero(~short)
-        if not len(known) or not again.any():
-            return []
-        left = np.searchsorted(known, np.arange(b - a), side="right") - 1
-        right = np.minimum(left + 1, len(known) - 1)
-        run = np.where(short, (left >= 0) & again[known[np.maximum(left, 0)]] & (known[right] > np.arange(b - a)) & again[known[right]], again)
-        edge = np.flatnonzero(np.diff(np.concatenate([[False], run, [False]]).astype(np.int8)))
-        drop = np.zeros(b - a, bool)
-        for s, e in zip(edge[::2], edge[1::2], strict=True):
-            if words[s:e][again[s:e]].sum() >= RUN_WORDS:
-                drop[s:e] = True
-        _, first, size = np.unique(line, return_index=True, return_counts=True)
-        for s, k in zip(first, size, strict=True):
-            part = slice(s, s + k)
-            if (again[part] | short[part]).all() and words[part][again[part]].sum() >= LINE_WORDS:
-                drop[part] = True
-        edge = np.flatnonzero(np.diff(np.concatenate([[False], drop, [False]]).astype(np.int8)))
-        start = np.append(self.start[a:b], self.offsets[row + 1]) - self.offsets[row]
-        return [(int(start[s]), int(start[e])) for s, e in zip(edge[::2], edge[1::2], strict=True)]
-
-
-def _repeats(docs: DataFrame) -> DataFrame:
-    """_rank, _h and the hashed places that an earlier ranked place has too, with the words around
-    that one; without them where the places before and behind go on at the same earlier text."""
-
-    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in T.slices(batch, "text"):
-                yield pa.RecordBatch.from_arrays([part["_rank"], part["_h"], Units(part["text"]).hashed()], names=["_rank", "_h", "places"])
-
-    rows = docs.mapInArrow(digests, "_rank long, _h long, places array<struct<start:int,size:int,digest:long>>")
-    rows = scratch.written(rows, "units")
-    # rows alike in id and text are one document
-    one = rows.select("_rank", "_h", F.explode("places").alias("p")).select("p.digest", "_rank", "_h", "p.start", "p.size")
-    first = one.groupBy("digest").agg(F.min(F.struct("_rank", "_h", "start")).alias("f"), F.count("*").alias("n")).where("n > 1").select("digest", "f")
-    again = one.join(first.hint("shuffle_hash"), "digest").where(F.struct("_rank", "_h", "start") != F.col("f"))
-    again = again.groupBy("_rank", "_h").agg(F.array_sort(F.collect_set(F.struct("start", "size", "digest", "f"))).alias("all"))
-    same = "x.f._rank = y.f._rank and x.f._h = y.f._h and x.start - x.f.start = y.start - y.f.start"
-    inner = f"""transform(all, (x, i) -> named_struct('start', x.start, 'size', x.size, 'digest', x.digest, 'f', x.f, 'inner',
-        exists(array(get(all, i - 1)), y -> coalesce(y.start + y.size >= x.start and {same}, false))
-        and exists(array(get(all, i + 1)), y -> coalesce(x.start + x.size >= y.start and {same}, false))))"""
-    again = scratch.settled(again.select("_rank", "_h", F.expr(inner).alias("all")), "repeats")
-    each = again.select("_rank", "_h", F.explode("all").alias("p"))
-    ends = each.where("not p.inner").select("_rank", "_h", "p.start", "p.size", "p.digest", "p.f")
-    asked = ends.groupBy(F.col("f._rank").alias("_r"), F.col("f._h").alias("_g")).agg(F.collect_set(F.struct(F.col("f.start").alias("start"), "size", "digest")).alias("places"))
-    asked = docs.join(asked, (docs._rank == asked._r) & (docs._h == asked._g)).select("text", "places")
-
-    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ends = e < last and self.line[e] != self.line[e - 1]
+            cut = ends and s > first and self.line[s] == self.line[s - 1]
+            gone.append((self.start[s] - zero, (self.end[e - 1] if cut else behind(e)) - zero))
+        return [(int(s), int(e)) for s, e in _merged(gone)]
+
+
+def _merged(ranges: list[tuple]) -> list[tuple]:
+    out: list[tuple] = []
+    for s, e in sorted(ranges):
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
+def _alike(x: np.ndarray, y: np.ndarray) -> int:
+    """Number of words at the start that are the same."""
+    k = min(len(x), len(y))
+    unlike = np.flatnonzero(x[:k] != y[:k])
+    return int(unlike[0]) if len(unlike) else k
+
+
+def matches(own: np.ndarray, anchors: list[dict], run_words: int) -> list[tuple[int, int]]:
+    """Ranges of a row's words, by their short hashes, that match an earlier place and have run_words or more.
+
+    Anchors whose words up to the next one match too form a chain; its ends go on word by word."""
+    found, s = [], 0
+    for r in sorted(anchors, key=lambda r: r["start"]):
+        if not r["before"]:
+            left = np.frombuffer(r["left"], "<u4")
+            s = r["start"] - _alike(own[: r["start"]][::-1], left[::-1])
+        if not r["through"]:
+            e = r["start"] + r["size"]
+            e += _alike(own[e:], np.frombuffer(r["right"], "<u4"))
+            if e - s >= run_words:
+                found.append((s, e))
+    return found
+
+
+def _repeated(places: DataFrame) -> DataFrame:
+    """_rank, _h, and the lines and anchors of each document that have an earlier place."""
+    one = places.select("_rank", "_h", F.explode("places").alias("p"))
+    one = one.select("p.digest", "p.check", "_rank", "_h", "p.start", "p.size", "p.gap")
+    least = F.min(F.struct("_rank", "_h", "start", "gap")).alias("f")
+    first = one.groupBy("digest", "check").agg(least, F.count("*").alias("k")).where("k > 1").select("digest", "check", "f")
+    again = one.join(first, ["digest", "check"])
+    again = again.where("struct(_rank, _h, start) <> struct(f._rank, f._h, f.start)")
+    line = F.when(F.col("check") != 0, F.struct("start", "size"))
+    anchor = F.when(F.col("check") == 0, F.struct("start", "size", "digest", "gap", "f"))
+    again = again.groupBy("_rank", "_h").agg(F.collect_set(line).alias("lines"), F.array_sort(F.collect_set(anchor)).alias("a"))
+    # whether the words up to the next anchor match, and those from the one before
+    through = "coalesce(get(a, {0}).gap = get(a, {0}).f.gap and get(a, {0}).gap <> 0, false)"
+    each = f"""transform(a, (x, i) -> struct(x.start as start, x.size as size, x.digest as digest, x.f as f,
+        {through.format("i")} as through, {through.format("i - 1")} as before))"""
+    return again.select("_rank", "_h", "lines", F.expr(each).alias("anchors"))
+
+
+def _few(ids: DataFrame) -> DataFrame:
+    """ids to be broadcast if they are few, counted."""
+    return F.broadcast(ids) if ids.count() <= WANTED else ids
+
+
+def _around(docs: DataFrame, ends: DataFrame) -> DataFrame:
+    """digest, left and right: the words on both sides of the earliest place of each anchor in ends."""
+    asked = ends.groupBy(F.col("f._rank").alias("_rank"), F.col("f._h").alias("_h"))
+    asked = asked.agg(F.collect_set(F.struct(F.col("f.start").alias("start"), "size", "digest")).alias("places"))
+    asked = scratch.written(asked, "asked")
+    texts = docs.join(_few(asked.select("_rank", "_h")), ["_rank", "_h"], "left_semi").dropDuplicates(["_rank", "_h"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in T.slices(batch, "text"):
-                u, made = Units(part["text"]), []
+                words, made = Words(part["text"]), []
                 for i, places in enumerate(part["places"]):
-                    own = u.short_hashes(i)
+                    own = words.short_hashes(i)
                     for p in places.as_py():
                         s, e = p["start"], p["start"] + p["size"]
                         made.append((p["digest"], own[max(0, s - CONTEXT) : s].tobytes(), own[e : e + CONTEXT].tobytes()))
                 digest, left, right = zip(*made, strict=True) if made else ((), (), ())
-                yield pa.RecordBatch.from_arrays([pa.array(digest, pa.int64()), pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["digest", "left", "right"])
+                arrays = [pa.array(digest, pa.int64()), pa.array(left, pa.binary()), pa.array(right, pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["digest", "left", "right"])
+
+    return texts.join(asked, ["_rank", "_h"]).select("text", "places").mapInArrow(run, "digest long, left binary, right binary")
+
+
+def _repeats(docs: DataFrame, line_words: int) -> DataFrame:
+    """_rank, _h, the lines with an earlier place, and the anchors with the words around that place."""
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in T.slices(batch, "text"):
+                arrays = [part["_rank"], part["_h"], Words(part["text"]).hashed(line_words)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["_rank", "_h", "places"])
 
-    known = asked.mapInArrow(around, "digest long, left binary, right binary").dropDuplicates(["digest"])
-    known = scratch.settled(known, "around")
-    ends = ends.join(known.hint("shuffle_hash"), "digest").select("_rank", "_h", "start", "size", "left", "right")
+    to = "_rank long, _h long, places array<struct<start:int,size:int,digest:long,check:long,gap:long>>"
+    rows = scratch.written(docs.mapInArrow(places, to).where("size(places) > 0"), "places")
+    again = scratch.settled(_repeated(rows), "repeats")
+    each = again.select("_rank", "_h", F.explode("anchors").alias("p")).select("_rank", "_h", "p.*")
+    ends = each.where("not (through and before)")
+    known = scratch.settled(_around(docs, ends.select("f", "size", "digest")), "around")
+    ends = ends.join(known, "digest").select("_rank", "_h", "start", "size", "before", "through", "left", "right")
     none = F.lit(None).cast("binary")
-    rest = each.where("p.inner").select("_rank", "_h", "p.start", "p.size", none.alias("left"), none.alias("right"))
-    return ends.unionByName(rest).groupBy("_rank", "_h").agg(F.collect_list(F.struct("start", "size", "left", "right")).alias("repeats"))
+    inner = each.where("through and before").select("_rank", "_h", "start", "size", "before", "through", none.alias("left"), none.alias("right"))
+    anchors = ends.unionByName(inner).groupBy("_rank", "_h")
+    anchors = anchors.agg(F.collect_list(F.struct("start", "size", "before", "through", "left", "right")).alias("anchors"))
+    return again.select("_rank", "_h", "lines").join(anchors, ["_rank", "_h"], "left")
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, line_words: int = 1, run_words: int = RUN_WORDS) -> DataFrame:
     """docs with text replaced by what stays of it, and removed: the original offsets, in code
     points, of what was taken out.
 
-    doc_id ranks documents (null last, then by a hash of the text). Rows alike in id and text
-    count as one document and share its result. Null texts stay null. A column removed is replaced,
-    others stay as they are. An empty table gives no rows."""
+    Every repeated line of line_words words or more goes, 1 for all, and every match of run_words or
+    more inside lines. doc_id ranks documents (null last, then by a hash of the text). Rows alike in
+    id and text count as one document and share its result. Null texts stay null, empty ones empty;
+    a very long text is worked on alone. A column removed is replaced, others stay as they are. An
+    empty table gives no rows."""
     needed, whole = ["doc_id", "text"], docs.columns
     docs = scratch.packed(docs, *needed)
     kept = docs.columns
     keyed = docs.withColumns({"_h": F.xxhash64("text"), "_rank": F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))})
-    found = _repeats(keyed.where("text is not null").select("_rank", "_h", "text"))
-    found = found.withColumnsRenamed({"_rank": "_r", "_h": "_g"})
-    joined = keyed.join(found, (keyed._rank == found._r) & (keyed._h == found._g), "left").select(*kept, "repeats")
+    found = _repeats(keyed.where("text is not null").select("_rank", "_h", "text"), line_words)
+    found = scratch.settled(found, "found")
     to = docs.select("*", F.lit(None).cast("array<struct<start:long,end:long>>").alias("removed")).schema
     spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in T.slices(batch, "text"):
-                u, texts, taken = Units(part["text"]), [], []
-                for i, (text, repeats) in enumerate(zip(part["text"].to_pylist(), part["repeats"], strict=True)):
-                    gone = u.removed(i, repeats.as_py()) if repeats.is_valid and text else []
-                    if not gone:
-                        texts.append(text)
-                        taken.append([])
-                        continue
-                    raw = u.data[u.offsets[i] : u.offsets[i + 1]]
+                words, texts, taken = Words(part["text"]), [], []
+                for i, (text, lines, anchors) in enumerate(zip(part["text"].to_pylist(), part["lines"].to_pylist(), part["anchors"], strict=True)):
+                    long = matches(words.short_hashes(i), anchors.as_py(), run_words) if anchors.is_valid else []
+                    gone = words.removed(i, lines or [], long)
+                    raw = words.data[words.offsets[i] : words.offsets[i + 1]]
                     chars = np.concatenate([[0], np.cumsum(raw & 0xC0 != 0x80)])
                     ends = [0, *[e for _, e in gone]]
-                    texts.append(b"".join(raw[a:b].tobytes() for a, b in zip(ends, [*[s for s, _ in gone], len(raw)], strict=True)).decode())
+                    stays = [raw[a:b].tobytes() for a, b in zip(ends, [*[s for s, _ in gone], len(raw)], strict=True)]
+                    texts.append(b"".join(stays).decode() if gone else text)
                     taken.append([{"start": int(chars[s]), "end": int(chars[e])} for s, e in gone])
                 arrays = [pa.array(texts, part.schema.field(c).type) if c == "text" else part[c] for c in kept]
                 yield pa.RecordBatch.from_arrays([*arrays, pa.array(taken, spans)], names=[*kept, "removed"])
 
-    return scratch.unpacked(joined.mapInArrow(cut, to), needed, whole, "removed")
+    # only documents that have repeats move
+    ids = _few(found.select("_rank", "_h"))
+    some = keyed.join(ids, ["_rank", "_h"], "left_semi").join(found, ["_rank", "_h"]).select(*kept, "lines", "anchors")
+    others = keyed.join(ids, ["_rank", "_h"], "left_anti").select(*kept, F.array().cast(to["removed"].dataType).alias("removed"))
+    out = some.mapInArrow(cut, to).union(others)
+    return scratch.unpacked(out, needed, whole, "removed")
 
 
 def op9_line_hashing(spark, sf_dir: str) -> DataFrame:
     """All documents: what stays of each text, and what was removed from it."""
-    return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), LINE_WORDS)
