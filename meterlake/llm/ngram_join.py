@@ -13,21 +13,25 @@ most e members that the other lacks, so prefixes that survive e losses share a s
 Groups grow in number with the size of the sets, so signatures grow with the text, not with its
 square; a set near the upper edge of its size class gives signatures for the next class too.
 
+Which shingles are frequent: tasks count the window's shingles by their low bits, sorted and summed
+in arrays; the arrays of one range of these bits meet in one task, which holds that range alone. Two
+shingles with the same low bits count as one, for all documents alike, so no link hangs on it.
+
 Signatures only nominate. Exact copies are one set from the start. Members of a bucket are first
 compared with its least member (a star, as many pairs as members). Where a bucket then still holds
-many components, as a cloud of near copies does, a few of them by hash send a member that meets all
-others, and the crowd's sets are joined once more by prefixes, in the order of the crowd's own
-frequencies. In all other buckets the pairs of different components that are left meet. Before whole sets meet, the least hashes of both rule out pairs whose
-chance to be similar, given these, is below RULED_OUT; every other comparison is of whole sets."""
+more pairs of different components than CLOUD for each member, as clouds of near copies do, a few of
+its components by hash send a member that meets all others, and the crowd's sets are joined once more
+by prefixes of single shingles, in the order of the crowd's own frequencies. In all other buckets the
+pairs of different components that are left meet. Before whole sets meet, counts of both sets'
+members by hash give an upper bound of what they share, which rules out pairs for sure."""
 
-import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterlake.llm import graph, scratch
@@ -37,18 +41,22 @@ from meterlake.llm import text as T
 K, OFTEN = 2, 24
 #: Frequent shingles that tasks hold: the most frequent ones, at most this many; others pass as rare.
 FREQUENT = 500_000
+#: Bits of a shingle that it is counted by: those that number its range, and those within the range.
+RANGE_BITS, COUNT_BITS = 10, 24
+#: Window shingles that a task gathers before it hands on their counts.
+GATHERED = 2_000_000
 #: Sets of this size or less are indexed by single shingles alone.
 SMALL = 40
 #: Expected frequent shingles in a group of a set at the lower edge of its class.
 CROWD = 8
-#: Least hashes of a set that go along with its signatures, and the chance below which they rule a pair out.
-LEAST, RULED_OUT = 64, 1e-12
-#: Components above which a bucket is crowded, components of it that send a member, and buckets that a
-#: document knows.
+#: Pairs of different components for each member above which a bucket is crowded, components of it that
+#: send a member, and buckets that a document knows.
 CLOUD, SENT, KNOWN = 32, 8, 8
 #: Ids that go to every task at most; more meet the texts by a shuffle.
 WANTED = 1_000_000
 
+_COUNTED = np.uint64((1 << RANGE_BITS + COUNT_BITS) - 1)
+
 
 def allowed(n: int, percent: int) -> int:
     """Members of a set of n that a similar set can lack."""
@@ -69,8 +77,8 @@ def _groups(tokens: np.ndarray, size_class: int) -> np.ndarray:
 
 
 def _edge(percent: int) -> np.uint64:
-    """Hashes below it are in the window: three times the share that may be lost."""
-    return np.uint64(min(2**64 - 1, int(2**64 * 3 * (100 - percent) / 100)))
+    """Hashes below it are in the window: twice the share that may be lost."""
+    return np.uint64(min(2**64 - 1, int(2**64 * 2 * (100 - percent) / 100)))
 
 
 def window(u: np.ndarray, percent: int) -> np.ndarray:
@@ -131,64 +139,172 @@ def _sets(part: pa.RecordBatch, width: int) -> list[np.ndarray]:
 
 def _lists(rows: list[np.ndarray]) -> pa.Array:
     flat = np.concatenate(rows) if rows else np.zeros(0, np.uint64)
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(r) for r in rows])]), pa.int32()), pa.array(flat.view(np.int64)))
+    to = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+    return pa.ListArray.from_arrays(pa.array(to, pa.int32()), pa.array(flat.view(np.int64)))
+
+
+def _binaries(rows: list[np.ndarray]) -> pa.Array:
+    return pa.array([r.tobytes() for r in rows], pa.binary())
+
+
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
 
 
 def _mapped(docs: DataFrame, to: str, make) -> DataFrame:
+    """Rows that make() returns, as arrays, for each slice of the texts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in T.slices(batch, "text"):
-                yield pa.RecordBatch.from_arrays(make(part), names=[c.split()[0] for c in to.split(", ")])
+                yield pa.RecordBatch.from_arrays(make(part), names=_names(to))
 
     return docs.mapInArrow(run, to)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs a, b whose whole sets are similar enough."""
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sum of the counts of each."""
+    keys, counts = np.concatenate(keys), np.concatenate(counts)
+    by = np.argsort(keys, kind="stable")
+    keys, counts = keys[by], counts[by]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else by
+    return keys[first], np.add.reduceat(counts, first) if len(keys) else counts
 
-    @F.pandas_udf("long")
-    def shared(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([len(np.intersect1d(np.frombuffer(a, "<i8"), np.frombuffer(b, "<i8"), assume_unique=True)) for a, b in zip(x, y, strict=True)], dtype="int64")
 
-    left = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("members").alias("ma"))
-    right = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("members").alias("mb"))
-    got = pairs.join(left, "a").join(right, "b").withColumn("o", shared("ma", "mb")).withColumn("whole", F.col("na") + F.col("nb") - F.col("o"))
-    return got.where(100 * F.col("o") >= percent * F.col("whole")).select("a", "b")
+def _counts_by_range(keys: np.ndarray, counts: np.ndarray) -> list[pa.Array]:
+    """number, keys and counts of each range that distinct, sorted keys fall in."""
+    number = (keys >> np.uint64(COUNT_BITS)).astype(np.int32)
+    at = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]])) if len(keys) else np.zeros(0, int)
+    low = (keys & np.uint64((1 << COUNT_BITS) - 1)).astype("<u4")
+    cut = [slice(a, b) for a, b in zip(at, [*at[1:], len(keys)])]
+    return [pa.array(number[at]), _binaries([low[c] for c in cut]), _binaries([counts[c].astype("<u4") for c in cut])]
 
 
-def _least_shared(percent: int) -> list[int]:
-    """For each number k of least hashes of a union the number of shared ones below which two sets
-    are ruled out: by Chernoff's bound on k draws that are each shared with the threshold's chance."""
-    t, found = percent / 100, [0]
-    for k in range(1, LEAST + 1):
-        x = 0
-        while x < t * k:
-            q = x / k
-            away = (q * math.log(q / t) if q else 0.0) + (1 - q) * math.log((1 - q) / (1 - t)) if t < 1 else math.inf
-            if math.exp(-k * away) >= RULED_OUT:
-                break
-            x += 1
-        found.append(x)
-    return found
+def _surveyed(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Of each document size and digest of its set; and, in rows without those, how often which
+    window shingles occur: keys and counts of a range."""
+    to = "doc_id long, n long, d1 long, d2 long, range int, keys binary, counts binary"
+
+    def documents(part: pa.RecordBatch, sets: list[np.ndarray]) -> pa.RecordBatch:
+        sums = [(T.mix(u).sum(dtype=np.uint64), T.mix(u + T._A).sum(dtype=np.uint64)) for u in sets]
+        sums = np.array(sums, np.uint64).reshape(-1, 2).view(np.int64)
+        none = [pa.nulls(len(sets), t) for t in (pa.int32(), pa.binary(), pa.binary())]
+        sizes = pa.array([len(u) for u in sets], pa.int64())
+        return pa.RecordBatch.from_arrays([part["doc_id"], sizes, pa.array(sums[:, 0]), pa.array(sums[:, 1]), *none], names=_names(to))
+
+    def handed_on(held: list[np.ndarray]) -> pa.RecordBatch:
+        keys, counts = np.unique(np.concatenate(held), return_counts=True)
+        arrays = _counts_by_range(keys, counts)
+        none = [pa.nulls(len(arrays[0]), pa.int64())] * 4
+        return pa.RecordBatch.from_arrays([*none, *arrays], names=_names(to))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for part in T.slices(batch, "text"):
+                sets = _sets(part, width)
+                yield documents(part, sets)
+                more = [window(u, percent) & _COUNTED for u in sets if len(u)]
+                held += more
+                size += sum(map(len, more))
+                if size >= GATHERED:
+                    yield handed_on(held)
+                    held, size = [], 0
+        if held:
+            yield handed_on(held)
+
+    return docs.mapInArrow(run, to)
+
+
+def _frequent(counts: DataFrame) -> np.ndarray:
+    """Keys of the most frequent window shingles, FREQUENT at most, in order."""
+
+    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One range after the other: no more than its keys is held at once."""
+        now, keys, values, pending = None, [], [], 0
+
+        def often() -> pa.RecordBatch:
+            key, n = _summed(keys, values)
+            key = key[n >= OFTEN].astype(np.int64) + (now << COUNT_BITS)
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(n[n >= OFTEN])], names=["key", "n"])
+
+        for batch in batches:
+            for number, k, n in zip(*[batch[c].to_pylist() for c in ("range", "keys", "counts")], strict=True):
+                if number != now and keys:
+                    yield often()
+                    keys, values, pending = [], [], 0
+                now = number
+                keys.append(np.frombuffer(k, "<u4"))
+                values.append(np.frombuffer(n, "<u4").astype(np.int64))
+                pending += len(keys[-1])
+                if pending >= GATHERED:
+                    key, n = _summed(keys, values)
+                    keys, values, pending = [key], [n], 0
+        if keys:
+            yield often()
+
+    ranges = counts.repartition(scratch.partitions(counts.sparkSession), "range").sortWithinPartitions("range")
+    counts = scratch.written(ranges.mapInArrow(totals, "key long, n long"), "frequent")
+    step = F.floor(F.log2("n") * 8).cast("int")
+    room, least = FREQUENT, None
+    for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("k")).orderBy(F.desc("step")).collect():
+        room -= r.k
+        if room < 0:
+            break
+        least = r.step
+    if least is None:
+        return np.zeros(0, np.uint64)
+    return np.sort(counts.where(step >= least).select("key").toArrow()["key"].to_numpy().astype(np.uint64))
+
+
+def sketch(u: np.ndarray) -> np.ndarray:
+    """How many members of a set fall in each of n / 4 to n / 2 places by hash; 255 may be more."""
+    bits = max(0, len(u).bit_length() - 2)
+    return np.minimum(np.bincount((u >> np.uint64(20)) & np.uint64((1 << bits) - 1), minlength=1 << bits), 255).astype(np.uint8)
+
+
+def most_shared(a: np.ndarray, b: np.ndarray) -> int | None:
+    """No fewer members than two sets share, by their sketches; None if these can't tell."""
+    if max(a.max(initial=0), b.max(initial=0)) == 255:
+        return None
+    a, b = a.astype(np.int32), b.astype(np.int32)
+    while len(a) > len(b):
+        a = a.reshape(2, -1).sum(axis=0)
+    while len(b) > len(a):
+        b = b.reshape(2, -1).sum(axis=0)
+    return int(np.minimum(a, b).sum())
 
 
 def _likely(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
-    """The pairs a, b that their least hashes do not rule out."""
-    least = np.array(_least_shared(percent))
+    """The pairs a, b that their sketches do not rule out."""
 
     @F.pandas_udf("boolean")
-    def likely(x: pd.Series, y: pd.Series) -> pd.Series:
+    def likely(x: pd.Series, nx: pd.Series, y: pd.Series, ny: pd.Series) -> pd.Series:
         out = []
-        for a, b in zip(x, y, strict=True):
-            a, b = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
-            whole = np.union1d(a, b)[:LEAST]
-            both = np.intersect1d(a, b, assume_unique=True)
-            out.append(int(np.searchsorted(both, whole[-1], side="right")) >= least[len(whole)])
+        for a, n, b, m in zip(x, nx, y, ny, strict=True):
+            most = most_shared(np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8))
+            out.append(most is None or 100 * most >= percent * (n + m - most))
         return pd.Series(out, dtype="bool")
 
-    one = signed.select(F.col("doc_id").alias("a"), F.col("low").alias("la"))
-    two = signed.select(F.col("doc_id").alias("b"), F.col("low").alias("lb"))
-    return pairs.join(one, "a").join(two, "b").where(likely("la", "lb")).select("a", "b")
+    one = signed.select(F.col("doc_id").alias("a"), F.col("sketch").alias("xa"), F.col("n").alias("na"))
+    two = signed.select(F.col("doc_id").alias("b"), F.col("sketch").alias("xb"), F.col("n").alias("nb"))
+    return pairs.join(one, "a").join(two, "b").where(likely("xa", "na", "xb", "nb")).select("a", "b")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs a, b whose whole sets are similar enough."""
+
+    @F.pandas_udf("long")
+    def shared(x: pd.Series, y: pd.Series) -> pd.Series:
+        both = zip(x, y, strict=True)
+        count = [len(np.intersect1d(np.frombuffer(a, "<i8"), np.frombuffer(b, "<i8"), assume_unique=True)) for a, b in both]
+        return pd.Series(count, dtype="int64")
+
+    left = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("members").alias("ma"))
+    right = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("members").alias("mb"))
+    got = pairs.join(left, "a").join(right, "b").withColumn("o", shared("ma", "mb"))
+    got = got.withColumn("whole", F.col("na") + F.col("nb") - F.col("o"))
+    return got.where(100 * F.col("o") >= percent * F.col("whole")).select("a", "b")
 
 
 def _crowd_pairs(docs: DataFrame, crowd: DataFrame, width: int, percent: int) -> DataFrame:
@@ -199,127 +315,166 @@ def _crowd_pairs(docs: DataFrame, crowd: DataFrame, width: int, percent: int) ->
     in both sets; in the smaller set that is among the first few, its head. Only heads are looked
     up: what the whole crowd has in common stands behind them and brings no pair."""
     texts = docs.join(crowd.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    sets = _mapped(texts, "id long, m array<long>", lambda part: [part["doc_id"], _lists(_sets(part, width))]).dropDuplicates(["id"])
+    sets = _mapped(texts, "id long, m array<long>", lambda part: [part["doc_id"], _lists(_sets(part, width))])
+    sets = sets.dropDuplicates(["id"])
     members = scratch.written(sets.select("id", F.size("m").cast("long").alias("n"), F.explode("m").alias("token")), "crowd-members")
-    often = members.groupBy("token").agg(F.count("*").alias("often"))
+    # what only one member has comes first in its order and meets nothing: it counts, but needs no row
+    often = members.groupBy("token").agg(F.count("*").alias("often")).where("often > 1")
     order = Window.partitionBy("id").orderBy("often", "token")
-    ranked = members.join(often, "token").withColumn("at", F.row_number().over(order) - 1)
+    ranked = members.join(often, "token")
+    own = F.count("*").over(Window.partitionBy("id"))
+    ranked = ranked.withColumn("at", F.col("n") - own + F.row_number().over(order) - 1)
     ranked = ranked.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100)).join(crowd, "id")
     ranked = scratch.written(ranked.select("token", "id", "n", "at", "part"), "crowd-heads")
     enough = lambda n, at, whole: (100 + percent) * (n - at) >= percent * whole
-    head = ranked.where(enough(F.col("n"), F.col("at"), 2 * F.col("n"))).select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ab"), F.col("part").alias("pb"))
+    head = ranked.where(enough(F.col("n"), F.col("at"), 2 * F.col("n")))
+    head = head.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ab"), F.col("part").alias("pb"))
     whole = F.col("n") + F.col("nb")
-    met = ranked.join(head, "token").where((F.col("part") != F.col("pb")) & (F.col("nb") <= F.col("n")) & _sizes_fit("n", "nb", percent) & enough(F.col("n"), F.col("at"), whole) & enough(F.col("nb"), F.col("ab"), whole))
+    fits = (F.col("part") != F.col("pb")) & (F.col("nb") <= F.col("n")) & _sizes_fit("n", "nb", percent)
+    met = ranked.join(head, "token").where(fits & enough(F.col("n"), F.col("at"), whole) & enough(F.col("nb"), F.col("ab"), whole))
     return met.select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
 
 
-def _sizes_fit(a: str, b: str, percent: int):
-    return (100 * F.least(a, b) >= percent * F.greatest(a, b))
+def _sizes_fit(a: str, b: str, percent: int) -> Column:
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def similar_documents(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
-    """doc_id, n_shingles and component_id of each row: the least doc_id that links reach.
+def _signed(docs: DataFrame, frequent: np.ndarray, width: int, percent: int) -> DataFrame:
+    """doc_id, size of the set, its signatures and its sketch."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
-    Two documents link when 100 * shared shingles >= percent * all shingles of both. A text of
-    fewer words than width has its whole sequence as one shingle; without words, or without an
-    id, a document links with nothing. Rows of one id are one document. An empty table gives no rows."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    def marked(w: np.ndarray) -> np.ndarray:
+        known, key = shared.value, w & _COUNTED
+        if not len(known):
+            return np.zeros(len(w), bool)
+        return known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key
 
-    def sizes(part):
+    def made(part: pa.RecordBatch) -> list[pa.Array]:
+        sets, found = _sets(part, width), []
+        for u in sets:
+            w = window(u, percent) if len(u) else u
+            found.append(signatures(len(u), w, marked(w), percent) if len(u) else u)
+        sizes = pa.array([len(u) for u in sets], pa.int64())
+        return [part["doc_id"], sizes, _lists(found), _binaries([sketch(u) for u in sets])]
+
+    return _mapped(docs, "doc_id long, n long, s array<long>, sketch binary", made)
+
+
+def _packed_sets(docs: DataFrame, width: int) -> DataFrame:
+    """id, n and members of each document's whole set."""
+
+    def made(part: pa.RecordBatch) -> list[pa.Array]:
         sets = _sets(part, width)
-        sums = [(T.mix(u).sum(dtype=np.uint64), T.mix(u + T._A).sum(dtype=np.uint64)) for u in sets]
-        sums = np.array(sums, np.uint64).reshape(-1, 2).view(np.int64)
-        return [part["doc_id"], pa.array([len(u) for u in sets], pa.int64()), pa.array(sums[:, 0]), pa.array(sums[:, 1])]
+        return [part["doc_id"], pa.array([len(u) for u in sets], pa.int64()), _binaries(sets)]
 
-    every = scratch.written(_mapped(docs, "doc_id long, n long, d1 long, d2 long", sizes), "sets")
-    firsts = every.where("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("first"))
-    firsts = scratch.written(firsts, "firsts")
+    return _mapped(docs, "id long, n long, members binary", made).dropDuplicates(["id"])
 
-    counts = _mapped(docs, "w array<long>", lambda part: [_lists([window(u, percent) for u in _sets(part, width)])])
-    counts = counts.select(F.explode("w").alias("token")).groupBy("token").count().where(F.col("count") >= OFTEN)
-    counts = scratch.written(counts, "frequent")
-    step = F.floor(F.log2("count") * 8).cast("int")
-    room, least = FREQUENT, None
-    for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("k")).orderBy(F.desc("step")).collect():
-        room -= r.k
-        if room < 0:
-            break
-        least = r.step
-    top = counts.where(step >= least) if least is not None else counts.limit(0)
-    shared = spark.sparkContext.broadcast(np.sort(top.select("token").toArrow()["token"].to_numpy().view(np.uint64)))
-
-    def signed(part):
-        frequent, out, sizes, low = shared.value, [], [], []
-        for u in _sets(part, width):
-            sizes.append(len(u))
-            low.append(u[:LEAST].tobytes())
-            if not len(u):
-                out.append(u)
-                continue
-            w = window(u, percent)
-            at = np.minimum(np.searchsorted(frequent, w), max(0, len(frequent) - 1))
-            out.append(signatures(len(u), w, frequent[at] == w if len(frequent) else np.zeros(len(w), bool), percent))
-        return [part["doc_id"], pa.array(sizes, pa.int64()), _lists(out), pa.array(low, pa.binary())]
 
-    signed = _mapped(docs, "doc_id long, n long, s array<long>, low binary", signed).join(firsts.select(F.col("first").alias("doc_id")), "doc_id", "left_semi")
-    signed = scratch.written(signed.dropDuplicates(["doc_id"]), "signatures")
-    rows = signed.select(F.col("doc_id").alias("id"), "n", F.explode("s").alias("s"))
+class _Join:
+    """The links found so far, and the components that they make."""
 
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        """The links among pairs a, b. Only the sets of documents in likely pairs are made: where
-        these are few, counted, their ids go to all tasks and no text moves."""
-        pairs = scratch.written(_likely(pairs, signed, percent), name)
+    def __init__(self, docs: DataFrame, signed: DataFrame, width: int, percent: int):
+        self.docs, self.signed, self.width, self.percent = docs, signed, width, percent
+        self.links = self.parts = None
+
+    def grow(self, pairs: DataFrame, name: str) -> None:
+        """Verifies the pairs a, b and adds those that link. Only the sets of documents in likely pairs
+        are made: where these are few, counted, their ids go to all tasks and no text moves."""
+        pairs = scratch.written(_likely(pairs, self.signed, self.percent), name)
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
         wanted = F.broadcast(wanted) if wanted.count() <= WANTED else wanted
-        texts = docs.join(wanted, "doc_id", "left_semi")
-        packed = _mapped(texts, "id long, n long, members binary", lambda part: (lambda sets: [part["doc_id"], pa.array([len(u) for u in sets], pa.int64()), pa.array([u.tobytes() for u in sets], pa.binary())])(_sets(part, width)))
-        return scratch.written(_verified(pairs, packed.dropDuplicates(["id"]), percent), f"{name}-links")
-
-    def grown(links: DataFrame, own: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """All links and their components; without new links these are as before."""
-        if more.isEmpty():
-            return links, own
-        links = links.union(more)
-        return links, scratch.written(graph.components(links, "a", "b"), "components")
-
-    def parts(own: DataFrame, of: DataFrame) -> DataFrame:
-        """Rows of buckets with the component of each member, where a bucket still has several."""
-        of = of.join(own.withColumnRenamed("component", "_part"), "id", "left").withColumn("part", F.coalesce("_part", "id")).drop("_part")
-        mixed = of.groupBy("s").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("s")
-        return of.join(mixed, "s")
+        sets = _packed_sets(self.docs.join(wanted, "doc_id", "left_semi"), self.width)
+        more = scratch.written(_verified(pairs, sets, self.percent), f"{name}-links")
+        if self.links is not None and more.isEmpty():
+            return
+        self.links = more if self.links is None else self.links.union(more)
+        self.parts = scratch.written(graph.components(self.links, "a", "b"), "components")
+
+    def with_part(self, rows: DataFrame) -> DataFrame:
+        """rows (id, ...) with part, the component of each."""
+        own = self.parts.withColumnRenamed("component", "_part")
+        return rows.join(own, "id", "left").withColumn("part", F.coalesce("_part", "id")).drop("_part")
+
+    def still_open(self, rows: DataFrame) -> DataFrame:
+        """Rows (s, id, ...) of buckets that still hold several components, with the component of each."""
+        rows = self.with_part(rows)
+        mixed = rows.groupBy("s").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("s")
+        return rows.join(mixed, "s")
+
+
+def _meets(percent: int) -> Column:
+    """Whether id meets b in bucket s: of fitting sizes, in different parts, and in no lesser bucket
+    that both know."""
+    earlier = F.exists(F.array_intersect("t", "tb"), lambda x: x < F.col("s"))
+    return (F.col("part") != F.col("pb")) & _sizes_fit("n", "nb", percent) & ~earlier
+
+
+def _crowds(rows: DataFrame) -> DataFrame:
+    """Buckets s with more pairs of different parts than CLOUD for each member, and their parts."""
+    each = rows.groupBy("s", "part").agg(F.count("*").alias("k"))
+    each = each.groupBy("s").agg(F.sum("k").alias("k"), F.sum(F.col("k").cast("double") ** 2).alias("q"), F.count("*").alias("crowd"))
+    return each.where(F.col("k").cast("double") ** 2 - F.col("q") > 2.0 * CLOUD * F.col("k")).select("s", "crowd")
+
+
+def _sent(crowded: DataFrame, percent: int) -> DataFrame:
+    """Pairs of one member of some parts of each crowded bucket, by hash, with all other members."""
+    chosen = crowded.where(F.pmod(F.xxhash64("part"), F.col("crowd")) < SENT)
+    least = F.min(F.struct(F.xxhash64("id"), "id", "n", "t")).alias("c")
+    sent = chosen.groupBy("s", "part").agg(least)
+    sent = sent.select("s", F.col("part").alias("pb"), F.col("c.id").alias("b"), F.col("c.n").alias("nb"), F.col("c.t").alias("tb"))
+    met = crowded.join(sent, "s").where(_meets(percent))
+    return met.select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
+
+
+def _components(docs: DataFrame, signed: DataFrame, width: int, percent: int) -> DataFrame:
+    """id and component of the documents in signed that link with others."""
+    join = _Join(docs, signed, width, percent)
+    rows = signed.select(F.col("doc_id").alias("id"), "n", F.explode("s").alias("s"))
 
     # round 0: each bucket's members against its least
-    stars = rows.groupBy("s").agg(F.min(F.struct("id", "n")).alias("c"), F.count("*").alias("k")).where("k > 1").select("s", F.col("c.id").alias("centre"), F.col("c.n").alias("cn"), "k")
+    stars = rows.groupBy("s").agg(F.min(F.struct("id", "n")).alias("c"), F.count("*").alias("k")).where("k > 1")
+    stars = stars.select("s", F.col("c.id").alias("centre"), F.col("c.n").alias("cn"), "k")
     inside = scratch.written(rows.join(stars, "s"), "buckets")
-    pairs = inside.where("id <> centre").where(_sizes_fit("n", "cn", percent)).select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct()
-    links = verified(pairs, "stars")
-    own = scratch.written(graph.components(links, "a", "b"), "components")
+    pairs = inside.where("id <> centre").where(_sizes_fit("n", "cn", percent))
+    join.grow(pairs.select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct(), "stars")
 
     # what is left open; each document knows its least such buckets, so that a pair that shares
     # several is met in one of few
-    open_ = scratch.written(parts(own, inside.where("k > 2").select("s", "id", "n")), "open")
-    least = open_.groupBy("id").agg(F.slice(F.sort_array(F.collect_set("s")), 1, KNOWN).alias("t"))
-    now = scratch.written(open_.join(least, "id"), "open-known")
-    open_ = now.drop("part")
-    here = (F.col("part") != F.col("pb")) & _sizes_fit("n", "nb", percent) & ~F.exists(F.array_intersect("t", "tb"), lambda x: x < F.col("s"))
-    crowds = now.groupBy("s").agg(F.approx_count_distinct("part").alias("crowd")).where(F.col("crowd") > CLOUD)
-    crowded = scratch.written(now.join(crowds, "s"), "crowded")
-    if not crowded.isEmpty():
-        # some components of each crowded bucket, by hash, send one member each to meet all others
-        chosen = crowded.where(F.pmod(F.xxhash64("part"), F.col("crowd")) < SENT)
-        sent = chosen.groupBy("s", "part").agg(F.min(F.struct(F.xxhash64("id"), "id", "n", "t")).alias("c")).select("s", F.col("part").alias("pb"), F.col("c.id").alias("b"), F.col("c.n").alias("nb"), F.col("c.t").alias("tb"))
-        met = crowded.join(sent, "s").where(here).select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
-        links, own = grown(links, own, verified(met, "sent"))
-        crowd = crowded.select("id").distinct().join(own, "id", "left").select("id", F.coalesce("component", "id").alias("part"))
-        links, own = grown(links, own, verified(_crowd_pairs(docs, scratch.written(crowd, "crowd"), width, percent), "crowd-pairs"))
-        open_ = open_.join(crowds.select("s"), "s", "left_anti")
-    left = scratch.written(parts(own, open_), "left")
+    left = scratch.written(join.still_open(inside.where("k > 2").select("s", "id", "n")), "open")
+    least = left.groupBy("id").agg(F.slice(F.sort_array(F.collect_set("s")), 1, KNOWN).alias("t"))
+    left = scratch.written(left.join(least, "id"), "open-known")
+    crowds = scratch.written(_crowds(left), "crowds")
+    if not crowds.isEmpty():
+        crowded = scratch.written(left.join(crowds, "s"), "crowded")
+        join.grow(_sent(crowded, percent), "sent")
+        crowd = scratch.written(join.with_part(crowded.select("id").distinct()), "crowd")
+        join.grow(_crowd_pairs(docs, crowd, width, percent), "crowd-pairs")
+        left = left.join(crowds.select("s"), "s", "left_anti")
+    left = scratch.written(join.still_open(left.drop("part")), "left")
     other = left.select("s", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("part").alias("pb"), F.col("t").alias("tb"))
-    rest = left.join(other, "s").where(F.col("id") > F.col("b")).where(here).select(F.col("id").alias("a"), "b").distinct()
-    _, whole = grown(links, own, verified(rest, "rest"))
+    rest = left.join(other, "s").where(F.col("id") > F.col("b")).where(_meets(percent))
+    join.grow(rest.select(F.col("id").alias("a"), "b").distinct(), "rest")
+    return join.parts
+
+
+def similar_documents(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
+    """doc_id, n_shingles and component_id of each row: the least doc_id that links reach.
+
+    Two documents link when 100 * shared shingles >= percent * all shingles of both. A text of
+    fewer words than width has its whole sequence as one shingle; without words, or without an
+    id, a document links with nothing. Rows of one id are one document. An empty table gives no rows."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    survey = scratch.written(_surveyed(docs, width, percent), "survey")
+    every = survey.where("range is null").select("doc_id", "n", "d1", "d2")
+    frequent = _frequent(survey.where("range is not null").select("range", "keys", "counts"))
+    firsts = every.where("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("first"))
+    firsts = scratch.written(firsts, "firsts")
+    signed = _signed(docs, frequent, width, percent).join(firsts.select(F.col("first").alias("doc_id")), "doc_id", "left_semi")
+    signed = scratch.written(signed.dropDuplicates(["doc_id"]), "signatures")
+    whole = _components(docs, signed, width, percent)
 
-    label = firsts.join(whole.withColumnRenamed("id", "first"), "first", "left").select("d1", "d2", F.coalesce("component", "first").alias("component"))
+    label = firsts.join(whole.withColumnRenamed("id", "first"), "first", "left")
+    label = label.select("d1", "d2", F.coalesce("component", "first").alias("component"))
     out = every.join(label, ["d1", "d2"], "left")
     own = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
