@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from meterlake.llm import text as T
 
-#: Pre-tokens that a worker remembers; when full it starts anew.
-MEMO = 400_000
+#: Pre-tokens, and bytes of them, that a worker remembers in each of two generations: when the young
+#: one is full it becomes the old one, and what is met again comes back from there.
+MEMO, MEMO_BYTES = 100_000, 8 << 20
 _M = 2**64 - 1
 
 
@@ -116,17 +117,23 @@ class Encoder(dict):
         super().__init__()
         self.hash, self.find = PerfectHash(entries), regex.compile(pattern).findall
         self.ranks = {entry: i for i, entry in enumerate(entries)}
+        self.old: dict[str, bytes] = {}
+        self.bytes = 0
 
     def __missing__(self, token: str) -> bytes:
-        raw = token.encode()
-        i = self.hash.get(raw)
-        ids = [i] if i >= 0 else merge(raw, self.ranks)
-        self[token] = packed = array("I", ids).tobytes()
+        packed = self.old.get(token)
+        if packed is None:
+            raw = token.encode()
+            i = self.hash.get(raw)
+            packed = array("I", [i] if i >= 0 else merge(raw, self.ranks)).tobytes()
+        if len(self) >= MEMO or self.bytes > MEMO_BYTES:
+            self.old, self.bytes = dict(self), 0
+            self.clear()
+        self[token] = packed
+        self.bytes += len(token)
         return packed
 
     def encode(self, text: str) -> bytes:
-        if len(self) > MEMO:
-            self.clear()
         return b"".join(map(self.__getitem__, self.find(text)))
 
 
@@ -140,48 +147,79 @@ def _once(key: tuple, make: Callable[[], object]):
     return _made[key]
 
 
-def _with_column(df: DataFrame, name: str, column: str, make: Callable[[], Callable[[pa.Array], list]]) -> DataFrame:
-    """Adds a binary column made from another one, slice by slice; one of its name is replaced."""
-    df = df.drop(name)
-    to = df.select("*", F.lit(b"").alias(name)).schema
+def _with_columns(df: DataFrame, column: str, names: list[str], make: Callable[[], Callable[[pa.Array], list[pa.Array]]]) -> DataFrame:
+    """Adds binary columns made from another one, slice by slice; those of these names are replaced."""
+    df = df.drop(*names)
+    to = df.select("*", *[F.lit(b"").alias(c) for c in names]).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
             for part in T.slices(batch, column):
-                arrays = [*part.columns, pa.array(work(part[column]), pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, names=[*part.schema.names, name])
+                yield pa.RecordBatch.from_arrays([*part.columns, *work(part[column])], names=[*part.schema.names, *names])
 
     return df.mapInArrow(run, to)
 
 
+def _encoder(ranks: str, pattern: str) -> Callable[[pa.Array], pa.Array]:
+    encoder = _once((ranks, pattern), lambda: Encoder(read_ranks(ranks), pattern))
+    return lambda texts: pa.array([encoder.encode(t) if t else b"" for t in texts.to_pylist()], pa.binary())
+
+
+def _decoder(ranks: str) -> Callable[[pa.Array], pa.Array]:
+    entry = _once((ranks,), lambda: read_ranks(ranks)).__getitem__
+
+    def bytes_of(ids: pa.Scalar) -> bytes:
+        return b"".join(map(entry, np.frombuffer(ids.as_buffer(), "<u4").tolist())) if ids.is_valid else b""
+
+    return lambda ids: pa.array(map(bytes_of, ids), pa.binary())
+
+
 def encode(df: DataFrame, text: str, ranks: str, pattern: str, name: str = "ids") -> DataFrame:
     """Adds the ids of each whole text as packed little-endian unsigned 32-bit integers.
 
     ranks is the path of a rank file on every executor. No special tokens. A null or empty text
-    has no ids. A column of that name is replaced, the others stay."""
+    has no ids; a very long one is worked on alone. Repeated rows get the same ids each, an empty
+    table gives no rows. A column of that name is replaced, the others stay."""
 
     def make():
-        encoder = _once((ranks, pattern), lambda: Encoder(read_ranks(ranks), pattern))
-        return lambda column: [encoder.encode(t) if t else b"" for t in column.to_pylist()]
+        encoded = _encoder(ranks, pattern)
+        return lambda column: [encoded(column)]
 
-    return _with_column(df, name, text, make)
+    return _with_columns(df, text, [name], make)
 
 
 def decode(df: DataFrame, ids: str, ranks: str, name: str = "decoded") -> DataFrame:
-    """Adds the bytes that packed ids stand for; null and empty give no bytes."""
+    """Adds the bytes that packed ids stand for; null and empty give no bytes, repeated rows the
+    same each, an empty table no rows. An id that is no rank is an IndexError."""
 
     def make():
-        entry = _once((ranks,), lambda: read_ranks(ranks)).__getitem__
-        return lambda column: [b"".join(map(entry, np.frombuffer(x.as_buffer(), "<u4").tolist())) if x.is_valid else b"" for x in column]
+        decoded = _decoder(ranks)
+        return lambda column: [decoded(column)]
+
+    return _with_columns(df, ids, [name], make)
+
+
+def round_trip(df: DataFrame, text: str, ranks: str, pattern: str, name: str = "ids", back: str = "decoded") -> DataFrame:
+    """encode, and decode of what it gives, in one pass: a task runs one worker, not two."""
+
+    def make():
+        encoded, decoded = _encoder(ranks, pattern), _decoder(ranks)
+
+        def both(column: pa.Array) -> list[pa.Array]:
+            ids = encoded(column)
+            return [ids, decoded(ids)]
+
+        return both
 
-    return _with_column(df, name, ids, make)
+    return _with_columns(df, text, [name, back], make)
 
 
 def encoded_documents(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each document."""
-    both = decode(encode(docs.select("doc_id", "text"), "text", ranks, pattern).drop("text"), "ids", ranks)
-    return both.select("doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    both = round_trip(docs.select("doc_id", "text"), "text", ranks, pattern)
+    n = F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens")
+    return both.select("doc_id", n, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op7_byte_bpe(spark, sf_dir: str) -> DataFrame:
