@@ -1,5 +1,6 @@
 """Intermediate tables and files in the folder that driver and executors share."""
 
+import re
 import tempfile
 import uuid
 
@@ -11,6 +12,8 @@ def folder(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir; a local one only where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="meterlake-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")

@@ -27,6 +27,8 @@ DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 GZIP, VERSION = b"\x1f\x8b\x08", b"WARC/1."
 END = b"\r\n\r\n"
+#: Bytes in which the headers of a record must end.
+HEAD_BYTES = 64 << 10
 
 
 def digest(data: bytes) -> str:
@@ -50,7 +52,7 @@ def parse(data: bytes, at: int = 0) -> tuple[dict, bytes, int]:
     """Headers (names in lower case), block and end of the record at a place; ValueError says what is wrong."""
     if not re.compile(rb"WARC/1\.[01]\r\n").match(data, at):
         raise ValueError("no version line")
-    top = data.find(END, at)
+    top = data.find(END, at, at + HEAD_BYTES)
     if top < 0:
         raise ValueError("headers without an end")
     head = {}
@@ -104,14 +106,18 @@ def salvage(data: bytes) -> Iterator[tuple[str, int, int, str | None, dict, byte
     """("record", start, end, None, headers, block) of each valid record and ("gap", start, end,
     reason, {}, b"") of the bytes between, in order; together they cover the archive."""
     at, bad, why = 0, -1, ""
+    next_mark = {GZIP: -1, VERSION: -1}  # the next place of each, looked up again once it is passed
     while at < len(data):
         try:
             head, block, end = _at(data, at)
         except ValueError as e:
             if bad < 0:
                 bad, why = at, str(e)
-            found = [x for x in (data.find(GZIP, at + 1), data.find(VERSION, at + 1)) if x >= 0]
-            at = min(found, default=len(data))
+            for mark, place in next_mark.items():
+                if place <= at:
+                    place = data.find(mark, at + 1)
+                    next_mark[mark] = place if place >= 0 else len(data)
+            at = min(next_mark.values())
             continue
         if bad >= 0:
             yield "gap", bad, at, why, {}, b""
@@ -126,8 +132,9 @@ def write_archives(records: DataFrame, folder: str, limit: int = ARCHIVE_BYTES)
     """Writes records (page_id, url, payload string or binary, refers_to) as gzip members to
     numbered archives in a folder that all executors reach; null payloads are empty.
 
-    Gives a written table of the archives: path, records, bytes. A task that runs again makes the
-    same archives: each is written under a hidden name and then renamed."""
+    Gives a written table of the archives: path, records, bytes. An archive's name tells the attempt that
+    wrote it, so the table names those of finished tasks alone. A payload of any length is one record;
+    an empty table gives no archives."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -139,7 +146,6 @@ def write_archives(records: DataFrame, folder: str, limit: int = ARCHIVE_BYTES)
             nonlocal out
             if out is not None:
                 out.close()
-                store.move(f"{top}/_{task.taskAttemptId()}-{name}", f"{top}/{name}")
                 made.append((f"{folder}/{name}", count, size))
                 out = None
 
@@ -147,8 +153,8 @@ def write_archives(records: DataFrame, folder: str, limit: int = ARCHIVE_BYTES)
             for part in T.slices(batch, "payload"):
                 for page, url, body, to in zip(*(part[c].to_pylist() for c in ("page_id", "url", "payload", "refers_to")), strict=True):
                     if out is None:
-                        name, count, size = f"part-{task.partitionId():06d}-{len(made):05d}.warc.gz", 0, 0
-                        out = store.open_output_stream(f"{top}/_{task.taskAttemptId()}-{name}", compression=None)
+                        name, count, size = f"part-{task.partitionId():06d}-{task.taskAttemptId()}-{len(made):05d}.warc.gz", 0, 0
+                        out = store.open_output_stream(f"{top}/{name}", compression=None)
                     zipped = zlib.compressobj(6, zlib.DEFLATED, 31)
                     raw = body.encode() if isinstance(body, str) else body or b""
                     data = zipped.compress(record(page, url, raw, to)) + zipped.flush()
@@ -165,38 +171,71 @@ def write_archives(records: DataFrame, folder: str, limit: int = ARCHIVE_BYTES)
 READ = "kind string, archive string, start long, end long, reason string, record_type string, record_id string, refers_to string, target_uri string, payload_digest string, payload_bytes long, payload binary"
 
 
+SCHEMA = pa.schema([(c, pa.binary() if kind == "binary" else pa.int64() if kind == "long" else pa.string()) for c, kind in (x.split() for x in READ.split(", "))])
+
+
+def _rows(archive: str, data: bytes, with_payload: bool) -> Iterator[tuple]:
+    """The rows of READ of one archive."""
+    bare = lambda x: x.strip("<>") if x else None
+    for kind, start, end, why, head, block in salvage(data):
+        kept, size, code = None, None, None
+        if kind == "record":
+            body = payload(block)
+            told = re.search(rb"(?im)^content-length:\s*(\d+)\r?$", block.partition(END)[0])
+            size = len(body) if head["warc-type"] == "response" else int(told[1]) if told else None
+            code = head.get("warc-payload-digest", "").removeprefix("sha1:") or digest(body)
+            kept = body if with_payload and head["warc-type"] == "response" else None
+        ids = [bare(head.get(c)) for c in ("warc-record-id", "warc-refers-to")]
+        yield kind, archive, start, end, why, head.get("warc-type"), *ids, head.get("warc-target-uri"), code, size, kept
+
+
+def _batches(archives: Iterator[tuple[str, bytes]], with_payload: bool) -> Iterator[pa.RecordBatch]:
+    made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), SCHEMA, strict=True)], schema=SCHEMA)
+    rows, held = [], 0
+    for archive, data in archives:
+        for row in _rows(archive, data, with_payload):
+            rows.append(row)
+            held += len(row[-1] or b"")
+            if held >= T.SLICE_BYTES or len(rows) >= 4096:
+                yield made(rows)
+                rows, held = [], 0
+    if rows:
+        yield made(rows)
+
+
 def read_archives(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
-    """Records and gaps of all *.warc and *.warc.gz files in a folder.
+    """Records and gaps of all *.warc and *.warc.gz files in a folder, each below 2 GB.
 
     payload_bytes and payload_digest are of the full payload also where the record is a revisit,
-    whose block has none; payload is null there, and everywhere unless with_payload."""
+    whose block has none; payload is null there, and everywhere unless with_payload. An empty file
+    has neither records nor gaps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("kind", pa.string()), ("archive", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("reason", pa.string()), ("record_type", pa.string()), ("record_id", pa.string()), ("refers_to", pa.string()), ("target_uri", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary())])
-        for batch in batches:
-            for archive, content in zip(batch["path"], batch["content"], strict=True):
-                rows, held = [], 0
-                for kind, start, end, why, head, block in salvage(content.as_py()):
-                    kept, size, code = None, None, None
-                    if kind == "record":
-                        body = payload(block)
-                        told = re.search(rb"(?im)^content-length:\s*(\d+)\r?$", block.partition(END)[0])
-                        size = len(body) if head["warc-type"] == "response" else int(told[1]) if told else None
-                        code = head.get("warc-payload-digest", "").removeprefix("sha1:") or digest(body)
-                        kept = body if with_payload and head["warc-type"] == "response" else None
-                    bare = lambda x: x.strip("<>") if x else None
-                    rows.append((kind, archive.as_py(), start, end, why, head.get("warc-type"), bare(head.get("warc-record-id")), bare(head.get("warc-refers-to")), head.get("warc-target-uri"), code, size, kept))
-                    held += len(kept or b"")
-                    if held >= T.SLICE_BYTES or len(rows) >= 4096:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-                        rows, held = [], 0
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        pairs = ((a.as_py(), c.as_py()) for batch in batches for a, c in zip(batch["path"], batch["content"], strict=True))
+        return _batches(pairs, with_payload)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{warc,warc.gz}").load(path)
     return files.select("path", "content").mapInArrow(run, READ)
 
 
+def read_written(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
+    """As read_archives, of the archives that write_archives gave and of no others: each task opens its
+    own, one at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def opened() -> Iterator[tuple[str, bytes]]:
+            for batch in batches:
+                for path in batch["path"].to_pylist():
+                    store, place = pafs.FileSystem.from_uri(path)
+                    with store.open_input_file(place) as f:
+                        yield path, f.read()
+
+        return _batches(opened(), with_payload)
+
+    paths = manifest.select("path")
+    return paths.repartition(scratch.partitions(manifest.sparkSession)).mapInArrow(run, READ)
+
+
 def page_of(record_id) -> F.Column:
     """The page id in a record id; null where there is none."""
     return F.expr(f"try_cast(substring({record_id}, {len(URN) + 1}) as bigint)")
@@ -229,10 +268,9 @@ def op4_warc_salvage(spark, sf_dir: str) -> DataFrame:
     """All pages, written as archives and read back."""
     folder = scratch.new_path(spark, "warc")
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
-    if archived(pages, folder).isEmpty():
-        return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
-    found = read_archives(spark, folder, with_payload=False).where("kind = 'record'")
-    return found.select(page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page_of("refers_to").alias("refers_to"))
+    found = read_written(archived(pages, folder), with_payload=False).where("kind = 'record'")
+    page, to = page_of("record_id").alias("page_id"), page_of("refers_to").alias("refers_to")
+    return found.select(page, "payload_bytes", "payload_digest", "record_type", to)
 
 
 ORACLE_OP4 = """

@@ -81,6 +81,29 @@ def test_salvage():
     assert zlib.decompress(parts[0], 31).startswith(b"WARC/1.1")
 
 
+def test_salvage_is_linear():
+    """Twice the damage, twice the time at most, and some noise."""
+    import time
+
+    def took(n: int) -> float:
+        data = b"WARC/1.1\r\nno colon\r\n" * n + b"\x1f\x8b\x08 no member " * n
+        began = time.perf_counter()
+        assert [x[0] for x in warc.salvage(data)] == ["gap"]
+        return time.perf_counter() - began
+
+    took(1000)
+    assert min(took(8000) for _ in range(3)) < 3.5 * min(took(4000) for _ in range(3)) + 0.05
+
+
+def test_archives_of_dead_attempts_are_not_read(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "a"), (2, "u", "a"), (3, "u", "x" * 3_000_000)], "page_id long, url string, html string")
+    made = warc.archived(pages, f"file://{tmp_path}")
+    (tmp_path / "part-000000-999-00000.warc.gz").write_bytes(gzip.compress(warc.record(9, "u", b"dead", None)))
+    got = warc.read_written(made).where("kind = 'record'").select("record_id", "payload_bytes", "record_type").collect()
+    assert sorted(map(tuple, got)) == [("urn:x-page:1", 1, "response"), ("urn:x-page:2", 1, "revisit"), ("urn:x-page:3", 3_000_000, "response")]
+    assert warc.read_archives(spark, f"file://{tmp_path}").where("kind = 'record'").count() == 4
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 50), (50, 200), (7, 7), (None, 3)]
     df = spark.createDataFrame(edges, "a long, b long")
