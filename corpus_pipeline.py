@@ -29,7 +29,7 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines and passages that an earlier document has; n_chars set anew."""
-    left = substrings.remove_repeats(docs)
+    left = substrings.remove_repeats(docs, substrings.LINE_WORDS)
     return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
@@ -43,7 +43,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    both = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), "text", ranks, public_tokenizers.PATTERN), "ids", ranks)
+    both = bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), "text", ranks, public_tokenizers.PATTERN)
     n = F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens")
     return both.select("doc_id", "lang", "source", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"), n, "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -263,6 +263,15 @@ def grouped_options(options: DataFrame) -> DataFrame:
 
 
 def health(ledger: Ledger) -> DataFrame:
-    """One row of counts over all calls, metered or not."""
-    own = ledger.calls.agg(F.count("*").alias("calls"), F.countDistinct("session_id").alias("sessions"), F.count_if("is_metered").alias("metered_calls"), F.count_if(F.col("is_metered") & F.col("total_cost_nano").isNull()).alias("unpriced_calls"), F.min("timestamp_ms").alias("first_call_ms"), F.max("timestamp_ms").alias("last_call_ms"))
-    return own.crossJoin(ledger.agents.agg(F.count("*").alias("agents"), F.count_if(F.col("agent_type") == "sub").alias("subagents")))  # one row each
+    """One row of counts: of calls and sessions those that are metered, as the dashboard shows them."""
+    metered, cost = F.col("is_metered"), F.col("total_cost_nano")
+    own = ledger.calls.agg(
+        F.count_if(metered).alias("calls"),
+        F.count_distinct(F.when(metered, F.col("session_id"))).alias("sessions"),
+        F.count("*").alias("all_calls"),
+        F.count_if(metered & cost.isNull()).alias("unpriced_calls"),
+        F.min(F.when(metered, F.col("timestamp_ms"))).alias("first_call_ms"),
+        F.max(F.when(metered, F.col("timestamp_ms"))).alias("last_call_ms"),
+    )
+    agents = ledger.agents.agg(F.count("*").alias("agents"), F.count_if(F.col("agent_type") == "sub").alias("subagents"))
+    return own.crossJoin(agents)  # one row each

@@ -231,7 +231,7 @@ ORACLES = {
     "options_sessions": f"WITH {_OPTIONS}, {_split('spend')}, {_RANKED} SELECT session_id AS value, {_LABEL} AS label, session_provider AS provider, workspace_key AS workspace, grp AS recency_group, CAST(rank_ AS INTEGER) AS recency_rank, CAST(cost AS BIGINT) AS total_cost_nano, updated_at_ms FROM opt",
     "options_grouped": f"WITH {_OPTIONS.replace('WHERE cost > 0', 'WHERE cost > 0 AND session_provider = ' + chr(39) + 'moonshotai' + chr(39))}, {_split('spend')}, {_RANKED} SELECT CAST(rank_ AS INTEGER) AS recency_rank, grp AS recency_group, count(*) AS options, first(session_id ORDER BY cost DESC, updated_at_ms DESC, session_id) AS first_option FROM opt GROUP BY 1, 2",
     "archive_split": f"WITH {CALLS}, {_split('sessions')} SELECT CAST(d AS BIGINT) AS split_day FROM split",
-    "health_counts": f"WITH {CALLS} SELECT count(*) AS calls, count(DISTINCT session_id) AS sessions, count(*) FILTER (is_metered) AS metered_calls, count(*) FILTER (is_metered AND total_cost_nano IS NULL) AS unpriced_calls, min(timestamp_ms) AS first_call_ms, max(timestamp_ms) AS last_call_ms, (SELECT count(*) FROM agents) AS agents, (SELECT count(*) FROM agents WHERE agent_type = 'sub') AS subagents FROM calls",
+    "health_counts": f"WITH {CALLS} SELECT count(*) FILTER (is_metered) AS calls, count(DISTINCT session_id) FILTER (is_metered) AS sessions, count(*) AS all_calls, count(*) FILTER (is_metered AND total_cost_nano IS NULL) AS unpriced_calls, min(timestamp_ms) FILTER (is_metered) AS first_call_ms, max(timestamp_ms) FILTER (is_metered) AS last_call_ms, (SELECT count(*) FROM agents) AS agents, (SELECT count(*) FROM agents WHERE agent_type = 'sub') AS subagents FROM calls",
     "canonical_calls": f"WITH {OCC} SELECT event_fingerprint, canonical_source_path, canonical_byte_offset, timestamp_ms, provider, raw_model, session_id, is_metered, {', '.join(TOKENS)} FROM canon",
     "replay_classification": f"WITH {OCC}, d AS (SELECT *, {_UTC_DAY} AS utc_day FROM classes WHERE provider = 'anthropic' AND is_metered) SELECT utc_day, raw_model, count(*) FILTER (kind = 'original') AS canonical, count(*) FILTER (kind = 'fork-replay') AS fork_replay, count(*) FILTER (kind = 'possible-replay') AS possible_replay, count(*) FILTER (kind = 'superseded-usage') AS superseded FROM d WHERE utc_day BETWEEN '1993-01-01' AND '1997-12-31' GROUP BY 1, 2",
     "replay_count": f"WITH {OCC} SELECT count(*) AS replays FROM classes WHERE NOT is_canonical AND kind <> 'superseded-usage' AND canonical_metered",
