@@ -2,6 +2,7 @@
 
 from meterlake.plans.testdata import NOW, STATES, rate_rows
 from meterlake.schemas import COSTS, RATES, TOKENS
+from meterlake.sources.catalogs import VENDOR_MODELS
 
 NY = "America/New_York"
 DAY = 86_400_000
@@ -291,3 +292,50 @@ ORACLES = {
       b AS (SELECT p.*, CASE WHEN provider <> 'anthropic' THEN 'metered-api' WHEN policy = 'enterprise-api' THEN 'enterprise-api' WHEN policy = 'pro-fable' THEN CASE WHEN raw_model = 'claude-fable-5' THEN 'pro-fable' ELSE 'pro-subscription-excluded' END ELSE 'subscription-excluded' END AS metering_basis FROM p JOIN z USING (event_id))
       SELECT 'step:' || provider || ':' || event_id AS event_fingerprint, session_id, timestamp_ms, raw_model, {', '.join(TOKENS)}, total_cost_nano, metering_basis IN ('metered-api', 'enterprise-api', 'pro-fable') AS is_metered, metering_basis FROM b""",
 }
+
+_ID = "'anthropic:' || session_id"
+_N = "CAST(session_id AS BIGINT)"
+_NATIONS = "n AS (SELECT CAST(n_nationkey AS BIGINT) AS k, (k + 1) * 0.25 AS given, k * 1.5 AS out, CASE WHEN k % 2 = 0 THEN k * 0.125 END AS read, CASE WHEN k % 3 = 0 THEN k * 0.5 END AS write FROM nation)"
+
+
+def _nano(x: str) -> str:
+    return f"CAST(floor(({x}) * 1000 + 0.5) AS BIGINT)"
+
+
+def _rates(given: str, out: str, read: str, write: str, short: str, hour: str) -> str:
+    return ", ".join(f"{_nano(x)} AS {c}" for x, c in zip((given, out, read, write, short, hour), RATES, strict=True))
+
+
+_REMOTE = _rates("given", "out", "coalesce(read, given)", *["coalesce(write, given)"] * 3)
+_INFERRED = "CASE WHEN write IS NULL THEN 'inferred' ELSE 'exact' END AS confidence, CAST(NULL AS BIGINT) AS effective_at_ms"
+_KINDS = "CASE WHEN event_id % 10 = 9 THEN NULL WHEN event_id % 11 = 0 THEN 'interrupted' WHEN event_id % 11 = 1 THEN 'api-error' WHEN event_id % 11 = 2 THEN 'streaming-snapshot' END"
+_EVENT_DAYS = f"{CALLS}, days AS (SELECT {_UTC_DAY} AS date, event_type, count(*) AS n, CAST(sum(k) AS BIGINT) AS k FROM e GROUP BY 1, 2)"
+_LOGGED = f"""{CALLS}, {_values('st', ['id', 'sub', 'policy', 'since'], STATES)},
+w AS (SELECT event_id, session_id, agent_id, timestamp_ms, CASE WHEN raw_model LIKE 'claude-%' THEN 'anthropic' ELSE 'moonshotai' END AS provider, raw_model, {', '.join(TOKENS)} FROM raw WHERE event_id % 10 < 8),
+z AS (SELECT w.event_id, arg_max(st.policy, st.since) AS policy FROM w LEFT JOIN st ON st.since <= w.timestamp_ms GROUP BY 1),
+p AS (SELECT c.*, {_costs()} FROM w c LEFT JOIN bundled r ON r.provider = c.provider AND r.model_key = {_PLAIN.replace('raw_model', 'c.raw_model')}),
+b AS (SELECT p.*, CASE WHEN provider <> 'anthropic' THEN 'metered-api' WHEN policy = 'enterprise-api' THEN 'enterprise-api' WHEN policy = 'pro-fable' THEN CASE WHEN raw_model = 'claude-fable-5' THEN 'pro-fable' ELSE 'pro-subscription-excluded' END ELSE 'subscription-excluded' END AS metering_basis FROM p JOIN z USING (event_id))"""
+
+ORACLES |= {
+    "claude_usage": f"WITH {CALLS} SELECT 'proj-' || ({_N} % 5) AS project, {_ID} AS session_id, agent_id, raw_model AS model, CASE WHEN event_id % 3 = 0 THEN 'r' ELSE 'm' END || event_id AS provider_request_id, 'u' || event_id AS step_uuid, 'm' || event_id AS request_metadata, timestamp_ms, {', '.join(TOKENS)} FROM raw WHERE event_id % 10 < 8",
+    "claude_malformed": f"WITH {CALLS} SELECT {_ID} AS session_id, agent_id, count(*) FILTER (event_id % 10 = 9) AS malformed FROM raw GROUP BY 1, 2",
+    "claude_sessions": f"""WITH {CALLS}, own AS (SELECT session_id, max(timestamp_ms) AS b FROM raw WHERE agent_id = 'main' AND event_id % 10 <> 9 GROUP BY 1)
+      SELECT {_ID} AS session_id, 'anthropic' AS provider, CASE WHEN {_N} % 3 <> 0 THEN 'ws-' || ({_N} % 7) ELSE 'proj-' || ({_N} % 5) END AS workspace_key, CASE WHEN {_N} % 3 <> 0 THEN work_directory END AS work_directory, CASE WHEN {_N} % 4 = 0 THEN 'Renamed ' ELSE 'Title ' END || session_id AS title, created_at_ms, greatest(created_at_ms, coalesce(b, created_at_ms)) AS updated_at_ms FROM sessions LEFT JOIN own USING (session_id)""",
+    "claude_agents": f"""WITH {CALLS}, a AS (SELECT session_id, agent_id, count(*) FILTER (event_id % 10 <> 9) AS known FROM raw GROUP BY 1, 2 UNION ALL SELECT session_id, 'main', 1 FROM sessions WHERE session_id NOT IN (SELECT session_id FROM raw WHERE agent_id = 'main'))
+      SELECT {_ID} AS session_id, agent_id, CASE WHEN agent_id = 'main' THEN 'main' WHEN agent_id = 'sub-0' AND known > 0 THEN 'agent:planner' WHEN agent_id = 'sub-1' AND known > 0 THEN 'skill:review' ELSE 'subagent' END AS agent_key, CASE WHEN agent_id = 'main' THEN 'Main' WHEN agent_id = 'sub-0' AND known > 0 THEN 'planner' WHEN agent_id = 'sub-1' AND known > 0 THEN 'review (skill)' ELSE 'Other subagent' END AS agent_label, CASE WHEN agent_id = 'main' THEN 'main' ELSE 'sub' END AS agent_type FROM a""",
+    "claude_scan": f"""WITH {CALLS}, x AS (SELECT session_id, agent_id, {_KINDS} AS kind, event_id % 10 = 9 AS bad, CASE WHEN event_id % 10 <> 9 THEN timestamp_ms END AS ms FROM raw
+      UNION ALL SELECT session_id, 'main', NULL, false, created_at_ms FROM sessions UNION ALL SELECT session_id, 'main', NULL, false, created_at_ms FROM sessions WHERE {_N} % 4 = 0)
+      SELECT {_ID} AS session_id, agent_id, kind, count(*) AS lines, count(*) FILTER (bad) AS malformed, max(ms) AS last_ms FROM x GROUP BY 1, 2, 3""",
+    "stream_reconcile_claude": f"WITH {_LOGGED} SELECT 'request:' || provider || ':' || CASE WHEN event_id % 3 = 0 THEN 'r' ELSE 'm' END || event_id AS event_fingerprint, {_ID} AS session_id, agent_id, timestamp_ms, raw_model, {', '.join(TOKENS)}, total_cost_nano, metering_basis IN ('metered-api', 'enterprise-api', 'pro-fable') AS is_metered, metering_basis FROM b",
+    "kimi_states": f"WITH {CALLS} SELECT session_id, 'moonshotai' AS provider, workspace_key, work_directory, trim(title) AS title, created_at_ms, updated_at_ms FROM sessions",
+    "kimi_state_agents": f"WITH {CALLS} SELECT session_id, agent_id, agent_type, CASE WHEN agent_type = 'sub' THEN 'main' END AS parent_agent_id, CASE WHEN agent_id IN ('main', 'sub-0') THEN 'log' END AS source_path FROM agents",
+    "kimi_requests": f"WITH {CALLS} SELECT session_id, raw_model AS model, timestamp_ms, output_tokens, CASE WHEN event_id % 3 <> 0 THEN timestamp_ms - 5000 END AS requested_ms, CASE WHEN event_id % 3 <> 0 THEN CAST(event_id % 9 AS BIGINT) END AS message_count, CASE WHEN event_id % 3 <> 0 THEN 'sys' END AS system_prompt_hash, CASE WHEN event_id % 3 <> 0 THEN 'tools' END AS tools_hash FROM raw",
+    "catalog_models_dev": f"WITH {_NATIONS} SELECT 'moonshotai' AS provider, 'kimi-n' || k AS model_key, CAST(NULL AS VARCHAR) AS raw_alias, {_REMOTE}, 'models.dev' AS source_name, {_INFERRED} FROM n WHERE k % 5 <> 4",
+    "catalog_litellm": f"WITH {_NATIONS} SELECT 'moonshotai' AS provider, 'kimi-n' || k AS model_key, CAST(NULL AS VARCHAR) AS raw_alias, {_REMOTE}, 'litellm' AS source_name, {_INFERRED} FROM n WHERE k % 4 <> 3",
+    "catalog_overrides": f"""WITH {_NATIONS} SELECT CASE WHEN k % 3 = 1 THEN 'anthropic' ELSE 'moonshotai' END AS provider, CASE k % 3 WHEN 0 THEN 'kimi-n' WHEN 1 THEN 'claude-n' ELSE 'plain-n' END || k AS model_key, CASE k % 3 WHEN 0 THEN 'moonshot-ai/kimi-n' WHEN 1 THEN 'claude-n' ELSE 'plain-n' END || k AS raw_alias,
+      {_rates('given', 'out', 'coalesce(read, given)', 'given', 'coalesce(write, given)', 'given')}, 'user-override' AS source_name, 'override' AS confidence, CASE WHEN k % 4 = 0 THEN k * 86400000 END AS effective_at_ms FROM n""",
+    "catalog_vendor": f"WITH {_NATIONS} SELECT k + 1 AS rate_id, 'anthropic' AS provider, {_rates('given', 'out', 'given / 8', 'given * 1.25', 'given * 1.25', 'given * 2')}, 'anthropic' AS source_name, 'exact' AS confidence FROM n WHERE k < {len(VENDOR_MODELS)}",
+    "export_days": f"WITH {_EVENT_DAYS} SELECT date, 'claude-' || event_type AS model_key, k * 25 / 100.0::DOUBLE AS cost_usd, n AS request_count, k AS input, k * 2 AS output, k * 3 AS cache_read, n AS cache_write_5m, n * 2 AS cache_write_1h FROM days",
+    "report_models": f"WITH {_EVENT_DAYS} SELECT 'claude-' || event_type AS model_key, sum(k * 0.25::DOUBLE) AS cost_usd FROM days GROUP BY 1",
+    "report_totals": f"WITH {_EVENT_DAYS} SELECT sum(k * 0.25::DOUBLE) AS total_usd FROM days GROUP BY event_type",
+}
