@@ -411,3 +411,85 @@ def test_op10_recall(spark):
     root = components(range(n), links)
     assert all(root[r.component_id] == root[i] for i, r in got.items())
     assert sum(r.component_id != i for i, r in got.items()) >= 0.9 * sum(root[i] != i for i in range(n))
+
+
+def plain_chunks(data: bytes) -> list[bytes]:
+    """Normalised gear chunking, byte by byte."""
+    from meterlake.llm import fingerprints as fp
+
+    out, at = [], 0
+    while at < len(data):
+        end = min(len(data), at + fp.MOST)
+        for cut in range(at + fp.LEAST, end):
+            h = 0
+            for b in data[max(0, cut - 32) : cut]:
+                h = (h << 1) + int(fp._GEAR[b]) & 0xFFFFFFFF
+            bits = fp.STRICT if cut < at + fp.NORMAL else fp.LOOSE
+            if h >> 32 - bits == 0:
+                end = cut
+                break
+        out.append(data[at:end])
+        at = end
+    return out
+
+
+def test_op1_by_a_plain_loop(spark):
+    """Fingerprints and both likenesses of the smaller documents, from chunks made byte by byte."""
+    import struct
+
+    from meterlake.llm import text as T
+
+    docs = sorted((r["doc_id"], r["text"] or "") for r in rows_of(SMALL, "documents"))
+    got = {r.doc_id: r for r in query(spark, 1, SMALL)}
+
+    def prints(t: str) -> dict[int, int]:
+        parts = plain_chunks(t.encode())
+        flat, ends = np.frombuffer(b"".join(parts), np.uint8), np.cumsum([len(c) for c in parts])
+        return dict(zip(T.word_hashes(flat, np.append(0, ends[:-1]), ends, lower=False).tolist(), map(len, parts))) if parts else {}
+
+    def likeness(a: dict, b: dict) -> float:
+        return sum(n for d, n in a.items() if d in b) / sum(a.values()) if a and b else float(len(a) == len(b))
+
+    def string(a: dict) -> str:
+        return base64.b64encode(b"".join(struct.pack(">QH", d, a[d]) for d in sorted(a))).decode()
+
+    checked = 0
+    for (i, t), (_, u) in zip(docs, [*docs[1:], docs[0]]):
+        if len(t) + len(u) > 3000 or checked >= 40:
+            continue
+        own, other, edited = prints(t), prints(u), prints(t[: len(t) - len(t) // 4] + u[: len(t) // 4])
+        assert (got[i].fingerprint, got[i].edited_fingerprint) == (string(own), string(edited))
+        assert math.isclose(got[i].near_edited, likeness(own, edited)) and math.isclose(got[i].near_next, likeness(own, other))
+        checked += 1
+    assert checked >= 20
+
+
+def test_op3_places_are_permuted_ranks(spark):
+    from meterlake.llm import sharding
+
+    ids = sorted(r["doc_id"] for r in rows_of(SMALL, "documents"))
+    rank = {i: k for k, i in enumerate(ids)}
+    for r in query(spark, 3, SMALL):
+        assert r.row == rank[r.doc_id] and (r.shard, r.slot) == sharding.locate(r.row, len(ids), 8, 20)
+        assert sharding.row_at(r.shard, r.slot, len(ids), 8, 20) == r.row
+
+
+def test_op2_on_edges_and_withheld_labels(spark, edge):
+    """One row a document with scores; the kept share of good and bad documents whose labels the registered
+    query's model never saw; an id that many rows have trains once."""
+    from meterlake.llm import quality
+
+    docs = rows_of(edge, "documents")
+    got = query(spark, 2, edge)
+    assert Counter(r.doc_id for r in got) == Counter(r["doc_id"] for r in docs)
+    folder = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    hidden = sorted(r.doc_id for r in labels.collect())[::4]
+    frame = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "lang", "source", "text")
+    one = frame.where(f"doc_id = {min(set(r.doc_id for r in labels.collect()) - set(hidden))}")
+    many = frame.unionByName(one.select("*").crossJoin(spark.range(3000)).drop("id"))
+    scored = {r.doc_id: r for r in quality.classify(many, labels.where(~labels.doc_id.isin(hidden))).select("doc_id", "score", "keep").collect()}
+    known = [(scored[r.doc_id], r.quality) for r in labels.collect() if r.doc_id in set(hidden) and r.doc_id in scored]
+    share = {q: np.mean([s.keep for s, x in known if x == q]) for q in (0, 1)}
+    print("withheld", Counter(q for _, q in known), "kept", share)
+    assert share[1] > 0.95 and share[0] < 0.5

@@ -241,6 +241,38 @@ def test_join_with_a_cloud_of_near_copies(spark):
     assert len(set(want.values())) > ngram_join.CLOUD
 
 
+def test_join_with_two_clouds_that_share_a_passage(spark):
+    """Near copies of two texts with a long passage in common: no pairs across in the square of the clouds."""
+    from .test_contracts import components, jaccard_links, shingle_sets
+
+    common = text(50, 60).split()
+    rows = [{"doc_id": i, "text": _edited(i, [*text(51 + i % 2, 140).split(), *common], 1)} for i in range(400)]
+    df = spark.createDataFrame([(r["doc_id"], r["text"]) for r in rows], "doc_id long, text string")
+    made = []
+    grow = ngram_join._Join.grow
+
+    def counted(self, pairs, name):
+        made.append((name, pairs.count()))
+        grow(self, pairs, name)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(ngram_join._Join, "grow", counted)
+        got = {r.doc_id: r.component_id for r in ngram_join.similar_documents(df, 3, 90).collect()}
+    sets = shingle_sets(rows, 3)
+    assert got == components(list(sets), jaccard_links(sets, 90))
+    assert sum(n for _, n in made) < 64 * len(rows), made
+
+
+def test_sketches_never_rule_out_too_much():
+    rng = np.random.default_rng(7)
+    for n in (1, 2, 3, 50, 700, 5000):
+        for share in (0.0, 0.5, 0.9, 1.0):
+            a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+            b = np.unique(np.concatenate([a[: int(share * n)], rng.integers(0, 2**63, 1 + n // 3, dtype=np.uint64)]))
+            most = ngram_join.most_shared(ngram_join.sketch(a), ngram_join.sketch(b))
+            assert most is None or most >= len(np.intersect1d(a, b))
+
+
 def test_crowd_pairs_are_complete(spark):
     from .test_contracts import jaccard_links, shingle_sets
 
