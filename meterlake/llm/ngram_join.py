@@ -21,7 +21,7 @@ Signatures only nominate. Exact copies are one set from the start. Members of a
 compared with its least member (a star, as many pairs as members). Where a bucket then still holds
 more pairs of different components than CLOUD for each member, as clouds of near copies do, a few of
 its components by hash send a member that meets all others, and the crowd's sets are joined once more
-by prefixes of single shingles, in the order of the crowd's own frequencies. In all other buckets the
+by prefixes of single shingles, the rarest first. In all other buckets the
 pairs of different components that are left meet. Before whole sets meet, counts of both sets'
 members by hash give an upper bound of what they share, which rules out pairs for sure."""
 
@@ -31,7 +31,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterlake.llm import graph, scratch
@@ -216,8 +216,23 @@ def _surveyed(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return docs.mapInArrow(run, to)
 
 
-def _frequent(counts: DataFrame) -> np.ndarray:
-    """Keys of the most frequent window shingles, FREQUENT at most, in order."""
+class Frequent:
+    """The most frequent window shingles: keys in order, and how often each occurs."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        self.keys, self.counts = keys, counts
+
+    def of(self, u: np.ndarray) -> np.ndarray:
+        """Occurrences of each shingle, 0 for those that are not frequent."""
+        if not len(self.keys):
+            return np.zeros(len(u), np.int64)
+        key = u & _COUNTED
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.counts[at], 0)
+
+
+def _frequent(counts: DataFrame) -> Frequent:
+    """The most frequent window shingles, FREQUENT at most."""
 
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One range after the other: no more than its keys is held at once."""
@@ -252,9 +267,9 @@ def _frequent(counts: DataFrame) -> np.ndarray:
         if room < 0:
             break
         least = r.step
-    if least is None:
-        return np.zeros(0, np.uint64)
-    return np.sort(counts.where(step >= least).select("key").toArrow()["key"].to_numpy().astype(np.uint64))
+    top = counts.where(step >= least) if least is not None else counts.limit(0)
+    top = top.select("key", "n").toArrow().sort_by("key")
+    return Frequent(top["key"].to_numpy().astype(np.uint64), top["n"].to_numpy())
 
 
 def sketch(u: np.ndarray) -> np.ndarray:
@@ -307,25 +322,29 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return got.where(100 * F.col("o") >= percent * F.col("whole")).select("a", "b")
 
 
-def _crowd_pairs(docs: DataFrame, crowd: DataFrame, width: int, percent: int) -> DataFrame:
+def _heads(u: np.ndarray, frequent: Frequent, percent: int) -> np.ndarray:
+    """A set's members in the crowd's order, up to the last that a similar pair's first common one can be:
+    of the window the rare ones, then the frequent by count; then what the window doesn't count."""
+    often = np.where(u < _edge(percent), frequent.of(u), np.iinfo(np.int64).max)
+    return u[np.lexsort((u, often))][: allowed(len(u), percent) + 1]
+
+
+def _crowd_pairs(docs: DataFrame, crowd: DataFrame, frequent: Frequent, width: int, percent: int) -> DataFrame:
     """Pairs a, b of different parts of a crowd (id, part) that may be similar.
 
-    Members follow one order, the rarest in the crowd first, so that what sets a near copy apart
-    stands in front. A similar pair's first common member stands so early that enough can follow it
-    in both sets; in the smaller set that is among the first few, its head. Only heads are looked
-    up: what the whole crowd has in common stands behind them and brings no pair."""
+    Members follow one order, the rarest first, so that what sets a near copy apart stands in front.
+    A similar pair's first common member stands so early that enough can follow it in both sets; in
+    the smaller set that is among the first few, its head. Only heads are looked up: what the whole
+    crowd has in common stands behind them and brings no pair."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+
+    def made(part: pa.RecordBatch) -> list[pa.Array]:
+        sets = _sets(part, width)
+        return [part["doc_id"], pa.array([len(u) for u in sets], pa.int64()), _lists([_heads(u, shared.value, percent) for u in sets])]
+
     texts = docs.join(crowd.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    sets = _mapped(texts, "id long, m array<long>", lambda part: [part["doc_id"], _lists(_sets(part, width))])
-    sets = sets.dropDuplicates(["id"])
-    members = scratch.written(sets.select("id", F.size("m").cast("long").alias("n"), F.explode("m").alias("token")), "crowd-members")
-    # what only one member has comes first in its order and meets nothing: it counts, but needs no row
-    often = members.groupBy("token").agg(F.count("*").alias("often")).where("often > 1")
-    order = Window.partitionBy("id").orderBy("often", "token")
-    ranked = members.join(often, "token")
-    own = F.count("*").over(Window.partitionBy("id"))
-    ranked = ranked.withColumn("at", F.col("n") - own + F.row_number().over(order) - 1)
-    ranked = ranked.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100)).join(crowd, "id")
-    ranked = scratch.written(ranked.select("token", "id", "n", "at", "part"), "crowd-heads")
+    sets = _mapped(texts, "id long, n long, m array<long>", made).dropDuplicates(["id"]).join(crowd, "id")
+    ranked = scratch.written(sets.select("id", "n", "part", F.posexplode("m").alias("at", "token")), "crowd-heads")
     enough = lambda n, at, whole: (100 + percent) * (n - at) >= percent * whole
     head = ranked.where(enough(F.col("n"), F.col("at"), 2 * F.col("n")))
     head = head.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ab"), F.col("part").alias("pb"))
@@ -339,21 +358,15 @@ def _sizes_fit(a: str, b: str, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def _signed(docs: DataFrame, frequent: np.ndarray, width: int, percent: int) -> DataFrame:
+def _signed(docs: DataFrame, frequent: Frequent, width: int, percent: int) -> DataFrame:
     """doc_id, size of the set, its signatures and its sketch."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
-    def marked(w: np.ndarray) -> np.ndarray:
-        known, key = shared.value, w & _COUNTED
-        if not len(known):
-            return np.zeros(len(w), bool)
-        return known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key
-
     def made(part: pa.RecordBatch) -> list[pa.Array]:
         sets, found = _sets(part, width), []
         for u in sets:
             w = window(u, percent) if len(u) else u
-            found.append(signatures(len(u), w, marked(w), percent) if len(u) else u)
+            found.append(signatures(len(u), w, shared.value.of(w) > 0, percent) if len(u) else u)
         sizes = pa.array([len(u) for u in sets], pa.int64())
         return [part["doc_id"], sizes, _lists(found), _binaries([sketch(u) for u in sets])]
 
@@ -371,11 +384,11 @@ def _packed_sets(docs: DataFrame, width: int) -> DataFrame:
 
 
 class _Join:
-    """The links found so far, and the components that they make."""
+    """The components that the links found so far make."""
 
     def __init__(self, docs: DataFrame, signed: DataFrame, width: int, percent: int):
         self.docs, self.signed, self.width, self.percent = docs, signed, width, percent
-        self.links = self.parts = None
+        self.parts = None
 
     def grow(self, pairs: DataFrame, name: str) -> None:
         """Verifies the pairs a, b and adds those that link. Only the sets of documents in likely pairs
@@ -385,10 +398,10 @@ class _Join:
         wanted = F.broadcast(wanted) if wanted.count() <= WANTED else wanted
         sets = _packed_sets(self.docs.join(wanted, "doc_id", "left_semi"), self.width)
         more = scratch.written(_verified(pairs, sets, self.percent), f"{name}-links")
-        if self.links is not None and more.isEmpty():
-            return
-        self.links = more if self.links is None else self.links.union(more)
-        self.parts = scratch.written(graph.components(self.links, "a", "b"), "components")
+        if self.parts is None:
+            self.parts = scratch.written(graph.components(more, "a", "b"), "components")
+        elif not more.isEmpty():
+            self.parts = scratch.written(graph.merged(self.parts, more, "a", "b"), "components")
 
     def with_part(self, rows: DataFrame) -> DataFrame:
         """rows (id, ...) with part, the component of each."""
@@ -426,7 +439,7 @@ def _sent(crowded: DataFrame, percent: int) -> DataFrame:
     return met.select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
 
 
-def _components(docs: DataFrame, signed: DataFrame, width: int, percent: int) -> DataFrame:
+def _components(docs: DataFrame, signed: DataFrame, frequent: Frequent, width: int, percent: int) -> DataFrame:
     """id and component of the documents in signed that link with others."""
     join = _Join(docs, signed, width, percent)
     rows = signed.select(F.col("doc_id").alias("id"), "n", F.explode("s").alias("s"))
@@ -448,7 +461,7 @@ def _components(docs: DataFrame, signed: DataFrame, width: int, percent: int) ->
         crowded = scratch.written(left.join(crowds, "s"), "crowded")
         join.grow(_sent(crowded, percent), "sent")
         crowd = scratch.written(join.with_part(crowded.select("id").distinct()), "crowd")
-        join.grow(_crowd_pairs(docs, crowd, width, percent), "crowd-pairs")
+        join.grow(_crowd_pairs(docs, crowd, frequent, width, percent), "crowd-pairs")
         left = left.join(crowds.select("s"), "s", "left_anti")
     left = scratch.written(join.still_open(left.drop("part")), "left")
     other = left.select("s", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("part").alias("pb"), F.col("t").alias("tb"))
@@ -471,7 +484,7 @@ def similar_documents(docs: DataFrame, width: int = 3, percent: int = 90) -> Dat
     firsts = scratch.written(firsts, "firsts")
     signed = _signed(docs, frequent, width, percent).join(firsts.select(F.col("first").alias("doc_id")), "doc_id", "left_semi")
     signed = scratch.written(signed.dropDuplicates(["doc_id"]), "signatures")
-    whole = _components(docs, signed, width, percent)
+    whole = _components(docs, signed, frequent, width, percent)
 
     label = firsts.join(whole.withColumnRenamed("id", "first"), "first", "left")
     label = label.select("d1", "d2", F.coalesce("component", "first").alias("component"))

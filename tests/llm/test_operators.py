@@ -110,6 +110,19 @@ def test_components(spark):
     got = {r.id: r.component for r in graph.components(df, "a", "b").collect()}
     assert got == {i: 1 for i in range(1, 41)} | {100: 50, 50: 50, 200: 50}
     assert graph.components(df.limit(0), "a", "b").collect() == []
+    parts = graph.components(df.where("a % 3 <> 0"), "a", "b")
+    assert {r.id: r.component for r in graph.merged(parts, df.where("a % 3 = 0"), "a", "b").collect()} == got
+
+
+def test_components_of_random_graphs(spark):
+    from .test_contracts import components
+
+    rng = np.random.default_rng(4)
+    for n, m in ((60, 40), (60, 70), (200, 150)):
+        edges = [(int(a), int(b)) for a, b in rng.integers(0, n, (m, 2))]
+        want = components({i for e in edges for i in e}, edges)
+        df = spark.createDataFrame(edges, "a long, b long")
+        assert {r.id: r.component for r in graph.components(df, "a", "b").collect()} == want
 
 
 def test_targets():
@@ -281,7 +294,10 @@ def test_crowd_pairs_are_complete(spark):
     docs = spark.createDataFrame([(r["doc_id"], r["text"]) for r in rows], "doc_id long, text string")
     crowd = spark.createDataFrame([(i, i) for i in range(120)], "id long, part long")
     for percent in (80, 90):
-        got = {tuple(sorted(r)) for r in ngram_join._crowd_pairs(docs, crowd, 3, percent).collect()}
+        counted = ngram_join._surveyed(docs, 3, percent).where("range is not null").select("range", "keys", "counts")
+        frequent = ngram_join._frequent(counted)
+        assert len(frequent.keys) > 10
+        got = {tuple(sorted(r)) for r in ngram_join._crowd_pairs(docs, crowd, frequent, 3, percent).collect()}
         links = {tuple(sorted(p)) for p in jaccard_links(shingle_sets(rows, 3), percent)}
         assert links and links <= got
 
