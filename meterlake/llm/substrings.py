@@ -164,7 +164,8 @@ def _repeated(places: DataFrame) -> DataFrame:
     one = one.select("p.digest", "p.check", "_rank", "_h", "p.start", "p.size", "p.gap")
     least = F.min(F.struct("_rank", "_h", "start", "gap")).alias("f")
     first = one.groupBy("digest", "check").agg(least, F.count("*").alias("k")).where("k > 1").select("digest", "check", "f")
-    again = one.join(first, ["digest", "check"])
+    # written, as Spark splits a hot digest's rows only in a join that no aggregation feeds at once
+    again = one.join(scratch.written(first, "firsts"), ["digest", "check"])
     again = again.where("struct(_rank, _h, start) <> struct(f._rank, f._h, f.start)")
     line = F.when(F.col("check") != 0, F.struct("start", "size"))
     anchor = F.when(F.col("check") == 0, F.struct("start", "size", "digest", "gap", "f"))
