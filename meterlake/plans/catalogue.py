@@ -172,6 +172,21 @@ def replay_count(d: Data):
     return canonical.replays(d.classified, d.canonical).agg(F.count("*").alias("replays"))
 
 
+def _with_replays(d: Data) -> dashboard.Ledger:
+    calls = pricing.price(d.canonical, d.bundled)
+    return dashboard.Ledger(calls, d.occurrence_sessions, d.occurrence_agents, d.bundled, d.classified)
+
+
+@query
+def summary_with_replays(d: Data):
+    return dashboard.summary(_with_replays(d), Filters(), NOW).select("call_count", "input_tokens", "output_tokens", "replays_excluded")
+
+
+@query
+def sessions_with_replays(d: Data):
+    return dashboard.sessions(_with_replays(d), Filters()).select("session_id", "call_count", "agent_count", "inherited_occurrences")
+
+
 @query
 def replay_by_session(d: Data):
     ledger = dashboard.Ledger(d.canonical, d.occurrence_sessions, d.occurrence_agents, d.rates, d.classified)

@@ -338,4 +338,7 @@ ORACLES |= {
     "export_days": f"WITH {_EVENT_DAYS} SELECT date, 'claude-' || event_type AS model_key, k * 25 / 100.0::DOUBLE AS cost_usd, n AS request_count, k AS input, k * 2 AS output, k * 3 AS cache_read, n AS cache_write_5m, n * 2 AS cache_write_1h FROM days",
     "report_models": f"WITH {_EVENT_DAYS} SELECT 'claude-' || event_type AS model_key, sum(k * 0.25::DOUBLE) AS cost_usd FROM days GROUP BY 1",
     "report_totals": f"WITH {_EVENT_DAYS} SELECT sum(k * 0.25::DOUBLE) AS total_usd FROM days GROUP BY event_type",
+    "summary_with_replays": f"WITH {OCC} SELECT count(*) AS call_count, CAST(sum({_PROMPT}) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, (SELECT count(*) FROM classes WHERE NOT is_canonical AND kind <> 'superseded-usage' AND canonical_metered) AS replays_excluded FROM canon WHERE is_metered",
+    "sessions_with_replays": f"""WITH {OCC}, own AS (SELECT session_id, count(*) AS call_count FROM canon WHERE is_metered GROUP BY 1), again AS (SELECT session_id, count(*) AS n FROM classes WHERE NOT is_canonical AND kind <> 'superseded-usage' AND canonical_metered GROUP BY 1)
+      SELECT session_id, call_count, CAST(1 AS BIGINT) AS agent_count, coalesce(n, 0) AS inherited_occurrences FROM own LEFT JOIN again USING (session_id)""",
 }
