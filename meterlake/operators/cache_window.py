@@ -39,15 +39,24 @@ def positions(calls: DataFrame) -> DataFrame:
     return calls.withColumn("session_position", F.row_number().over(Window.partitionBy("session_id").orderBy(*ORDER)) - 1)
 
 
-def transitions(calls: DataFrame, options: Options = Options()) -> DataFrame:  # noqa: B008
-    """Each call of a stream but the first, against the one before it: kind (hit, miss, ambiguous
-    or excluded), reason, gap_ms, calls in between.
+def pairs(calls: DataFrame) -> DataFrame:
+    """Each call of a stream but the first, with p, the one before it.
 
     calls: session_id, agent_id, model, request_ms, usage_ms, event_fingerprint, cache_read_tokens,
     input_other_tokens, message_count, system_prompt_hash and tools_hash."""
     own = Window.partitionBy(*STREAM).orderBy(*ORDER)
     kept = ["request_ms", "cache_read_tokens", "input_other_tokens", "message_count", "system_prompt_hash", "tools_hash", "global_position", "session_position"]
-    rows = positions(calls).withColumn("p", F.lag(F.struct(*kept)).over(own)).where("p is not null")
+    return positions(calls).withColumn("p", F.lag(F.struct(*kept)).over(own)).where("p is not null")
+
+
+def transitions(calls: DataFrame, options: Options = Options()) -> DataFrame:  # noqa: B008
+    """Each call of a stream but the first, against the one before it: kind (hit, miss, ambiguous
+    or excluded), reason, gap_ms, calls in between. calls as pairs() takes them."""
+    return classified(pairs(calls), options)
+
+
+def classified(rows: DataFrame, options: Options) -> DataFrame:
+    """transitions() of pairs."""
     c, p = F.col, lambda name: F.col(f"p.{name}")
     gap = c("request_ms") - p("request_ms")
     stable = F.coalesce((p("system_prompt_hash") == c("system_prompt_hash")) & (p("tools_hash") == c("tools_hash")), F.lit(False))
@@ -128,10 +137,11 @@ def analyze(calls: DataFrame, options: Options = Options()) -> DataFrame:  # noq
 
 
 def sensitivity(calls: DataFrame, thresholds: list[int] = SENSITIVITY) -> DataFrame:
-    """The change point for each least prefix; one row each, nulls where there is none."""
-    out = None
+    """The change point for each least prefix; one row each, nulls where there is none. The pairs are
+    written once."""
+    rows, out = stored(pairs(calls), "pairs"), None
     for t in thresholds:
-        found = transitions(calls, Options(min_cache_read=t))
+        found = classified(rows, Options(min_cache_read=t))
         base = found.agg(F.count_if(F.col("kind").isin("hit", "miss")).alias("classified"))
         row = base.join(change_point(found).select("lower_ms", "upper_ms"), F.lit(True), "left").withColumn("min_cache_read", F.lit(t).cast("long"))
         out = row if out is None else out.unionByName(row)
