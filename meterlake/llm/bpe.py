@@ -15,6 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meterlake.llm import scratch
 from meterlake.llm import text as T
 
 #: Pre-tokens, and bytes of them, that a worker remembers in each of two generations: when the young
@@ -149,7 +150,7 @@ def _once(key: tuple, make: Callable[[], object]):
 
 def _with_columns(df: DataFrame, column: str, names: list[str], make: Callable[[], Callable[[pa.Array], list[pa.Array]]]) -> DataFrame:
     """Adds binary columns made from another one, slice by slice; those of these names are replaced."""
-    df = df.drop(*names)
+    df = scratch.in_small_batches(df.drop(*names))
     to = df.select("*", *[F.lit(b"").alias(c) for c in names]).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

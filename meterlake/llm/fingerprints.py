@@ -84,7 +84,7 @@ def containment(a: np.ndarray, b: np.ndarray) -> float:
 def fingerprints(df: DataFrame, text: str, name: str = "fingerprint") -> DataFrame:
     """Adds each text's fingerprint as a string; null and empty give the empty string. A column of
     that name is replaced, the others stay."""
-    df = df.drop(name)
+    df = scratch.in_small_batches(df.drop(name))
     to = df.select("*", F.lit("").alias(name)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +149,7 @@ def compared_with_next(docs: DataFrame) -> DataFrame:
                         pass
                     return
 
-    rows = with_next(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id")
+    rows = with_next(scratch.in_small_batches(docs).select(F.col("doc_id").cast("long"), "text"), "doc_id")
     return rows.select("doc_id", "text", "_ghost").mapInArrow(run, to)
 
 

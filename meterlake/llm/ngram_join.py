@@ -476,7 +476,7 @@ def similar_documents(docs: DataFrame, width: int = 3, percent: int = 90) -> Dat
     Two documents link when 100 * shared shingles >= percent * all shingles of both. A text of
     fewer words than width has its whole sequence as one shingle; without words, or without an
     id, a document links with nothing. Rows of one id are one document. An empty table gives no rows."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = scratch.in_small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     survey = scratch.written(_surveyed(docs, width, percent), "survey")
     every = survey.where("range is null").select("doc_id", "n", "d1", "d2")
     frequent = _frequent(survey.where("range is not null").select("range", "keys", "counts"))

@@ -272,7 +272,7 @@ def classify(docs: DataFrame, labels: DataFrame, seed: int = 2) -> DataFrame:
     score is null and every row is kept. Rows alike in text, lang and source get the same scores;
     rows of one id are scored each by itself, and one of them trains. Columns of these names are
     replaced, others stay as they are. An empty table gives no rows."""
-    docs = docs.drop("text_score", "meta_score", "score", "keep")
+    docs = scratch.in_small_batches(docs.drop("text_score", "meta_score", "score", "keep"))
     model = train(docs, labels, seed)
     if model is None:
         none = [F.lit(None).cast("double").alias(c) for c in ("text_score", "meta_score", "score")]

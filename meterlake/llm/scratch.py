@@ -53,3 +53,18 @@ def unpacked(df: DataFrame, needed: list[str], columns: list[str], *added: str)
 def partitions(spark: SparkSession) -> int:
     """The session's shuffle partitions; operators size their own exchanges by it."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Rows and bytes of a batch of texts that Spark hands to a worker: Spark's own 10,000 rows and 64 MB
+#: would be held several times over by each task, outside the executor's heap and in its workers.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1_000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """df; the session's Arrow batches are of BATCH at most from now on. Results don't hang on it."""
+    conf = df.sparkSession.conf
+    for key, most in BATCH.items():
+        now = int(str(conf.get(key)).rstrip("b"))
+        if now <= 0 or now > most:
+            conf.set(key, str(most))
+    return df

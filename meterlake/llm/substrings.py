@@ -238,7 +238,7 @@ def remove_repeats(docs: DataFrame, line_words: int = 1, run_words: int = RUN_WO
     a very long text is worked on alone. A column removed is replaced, others stay as they are. An
     empty table gives no rows."""
     needed, whole = ["doc_id", "text"], docs.columns
-    docs = scratch.packed(docs, *needed)
+    docs = scratch.packed(scratch.in_small_batches(docs), *needed)
     kept = docs.columns
     keyed = docs.withColumns({"_h": F.xxhash64("text"), "_rank": F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))})
     found = _repeats(keyed.where("text is not null").select("_rank", "_h", "text"), line_words)

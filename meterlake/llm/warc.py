@@ -165,6 +165,7 @@ def write_archives(records: DataFrame, folder: str, limit: int = ARCHIVE_BYTES)
         close()
         yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.int64()), pa.array([m[2] for m in made], pa.int64())], names=["path", "records", "bytes"])
 
+    records = scratch.in_small_batches(records)
     return scratch.written(records.select("page_id", "url", "payload", "refers_to").mapInArrow(run, "path string, records long, bytes long"), "warc-manifest")
 
 
