@@ -37,7 +37,7 @@ def write(path, frame: pd.DataFrame, kinds: dict) -> None:
     pq.write_table(pa.Table.from_pandas(frame.astype(object).where(frame.notna(), None), schema, preserve_index=False), path)
 
 
-LONGS = {c: pa.int64() for c in ("doc_id", "n_chars", "page_id", "vec_id")} | {"quality": pa.int32(), "toxic": pa.int32()}
+LONGS = {c: pa.int64() for c in ("doc_id", "n_chars", "page_id", "vec_id", "item_id")} | {"quality": pa.int32(), "toxic": pa.int32()}
 
 
 def tables(folder, documents: pd.DataFrame) -> str:
@@ -47,7 +47,15 @@ def tables(folder, documents: pd.DataFrame) -> str:
     pages = pd.DataFrame([(1, "http://a/ b", "<p>é"), (2, None, "<p>é"), (3, "u", None), (4, "u", ""), (5, "u", "other"), (5, "u", "<p>é"), (None, "u", "<p>é"), (7, "u", "WARC/1.1\r\n\r\n" * 50)], columns=["page_id", "url", "html"])
     write(folder / "pages.parquet", pages, LONGS)
     vectors = [[1.0, 0.0], [1.0, 0.01], [2.0, 0.0], None, [0.0, 0.0], [1.0, None], [float("nan"), 1.0], [float("inf"), 1.0], [0.0, 1.0], [1.0], []]
-    pq.write_table(pa.table({"vec_id": pa.array([*range(len(vectors) - 1), None], pa.int64()), "embedding": pa.array(vectors, pa.list_(pa.float64())), "label": pa.array([0] * len(vectors), pa.int32())}), folder / "embeddings.parquet")
+    vectors = [*vectors[:-1], [0.5] * 20_000, vectors[0], vectors[-1]]
+    ids = [*range(len(vectors) - 2), 20, None]
+    extra = {c: pa.array([f"{c}{i}" for i in range(len(vectors))]) for c in ("id", "sum", "list", "part", "score", "rank", "units", "code")}
+    pq.write_table(pa.table({"vec_id": pa.array(ids, pa.int64()), "embedding": pa.array(vectors, pa.list_(pa.float64())), "label": pa.array([0] * len(vectors), pa.int32())} | extra), folder / "embeddings.parquet")
+    items = [(1, text(1, 8)), (2, "one TWO two"), (3, None), (4, ""), (5, " ;;\x7f"), (6, "文本 Ünïcode, unknownword"), (7, "one"), (7, "birds"), (None, "one"), (8, text(9, 3000)), (9, "one"), (9, "one")]
+    benchmark = pd.DataFrame(items, columns=["item_id", "text"])
+    for c in ("doc_id", "n", "terms", "score", "rank"):
+        benchmark[c] = [f"{c}{i}" for i in range(len(benchmark))]
+    write(folder / "benchmark.parquet", benchmark, LONGS | {"doc_id": pa.string()})
     return str(folder)
 
 
