@@ -29,12 +29,12 @@ from meterlake.llm.embeddings import rotation
 A_LIST, LISTS, SAMPLE_VALUES = 64, 1024, 1 << 24
 #: Lloyd steps, sampled queries, and the share of their true neighbours that probing must find.
 STEPS, ASKED, RECALL = 8, 256, 0.97
-#: Seeds, which are SEED_SHARE of all vectors at most, and the chance that one test abandons a true neighbour.
-SEEDS, SEED_SHARE, MISS = 1024, 1 / 8, 0.001
+#: Seeds by their bytes and as a share of all vectors, at most, and the chance that a test abandons a true neighbour.
+SEED_BYTES, SEED_SHARE, MISS = 2 << 20, 1 / 8, 0.001
 #: Columns of a block, vectors and queries that one task scans at once.
 COLUMNS, TILE_QUERIES, TILE_VECTORS = 16, 256, 1024
-#: Vectors and queries of a group, at most (about, as they are dealt out by hash).
-VECTORS, QUERIES = 16_384, 4_096
+#: Bytes of the vectors, and queries, of a group, at most (about, as they are dealt out by hash).
+VECTOR_BYTES, QUERIES = 16 << 20, 4_096
 
 
 def inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -234,7 +234,7 @@ def search(df: DataFrame, key: str, vector: str, asked: Column, k: int = 20, see
     chosen = one.where(near).orderBy("sum").select("id", "bytes").collect() or one.select("id", "bytes").limit(1).collect()
     sample = _numbers([r.bytes for r in chosen], d)
     centres = fitted(sample, lists, seed)
-    first_few = min(SEEDS, int(SEED_SHARE * counts.n))
+    first_few = min(SEED_BYTES // (8 * d), int(SEED_SHARE * counts.n))
     seeds, seed_ids = sample[:first_few], np.array([r.id for r in chosen[:first_few]], np.int64)
     # with too few seeds to fill a result every list is probed
     probes = probes_for(sample, centres, k) if len(seeds) > k else len(centres)
@@ -248,7 +248,7 @@ def search(df: DataFrame, key: str, vector: str, asked: Column, k: int = 20, see
     vectors = scratch.written(one.select("id", "bytes").mapInArrow(placed, "id long, bytes binary, list int"), "placed")
     sizes = {r.list: r["count"] for r in vectors.groupBy("list").count().collect()}
     parts = scratch.partitions(spark)
-    most = int(min(VECTORS, max(512, counts.n / (2 * parts))))
+    most = int(max(1, min(VECTOR_BYTES / (8 * d), max(512, counts.n / (2 * parts)))))
     dealt = _dealt(sizes, len(centres), most)
     blocks = max(1, -(-counts.asked // QUERIES))
 

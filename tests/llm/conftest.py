@@ -47,7 +47,7 @@ def tables(folder, documents: pd.DataFrame) -> str:
     pages = pd.DataFrame([(1, "http://a/ b", "<p>é"), (2, None, "<p>é"), (3, "u", None), (4, "u", ""), (5, "u", "other"), (5, "u", "<p>é"), (None, "u", "<p>é"), (7, "u", "WARC/1.1\r\n\r\n" * 50)], columns=["page_id", "url", "html"])
     write(folder / "pages.parquet", pages, LONGS)
     vectors = [[1.0, 0.0], [1.0, 0.01], [2.0, 0.0], None, [0.0, 0.0], [1.0, None], [float("nan"), 1.0], [float("inf"), 1.0], [0.0, 1.0], [1.0], []]
-    vectors = [*vectors[:-1], [0.5] * 20_000, vectors[0], vectors[-1]]
+    vectors = [*vectors[:-1], [0.5] * 1_500, vectors[0], vectors[-1]]
     ids = [*range(len(vectors) - 2), 20, None]
     extra = {c: pa.array([f"{c}{i}" for i in range(len(vectors))]) for c in ("id", "sum", "list", "part", "score", "rank", "units", "code")}
     pq.write_table(pa.table({"vec_id": pa.array(ids, pa.int64()), "embedding": pa.array(vectors, pa.list_(pa.float64())), "label": pa.array([0] * len(vectors), pa.int32())} | extra), folder / "embeddings.parquet")
