@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterlake.functions import times
+from meterlake.operators import ranks
 from meterlake.operators.ordered import running
 from meterlake.session import stored
 
@@ -120,7 +121,7 @@ def longest_hit_run(found: DataFrame) -> DataFrame:
 
 def miss_median(found: DataFrame) -> DataFrame:
     """Exact median of the cached tokens after a miss."""
-    return found.where("kind = 'miss'").agg(F.median("cache_read_tokens").alias("cache_read_after_miss_median"))
+    return ranks.median(found.where("kind = 'miss'"), F.col("cache_read_tokens"), "cache_read_after_miss_median")
 
 
 def analyze(calls: DataFrame, options: Options = Options()) -> DataFrame:  # noqa: B008

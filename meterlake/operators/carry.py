@@ -1,15 +1,44 @@
-"""Values carried forward along a file's lines."""
+"""Values carried forward along a file's lines, as a scan over chunks of the file.
+
+What a line does to the value that is carried is an operation: it leaves the value, sets it, or clears
+it. Operations compose, and what a whole chunk does is what its last operation does. So each chunk is
+summed up by one row; the value at a chunk's beginning comes from the rows of the chunks before it, and
+only lines of one chunk are sorted together. A file of any length needs no task that holds it."""
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Positions in a chunk: bytes, where lines are ordered by their offsets.
+CHUNK = 16 << 20
+
+
+def _operation(value: Column, clears: Column) -> Column:
+    """null where a line leaves the value, else a struct of what it becomes."""
+    clear = F.coalesce(clears, F.lit(False))
+    return F.when(clear | value.isNotNull(), F.struct(F.when(~clear, value).alias("v")))
+
 
-def carried(lines: DataFrame, value: Column, clears: Column, name: str, path: str = "path", order: str = "byte_offset") -> DataFrame:
+def _last(operation: str, order: str) -> Column:
+    return F.max_by(operation, F.when(F.col(operation).isNotNull(), F.col(order)))
+
+
+def carried(lines: DataFrame, value: Column, clears: Column, name: str, path: str = "path", order: str = "byte_offset", chunk: int = CHUNK) -> DataFrame:
     """Adds the latest value before each line of its file, forgotten after a line that clears it.
 
-    value: null where a line has none. clears is seen by the lines after it."""
-    own = Window.partitionBy(path).orderBy(order)
-    cleared = F.coalesce(F.sum(F.when(clears, 1).otherwise(0)).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    lines = lines.withColumn("_group", cleared)
-    within = Window.partitionBy(path, "_group").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return lines.withColumn(name, F.last(value, ignorenulls=True).over(within)).drop("_group")
+    value: null where a line has none. clears is seen by the lines after it; a line that clears carries
+    nothing on. order: a number that no two lines of a file share; it decides the chunk."""
+    place = F.coalesce(F.floor(F.col(order) / chunk), F.lit(-1)).cast("long")
+    rows = lines.withColumns({"_operation": _operation(value, clears), "_chunk": place})
+    sums = rows.groupBy(path, "_chunk").agg(_last("_operation", order).alias("_last"))
+    before = Window.partitionBy(path).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    entry = sums.withColumn("_entry", F.last("_last", ignorenulls=True).over(before)).drop("_last")
+    own = Window.partitionBy(path, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_own", F.last("_operation", ignorenulls=True).over(own))
+    rows = rows.join(entry.where("_entry is not null"), [path, "_chunk"], "left")
+    return rows.withColumn(name, F.coalesce("_own", "_entry")["v"]).drop("_operation", "_chunk", "_own", "_entry")
+
+
+def carried_on(lines: DataFrame, value: Column, clears: Column, name: str, path: str = "path", order: str = "byte_offset") -> DataFrame:
+    """path and the value, if there is one, that each file's lines carry on behind their last."""
+    rows = lines.select(path, order, _operation(value, clears).alias("_operation"))
+    return rows.groupBy(path).agg(_last("_operation", order)["v"].alias(name)).where(F.col(name).isNotNull())

@@ -1,10 +1,10 @@
 """Wire logs and state files of the kimi family."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterlake.functions import variants as V
-from meterlake.operators.carry import carried
+from meterlake.operators.carry import carried, carried_on
 from meterlake.schemas import TOKENS
 
 #: <root>/sessions/<workspace>/<session>/wire.jsonl, or .../agents/<agent>/wire.jsonl
@@ -38,35 +38,44 @@ def _label(path: str):
     return F.when(V.kind(V.at(v, path)).isin("STRING", "BIGINT", "DECIMAL", "DOUBLE"), F.try_variant_get(v, path, "string"))
 
 
-def usage_records(lines: DataFrame) -> DataFrame:
-    """Usage records of turns with the identity of the step before them.
-
-    lines: path, byte_offset, text, perhaps with step, an identity from before the first line. A
-    step's identity is spent by the next record that counts, not by records that don't."""
+def _turns(lines: DataFrame) -> DataFrame:
+    """Lines with what a step's end tells (_step) and whether a usage record counts (_used)."""
     v = F.col("v")
     rows = _parsed(lines, "usage.record", "context.append_loop_event")
     step, turn = _label("$.event.step"), _label("$.event.turnId")
-    quote = lambda path, x: F.when(x.isNull(), F.lit("null")).when(V.kind(V.at(v, path)) == "STRING", F.concat(F.lit('"'), F.regexp_replace(x, r'(["\\])', r"\\$1"), F.lit('"'))).otherwise(x)
-    metadata = F.when(step.isNotNull() | turn.isNotNull(), F.concat(F.lit('{"step":'), quote("$.event.step", step), F.lit(',"turnId":'), quote("$.event.turnId", turn), F.lit("}")))
+
+    def quoted(path: str, x: Column) -> Column:
+        text = F.concat(F.lit('"'), F.regexp_replace(x, r'(["\\])', r"\\$1"), F.lit('"'))
+        return F.when(x.isNull(), F.lit("null")).when(V.kind(V.at(v, path)) == "STRING", text).otherwise(x)
+
+    both = F.concat(F.lit('{"step":'), quoted("$.event.step", step), F.lit(',"turnId":'), quoted("$.event.turnId", turn), F.lit("}"))
+    metadata = F.when(step.isNotNull() | turn.isNotNull(), both)
     ends = (F.col("type") == "context.append_loop_event") & (V.text(v, "$.event.type") == "step.end")
     identity = F.struct(V.filled(v, "$.event.messageId").alias("request"), metadata.alias("metadata"), V.filled(v, "$.event.uuid").alias("uuid"))
     counts = {c: V.count(v, f"$.usage.{k}") if k else F.lit(0).cast("long") for c, k in _TOKENS.items()}
     rows = rows.withColumns({**counts, "model": V.filled(v, "$.model"), "timestamp_ms": V.time_ms(v, "$.time")})
-    used = (F.col("type") == "usage.record") & (V.text(v, "$.usageScope") == "turn") & F.col("model").isNotNull() & F.col("timestamp_ms").isNotNull() & (sum((F.col(c) for c in TOKENS[1:]), F.col(TOKENS[0])) > 0)
-    rows = rows.withColumns({"_step": F.when(ends, identity), "_used": F.coalesce(used, F.lit(False))})
+    used = (F.col("type") == "usage.record") & (V.text(v, "$.usageScope") == "turn")
+    used &= F.col("model").isNotNull() & F.col("timestamp_ms").isNotNull() & (sum((F.col(c) for c in TOKENS[1:]), F.col(TOKENS[0])) > 0)
+    return rows.withColumns({"_step": F.when(ends, identity), "_used": F.coalesce(used, F.lit(False))})
+
+
+def usage_records(lines: DataFrame) -> DataFrame:
+    """Usage records of turns with the identity of the step before them.
+
+    lines: path, byte_offset, text, perhaps with step, an identity from before the first line. A
+    step's identity is spent by the next record that counts, not by records that don't."""
+    rows = _turns(lines)
     if "step" in lines.columns:
         rows = rows.withColumn("_step", F.coalesce("step", "_step"))
     rows = carried(rows, F.col("_step"), F.col("_used"), "_identity").where("_used")
-    return rows.select("path", "byte_offset", "model", F.col("_identity.request").alias("provider_request_id"), F.col("_identity.uuid").alias("step_uuid"), F.col("_identity.metadata").alias("request_metadata"), "timestamp_ms", *TOKENS)
+    identity = [F.col(f"_identity.{a}").alias(b) for a, b in (("request", "provider_request_id"), ("uuid", "step_uuid"), ("metadata", "request_metadata"))]
+    return rows.select("path", "byte_offset", "model", *identity, "timestamp_ms", *TOKENS)
 
 
 def open_steps(lines: DataFrame) -> DataFrame:
-    """The identity of each path's last step that no usage record has spent: a stream's context."""
-    v = F.col("v")
-    rows = _parsed(lines, "context.append_loop_event").where((F.col("type") == "context.append_loop_event") & (V.text(v, "$.event.type") == "step.end"))
-    last = rows.groupBy("path").agg(F.max_by(F.struct("byte_offset", "text"), "byte_offset").alias("s")).select("path", "s.byte_offset", "s.text")
-    spent = usage_records(lines).groupBy("path").agg(F.max("byte_offset").alias("_spent"))
-    return last.join(spent, "path", "left").where("_spent is null or _spent < byte_offset").drop("_spent")
+    """The end of each path's last step that no usage record has spent: a stream's context."""
+    own = F.when(F.col("_step").isNotNull(), F.struct("byte_offset", "text"))
+    return carried_on(_turns(lines), own, F.col("_used"), "s").select("path", "s.byte_offset", "s.text")
 
 
 def requests(lines: DataFrame) -> DataFrame:
