@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 #: Parts of a table with a key: a change rewrites only those that it touches.
 BUCKETS = 64
 _WHOLE = "all"
+#: Commits of rows that a table gathers before it is written as one.
+PARTS = 64
 
 
 def bucket_of(key: str) -> Column:
@@ -90,13 +92,33 @@ class Commit:
         kept = {b: p for b, p in self.parts.get(table, {}).items() if b not in {str(b) for b in buckets}}
         self.parts[table] = kept | {b: f"{path}/_bucket={b}" for b in made}
 
+    def append(self, table: str, df: DataFrame, schema: str) -> None:
+        """df's rows come to the table's; every PARTS commits the table is written as one again."""
+        old = self.parts.get(table, {})
+        if len(old) >= PARTS:
+            df, old = self.read(table, schema).unionByName(df), {}
+        path = f"{table}/v{self.version}"
+        df.coalesce(1).write.mode("overwrite").parquet(f"{self.store.folder}/{path}")
+        self.parts[table] = old | {f"v{self.version}": path}
+
+    def keep(self, name: str, df: DataFrame) -> DataFrame:
+        """df as a table that lasts until the commit is published: what a batch reads more than once."""
+        path = f"{self.store.folder}/work/v{self.version}/{name}"
+        df.write.mode("overwrite").parquet(path)
+        return self.store.spark.read.schema(df.schema).parquet(path)
+
     def publish(self) -> int:
-        """Makes the commit visible by one file that appears whole, then drops what no kept commit names."""
+        """Makes the commit visible by one file that appears whole, then drops what no kept commit names.
+        A number that another writer has published meanwhile is refused: nothing of this commit counts."""
         store, name = self.store, f"{self.store.top}/manifests/{self.version}"
+        if self.version in store.versions():
+            raise RuntimeError(f"another writer has published version {self.version}")
         store.files.create_dir(f"{store.top}/manifests", recursive=True)
         with store.files.open_output_stream(f"{name}.part") as f:
             f.write(json.dumps(self.parts, sort_keys=True).encode())
         store.files.move(f"{name}.part", f"{name}.json")
+        if store._names(f"work/v{self.version}"):
+            store.files.delete_dir(f"{store.top}/work/v{self.version}")
         self._clean()
         return self.version
 

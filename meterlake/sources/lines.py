@@ -1,10 +1,11 @@
 """Lines of append-only logs with the byte offset of each."""
 
 import hashlib
-import json
 import os
 from collections.abc import Iterator
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
@@ -132,74 +133,46 @@ class _Batch(DataSourceReader):
         return _read(self.folder, partition, self.tail) if partition is not None else iter(())
 
 
-class _Stream(DataSourceStreamReader):
-    """Offsets hold for each file its generation, the checkpoint behind its last whole line, and a
-    digest of its edges. A file that shrinks or whose edges change begins a new generation, after a
-    row that retracts the old one; a file that vanishes is retracted."""
+class _Ticks(DataSourceStreamReader):
+    """A row whenever the files below a folder have changed; the offset is a digest of their names, sizes
+    and times, of one length however many there are. No file is opened."""
 
     def __init__(self, options: dict):
-        self.folder, self.suffix, self.range = options["path"], options.get("suffix", ".jsonl"), int(options.get("range", RANGE))
-        self.last: dict | None = None
+        self.folder, self.suffixes = options["path"], options.get("suffix", ".jsonl").split(",")
 
     def initialOffset(self):
-        return {"files": "{}"}
-
-    def _mark(self, store, path: str, upto: int) -> str:
-        with store.open_input_file(path) as f:
-            head = f.read(min(EDGE, upto))
-            f.seek(max(0, upto - EDGE))
-            return hashlib.sha256(head + f.read(min(EDGE, upto)) + str(upto).encode()).hexdigest()
-
-    def _whole(self, store, path: str, start: int, size: int) -> int:
-        """Place behind the last line end, start at least."""
-        with store.open_input_file(path) as f:
-            end = size
-            while end > start:
-                begin = max(start, end - (1 << 20))
-                f.seek(begin)
-                cut = f.read(end - begin).rfind(b"\n")
-                if cut >= 0:
-                    return begin + cut + 1
-                end = begin
-        return start
+        return {"digest": ""}
 
     def latestOffset(self):
-        before = self.last or {}
-        store, _ = _open(self.folder)
-        now = {}
-        for path, size in sorted(_sizes(self.folder, self.suffix).items()):
-            generation, upto, mark = before.get(path, (0, 0, None))
-            gone = mark is None and path in before
-            anew = not gone and path in before and (size < upto or mark != self._mark(store, path, upto))
-            start = 0 if anew or gone else upto
-            end = self._whole(store, path, start, size)
-            now[path] = (generation + (anew or gone), end, self._mark(store, path, end))
-        for path, (generation, _, _) in before.items():
-            if path not in now:
-                now[path] = (generation, 0, None)
-        self.last = now
-        return {"files": json.dumps(now, sort_keys=True)}
+        digest = hashlib.sha256()
+        for path, size, at in sorted(_walk(*_open(self.folder), self.suffixes)):
+            digest.update(f"{path}\0{size}\0{at}\n".encode())
+        return {"digest": digest.hexdigest()}
 
     def partitions(self, start: dict, end: dict):
-        old, new = json.loads(start["files"]), json.loads(end["files"])
-        self.last = self.last or new
-        found = []
-        for path, (generation, upto, mark) in new.items():
-            before, at, had = old.get(path, (generation, 0, "new"))
-            if had is not None and had != "new" and (mark is None or generation != before):
-                found.append(_Range(path, before, 0, 0, "retract"))
-            if mark is not None:
-                found += _ranges(path, generation, at if generation == before and had != "new" else 0, upto, self.range)
-        return found
+        return [InputPartition(end["digest"])]
 
     def read(self, partition):
-        return _read(self.folder, partition)
+        yield (partition.value,)
 
 
-class LogLines(DataSource):
-    """spark.dataSource.register(LogLines); format("log-lines"), options path, suffix, range and, in batch, tail.
+class LogTicks(DataSource):
+    """format("log-ticks"), options path and suffix (several by commas): tells a stream that there is work."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "log-ticks"
 
-    For files of any size, and as a stream that takes up each file at its checkpoint."""
+    def schema(self) -> str:
+        return "digest string"
+
+    def streamReader(self, schema):
+        return _Ticks(self.options)
+
+
+class LogLines(DataSource):
+    """spark.dataSource.register(LogLines); format("log-lines"), options path, suffix, range and tail. For
+    files of any size."""
 
     @classmethod
     def name(cls) -> str:
@@ -211,5 +184,141 @@ class LogLines(DataSource):
     def reader(self, schema):
         return _Batch(self.options)
 
-    def streamReader(self, schema):
-        return _Stream(self.options)
+
+#: What is known of a file: the generation that is read, the place behind its last whole line, a digest
+#: of its edges up to there, and whether it has gone.
+FILES = "path string, generation long, upto long, mark string, gone boolean"
+#: What a file has come to: lines from start to upto are new in generation; before is the generation that
+#: ends, where the file is gone or was written anew.
+CHANGES = f"{FILES}, start long, before long, rewritten boolean, error string"
+#: Folders that are listed on the driver before tasks list what is below them.
+SPREAD = 64
+
+
+def _walk(store, top: str, suffixes: list[str]) -> Iterator[tuple[str, int, int]]:
+    """path, size and time in ns of the files below top. A folder that isn't there has none, a link that
+    leads nowhere is none."""
+    import pyarrow.fs as pafs
+
+    for f in store.get_file_info(pafs.FileSelector(top, recursive=True, allow_not_found=True)):
+        if f.is_file and f.path.lower().endswith(tuple(suffixes)):
+            yield f.path, f.size, f.mtime_ns or 0
+
+
+def found(spark: SparkSession, folder: str, suffixes: list[str]) -> DataFrame:
+    """path and size of files below a folder. The driver goes down until there are SPREAD folders, or no
+    more; tasks list what these hold."""
+    import pyarrow.fs as pafs
+
+    store, top = _open(folder)
+    level, files = [top], []
+    while level and len(level) < SPREAD:
+        seen = [f for d in level for f in store.get_file_info(pafs.FileSelector(d, allow_not_found=True))]
+        files += [(f.path, f.size) for f in seen if f.is_file and f.path.lower().endswith(tuple(suffixes))]
+        level = [f.path for f in seen if f.type == pafs.FileType.Directory]
+    here = spark.createDataFrame(files, "path string, size long")
+    if not level:
+        return here
+
+    def below(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        inside, _ = _open(folder)
+        for batch in batches:
+            for d in batch["folder"]:
+                rows = [(path, size) for path, size, _ in _walk(inside, d, suffixes)]
+                yield pd.DataFrame(rows, columns=["path", "size"])
+
+    folders = spark.createDataFrame([(d,) for d in level], "folder string").repartition(min(len(level), 1000))
+    return here.union(folders.mapInPandas(below, "path string, size long"))
+
+
+def _mark(store, path: str, upto: int) -> str:
+    """A digest of a file's first and last bytes up to a place."""
+    with store.open_input_file(path) as f:
+        head = f.read(min(EDGE, upto))
+        f.seek(max(0, upto - EDGE))
+        return hashlib.sha256(head + f.read(min(EDGE, upto)) + str(upto).encode()).hexdigest()
+
+
+def _whole(store, path: str, start: int, size: int) -> int:
+    """The place behind the last line end up to size, start at least."""
+    with store.open_input_file(path) as f:
+        end = size
+        while end > start:
+            begin = max(start, end - (1 << 20))
+            f.seek(begin)
+            cut = f.read(end - begin).rfind(b"\n")
+            if cut >= 0:
+                return begin + cut + 1
+            end = begin
+    return start
+
+
+def _changed(store, path: str, size: int | None, generation: int | None, upto: int | None, mark: str | None, gone: bool) -> tuple | None:
+    """A row of CHANGES, or None where nothing has changed."""
+    if size is None:
+        return None if gone else (path, generation, 0, None, True, 0, generation, False, None)
+    known = generation is not None
+    anew = known and not gone and (size < upto or mark != _mark(store, path, upto))
+    start = upto if known and not gone and not anew else 0
+    end = _whole(store, path, start, size)
+    if known and not gone and not anew and end == upto:
+        return None
+    now = (generation + (1 if anew or gone else 0)) if known else 0
+    return (path, now, end, _mark(store, path, end), False, start, generation if anew else None, anew, None)
+
+
+def compared(listing: DataFrame, known: DataFrame, folder: str) -> DataFrame:
+    """What has changed of the files since known (FILES), as CHANGES. Tasks open the files at their edges.
+    A file that cannot be read is an error, and stays as it was known."""
+    names = [c.split()[0] for c in CHANGES.split(", ")]
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, _ = _open(folder)
+        for batch in batches:
+            rows = []
+            for path, *rest in batch.astype(object).where(batch.notna(), None).itertuples(index=False):
+                size, generation, upto = (None if x is None else int(x) for x in rest[:3])
+                mark, gone = rest[3:]
+                try:
+                    row = _changed(store, path, size, generation, upto, mark, bool(gone))
+                except OSError as e:
+                    row = (path, generation, upto, mark, bool(gone), upto, None, False, str(e))
+                if row is not None:
+                    rows.append(row)
+            made = pd.DataFrame(rows, columns=names)
+            for c in ("generation", "upto", "start", "before"):
+                made[c] = made[c].astype("Int64")
+            yield made
+
+    both = listing.join(known, "path", "full").select("path", "size", "generation", "upto", "mark", "gone")
+    return both.mapInPandas(compare, CHANGES)
+
+
+def new_lines(changes: DataFrame, folder: str, size: int = RANGE) -> DataFrame:
+    """path, generation, byte_offset and line of what is new: tasks read ranges of size bytes, so a long
+    file is read by many and many short ones by a few."""
+    new = changes.where("error is null and start < upto")
+    much = new.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("upto") - F.col("start")), F.lit(0)).alias("bytes")).first()
+    ranges = new.select("path", "generation", "upto", F.explode(F.sequence(F.col("start"), F.col("upto") - 1, F.lit(size))).alias("at"))
+    ranges = ranges.select("path", "generation", "at", F.least(F.col("at") + size, F.col("upto")).alias("end"))
+    tasks = max(1, min(much.n, 4 * int(changes.sparkSession.conf.get("spark.sql.shuffle.partitions"))), -(-much.bytes // size))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for batch in batches:
+            for r in batch.to_pylist():
+                for _, *row in _read(folder, _Range(r["path"], r["generation"], r["at"], r["end"])):
+                    rows.append(row)
+                    held += len(row[-1])
+                    if held >= 4 << 20 or len(rows) >= 4096:
+                        yield _batch(rows)
+                        rows, held = [], 0
+        if rows:
+            yield _batch(rows)
+
+    return ranges.repartition(tasks, "path", "at").mapInArrow(read, "path string, generation long, byte_offset long, line binary")
+
+
+def _batch(rows: list[list]) -> pa.RecordBatch:
+    kinds = {"path": pa.string(), "generation": pa.int64(), "byte_offset": pa.int64(), "line": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds.values())], names=list(kinds))

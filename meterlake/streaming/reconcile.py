@@ -1,20 +1,24 @@
 """Incremental ingest: new lines of logs become occurrences, and only the calls that they touch
 are made anew. Nothing is dropped for being late; a source that is rewritten or gone is retracted."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from meterlake.functions import usage
 from meterlake.operators import metering, pricing, reconcile
-from meterlake.schemas import CALL, COSTS, OCCURRENCE, SESSION, TOKENS
+from meterlake.schemas import AGENT, CALL, COSTS, OCCURRENCE, SESSION
 from meterlake.sinks.store import Commit, Store, bucket_of
-from meterlake.sources import claude, kimi
-from meterlake.sources.lines import LogLines, texts
+from meterlake.sources import lines as logs
+from meterlake.sources import providers
 
 CALLS = CALL + ", provider_request_id string"
 CONTEXT = "path string, generation long, byte_offset long, text string"
-BATCHES = "batch_id long, changed boolean, lines long, retracted_sources long, added_occurrences long, malformed long"
+AGENTS = AGENT + ", source_path string"
+FOLLOWED = f"root string, {logs.FILES}"
+GONE = "source_path string, generation long, vanished boolean"
+COUNTERS = ["discovered_sessions", "discovered_sources", "lines", "bytes", "malformed", "inserted", "removed", "rewritten", "errors"]
+BATCHES = f"version long, stream string, batch_id long, changed boolean, {', '.join(f'{c} long' for c in COUNTERS)}"
 
 
 def record_usage(records: DataFrame, states: DataFrame) -> DataFrame:
@@ -28,11 +32,13 @@ def record_usage(records: DataFrame, states: DataFrame) -> DataFrame:
 
 
 class Reconciler:
-    """Folds batches of log lines of both families into a store of occurrences and canonical, priced
-    calls. What a batch changes is published at once; a batch that fails before that leaves nothing.
+    """Folds log lines of all registered providers into a store of occurrences and canonical, priced
+    calls. What a batch changes is published at once, and with it how far each file was read; a batch
+    that fails before that leaves nothing.
 
     Occurrences and calls lie in buckets by fingerprint, and a batch rewrites only those that it touches.
-    sessions are those to begin with; refresh_sessions takes up changes."""
+    sessions are those to begin with; refresh_sessions takes up changes. One writer at a time; any number
+    of folders can be followed into one store."""
 
     def __init__(self, spark: SparkSession, folder: str, sessions: DataFrame, rates: DataFrame, states: DataFrame):
         self.spark, self.store = spark, Store(spark, folder)
@@ -46,6 +52,11 @@ class Reconciler:
     def calls(self) -> DataFrame:
         return self.store.read("calls", CALLS)
 
+    @property
+    def agents(self) -> DataFrame:
+        """AGENT rows, and the log that each is known from."""
+        return self.store.read("agents", AGENTS)
+
     @property
     def sessions(self) -> DataFrame:
         known = "sessions" in self.store.manifest()
@@ -53,42 +64,102 @@ class Reconciler:
 
     @property
     def batches(self) -> DataFrame:
-        """Counters of the last batch: whether it changed the ledger, and what of."""
+        """The log of batches: one row for each that was published, by version, with its counters."""
         return self.store.read("batches", BATCHES)
 
-    def batch(self, lines: DataFrame, batch_id: int) -> None:
-        """A batch that is delivered again changes nothing: it is known by its number, its lines by place."""
-        if batch_id in {r.batch_id for r in self.batches.tail(1)}:
+    def changes_since(self, version: int) -> DataFrame:
+        """Batches after a version that changed the ledger: what a reader has to look at again."""
+        return self.batches.where((F.col("version") > version) & F.col("changed"))
+
+    def batch(self, lines: DataFrame, batch_id: int, stream: str = "") -> None:
+        """Lines that someone else has read: op (line or retract), path, generation, byte_offset, line. A
+        batch that a stream delivers again is known by the stream and its number, and changes nothing."""
+        known = (F.col("stream") == stream) & (F.col("batch_id") == batch_id)
+        if not self.batches.where(known).isEmpty():
             return
+        gone = lines.where("op = 'retract'").select(F.col("path").alias("source_path"), "generation", F.lit(True).alias("vanished"))
+        fresh = lines.where("op = 'line'").select("path", "generation", "byte_offset", "line")
         commit = self.store.begin()
+        found = lines.where("op = 'line'").select("path").distinct()
+        self._fold(commit, fresh, gone, {"stream": stream, "batch_id": batch_id}, commit.keep("found", found))
+        commit.publish()
+
+    def take(self, root: str, batch_id: int | None = None) -> None:
+        """Takes up what has changed below a folder since the store last saw it: new files, new lines,
+        files written anew and files that have gone. To do it again changes nothing, and nothing is published."""
+        commit = self.store.begin()
+        files = self.store.read("files", FOLLOWED)
+        known, others = files.where(F.col("root") == root).drop("root"), files.where(F.col("root") != root)
+        listing = commit.keep("listing", logs.found(self.spark, root, providers.suffixes()))
+        owned = providers.placed(listing.select("path"))
+        listing = listing.join(owned.select("path").distinct(), "path", "left_semi")
+        changes = commit.keep("changes", logs.compared(listing, known, root))
+        if changes.isEmpty():
+            return
+        good = changes.where("error is null")
+        now = good.select(F.lit(root).alias("root"), *_names(logs.FILES))
+        kept = known.join(good.select("path"), "path", "left_anti").select(F.lit(root).alias("root"), *_names(logs.FILES))
+        commit.write("files", others.select(*_names(FOLLOWED)).unionByName(now).unionByName(kept))
+        gone = good.where("before is not null").select(F.col("path").alias("source_path"), F.col("before").alias("generation"), F.col("gone").alias("vanished"))
+        counts = changes.agg(F.count_if("rewritten").alias("rewritten"), F.count_if(F.col("error").isNotNull()).alias("errors")).first()
+        self._fold(commit, logs.new_lines(changes, root), gone, {"stream": root, "batch_id": batch_id, **counts.asDict()}, owned)
+        commit.publish()
+
+    def _fold(self, commit: Commit, fresh: DataFrame, gone: DataFrame, counted: dict, found: DataFrame) -> None:
+        """Takes lines (path, generation, byte_offset, line) and retractions into the commit. The lines are
+        read once, into a table that lasts as long as the commit."""
+        read = Observation()
+        amount = [F.count("*").alias("lines"), F.coalesce(F.sum(F.octet_length("line") + 1), F.lit(0)).alias("bytes")]
+        fresh = commit.keep("lines", logs.texts(fresh.observe(read, *amount)))
         context = self.store.read("context", CONTEXT)
-        gone = lines.where("op = 'retract'").select(F.col("path").alias("source_path"), "generation")
-        fresh = texts(lines.where("op = 'line'"))
-        # the step that a file's last batch left open comes before its new lines
-        wires = fresh.where(F.col("path").rlike(kimi.WIRE)).select("path", "generation", "byte_offset", "text")
-        carried = context.join(wires.select("path", "generation").distinct(), ["path", "generation"], "left_semi")
-        steps = _by_generation(wires.unionByName(carried))
-        others = _by_generation(fresh.where(~F.col("path").rlike(kimi.WIRE)))
-        found = [kimi.placed(_with_generation(kimi.usage_records(steps))), claude.placed(_with_generation(claude.usage_records(others)))]
-        recorded = [record_usage(f, self.states) for f in found]
-        commit.write("fresh", recorded[0].unionByName(recorded[1]))
-        commit.write("gone", gone)
-        new, gone = commit.read("fresh", OCCURRENCE), commit.read("gone", "source_path string, generation long")
-        retracted = self.occurrences.join(F.broadcast(gone), ["source_path", "generation"], "left_semi")
+        recorded, opened, malformed = [], [], []
+        for provider, own in providers.owned(fresh):
+            malformed.append(provider.malformed(own).select("malformed"))
+            if provider.open_lines:  # what a file's last batch left open comes before its new lines
+                carried = context.join(own.select("path", "generation").distinct(), ["path", "generation"], "left_semi")
+                own = own.select("path", "generation", "byte_offset", "text").unionByName(carried)
+                opened.append(_with_generation(provider.open_lines(_by_generation(own))).select(*_names(CONTEXT)))
+            records = provider.placed(_with_generation(provider.records(_by_generation(own))))
+            recorded.append(record_usage(records, self.states))
+        new, gone = commit.keep("fresh", _union(recorded)), commit.keep("gone", gone)
+        places = gone.select("source_path", "generation")
+        retracted = commit.keep("retracted", self.occurrences.join(places, ["source_path", "generation"], "left_semi"))
         keys = new.select("event_fingerprint").union(retracted.select("event_fingerprint"))
-        known = self._rewrite(commit, keys, lambda old: reconcile.record_once(old.join(F.broadcast(gone), ["source_path", "generation"], "left_anti"), new))
-        open_ = _with_generation(kimi.open_steps(steps)).select("path", "generation", "byte_offset", "text")
-        kept = context.join(wires.select("path").distinct(), "path", "left_anti")
-        kept = kept.join(gone.withColumnRenamed("source_path", "path"), ["path", "generation"], "left_anti")
-        commit.write("context", kept.unionByName(open_))
-        commit.write("batches", self._counted(batch_id, lines, fresh, known))
-        commit.publish()
+        without = lambda old: old.join(places, ["source_path", "generation"], "left_anti")
+        before, after = self._rewrite(commit, keys, lambda old: reconcile.record_once(without(old), new))
+        kept = context.join(fresh.select("path").distinct(), "path", "left_anti")
+        kept = kept.join(places.withColumnRenamed("source_path", "path"), ["path", "generation"], "left_anti")
+        commit.write("context", _union([kept, *opened]))
+        self._take_agents(commit, fresh, gone)
+        sessions = found if "session_id" in found.columns else providers.placed(found)
+        size = sessions.agg(F.countDistinct("session_id").alias("s"), F.countDistinct("path").alias("p")).first()
+        lost = retracted.join(gone.where("vanished"), ["source_path", "generation"], "left_semi")
+        counted |= {"version": commit.version, "discovered_sessions": size.s, "discovered_sources": size.p, **read.get}
+        counted |= {"malformed": _union(malformed).agg(F.coalesce(F.sum("malformed"), F.lit(0))).first()[0]}
+        retractions = retracted.count()
+        counted |= {"removed": lost.count(), "inserted": after - before + retractions}
+        counted.setdefault("rewritten", 0)
+        counted.setdefault("errors", 0)
+        counted["changed"] = bool(counted["inserted"] or retractions)
+        commit.append("batches", self.spark.createDataFrame([tuple(counted[c] for c in _names(BATCHES))], BATCHES), BATCHES)
+
+    def _take_agents(self, commit: Commit, fresh: DataFrame, gone: DataFrame) -> None:
+        """Agents of the new lines. A row that names more than the file's path does takes the place of the
+        one that is known, and so does any row where that file has gone or was written anew."""
+        made = []
+        for provider, own in providers.owned(fresh):
+            paths = provider.placed(own.select("path")).groupBy("session_id", "agent_id").agg(F.min("path").alias("source_path"))
+            made.append(provider.agents(own).select(*_names(AGENT)).join(paths, ["session_id", "agent_id"]).select(*_names(AGENTS)))
+        known = self.agents.join(gone.select("source_path"), "source_path", "left_anti").withColumn("_new", F.lit(0))
+        rows = known.select(*_names(AGENTS), "_new").unionByName(_union(made).withColumn("_new", F.lit(1)))
+        plain = F.col("agent_key").isin("main", "subagent") | (F.col("agent_key") == F.col("agent_id"))
+        rows = rows.withColumn("_worth", F.struct((~plain).cast("int"), F.col("_new")))
+        commit.write("agents", reconcile.latest(rows, ["session_id", "agent_id"], "_worth").select(*_names(AGENTS)))
 
     def _rewrite(self, commit: Commit, keys: DataFrame, change) -> tuple[int, int]:
         """Occurrences as change makes them, and the calls of keys anew, in the buckets that keys touch.
         Gives the numbers of occurrences there before and after."""
-        commit.write("keys", keys.distinct())
-        keys = commit.read("keys", "event_fingerprint string")
+        keys = commit.keep("keys", keys.distinct())
         buckets = [r.b for r in keys.select(bucket_of("event_fingerprint").alias("b")).distinct().collect()]
         if not buckets:
             return 0, 0
@@ -101,15 +172,6 @@ class Reconciler:
         commit.write_buckets("calls", priced, "event_fingerprint", buckets)
         return old.count(), now.count()
 
-    def _counted(self, batch_id: int, lines: DataFrame, fresh: DataFrame, known: tuple[int, int]) -> DataFrame:
-        counts = lines.agg(F.count_if(F.col("op") == "line").alias("lines"), F.count_if(F.col("op") == "retract").alias("gone")).first()
-        wire = F.col("path").rlike(kimi.WIRE)
-        bad = kimi.malformed(fresh.where(wire)).union(claude.malformed(fresh.where(~wire)))
-        malformed = bad.agg(F.coalesce(F.sum("malformed"), F.lit(0))).first()[0]
-        before, after = known
-        row = (batch_id, before != after or bool(counts.gone), counts.lines, counts.gone, after - before, malformed)
-        return self.spark.createDataFrame([row], BATCHES)
-
     def refresh_sessions(self, sessions: DataFrame) -> None:
         """Takes up new and changed sessions; where the age of one has changed, the calls that it has a
         part in are attributed anew. Sessions that are not named stay."""
@@ -129,14 +191,24 @@ class Reconciler:
         self._rewrite(commit, bare.select("event_fingerprint"), lambda old: metering.backfill(old, self.states, detected_state_id))
         commit.publish()
 
-    def start(self, logs: str, checkpoint: str, every: str | None = None, suffix: str = ".jsonl") -> StreamingQuery:
-        """Follows logs below a folder; every: as '30 seconds', or once over what is there."""
-        self.spark.dataSource.register(LogLines)
-        stream = self.spark.readStream.format("log-lines").option("path", logs).option("suffix", suffix).load()
-        writer = stream.writeStream.foreachBatch(self.batch).option("checkpointLocation", checkpoint)
+    def start(self, root: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+        """Follows the logs below a folder; every: as '30 seconds', or once over what is there.
+
+        The stream tells that something has changed; how far each file was read is the store's to know.
+        So a lost checkpoint, a batch that comes again or another folder's stream loses and repeats nothing."""
+        self.spark.dataSource.register(logs.LogTicks)
+        ticks = self.spark.readStream.format("log-ticks").option("path", root).option("suffix", ",".join(providers.suffixes())).load()
+        writer = ticks.writeStream.foreachBatch(lambda _, batch_id: self.take(root, batch_id)).option("checkpointLocation", checkpoint)
         return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for other in parts[1:]:
+        out = out.unionByName(other)
+    return out
+
+
 def _by_generation(lines: DataFrame) -> DataFrame:
     """Each generation of a file as a path of its own, as the parsers carry state along a path."""
     return lines.withColumn("path", F.concat_ws("\x00", "path", F.col("generation").cast("string")))
