@@ -6,6 +6,8 @@ at the sum of those before it; only one row a chunk passes through the single-ta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meterlake.session import stored
+
 
 def running(df: DataFrame, lead: Column, chunk: int, order: list, sums: dict[str, Column], position: str | None = None, whole: dict[str, Column] | None = None) -> DataFrame:
     """Adds running sums, and the position from 0, in the order by lead (a long) and then order;
@@ -25,3 +27,16 @@ def running(df: DataFrame, lead: Column, chunk: int, order: list, sums: dict[str
     out = df.withColumns({k: F.sum(x).over(within) for k, x in make.items()}).join(bases, "_chunk")
     out = out.withColumns({k: F.col(k) + F.col(f"_{k}") - (1 if k == position else 0) for k in make})
     return out.drop("_chunk", *[f"_{k}" for k in make])
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Adds the position from 0 in an order that no number leads, such as a collation. Ranges of the order
+    are written and sorted by themselves; only one row a range passes through the single-task window."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = stored(df.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("_range").agg(F.count("*").alias("_n"))
+    bases = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    within = Window.partitionBy("_range").orderBy(*order)
+    out = rows.withColumn(name, F.row_number().over(within) - 1).join(bases, "_range")
+    return out.withColumn(name, (F.col(name) + F.col("_base")).cast("long")).drop("_range", "_base")

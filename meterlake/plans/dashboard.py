@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from meterlake.functions import labels, times, usage
 from meterlake.operators.filters import Filters, described, matching, visible
-from meterlake.operators.ordered import running
+from meterlake.operators.ordered import numbered, running
 from meterlake.operators.pricing import rate_columns
 from meterlake.schemas import COSTS, TOKENS
 
@@ -262,6 +262,19 @@ def grouped_options(options: DataFrame) -> DataFrame:
     return options.groupBy("recency_rank", "recency_group").agg(F.count("*").alias("options"), F.min_by("value", order).alias("first_option"))
 
 
+def ordered_options(options: DataFrame) -> DataFrame:
+    """All options with their place in their recency group and in the whole list, both from 0."""
+    order = [F.col("recency_rank").asc(), F.desc("total_cost_nano"), F.desc("updated_at_ms"), F.col("value").asc()]
+    rows = numbered(options, order, "position")
+    first = rows.groupBy("recency_rank").agg(F.min("position").alias("_first"))
+    return rows.join(first, "recency_rank").withColumn("group_position", F.col("position") - F.col("_first")).drop("_first")
+
+
+def in_collated_order(options: DataFrame, column: str = "value", collation: str = "UNICODE") -> DataFrame:
+    """Options with their position by the rules of a collation; texts that it takes for equal by code points."""
+    return numbered(options, [F.collate(F.col(column), collation).asc(), F.col(column).asc()], "position")
+
+
 def health(ledger: Ledger) -> DataFrame:
     """One row of counts: of calls and sessions those that are metered, as the dashboard shows them."""
     metered, cost = F.col("is_metered"), F.col("total_cost_nano")

@@ -342,3 +342,32 @@ ORACLES |= {
     "sessions_with_replays": f"""WITH {OCC}, own AS (SELECT session_id, count(*) AS call_count FROM canon WHERE is_metered GROUP BY 1), again AS (SELECT session_id, count(*) AS n FROM classes WHERE NOT is_canonical AND kind <> 'superseded-usage' AND canonical_metered GROUP BY 1)
       SELECT session_id, call_count, CAST(1 AS BIGINT) AS agent_count, coalesce(n, 0) AS inherited_occurrences FROM own LEFT JOIN again USING (session_id)""",
 }
+
+_WIRE_BYTES = """length('{"type":"context.append_loop_event","event":{"type":"step.end","uuid":"' || event_id || '"}}') + 1
+  + length('{"type":"usage.record","time":' || timestamp_ms || ',"model":"' || raw_model || '","usageScope":"turn","usage":{"inputOther":' || input_other_tokens
+    || ',"inputCacheCreation":' || cache_creation_tokens || ',"inputCacheRead":' || cache_read_tokens || ',"output":' || output_tokens || '}}') + 1"""
+_ZEROS = "CAST(0 AS BIGINT) AS"
+
+ORACLES |= {
+    "import_counters": f"""WITH {CALLS}, c AS (SELECT session_id, {_N} AS n, event_id, {_WIRE_BYTES} AS bytes FROM raw),
+      again AS (SELECT n FROM c WHERE n % 7 <> 0 AND n % 5 = 1 GROUP BY n HAVING count(*) FILTER (event_id % 2 = 0) > 0 AND count(*) FILTER (event_id % 2 <> 0) > 0),
+      new AS (SELECT * FROM c WHERE event_id % 2 = 0 AND n IN (SELECT n FROM again))
+      SELECT CAST(1 AS BIGINT) AS version, true AS changed, count(DISTINCT n) AS discovered_sessions, count(DISTINCT n) AS discovered_sources, 2 * count(*) AS lines, CAST(sum(bytes) AS BIGINT) AS bytes, {_ZEROS} malformed, count(*) AS inserted, {_ZEROS} removed, {_ZEROS} rewritten, {_ZEROS} errors FROM c
+      UNION ALL SELECT 2, true, (SELECT count(DISTINCT n) FROM c WHERE n % 7 <> 0), (SELECT count(DISTINCT n) FROM c WHERE n % 7 <> 0), 2 * count(*), CAST(coalesce(sum(bytes), 0) AS BIGINT), 0, count(*), (SELECT count(*) FROM c WHERE n % 7 = 0), (SELECT count(*) FROM again), 0 FROM new""",
+    "store_agents": ORACLES["claude_agents"],
+    "rate_refresh": f"""WITH {_NATIONS} SELECT 'kimi-n' || k AS model_key, (k + 1) * 1000 AS {RATES[0]}, k % 5 <> 0 AND k % 7 <> 6 AS is_active, CAST(CASE WHEN k % 5 <> 0 AND k % 7 <> 6 THEN 2 ELSE 1 END AS BIGINT) AS snapshot_id, true AS same_id FROM n
+      UNION ALL SELECT 'kimi-n' || k, (k + 1) * 1000 + 500, true, 2, false FROM n WHERE k % 5 = 0 AND k % 7 <> 6""",
+    "rate_statuses": f"""SELECT * FROM (VALUES ('moonshotai', 'failed', false, false, 'litellm', 'Kimi LiteLLM', CAST({NOW - 4} AS BIGINT), NULL, 'litellm: HTTP 503', true, 'Pricing refresh failed: litellm: HTTP 503'),
+      ('anthropic', 'failed', true, false, 'bundled-claude-2026-08-14', 'Claude Bundled', NULL, '2026-08-14', 'anthropic: no rates', true, 'Pricing is stale. Pricing refresh failed: anthropic: no rates'))
+      AS t(provider, refresh_status, is_stale, has_overrides, source_name, source_label, updated_at_ms, bundled_date, error, has_warning, description) WHERE EXISTS (SELECT 1 FROM nation)""",
+    "health_report": f"""WITH {CALLS}, tries AS (SELECT CAST(r_regionkey AS BIGINT) AS k, CASE WHEN r_regionkey % 2 = 0 THEN 'moonshotai' ELSE 'anthropic' END AS provider, 'source-' || r_regionkey AS source_name, CASE WHEN r_regionkey IN (1, 2) THEN 'HTTP 50' || r_regionkey END AS error FROM region),
+      p AS (SELECT provider, count(*) FILTER (k <> 4) AS tried, count(*) FILTER (error IS NOT NULL) AS bad, max(CASE WHEN k <> 4 AND error IS NULL THEN {NOW} - k * 1000 END) AS good, string_agg(source_name || ': ' || error, '; ' ORDER BY source_name) AS error FROM tries GROUP BY 1),
+      q AS (SELECT provider, provider || ' ' || CASE WHEN tried = 0 THEN 'not-attempted' WHEN bad = tried THEN 'failed' WHEN bad > 0 THEN 'partial-failure' ELSE 'succeeded' END || ' ' || CASE WHEN provider = 'anthropic' THEN 'Claude Bundled' ELSE 'Kimi Bundled' END || ' '
+        || concat_ws(' ', CASE WHEN good IS NULL OR {NOW} - good > {DAY} THEN 'Pricing is stale.' END, 'Pricing refresh failed: ' || error) AS line FROM p),
+      n AS (SELECT count(*) FILTER (is_metered) AS calls, count(DISTINCT session_id) FILTER (is_metered) AS sessions, count(*) FILTER (is_metered AND total_cost_nano IS NULL) AS unpriced_calls FROM calls)
+      SELECT calls, sessions, unpriced_calls, CAST(3 AS BIGINT) AS data_version, 'warning' AS status, '{STATES[0][2]}' AS account_policy, CAST({NOW - 9} AS BIGINT) AS account_last_success_at_ms,
+        (SELECT string_agg(DISTINCT session_provider, '; ' ORDER BY session_provider) FROM sessions) AS providers, (SELECT string_agg(line, '; ' ORDER BY provider) FROM q) AS pricing,
+        concat_ws('; ', '2 source(s) could not be read.', 'Claude account check: not signed in', (SELECT string_agg(source_name || ': ' || error, '; ' ORDER BY source_name) FROM tries WHERE error IS NOT NULL), CASE WHEN unpriced_calls > 0 THEN unpriced_calls || ' call(s) have no matching price.' END) AS warnings FROM n""",
+    "options_in_order": f"WITH {_OPTIONS}, {_split('spend')}, {_RANKED} SELECT session_id AS value, grp AS recency_group, row_number() OVER (PARTITION BY rank_ ORDER BY cost DESC, updated_at_ms DESC, session_id) - 1 AS group_position, row_number() OVER (ORDER BY rank_, cost DESC, updated_at_ms DESC, session_id) - 1 AS position FROM opt",
+    "workspaces_in_order": f"WITH {CALLS} SELECT workspace_key AS value, row_number() OVER (ORDER BY workspace_key) - 1 AS position FROM (SELECT DISTINCT workspace_key FROM v)",
+}

@@ -43,10 +43,11 @@ def _usage_record() -> Column:
     return F.to_json(F.struct(F.lit("usage.record").alias("type"), F.col("timestamp_ms").alias("time"), F.col("raw_model").alias("model"), F.lit("turn").alias("usageScope"), used.alias("usage")))
 
 
-def write_wires(calls: DataFrame, folder: str) -> int:
-    """sessions/ws/<session>/wire.jsonl for each session: a step end and a usage record a call, in time order."""
+def write_wires(calls: DataFrame, folder: str, workspace: str | Column = "ws") -> int:
+    """sessions/<workspace>/<session>/wire.jsonl for each session: a step end and a usage record a call, in time order."""
     step = F.to_json(F.struct(F.lit("context.append_loop_event").alias("type"), F.struct(F.lit("step.end").alias("type"), _text(F.col("event_id")).alias("uuid")).alias("event")))
-    path = F.concat(F.lit("sessions/ws/"), "session_id", F.lit("/wire.jsonl"))
+    where = F.lit(workspace) if isinstance(workspace, str) else workspace
+    path = F.concat(F.lit("sessions/"), where, F.lit("/"), "session_id", F.lit("/wire.jsonl"))
     both = F.concat(step, F.lit("\n"), _usage_record())
     return write_files(calls.select(path.alias("path"), F.col("timestamp_ms").alias("at"), F.col("event_id").alias("tie"), both.alias("text")), folder)
 
