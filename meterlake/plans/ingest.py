@@ -5,41 +5,18 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlake.operators import canonical, diagnostics, pricing, reconcile
+from meterlake.operators import canonical, diagnostics, pricing
 from meterlake.plans.dashboard import Ledger
-from meterlake.schemas import AGENT, OCCURRENCE, SESSION
-from meterlake.sources import claude, kimi, lines
+from meterlake.schemas import ACCOUNT_STATE, AGENT, OCCURRENCE, RATE, SESSION
+from meterlake.sources import claude, lines, providers
 from meterlake.streaming.reconcile import record_usage
 
-_names = lambda schema: [c.split()[0] for c in schema.split(", ")]
 
-
-def kimi_parts(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Usage records, sessions and agents below <root>/sessions. A session without a state file
-    begins and ends with the times of its logs."""
-    states = lines.files(spark, root, "state.json")
-    records = kimi.placed(kimi.usage_records(lines.texts(lines.read(spark, root, "wire.jsonl"))))
-    logs = kimi.placed(lines.listed(spark, root, "wire.jsonl"))
-    known = kimi.states(states)
-    bare = logs.join(known, "session_id", "left_anti").groupBy("session_id")
-    times = [F.min("modified_ms").alias("created_at_ms"), F.max("modified_ms").alias("updated_at_ms")]
-    bare = bare.agg(F.min("workspace_key").alias("workspace_key"), *times)
-    none = F.lit(None).cast("string")
-    bare = bare.select("session_id", F.lit("moonshotai").alias("provider"), "workspace_key", none.alias("work_directory"), none.alias("title"), "created_at_ms", "updated_at_ms")
-    agents = reconcile.merged_agents(kimi.state_agents(states), logs.select("session_id", "agent_id", F.col("path").alias("source_path")))
-    label = F.when(F.col("agent_id") == "main", "Main").otherwise(F.col("agent_id"))
-    return records, known.unionByName(bare).select(*_names(SESSION)), agents.select("session_id", "agent_id", F.col("agent_id").alias("agent_key"), label.alias("agent_label"), "agent_type")
-
-
-def claude_parts(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Usage records, sessions and agents below <root>/projects."""
-    text, found = lines.texts(lines.read(spark, root)), lines.listed(spark, root)
-    return claude.placed(claude.usage_records(text)), claude.sessions(text, found).select(*_names(SESSION)), claude.agents(text).select(*_names(AGENT))
-
-
-def ledger(spark: SparkSession, rates: DataFrame, states: DataFrame, kimi_root: str | None = None, claude_root: str | None = None, previous: DataFrame | None = None) -> Ledger:
-    """Canonical, metered and priced calls of both families. previous: a ledger whose prices stay."""
-    parts = [f(spark, root) for f, root in ((kimi_parts, kimi_root), (claude_parts, claude_root)) if root]
+def ledger(spark: SparkSession, rates: DataFrame, states: DataFrame, kimi_root: str | None = None, claude_root: str | None = None, previous: DataFrame | None = None, roots: dict[str, str] | None = None) -> Ledger:
+    """Canonical, metered and priced calls of the logs below the roots, by provider: those of the two
+    families, and of any other that is registered. previous: a ledger whose prices stay."""
+    named = {"kimi": kimi_root, "claude": claude_root} | (roots or {})
+    parts = [p.parts(spark, named[p.name]) for p in providers.all_providers() if named.get(p.name) and p.parts]
     join = lambda i, schema: reduce(DataFrame.unionByName, [p[i] for p in parts]) if parts else spark.createDataFrame([], schema)
     sessions, agents = join(1, SESSION), join(2, AGENT)
     recorded = [record_usage(p[0].withColumn("generation", F.lit(0).cast("long")), states) for p in parts]
@@ -61,8 +38,12 @@ def transcripts(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     return claude.usage_records(lines.texts(lines.read(spark, root))), claude.scan(lines.texts(lines.read(spark, root, tail=True)))
 
 
-def diagnose(spark: SparkSession, root: str, what: str, day: str) -> DataFrame:
-    """sessions (with their chains), hourly, or aborts."""
+def diagnose(spark: SparkSession, root: str, what: str, day: str, states: DataFrame | None = None, until: str | None = None) -> DataFrame:
+    """sessions (with their chains), hourly, aborts, or the replays of metered calls from day to until."""
+    if what == "replays":
+        known = spark.createDataFrame([], ACCOUNT_STATE) if states is None else states
+        occurrences = ledger(spark, spark.createDataFrame([], RATE), known, claude_root=root).occurrences
+        return diagnostics.replay_classes(occurrences, day, until or day)
     records, scan = transcripts(spark, root)
     if what == "hourly":
         return diagnostics.hourly(records, day)

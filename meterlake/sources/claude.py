@@ -1,11 +1,12 @@
 """Transcripts of the claude family."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterlake.functions import labels
 from meterlake.functions import variants as V
-from meterlake.schemas import TOKENS
+from meterlake.schemas import AGENT, SESSION, TOKENS
+from meterlake.sources import lines
 
 #: <root>/projects/<project>/<session>.jsonl, and <session>/subagents/agent-<id>.jsonl below it
 MAIN = r"(?i)/projects/([^/]+)/([^/]+)\.jsonl$"
@@ -97,3 +98,9 @@ def scan(lines: DataFrame) -> DataFrame:
     good = V.is_object(v)
     at = F.unix_millis(F.try_to_timestamp(V.text(v, "$.timestamp")))
     return rows.select("path", "byte_offset", (~good).alias("malformed"), F.when(good, V.text(v, "$.uuid")).alias("uuid"), F.when(good, V.text(v, "$.parentUuid")).alias("parent_uuid"), F.when(good, at).alias("timestamp_ms"), F.when(good & at.isNotNull(), marker(v)).alias("kind"))
+
+
+def parts(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Usage records, sessions and agents below <root>/projects."""
+    text, found = lines.texts(lines.read(spark, root)), lines.listed(spark, root)
+    return placed(usage_records(text)), sessions(text, found).select(*[c.split()[0] for c in SESSION.split(", ")]), agents(text).select(*[c.split()[0] for c in AGENT.split(", ")])

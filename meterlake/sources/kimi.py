@@ -1,11 +1,13 @@
 """Wire logs and state files of the kimi family."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterlake.functions import variants as V
+from meterlake.operators import reconcile
 from meterlake.operators.carry import carried, carried_on
-from meterlake.schemas import TOKENS
+from meterlake.schemas import SESSION, TOKENS
+from meterlake.sources import lines
 
 #: <root>/sessions/<workspace>/<session>/wire.jsonl, or .../agents/<agent>/wire.jsonl
 WIRE = r"/sessions/([^/]+)/([^/]+)/(?:agents/([^/]+)/)?wire\.jsonl$"
@@ -121,3 +123,20 @@ def state_agents(files: DataFrame) -> DataFrame:
     a = F.col("a")
     kind = V.text(a, "$.type")
     return rows.where(V.is_object(a)).select("session_id", "agent_id", F.when(kind.isin("main", "sub"), kind).otherwise("unknown").alias("agent_type"), V.filled(a, "$.parentAgentId").alias("parent_agent_id"), V.filled(a, "$.homedir").alias("source_path"))
+
+
+def parts(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Usage records, sessions and agents below <root>/sessions. A session without a state file
+    begins and ends with the times of its logs."""
+    files = lines.files(spark, root, "state.json")
+    records = placed(usage_records(lines.texts(lines.read(spark, root, "wire.jsonl"))))
+    logs = placed(lines.listed(spark, root, "wire.jsonl"))
+    known = states(files)
+    bare = logs.join(known, "session_id", "left_anti").groupBy("session_id")
+    times = [F.min("modified_ms").alias("created_at_ms"), F.max("modified_ms").alias("updated_at_ms")]
+    bare = bare.agg(F.min("workspace_key").alias("workspace_key"), *times)
+    none = F.lit(None).cast("string")
+    bare = bare.select("session_id", F.lit("moonshotai").alias("provider"), "workspace_key", none.alias("work_directory"), none.alias("title"), "created_at_ms", "updated_at_ms")
+    agents = reconcile.merged_agents(state_agents(files), logs.select("session_id", "agent_id", F.col("path").alias("source_path")))
+    label = F.when(F.col("agent_id") == "main", "Main").otherwise(F.col("agent_id"))
+    return records, known.unionByName(bare).select(*[c.split()[0] for c in SESSION.split(", ")]), agents.select("session_id", "agent_id", F.col("agent_id").alias("agent_key"), label.alias("agent_label"), "agent_type")

@@ -4,7 +4,7 @@ registered is discovered, parsed and followed like the two that are there."""
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterlake.schemas import AGENT
@@ -16,7 +16,8 @@ class Provider:
     """suffix: of its files' names. pattern: of its files' paths. placed: adds session_id and agent_id by
     path. records: usage records of lines (path, byte_offset, text). malformed: per path, how many lines
     can't be read. agents: AGENT rows of placed lines. open_lines: lines that later ones of their path
-    still need (path, byte_offset, text), for families that carry something from line to line."""
+    still need (path, byte_offset, text), for families that carry something from line to line. parts: placed
+    usage records, sessions and agents of all that is below a root, for ingest in one batch."""
 
     name: str
     suffix: str
@@ -26,6 +27,7 @@ class Provider:
     malformed: Callable[[DataFrame], DataFrame]
     agents: Callable[[DataFrame], DataFrame]
     open_lines: Callable[[DataFrame], DataFrame] | None = None
+    parts: Callable[[SparkSession, str], tuple[DataFrame, DataFrame, DataFrame]] | None = None
 
     def owns(self, path: Column) -> Column:
         return path.rlike(self.pattern)
@@ -76,5 +78,5 @@ def placed(rows: DataFrame) -> DataFrame:
 
 AGENT_COLUMNS = [c.split()[0] for c in AGENT.split(", ")]
 
-register(Provider("kimi", "wire.jsonl", kimi.WIRE, kimi.placed, kimi.usage_records, kimi.malformed, lambda lines: named_agents(kimi.placed(lines)), kimi.open_steps))
-register(Provider("claude", ".jsonl", f"{claude.MAIN}|{claude.SUB}", claude.placed, claude.usage_records, claude.malformed, claude.agents))
+register(Provider("kimi", "wire.jsonl", kimi.WIRE, kimi.placed, kimi.usage_records, kimi.malformed, lambda lines: named_agents(kimi.placed(lines)), kimi.open_steps, kimi.parts))
+register(Provider("claude", ".jsonl", f"{claude.MAIN}|{claude.SUB}", claude.placed, claude.usage_records, claude.malformed, claude.agents, parts=claude.parts))

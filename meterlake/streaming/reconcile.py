@@ -8,7 +8,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from meterlake.functions import usage
 from meterlake.operators import metering, pricing, reconcile
 from meterlake.schemas import AGENT, CALL, COSTS, OCCURRENCE, SESSION
-from meterlake.sinks.store import Commit, Store, bucket_of
+from meterlake.sinks.store import BUCKETS, Commit, Store, bucket_of
 from meterlake.sources import lines as logs
 from meterlake.sources import providers
 
@@ -191,6 +191,25 @@ class Reconciler:
         self._rewrite(commit, bare.select("event_fingerprint"), lambda old: metering.backfill(old, self.states, detected_state_id))
         commit.publish()
 
+    def detect(self, states: DataFrame) -> None:
+        """Account states as they are known from now on. Calls from before the first that was ever detected
+        are metered by it at once; those that have a state keep it."""
+        self.states = states
+        bare = self.occurrences.where("provider = 'anthropic' and account_state_id is null")
+        if not states.isEmpty() and not bare.isEmpty():
+            self.classify()
+
+    def reprice(self, rates: DataFrame) -> dict[str, int]:
+        """Prices all calls anew by these rates, which hold from now on; gives the totals."""
+        self.rates = rates
+        commit, buckets = self.store.begin(), range(BUCKETS)
+        priced = pricing.price(self.calls.select(*_canonical_columns()), rates).select(*_names(CALLS))
+        commit.write_buckets("calls", priced, "event_fingerprint", buckets)
+        commit.publish()
+        metered, cost = F.col("is_metered"), F.col("total_cost_nano")
+        totals = [F.count_if(metered).alias("call_count"), F.coalesce(F.sum(F.when(metered, cost)), F.lit(0)).alias("total_cost_nano"), F.count_if(metered & cost.isNull()).alias("unpriced_call_count")]
+        return self.calls.agg(*totals).first().asDict()
+
     def start(self, root: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
         """Follows the logs below a folder; every: as '30 seconds', or once over what is there.
 

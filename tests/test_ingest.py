@@ -63,6 +63,25 @@ def test_commands(spark, tmp_path, capsys):
     assert text[0].startswith("date,model_key,export_cost_usd,ledger_cost_usd,difference_cost_usd") and text[1].startswith("2026-08-01,claude-fable-5,1.0,0.00105,-0.99895")
 
 
+def test_store_commands(spark, tmp_path, capsys):
+    """A store followed, looked at again, metered once an account is known, and priced anew."""
+    k, c = logs(tmp_path)
+    told = lambda *given: main(list(given)) or json.loads(capsys.readouterr().out)
+    store = ["--store", str(tmp_path / "store")]
+    first = told("--kimi", k, "--claude", c, "follow", *store)
+    assert (first["inserted"], first["discovered_sources"], first["removed"], first["errors"]) == (6, 4, 0, 0)
+    assert told("--kimi", k, "--claude", c, "follow", *store)["lines"] == 0
+    kimi = 100 * 3000 + 20 * 3000 + 300 * 300 + 40 * 15000
+    assert told("reprice", *store) == {"call_count": 2, "total_cost_nano": 2 * kimi, "unpriced_call_count": 0}
+    told("--claude", c, "--subscription", "pro", "follow", *store)
+    assert told("reprice", *store) == {"call_count": 4, "total_cost_nano": 2 * kimi + 21 * 50000, "unpriced_call_count": 0}
+    report = put(tmp_path / "report.json", json.dumps([{"totalCost": 1.5, "modelBreakdowns": [{"modelName": "claude-fable-5", "cost": 1.5}]}]))
+    found = told("--claude", c, "--subscription", "pro", "audit-external", str(report))
+    assert (found["external_usd"], found["calls"], found["ledger_usd"]) == (1.5, 2, 21 * 50000 / 1e9)
+    main(["--claude", c, "--subscription", "pro", "diagnose", "replays", "--day", "2026-08-01"])
+    assert "2026-08-01|claude-fable-5|2" in capsys.readouterr().out.replace(" ", "")
+
+
 def test_csv_and_store(spark, tmp_path):
     df = spark.createDataFrame([('claude,"odd"', None, 1)], "a string, b string, c int")
     assert files.csv_lines(df).first().line == '"claude,""odd""",,1'
