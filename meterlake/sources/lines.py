@@ -3,13 +3,16 @@
 import hashlib
 import os
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
+if TYPE_CHECKING:  # the process that watches a stream's folder needs neither
+    import pandas as pd
+    import pyarrow as pa
+
 SCHEMA = "op string, path string, generation long, byte_offset long, line binary"
 #: Bytes of a file that one task reads; a line belongs to the task in whose range it begins.
 RANGE = 64 << 20
@@ -220,7 +223,9 @@ def found(spark: SparkSession, folder: str, suffixes: list[str]) -> DataFrame:
     if not level:
         return here
 
-    def below(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def below(batches: "Iterator[pd.DataFrame]") -> "Iterator[pd.DataFrame]":
+        import pandas as pd
+
         inside, _ = _open(folder)
         for batch in batches:
             for d in batch["folder"]:
@@ -272,7 +277,9 @@ def compared(listing: DataFrame, known: DataFrame, folder: str) -> DataFrame:
     A file that cannot be read is an error, and stays as it was known."""
     names = [c.split()[0] for c in CHANGES.split(", ")]
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def compare(batches: "Iterator[pd.DataFrame]") -> "Iterator[pd.DataFrame]":
+        import pandas as pd
+
         store, _ = _open(folder)
         for batch in batches:
             rows = []
@@ -303,7 +310,7 @@ def new_lines(changes: DataFrame, folder: str, size: int = RANGE) -> DataFrame:
     ranges = ranges.select("path", "generation", "at", F.least(F.col("at") + size, F.col("upto")).alias("end"))
     tasks = max(1, min(much.n, 4 * int(changes.sparkSession.conf.get("spark.sql.shuffle.partitions"))), -(-much.bytes // size))
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: "Iterator[pa.RecordBatch]") -> "Iterator[pa.RecordBatch]":
         rows, held = [], 0
         for batch in batches:
             for r in batch.to_pylist():
@@ -319,6 +326,8 @@ def new_lines(changes: DataFrame, folder: str, size: int = RANGE) -> DataFrame:
     return ranges.repartition(tasks, "path", "at").mapInArrow(read, "path string, generation long, byte_offset long, line binary")
 
 
-def _batch(rows: list[list]) -> pa.RecordBatch:
+def _batch(rows: list[list]) -> "pa.RecordBatch":
+    import pyarrow as pa
+
     kinds = {"path": pa.string(), "generation": pa.int64(), "byte_offset": pa.int64(), "line": pa.binary()}
     return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds.values())], names=list(kinds))
