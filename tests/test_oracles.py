@@ -40,4 +40,4 @@ def test_same_rows(spark, duck, name):
 
 def test_every_query_is_checked():
     open_ = set(__spark_entry__.queries()) - set(SQL)
-    assert all(k.startswith("op") or k in ("pipeline", "jsonl_byte_offsets", "variant_typing", "stream_reconcile") for k in open_), open_
+    assert all(k.startswith("op") or k == "pipeline" for k in open_), open_
