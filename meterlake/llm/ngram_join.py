@@ -31,7 +31,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterlake.llm import graph, scratch
@@ -217,10 +217,11 @@ def _surveyed(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
 
 class Frequent:
-    """The most frequent window shingles: keys in order, and how often each occurs."""
+    """The most frequent shingles: keys in order, how often each occurs, and whether these are all that
+    occur often enough."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray):
-        self.keys, self.counts = keys, counts
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, whole: bool):
+        self.keys, self.counts, self.whole = keys, counts, whole
 
     def of(self, u: np.ndarray) -> np.ndarray:
         """Occurrences of each shingle, 0 for those that are not frequent."""
@@ -231,8 +232,8 @@ class Frequent:
         return np.where(self.keys[at] == key, self.counts[at], 0)
 
 
-def _frequent(counts: DataFrame) -> Frequent:
-    """The most frequent window shingles, FREQUENT at most."""
+def _frequent(counts: DataFrame, least_count: int = OFTEN) -> Frequent:
+    """The most frequent shingles that occur least_count times, FREQUENT at most."""
 
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One range after the other: no more than its keys is held at once."""
@@ -240,8 +241,8 @@ def _frequent(counts: DataFrame) -> Frequent:
 
         def often() -> pa.RecordBatch:
             key, n = _summed(keys, values)
-            key = key[n >= OFTEN].astype(np.int64) + (now << COUNT_BITS)
-            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(n[n >= OFTEN])], names=["key", "n"])
+            key = key[n >= least_count].astype(np.int64) + (now << COUNT_BITS)
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(n[n >= least_count])], names=["key", "n"])
 
         for batch in batches:
             for number, k, n in zip(*[batch[c].to_pylist() for c in ("range", "keys", "counts")], strict=True):
@@ -269,7 +270,7 @@ def _frequent(counts: DataFrame) -> Frequent:
         least = r.step
     top = counts.where(step >= least) if least is not None else counts.limit(0)
     top = top.select("key", "n").toArrow().sort_by("key")
-    return Frequent(top["key"].to_numpy().astype(np.uint64), top["n"].to_numpy())
+    return Frequent(top["key"].to_numpy().astype(np.uint64), top["n"].to_numpy(), room >= 0)
 
 
 def sketch(u: np.ndarray) -> np.ndarray:
@@ -322,31 +323,76 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return got.where(100 * F.col("o") >= percent * F.col("whole")).select("a", "b")
 
 
+def _crowd_counts(sets: DataFrame) -> DataFrame:
+    """How often which members occur in packed sets: keys and counts of a range."""
+
+    def handed_on(held: list[np.ndarray]) -> pa.RecordBatch:
+        arrays = _counts_by_range(*np.unique(np.concatenate(held) & _COUNTED, return_counts=True))
+        return pa.RecordBatch.from_arrays(arrays, names=["range", "keys", "counts"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for members in batch["members"]:
+                held.append(np.frombuffer(members.as_buffer(), "<u8"))
+                size += len(held[-1])
+                if size >= GATHERED:
+                    yield handed_on(held)
+                    held, size = [], 0
+        if held:
+            yield handed_on(held)
+
+    return sets.select("members").mapInArrow(run, "range int, keys binary, counts binary")
+
+
+def _crowd_heads(sets: DataFrame, often: "Frequent", percent: int) -> DataFrame:
+    """id, size and, of the members that a similar set can lack and one more, the first in the crowd's
+    order: token and place. What occurs once in the crowd comes first and meets nothing: it takes up
+    its place, but needs no row where all counts are known."""
+    shared = sets.sparkSession.sparkContext.broadcast(often)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens, places = [], []
+            for members in batch["members"]:
+                u = np.frombuffer(members.as_buffer(), "<u8")
+                count = shared.value.of(u)
+                first = np.argsort(count, kind="stable")[: allowed(len(u), percent) + 1]
+                at = np.arange(len(first))
+                if shared.value.whole:
+                    at = at[count[first] > 0]
+                tokens.append(u[first[at]])
+                places.append(at.astype(np.uint64))
+            arrays = [batch["id"], batch["n"], _lists(tokens), _lists(places)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["id", "n", "token", "at"])
+
+    return sets.mapInArrow(run, "id long, n long, token array<long>, at array<long>")
+
+
 def _crowd_pairs(docs: DataFrame, crowd: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs a, b of different parts of a crowd (id, part) that may be similar.
 
-    Members follow one order, the rarest in the crowd first, so that what sets a near copy apart
-    stands in front. A similar pair's first common member stands so early that enough can follow it
-    in both sets; in the smaller set that is among the first few, its head. Only heads are looked
-    up: what the whole crowd has in common stands behind them and brings no pair."""
+    Members follow one order, the rarest in the crowd first and equals by hash, so that what sets a
+    near copy apart stands in front. A similar pair's first common member stands so early that enough
+    can follow it in both sets; in the smaller set that is among the first few, its head. Only heads
+    are looked up: what the whole crowd has in common stands behind them and brings no pair. Any order
+    that all sets share finds every pair, so counts that tasks can't hold cost time alone."""
     texts = docs.join(crowd.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    sets = _mapped(texts, "id long, m array<long>", lambda part: [part["doc_id"], _lists(_sets(part, width))])
-    sets = sets.dropDuplicates(["id"])
-    members = scratch.written(sets.select("id", F.size("m").cast("long").alias("n"), F.explode("m").alias("token")), "crowd-members")
-    # what only one member has comes first in its order and meets nothing: it counts, but needs no row
-    often = members.groupBy("token").agg(F.count("*").alias("often")).where("often > 1")
-    order = Window.partitionBy("id").orderBy("often", "token")
-    ranked = members.join(often, "token")
-    own = F.count("*").over(Window.partitionBy("id"))
-    ranked = ranked.withColumn("at", F.col("n") - own + F.row_number().over(order) - 1)
-    ranked = ranked.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100)).join(crowd, "id")
-    ranked = scratch.written(ranked.select("token", "id", "n", "at", "part"), "crowd-heads")
-    enough = lambda n, at, whole: (100 + percent) * (n - at) >= percent * whole
+    sets = scratch.written(_packed_sets(texts, width), "crowd-sets")
+    often = _frequent(_crowd_counts(sets), 2)
+    heads = scratch.written(_crowd_heads(sets, often, percent).join(crowd, "id"), "crowd-heads")
+    ranked = heads.select("id", "n", "part", F.explode(F.arrays_zip("token", "at")).alias("x"))
+    ranked = ranked.select("x.token", "id", "n", "x.at", "part")
+
+    def enough(n: Column, at: Column, whole: Column) -> Column:
+        return (100 + percent) * (n - at) >= percent * whole
+
     head = ranked.where(enough(F.col("n"), F.col("at"), 2 * F.col("n")))
     head = head.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ab"), F.col("part").alias("pb"))
     whole = F.col("n") + F.col("nb")
     fits = (F.col("part") != F.col("pb")) & (F.col("nb") <= F.col("n")) & _sizes_fit("n", "nb", percent)
-    met = ranked.join(head, "token").where(fits & enough(F.col("n"), F.col("at"), whole) & enough(F.col("nb"), F.col("ab"), whole))
+    fits = fits & enough(F.col("n"), F.col("at"), whole) & enough(F.col("nb"), F.col("ab"), whole)
+    met = ranked.join(head, "token").where(fits)
     return met.select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
 
 

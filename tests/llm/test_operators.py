@@ -286,9 +286,13 @@ def test_sketches_never_rule_out_too_much():
             assert most is None or most >= len(np.intersect1d(a, b))
 
 
-def test_crowd_pairs_are_complete(spark):
+@pytest.mark.parametrize("held", [500_000, 40, 0])
+def test_crowd_pairs_are_complete(spark, monkeypatch, held):
+    """Also where tasks hold only some of the crowd's counts, or none; and only heads make rows."""
     from .test_contracts import jaccard_links, shingle_sets
 
+    monkeypatch.setattr(ngram_join, "FREQUENT", held)
+
     base = text(6, 120).split()
     rows = [{"doc_id": i, "text": _edited(i, base[: 120 - i % 7], i % 4)} for i in range(120)]
     docs = spark.createDataFrame([(r["doc_id"], r["text"]) for r in rows], "doc_id long, text string")
@@ -297,6 +301,11 @@ def test_crowd_pairs_are_complete(spark):
         got = {tuple(sorted(r)) for r in ngram_join._crowd_pairs(docs, crowd, 3, percent).collect()}
         links = {tuple(sorted(p)) for p in jaccard_links(shingle_sets(rows, 3), percent)}
         assert links and links <= got
+        sets = ngram_join._packed_sets(docs, 3)
+        often = ngram_join._frequent(ngram_join._crowd_counts(sets), 2)
+        assert often.whole == (held == 500_000)
+        for r in ngram_join._crowd_heads(sets, often, percent).collect():
+            assert len(r.token) == len(r.at) <= ngram_join.allowed(r.n, percent) + 1
 
 
 def test_pipeline_stages(spark, edge, empty):
