@@ -30,14 +30,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def settled(df: DataFrame, name: str) -> DataFrame:
-    """As written; then the driver collects garbage, on which Spark drops the shuffle files that
-    made df and that nothing refers to any more."""
-    made = written(df, name)
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return made
-
-
 def packed(df: DataFrame, *needed: str) -> DataFrame:
     """The needed columns, and all others in a struct _rest, where their names clash with nothing."""
     rest = [F.col(f"`{c}`") for c in df.columns if c not in needed]

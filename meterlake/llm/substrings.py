@@ -216,10 +216,10 @@ def _repeats(docs: DataFrame, line_words: int) -> DataFrame:
 
     to = "_rank long, _h long, places array<struct<start:int,size:int,digest:long,check:long,gap:long>>"
     rows = scratch.written(docs.mapInArrow(places, to).where("size(places) > 0"), "places")
-    again = scratch.settled(_repeated(rows), "repeats")
+    again = scratch.written(_repeated(rows), "repeats")
     each = again.select("_rank", "_h", F.explode("anchors").alias("p")).select("_rank", "_h", "p.*")
     ends = each.where("not (through and before)")
-    known = scratch.settled(_around(docs, ends.select("f", "size", "digest")), "around")
+    known = scratch.written(_around(docs, ends.select("f", "size", "digest")), "around")
     ends = ends.join(known, "digest").select("_rank", "_h", "start", "size", "before", "through", "left", "right")
     none = F.lit(None).cast("binary")
     inner = each.where("through and before").select("_rank", "_h", "start", "size", "before", "through", none.alias("left"), none.alias("right"))
@@ -242,7 +242,7 @@ def remove_repeats(docs: DataFrame, line_words: int = 1, run_words: int = RUN_WO
     kept = docs.columns
     keyed = docs.withColumns({"_h": F.xxhash64("text"), "_rank": F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))})
     found = _repeats(keyed.where("text is not null").select("_rank", "_h", "text"), line_words)
-    found = scratch.settled(found, "found")
+    found = scratch.written(found, "found")
     to = docs.select("*", F.lit(None).cast("array<struct<start:long,end:long>>").alias("removed")).schema
     spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
