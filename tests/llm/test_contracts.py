@@ -253,6 +253,18 @@ def test_op8_sums_all_segmentations():
         assert np.allclose(got[s], want) and np.allclose(counts[s], times)
 
 
+def test_op8_gathers_small_batches(monkeypatch):
+    from meterlake.llm import lattice
+
+    rows = [pa.RecordBatch.from_arrays([pa.array([b"x" * k] * (k % 4), pa.binary())], names=["word"]) for k in range(50)]
+    for size in (1, 200, 1 << 20):
+        monkeypatch.setattr(lattice, "GATHERED", size)
+        got = [*lattice._gathered(iter(rows))]
+        assert pa.Table.from_batches(got)["word"].to_pylist() == pa.Table.from_batches(rows)["word"].to_pylist()
+        assert all(b.nbytes < size + max(r.nbytes for r in rows) for b in got)
+    assert [*lattice._gathered(iter([]))] == []
+
+
 def test_op8_is_a_distribution(spark):
     """The likelihoods of all words of two letters, and of an unseen class, sum to one at most."""
     from meterlake.llm.lattice import Pieces, likelihoods
