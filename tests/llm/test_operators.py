@@ -1,5 +1,6 @@
 """Operators by themselves: rules, round trips, damage, extra columns."""
 
+import glob
 import gzip
 import zlib
 from collections import Counter
@@ -9,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from meterlake.llm import bpe, embeddings, fingerprints, graph, mixing, ngram_join, quality, sharding, substrings, warc
+from meterlake.llm import bpe, embeddings, fingerprints, graph, mixing, ngram_join, quality, scratch, sharding, substrings, warc
 
 from .conftest import SMALL, rows_of, text
 
@@ -216,6 +217,39 @@ def test_estimates_are_unbiased():
     assert abs(error[off].mean()) < 0.01 and (np.abs(error) <= bound[:, None])[off].mean() > 0.999
 
 
+def test_rounding_stays_within_its_bound():
+    """Eight bits a component: what they take from an estimate is less than the bound says; keys
+    come out alike for any part of the rows."""
+    rng = np.random.default_rng(2)
+    for d in (1, 2, 64, 300):
+        x = rng.standard_normal((200, d))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        turned = x @ embeddings.rotation(d, 3).T
+        codes, factors = embeddings.encode(x, embeddings.rotation(d, 3))
+        small, step = embeddings.rounded(turned)
+        apart = np.abs(embeddings.compared(codes, factors, small * step[:, None])[0] - embeddings.compared(codes, factors, turned)[0])
+        assert (apart <= np.sqrt(d) / 2 * step[None, :] / factors[:, None] + 1e-5).all()
+        keys = embeddings._keys(small, 10, 7, 5)
+        assert (embeddings._keys(small[::3], 10, 7, 5) == keys[::3]).all()
+
+
+def test_whole_vectors_move_for_suspects_only(spark):
+    """No group of a table sees whole vectors, and few vectors are sent again as such."""
+    rng = np.random.default_rng(8)
+    n, d = 6_000, 96
+    x = rng.standard_normal((n, d))
+    x[1::500] = x[::500] + rng.standard_normal((n // 500, d)) * 0.1
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    before = set(glob.glob(scratch.folder(spark).removeprefix("file://") + "/suspects-*"))
+    got = embeddings.near_duplicates(df, "vec_id", "embedding").where("n_links > 0")
+    assert sorted(tuple(r) for r in got.select("vec_id", "n_links", "component_id").collect()) == [(i + k, 1, i) for i in range(0, n, 500) for k in (0, 1)]
+    (made,) = set(glob.glob(scratch.folder(spark).removeprefix("file://") + "/suspects-*")) - before
+    sent = spark.read.parquet(made)
+    assert sent.columns == ["no", "block", "table", "bucket", "one", "two", "dims"]
+    print("suspects", sent.count(), "of", n * embeddings.plan(n, 0.9)[1])
+    assert sent.count() < 0.1 * n * embeddings.plan(n, 0.9)[1]
+
+
 def test_dense_block(spark):
     """More vectors in one bucket than a block holds."""
     rng = np.random.default_rng(5)
