@@ -119,16 +119,25 @@ def _sides(key: tuple, group: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame
     return group.iloc[:m], group.iloc[m:], m
 
 
+def _may_reach(coded: pd.DataFrame, turned: pd.DataFrame, threshold: float) -> np.ndarray:
+    """Whether the upper bound of a coded row's inner product with a rotated one reaches the threshold."""
+    factors, step = coded["factor"].to_numpy(), turned["step"].to_numpy()
+    small = _matrix(turned["small"], "i1")
+    got, bound = compared(_matrix(coded["code"], "u1"), factors, small * step[:, None])
+    slack = math.sqrt(small.shape[1]) / 2 * step[None, :] / factors[:, None]
+    return got + bound[:, None] + slack >= threshold
+
+
 def _to_recompute(left: pd.DataFrame, right: pd.DataFrame | None, table: int, threshold: float, plan: tuple[int, int], seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs, by place, whose upper bound reaches the threshold, and that no table before this one joins."""
+    """Pairs, by place, whose upper bounds reach the threshold by either's code, and that no table before
+    this one joins."""
     if not len(left) or right is not None and not len(right):
         return np.zeros(0, int), np.zeros(0, int)
     small = _matrix(left["small"], "i1")
-    other, step = (small, left["step"]) if right is None else (_matrix(right["small"], "i1"), right["step"])
-    factors, step = left["factor"].to_numpy(), step.to_numpy()
-    got, bound = compared(_matrix(left["code"], "u1"), factors, other * step[:, None])
-    slack = math.sqrt(other.shape[1]) / 2 * step[None, :] / factors[:, None]
-    i, j = np.nonzero(got + bound[:, None] + slack >= threshold)
+    other = small if right is None else _matrix(right["small"], "i1")
+    may = _may_reach(left, right if right is not None else left, threshold)
+    may &= may.T if right is None else _may_reach(right, left, threshold).T
+    i, j = np.nonzero(may)
     if right is None:
         i, j = i[i < j], j[i < j]
     if table and len(i):
