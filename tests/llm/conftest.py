@@ -44,7 +44,9 @@ def tables(folder, documents: pd.DataFrame) -> str:
     write(folder / "documents.parquet", documents, LONGS)
     labels = pd.DataFrame([(i, i % 2, 0) for i in range(1, 16)] + [(None, 1, 0), (3, None, None), (999, 1, 0)], columns=["doc_id", "quality", "toxic"])
     write(folder / "labels.parquet", labels, LONGS)
-    pages = pd.DataFrame([(1, "http://a/ b", "<p>é"), (2, None, "<p>é"), (3, "u", None), (4, "u", ""), (5, "u", "other"), (5, "u", "<p>é"), (None, "u", "<p>é"), (7, "u", "WARC/1.1\r\n\r\n" * 50)], columns=["page_id", "url", "html"])
+    pages = pd.DataFrame([(1, "http://a/ b", "<p>é"), (2, None, "<p>é"), (3, "u", None), (4, "u", ""), (5, "u", "other"), (5, "u", "<p>é"), (None, "u", "<p>é"), (7, "u", "WARC/1.1\r\n\r\n" * 50), (8, "u", "<p>long</p> " * 250_000), (9, "u", "<p>long</p> " * 250_000)], columns=["page_id", "url", "html"])
+    for c in ("payload", "digest", "payload_digest", "record_type", "refers_to", "first", "offset", "path", "part"):
+        pages[c] = [f"{c}{i}" for i in range(len(pages))]
     write(folder / "pages.parquet", pages, LONGS)
     vectors = [[1.0, 0.0], [1.0, 0.01], [2.0, 0.0], None, [0.0, 0.0], [1.0, None], [float("nan"), 1.0], [float("inf"), 1.0], [0.0, 1.0], [1.0], []]
     vectors = [*vectors[:-1], [0.5] * 1_500, vectors[0], vectors[-1]]
