@@ -16,13 +16,14 @@ def write_files(rows: DataFrame, folder: str) -> int:
         import pyarrow.fs as pafs
 
         store, top = pafs.FileSystem.from_uri(folder)
-        out, current, files = None, None, 0
+        out, current, files, inside = None, None, 0, None
         for batch in batches:
             for path, text in zip(batch["path"], batch["text"], strict=True):
                 if path != current:
                     if out is not None:
                         out.close()
-                    store.create_dir(f"{top}/{path}".rsplit("/", 1)[0], recursive=True)
+                    if inside != (inside := f"{top}/{path}".rsplit("/", 1)[0]):
+                        store.create_dir(inside, recursive=True)
                     out, current, files = store.open_output_stream(f"{top}/{path}"), path, files + 1
                 out.write(f"{text}\n".encode())
         if out is not None:

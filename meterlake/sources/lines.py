@@ -1,14 +1,17 @@
 """Lines of append-only logs with the byte offset of each."""
 
+import fnmatch
 import hashlib
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import TYPE_CHECKING
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
+from meterlake.session import stored
+
 if TYPE_CHECKING:  # the process that watches a stream's folder needs neither
     import pandas as pd
     import pyarrow as pa
@@ -16,36 +19,54 @@ if TYPE_CHECKING:  # the process that watches a stream's folder needs neither
 SCHEMA = "op string, path string, generation long, byte_offset long, line binary"
 #: Bytes of a file that one task reads; a line belongs to the task in whose range it begins.
 RANGE = 64 << 20
+#: Files that one task of the data source reads at most.
+PACKED = 1000
 #: Bytes at the beginning and before the checkpoint that tell whether a file was written anew.
 EDGE = 4096
 
 
 def files(spark: SparkSession, folder: str, pattern: str = "*.jsonl") -> DataFrame:
     """path, content and modified_ms of files below a folder, one row a file; for files of up to some
-    hundred MB. A folder that isn't there holds none."""
-    import pyarrow.fs as pafs
+    hundred MB. A folder that isn't there holds none. Tasks list and read them."""
+    top = _url(folder)
 
-    store, top = _open(folder)
-    if store.get_file_info(top).type == pafs.FileType.NotFound:
-        return spark.createDataFrame([], "path string, content binary, modified_ms long")
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
-    return found.select("path", "content", F.unix_millis("modificationTime").alias("modified_ms"))
+    def contents(batches: "Iterator[pa.RecordBatch]") -> "Iterator[pa.RecordBatch]":
+        import pyarrow as pa
+
+        store, _ = _open(top)
+
+        def made(rows: list[tuple]) -> "pa.RecordBatch":
+            kinds = {"path": pa.string(), "content": pa.binary(), "modified_ms": pa.int64()}
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds.values())], names=list(kinds))
+
+        rows, held = [], 0
+        for batch in batches:
+            for r in batch.to_pylist():
+                with store.open_input_file(r["path"]) as f:
+                    rows.append((r["path"], f.read(), r["modified_ms"]))
+                held += len(rows[-1][1])
+                if held >= 4 << 20 or len(rows) >= 4096:
+                    yield made(rows)
+                    rows, held = [], 0
+        if rows:
+            yield made(rows)
+
+    listing = found(spark, folder, [""])
+    listing = listing.where(F.regexp_extract("path", "[^/]*$", 0).rlike("^" + fnmatch.translate(pattern).replace(r"\Z", r"\z")))
+    return _dealt(listing, "size", RANGE, "path").mapInArrow(contents, "path string, content binary, modified_ms long")
 
 
 def read(spark: SparkSession, folder: str, suffix: str = ".jsonl", tail: bool = False) -> DataFrame:
-    """path, byte_offset and line of files of any size below a folder, as split() gives them: each task
-    reads a range of a file's bytes."""
-    spark.dataSource.register(LogLines)
-    found = spark.read.format("log-lines").option("path", folder).option("suffix", suffix).option("tail", str(tail)).load()
-    return found.select("path", "byte_offset", "line")
+    """path, byte_offset and line of files of any size below a folder, as split() gives them: tasks list
+    the files and read ranges of their bytes, many short files by one task."""
+    listing = found(spark, folder, [suffix]).where("size > 0")
+    new = listing.select("path", F.lit(0).cast("long").alias("generation"), F.lit(0).cast("long").alias("start"), F.col("size").alias("upto"))
+    return _lines_of(new, folder, RANGE, tail).select("path", "byte_offset", "line")
 
 
 def listed(spark: SparkSession, folder: str, suffix: str = ".jsonl") -> DataFrame:
-    """path and modified_ms of the files that read() takes; the driver lists them, as it does for any read."""
-    store, _ = _open(folder)
-    known = sorted(_sizes(folder, suffix))
-    rows = [(f.path, f.mtime_ns // 1_000_000) for f in store.get_file_info(known)] if known else []
-    return spark.createDataFrame(rows, "path string, modified_ms long")
+    """path and modified_ms of the files that read() takes."""
+    return found(spark, folder, [suffix]).select("path", "modified_ms")
 
 
 def split(found: DataFrame, tail: bool = False) -> DataFrame:
@@ -71,10 +92,21 @@ class _Range(InputPartition):
         self.path, self.generation, self.start, self.end, self.op = path, generation, start, end, op
 
 
+class _Pack(InputPartition):
+    """Ranges that one task reads."""
+
+    def __init__(self, ranges: list[_Range]):
+        self.ranges = ranges
+
+
+def _url(folder: str) -> str:
+    return folder if ":/" in folder else f"file://{os.path.abspath(folder)}"
+
+
 def _open(folder: str):
     import pyarrow.fs as pafs
 
-    return pafs.FileSystem.from_uri(folder if ":/" in folder else f"file://{os.path.abspath(folder)}")
+    return pafs.FileSystem.from_uri(_url(folder))
 
 
 def _sizes(folder: str, suffix: str) -> dict[str, int]:
@@ -85,13 +117,12 @@ def _sizes(folder: str, suffix: str) -> dict[str, int]:
     return {f.path: f.size for f in found if f.is_file and f.path.lower().endswith(suffix)}
 
 
-def _read(folder: str, part: _Range, tail: bool = False) -> Iterator[tuple]:
+def _read(store, part: _Range, tail: bool = False) -> Iterator[tuple]:
     """The lines that begin in the range and are complete, and with tail what stands behind the file's
     last line end. Only whole lines are kept in memory."""
     if part.op != "line":
         yield part.op, part.path, part.generation, None, None
         return
-    store, _ = _open(folder)
     with store.open_input_file(part.path) as f:
         at = part.start
         f.seek(max(0, at - 1))
@@ -129,11 +160,20 @@ class _Batch(DataSourceReader):
         self.tail = options.get("tail", "false").lower() == "true"
 
     def partitions(self):
-        return [r for path, size in sorted(_sizes(self.folder, self.suffix).items()) for r in _ranges(path, 0, 0, size, self.range)]
+        packs, held = [], 0
+        for path, size in sorted(_sizes(self.folder, self.suffix).items()):
+            for r in _ranges(path, 0, 0, size, self.range):
+                if not packs or held + r.end - r.start > self.range or len(packs[-1]) >= PACKED:
+                    packs.append([])
+                    held = 0
+                packs[-1].append(r)
+                held += r.end - r.start
+        return [_Pack(p) for p in packs]
 
     def read(self, partition):
         # without files Spark still asks for one partition, which is None
-        return _read(self.folder, partition, self.tail) if partition is not None else iter(())
+        store, _ = _open(self.folder)
+        return (row for r in (partition.ranges if partition is not None else []) for row in _read(store, r, self.tail))
 
 
 class _Ticks(DataSourceStreamReader):
@@ -147,10 +187,11 @@ class _Ticks(DataSourceStreamReader):
         return {"digest": ""}
 
     def latestOffset(self):
-        digest = hashlib.sha256()
-        for path, size, at in sorted(_walk(*_open(self.folder), self.suffixes)):
-            digest.update(f"{path}\0{size}\0{at}\n".encode())
-        return {"digest": digest.hexdigest()}
+        # a sum of digests needs no order, so no list of all files
+        whole, (store, top) = 0, _open(self.folder)
+        for path, size, at in _walk(store, top, self.suffixes):
+            whole += int.from_bytes(hashlib.sha256(f"{path}\0{size}\0{at}".encode()).digest())
+        return {"digest": f"{whole % 2**256:064x}"}
 
     def partitions(self, start: dict, end: dict):
         return [InputPartition(end["digest"])]
@@ -194,46 +235,75 @@ FILES = "path string, generation long, upto long, mark string, gone boolean"
 #: What a file has come to: lines from start to upto are new in generation; before is the generation that
 #: ends, where the file is gone or was written anew.
 CHANGES = f"{FILES}, start long, before long, rewritten boolean, error string"
-#: Folders that are listed on the driver before tasks list what is below them.
+#: Folders of one level from which on tasks list all that is below each.
 SPREAD = 64
+LISTED = "path string, size long, modified_ms long"
 
 
-def _walk(store, top: str, suffixes: list[str]) -> Iterator[tuple[str, int, int]]:
-    """path, size and time in ns of the files below top. A folder that isn't there has none, a link that
-    leads nowhere is none."""
+def _entries(store, folder: str, suffixes: list[str]) -> Iterator[tuple[str, int | None, int]]:
+    """path, size and time in ns of what a folder holds: files that end so, and folders, without a size. A
+    folder that isn't there has none, a link that leads nowhere is none."""
     import pyarrow.fs as pafs
 
-    for f in store.get_file_info(pafs.FileSelector(top, recursive=True, allow_not_found=True)):
-        if f.is_file and f.path.lower().endswith(tuple(suffixes)):
+    for f in store.get_file_info(pafs.FileSelector(folder, allow_not_found=True)):
+        if f.type == pafs.FileType.Directory:
+            yield f.path, None, 0
+        elif f.is_file and f.path.lower().endswith(tuple(suffixes)):
             yield f.path, f.size, f.mtime_ns or 0
 
 
-def found(spark: SparkSession, folder: str, suffixes: list[str]) -> DataFrame:
-    """path and size of files below a folder. The driver goes down until there are SPREAD folders, or no
-    more; tasks list what these hold."""
-    import pyarrow.fs as pafs
-
-    store, top = _open(folder)
-    level, files = [top], []
-    while level and len(level) < SPREAD:
-        seen = [f for d in level for f in store.get_file_info(pafs.FileSelector(d, allow_not_found=True))]
-        files += [(f.path, f.size) for f in seen if f.is_file and f.path.lower().endswith(tuple(suffixes))]
-        level = [f.path for f in seen if f.type == pafs.FileType.Directory]
-    here = spark.createDataFrame(files, "path string, size long")
-    if not level:
-        return here
-
-    def below(batches: "Iterator[pd.DataFrame]") -> "Iterator[pd.DataFrame]":
-        import pandas as pd
-
-        inside, _ = _open(folder)
-        for batch in batches:
-            for d in batch["folder"]:
-                rows = [(path, size) for path, size, _ in _walk(inside, d, suffixes)]
-                yield pd.DataFrame(rows, columns=["path", "size"])
-
-    folders = spark.createDataFrame([(d,) for d in level], "folder string").repartition(min(len(level), 1000))
-    return here.union(folders.mapInPandas(below, "path string, size long"))
+def _walk(store, top: str, suffixes: list[str]) -> Iterator[tuple[str, int, int]]:
+    """path, size and time in ns of the files below top, one folder after the other."""
+    open_ = [top]
+    while open_:
+        for path, size, at in _entries(store, open_.pop(), suffixes):
+            if size is None:
+                open_.append(path)
+            else:
+                yield path, size, at
+
+
+def found(spark: SparkSession, folder: str, suffixes: list[str], keep: "Callable[[str, DataFrame], DataFrame] | None" = None) -> DataFrame:
+    """path, size and modified_ms of files below a folder. Tasks list one level after the other, and from
+    SPREAD folders on all that is below each; the driver sees a level's number of folders alone. keep: writes
+    a table under a name."""
+    keep, url = keep or (lambda name, df: stored(df, name)), _url(folder)
+    _, top = _open(folder)
+
+    def listing(deep: bool):
+        def run(batches: "Iterator[pd.DataFrame]") -> "Iterator[pd.DataFrame]":
+            import pandas as pd
+
+            store, _ = _open(url)
+            below = _walk if deep else _entries
+            for batch in batches:
+                rows = []
+                for d in batch["path"]:
+                    for path, size, at in below(store, d, suffixes):
+                        rows.append((path, size, at // 1_000_000))
+                        if len(rows) >= 10_000:
+                            yield _listed(pd, rows)
+                            rows = []
+                yield _listed(pd, rows)
+
+        return run
+
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    level, n, parts = spark.createDataFrame([(top,)], "path string"), 1, []
+    while n:
+        deep = n >= SPREAD
+        here = keep(f"listing_{len(parts)}", level.repartition(min(n, tasks)).mapInPandas(listing(deep), LISTED))
+        parts.append(here.where("size is not null"))
+        level = here.where("size is null").select("path")
+        n = 0 if deep else level.count()
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return out
+
+
+def _listed(pd, rows: list[tuple]) -> "pd.DataFrame":
+    return pd.DataFrame(rows, columns=["path", "size", "modified_ms"]).astype({"size": "Int64"})
 
 
 def _mark(store, path: str, upto: int) -> str:
@@ -304,17 +374,28 @@ def compared(listing: DataFrame, known: DataFrame, folder: str) -> DataFrame:
 def new_lines(changes: DataFrame, folder: str, size: int = RANGE) -> DataFrame:
     """path, generation, byte_offset and line of what is new: tasks read ranges of size bytes, so a long
     file is read by many and many short ones by a few."""
-    new = changes.where("error is null and start < upto")
-    much = new.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("upto") - F.col("start")), F.lit(0)).alias("bytes")).first()
+    return _lines_of(changes.where("error is null and start < upto"), folder, size)
+
+
+def _dealt(rows: DataFrame, size: str | Column, task: int, *by: str) -> DataFrame:
+    """Rows over as many tasks as their sizes ask for, at least some for each core and at most one a row."""
+    much = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
+    some = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(1, min(much.n, some), -(-much.bytes // task)), *by)
+
+
+def _lines_of(new: DataFrame, folder: str, size: int, tail: bool = False) -> DataFrame:
+    """The lines from start to upto of files (path, generation, start, upto)."""
+    url = _url(folder)
     ranges = new.select("path", "generation", "upto", F.explode(F.sequence(F.col("start"), F.col("upto") - 1, F.lit(size))).alias("at"))
     ranges = ranges.select("path", "generation", "at", F.least(F.col("at") + size, F.col("upto")).alias("end"))
-    tasks = max(1, min(much.n, 4 * int(changes.sparkSession.conf.get("spark.sql.shuffle.partitions"))), -(-much.bytes // size))
 
     def read(batches: "Iterator[pa.RecordBatch]") -> "Iterator[pa.RecordBatch]":
+        store, _ = _open(url)
         rows, held = [], 0
         for batch in batches:
             for r in batch.to_pylist():
-                for _, *row in _read(folder, _Range(r["path"], r["generation"], r["at"], r["end"])):
+                for _, *row in _read(store, _Range(r["path"], r["generation"], r["at"], r["end"]), tail):
                     rows.append(row)
                     held += len(row[-1])
                     if held >= 4 << 20 or len(rows) >= 4096:
@@ -323,7 +404,7 @@ def new_lines(changes: DataFrame, folder: str, size: int = RANGE) -> DataFrame:
         if rows:
             yield _batch(rows)
 
-    return ranges.repartition(tasks, "path", "at").mapInArrow(read, "path string, generation long, byte_offset long, line binary")
+    return _dealt(ranges, F.col("end") - F.col("at"), size, "path", "at").mapInArrow(read, "path string, generation long, byte_offset long, line binary")
 
 
 def _batch(rows: list[list]) -> "pa.RecordBatch":

@@ -90,7 +90,7 @@ class Reconciler:
         commit = self.store.begin()
         files = self.store.read("files", FOLLOWED)
         known, others = files.where(F.col("root") == root).drop("root"), files.where(F.col("root") != root)
-        listing = commit.keep("listing", logs.found(self.spark, root, providers.suffixes()))
+        listing = logs.found(self.spark, root, providers.suffixes(), commit.keep).select("path", "size")
         owned = providers.placed(listing.select("path"))
         listing = listing.join(owned.select("path").distinct(), "path", "left_semi")
         changes = commit.keep("changes", logs.compared(listing, known, root))

@@ -232,3 +232,23 @@ def test_reconcile_takes_up_sessions_and_states(spark, tmp_path):
     made.states = spark.createDataFrame([(1, "enterprise", "enterprise-api", 0)], ACCOUNT_STATE)
     made.classify()
     assert got()["anthropic:a"] == "enterprise-api"
+
+
+def test_many_files_are_read_by_few_tasks(spark, tmp_path):
+    for i in range(300):
+        folder = tmp_path / "p" / f"d{i % 70}"
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / f"{i}.jsonl").write_bytes(f"a{i}\nb{i}\nrest".encode())
+    (tmp_path / "p" / "empty.jsonl").write_bytes(b"")
+    for tail, n in ((False, 2), (True, 3)):
+        made = lines.read(spark, str(tmp_path), tail=tail)
+        assert made.rdd.getNumPartitions() <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+        got = {(r.path.rsplit("/", 1)[1], r.byte_offset, bytes(r.line)) for r in made.collect()}
+        kinds = lambda i: [(0, f"a{i}".encode()), (len(f"a{i}") + 1, f"b{i}".encode()), (2 * len(f"a{i}") + 2, b"rest")][:n]
+        assert got == {(f"{i}.jsonl", at, text) for i in range(300) for at, text in kinds(i)}
+    spark.dataSource.register(lines.LogLines)
+    packed = spark.read.format("log-lines").option("path", f"file://{tmp_path}").load()
+    assert packed.count() == 600 and packed.rdd.getNumPartitions() == 1
+    assert lines.listed(spark, str(tmp_path)).count() == 301
+    assert lines.files(spark, str(tmp_path), "1?.jsonl").count() == 10
+    assert lines.read(spark, str(tmp_path / "none")).count() == 0
