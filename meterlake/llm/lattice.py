@@ -71,6 +71,13 @@ class Pieces:
             rest = np.delete(rest, first)
         self.rest = rest[np.argsort(self.codes[rest])]
 
+    def __getstate__(self) -> dict:
+        """Without the tables, which are many times as large as the entries and quickly made again."""
+        return {"entries": self.entries, "logp": self.logp}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__init__(**state)
+
     def find(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Numbers of the pieces at byte ranges, -1 where there is none."""
         codes = T.word_hashes(data, starts, ends, lower=False)
@@ -234,6 +241,7 @@ def _learn(words: DataFrame, pieces: Pieces, classes: int) -> Mixture:
 
         used = words.where("c > 0").drop("code", "n", "c").mapInArrow(run, "piece int, lattice int, expected double")
         got = used.groupBy("piece", "lattice").agg(F.sum("expected").alias("e")).toArrow()
+        shared.destroy()  # or each step's weights stay on the disks of the driver and all executors
         piece, lattice, e = (got[c].to_numpy() for c in ("piece", "lattice", "e"))
         counts, odd = PRIOR * np.exp(first.logp), np.zeros(2 * classes)
         counts[lattice[piece >= 0], piece[piece >= 0]] += e[piece >= 0]
