@@ -117,14 +117,26 @@ def _add(x: np.ndarray) -> np.ndarray:
     return top + np.log(np.exp(x - top).sum(axis=0))
 
 
-def _long_word(word: bytes, pieces: Pieces, logp: np.ndarray) -> np.ndarray:
-    """As likelihoods, for one word, byte after byte."""
+def _forward(word: bytes, pieces: Pieces, logp: np.ndarray) -> np.ndarray:
+    """As likelihoods, for one word, byte after byte: those of its beginnings (bytes, sets)."""
     number = {e: i for i, e in enumerate(pieces.entries)}
     a = np.zeros((len(word) + 1, len(logp)))
     for j in range(1, len(word) + 1):
         spans = [(i, p) for i in range(max(0, j - pieces.longest), j) if (p := number.get(word[i:j])) is not None]
         a[j] = _add(np.stack([a[i] + logp[:, p] for i, p in spans]))
-    return a[-1]
+    return a
+
+
+def _backward(word: bytes, pieces: Pieces, logp: np.ndarray, a: np.ndarray, share: np.ndarray, counts: np.ndarray) -> None:
+    """As Lattice.expected, for one word, byte after byte; a as _forward gives it, share (sets)."""
+    number = {e: i for i, e in enumerate(pieces.entries)}
+    n = len(word)
+    b = np.zeros_like(a)
+    for i in range(n - 1, -1, -1):
+        spans = [(j, p) for j in range(i + 1, min(n, i + pieces.longest) + 1) if (p := number.get(word[i:j])) is not None]
+        tails = np.stack([b[j] + logp[:, p] for j, p in spans])
+        b[i] = _add(tails)
+        counts[:, [p for _, p in spans]] += (np.exp(a[i] + tails - a[n]) * share).T
 
 
 class Lattice:
@@ -187,7 +199,7 @@ def likelihoods(column: pa.Array, pieces: Pieces, logp: np.ndarray | None = None
     out = np.zeros((len(logp), len(column)))
     for n, rows, data, starts in _by_length(column, ROOM // len(logp)):
         if n > 2048:
-            out[:, rows] = np.stack([_long_word(data[s : s + n].tobytes(), pieces, logp) for s in starts], axis=1)
+            out[:, rows] = np.stack([_forward(data[s : s + n].tobytes(), pieces, logp)[-1] for s in starts], axis=1)
         else:
             out[:, rows] = Lattice(data, starts, n, pieces, logp).a[n]
     return out
@@ -224,14 +236,22 @@ def _learn(words: DataFrame, pieces: Pieces, classes: int) -> Mixture:
                 for k in range(classes):
                     both = now.logp[[k, -1]]
                     own = batch.filter(pc.greater(batch[f"c_{k}"], 0))["word"]
+                    before = np.log([1 - now.odd[k], now.odd[k]])[:, None]
                     for n, _, data, starts in _by_length(own, ROOM // 2):
-                        if n > 2048:  # too long to be a word that others are made like
-                            continue
-                        lattice = Lattice(data, starts, n, pieces, both)
-                        share = np.log([1 - now.odd[k], now.odd[k]])[:, None] + lattice.a[n]
-                        share = np.exp(share - _add(share))
                         made = np.zeros(both.shape)
-                        lattice.expected(share, made)
+                        if n > 2048:
+                            words = [data[s : s + n].tobytes() for s in starts]
+                            share = np.zeros((2, len(words)))
+                            for w, word in enumerate(words):
+                                a = _forward(word, pieces, both)
+                                own_share = before[:, 0] + a[n]
+                                share[:, w] = np.exp(own_share - _add(own_share))
+                                _backward(word, pieces, both, a, share[:, w], made)
+                        else:
+                            lattice = Lattice(data, starts, n, pieces, both)
+                            share = before + lattice.a[n]
+                            share = np.exp(share - _add(share))
+                            lattice.expected(share, made)
                         counts[[k, -1]] += made
                         odd[:, k] += share[1].sum(), len(starts)
             lattice, piece = np.nonzero(counts)

@@ -368,3 +368,21 @@ def test_pipeline_near_duplicates(spark):
     docs = spark.createDataFrame(near, "doc_id long, text string, lang string, source string, n_chars long")
     got = dict(corpus_pipeline.STAGES)["n-gram Jaccard join"](spark, docs, "")
     assert sorted(r.doc_id for r in got.collect()) == list(range(0, 30, 3))
+
+
+def test_very_long_words_teach_the_lattice(spark):
+    from meterlake.llm import lattice as L
+
+    entries = [*[bytes([i]) for i in range(256)], b"ab", b"ba"]
+    pieces = L.Pieces(entries, np.log(np.full(len(entries), 1 / len(entries))))
+    short = b" abab" * 6
+    weights = np.stack([pieces.logp, pieces.logp])
+    plain, long = np.zeros(weights.shape), np.zeros(weights.shape)
+    lattice = L.Lattice(np.frombuffer(short, np.uint8), np.array([0]), len(short), pieces, weights)
+    lattice.expected(np.array([[0.25], [0.75]]), plain)
+    a = L._forward(short, pieces, weights)
+    L._backward(short, pieces, weights, a, np.array([0.25, 0.75]), long)
+    assert np.allclose(a[-1], lattice.a[len(short)][:, 0]) and np.allclose(plain, long)
+    words = spark.createDataFrame([(1, bytearray(b" " + b"ab" * 1100), 1, 1, 1)], "code long, word binary, c long, n long, c_0 long")
+    made = L._learn(words, pieces, 1)
+    assert np.exp(made.logp[0, entries.index(b"ab")]) > 0.3
