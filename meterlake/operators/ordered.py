@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from meterlake.session import stored
 
 
-def running(df: DataFrame, lead: Column, chunk: int, order: list, sums: dict[str, Column], position: str | None = None, whole: dict[str, Column] | None = None) -> DataFrame:
+def running(df: DataFrame, lead: Column, chunk: int, order: list, sums: dict[str, Column], position: str | None = None, whole: dict[str, Column] | None = None, by: str | None = None) -> DataFrame:
     """Adds running sums, and the position from 0, in the order by lead (a long) and then order;
-    whole: sums over all rows.
+    whole: sums over all rows. by: a column each of whose values has sums of its own.
 
     The chunks' totals are a second, narrow pass over df: only what the sums need is read again."""
     df = df.withColumn("_chunk", F.floor(lead / chunk))
@@ -19,14 +19,17 @@ def running(df: DataFrame, lead: Column, chunk: int, order: list, sums: dict[str
     if not make:
         return df.drop("_chunk")
     all_ = whole or {}
-    totals = df.groupBy("_chunk").agg(*[F.sum(x).alias(f"_{k}") for k, x in (make | all_).items()])
-    before = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    bases = totals.select("_chunk", *[F.coalesce(F.sum(f"_{k}").over(before), F.lit(0)).alias(f"_{k}") for k in make], *[F.sum(f"_{k}").over(every).alias(k) for k in all_])
-    within = Window.partitionBy("_chunk").orderBy(lead, *order).rowsBetween(Window.unboundedPreceding, 0)
-    out = df.withColumns({k: F.sum(x).over(within) for k, x in make.items()}).join(bases, "_chunk")
+    own = [by] if by else []
+    totals = df.groupBy(*own, "_chunk").agg(*[F.sum(x).alias(f"_{k}") for k, x in (make | all_).items()])
+    before = Window.partitionBy(*own).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy(*own).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    bases = totals.select(*[F.col(c).alias("__by") for c in own], F.col("_chunk").alias("__chunk"), *[F.coalesce(F.sum(f"_{k}").over(before), F.lit(0)).alias(f"_{k}") for k in make], *[F.sum(f"_{k}").over(every).alias(k) for k in all_])
+    within = Window.partitionBy(*own, "_chunk").orderBy(lead, *order).rowsBetween(Window.unboundedPreceding, 0)
+    same = F.col("_chunk") == F.col("__chunk")
+    same = same & F.col(by).eqNullSafe(F.col("__by")) if by else same
+    out = df.withColumns({k: F.sum(x).over(within) for k, x in make.items()}).join(bases, same)
     out = out.withColumns({k: F.col(k) + F.col(f"_{k}") - (1 if k == position else 0) for k in make})
-    return out.drop("_chunk", *[f"_{k}" for k in make])
+    return out.drop("_chunk", "__chunk", "__by", *[f"_{k}" for k in make])
 
 
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterlake.functions import labels, times, usage
+from meterlake.operators import canonical
 from meterlake.operators.filters import Filters, described, matching, visible
 from meterlake.operators.ordered import numbered, running
 from meterlake.operators.pricing import rate_columns
@@ -37,8 +38,7 @@ class Ledger:
 
     def replays(self, filters: Filters) -> DataFrame:
         """Excluded replays that the filters let through, by the occurrence's own session and agent."""
-        metered = self.calls.where("is_metered").select("event_fingerprint")
-        rows = self.occurrences.where("not is_canonical and replay_classification <> 'superseded-usage'").join(metered, "event_fingerprint", "left_semi")
+        rows = canonical.replays(self.occurrences, self.calls)
         return matching(described(rows, self.sessions, self.agents), filters.conditions())
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meterlake.operators import canonical, pricing
+from meterlake.operators.ordered import running
 from meterlake.plans.dashboard import Ledger
 from meterlake.schemas import ACCOUNT_STATE, TOKENS
 from meterlake.session import configure
@@ -87,17 +88,24 @@ class Data:
 
     @cached_property
     def occurrences(self) -> DataFrame:
-        """lineitem with orders as occurrences: a part of a supplier is a call, each order repeats it."""
-        o = self.table("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderdate")
-        rows = self.table("lineitem").join(o, "l_orderkey")
-        session = F.col("o_custkey") % 50
+        """lineitem with orders as occurrences: a part of a supplier is a call, each order repeats it.
+
+        A line's place in its session is its place in its order behind all lines of the session's orders
+        before: lines are dealt by order alone, and only orders are summed along a session."""
+        lines = self.table("lineitem")
+        o = self.table("orders").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_custkey") % 50).alias("_session"), "o_orderdate")
+        sized = o.join(lines.groupBy("l_orderkey").agg(F.count("*").alias("_n")), "l_orderkey")
+        upto = running(sized, F.col("l_orderkey"), 1 << 20, [], {"_upto": F.col("_n")}, by="_session")
+        rows = lines.join(upto, "l_orderkey")
+        session = F.col("_session")
         names = [r["model_key"] if r["provider"] == "anthropic" else f"moonshot-ai/{r['model_key']}" for r in catalogs.bundled_rows()]
         index = F.col("l_partkey") % 13
-        place = Window.partitionBy(session).orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
+        own = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
+        place = F.col("_upto") - F.col("_n") + F.row_number().over(own)
         tokens = [F.floor("l_quantity"), F.floor(F.col("l_discount") * 100 + 0.5), F.lit(0), F.lit(0), F.floor("l_extendedprice"), F.floor(F.col("l_tax") * 100 + 0.5)]
         request = F.concat(F.lit("p"), index.cast("string"), F.lit(":"), F.col("l_partkey").cast("string"), F.lit("-"), F.col("l_suppkey").cast("string"))
         return rows.select(
-            session.cast("string").alias("source_path"), F.lit(0).cast("long").alias("generation"), F.row_number().over(place).cast("long").alias("byte_offset"), F.concat(F.lit("request:"), request).alias("event_fingerprint"),
+            session.cast("string").alias("source_path"), F.lit(0).cast("long").alias("generation"), place.cast("long").alias("byte_offset"), F.concat(F.lit("request:"), request).alias("event_fingerprint"),
             F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("timestamp_ms"), F.when(index >= 10, "anthropic").otherwise("moonshotai").alias("provider"), F.element_at(F.lit(names), (index + 1).cast("int")).alias("raw_model"),
             *[t.cast("long").alias(c) for t, c in zip(tokens, TOKENS, strict=True)], session.cast("string").alias("session_id"), F.lit("main").alias("agent_id"), F.when(F.col("l_partkey") % 5 != 0, request).alias("provider_request_id"),
             F.lit(None).cast("long").alias("account_state_id"), (F.col("l_partkey") % 11 != 0).alias("is_metered"), F.lit("metered-api").alias("metering_basis"))
@@ -115,16 +123,19 @@ class Data:
 
     @cached_property
     def canonical(self) -> DataFrame:
-        return canonical.canonicalize(self.occurrences, self.occurrence_sessions)
+        """A line without part or supplier is no call."""
+        rows = self.occurrences.where("event_fingerprint is not null")
+        return canonical.canonicalize(rows, self.occurrence_sessions, known=True)
 
     @cached_property
     def classified(self) -> DataFrame:
-        return canonical.classified(self.occurrences, self.canonical)
+        return canonical.classified(self.occurrences, canonical.attributed(self.occurrences, self.occurrence_sessions))
 
     @cached_property
     def previous(self) -> DataFrame:
-        """A ledger of before: two thirds of the calls, some with other usage, at bundled rates."""
-        part = F.split("event_fingerprint", "[:-]")[2].cast("long")
+        """A ledger of before: two thirds of the calls, some with other usage, at bundled rates. They are
+        told by fingerprint and time, which each call has, so both ledgers come from one aggregation."""
+        part = F.when(F.col("timestamp_ms").isNotNull(), F.split("event_fingerprint", "[:-]")[2].cast("long"))
         rows = self.canonical.where(part % 3 != 0)
         return pricing.price(rows.withColumn("output_tokens", F.col("output_tokens") + F.when(part % 4 == 0, 1).otherwise(0)), self.bundled)
 

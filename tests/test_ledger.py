@@ -1,6 +1,7 @@
 """The ledger's semantics on hand-made rows."""
 
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from meterlake.operators import audits, cache_window, canonical, diagnostics, me
 from meterlake.operators.filters import Filters
 from meterlake.operators.ordered import running
 from meterlake.plans import dashboard
+from meterlake.plans.testdata import Data
 from meterlake.schemas import ACCOUNT_STATE, OCCURRENCE, TOKENS
 from meterlake.sources import catalogs
 
@@ -103,6 +105,60 @@ def test_one_call_for_each_fingerprint_whatever_the_order(spark):
     assert reconcile.record_once(stored, stored).count() == 40
 
 
+def _random(seed: int) -> list[dict]:
+    """Revisions of a few calls in transcripts of a few sessions, of equal ages too; no row is largest in all counters."""
+    rng, rows = random.Random(seed), []
+    for i in range(300):
+        call, session = rng.randrange(40), rng.randrange(6)
+        kind = {"provider": "anthropic", "raw_model": CLAUDE} if call % 2 else {}
+        tokens = {"input_other_tokens": rng.randrange(9), "output_tokens": rng.randrange(9)}
+        rows.append({"event_fingerprint": f"f{call}", "session_id": f"s{session}", "source_path": f"p{session}-{rng.randrange(2)}", "generation": rng.randrange(2), "byte_offset": i, "timestamp_ms": rng.randrange(50), **kind, **tokens})
+    return rows
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_known_sessions_take_one_aggregation(spark, seed):
+    occ, s = occurrences(spark, *_random(seed)), sessions(spark, **{f"s{i}": i // 2 for i in range(6)})
+    one = canonical.canonicalize(occ, s, known=True)
+    two = canonical.canonicalize(occ, s)
+    assert one.columns == two.columns and sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
+    assert sorted(map(str, canonical.canonicalize(occ, s, checked=False, known=True).collect())) == sorted(map(str, two.collect()))
+    first = canonical.attributed(occ, s)
+    assert sorted(map(str, canonical.classified(occ, first).collect())) == sorted(map(str, canonical.classified(occ, two).collect()))
+    plan = canonical.canonicalize(occ, s, known=True)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(event_fingerprint") == 1
+
+
+def test_known_sessions_are_held_to_it(spark):
+    with pytest.raises(Exception, match="no age is known"):
+        canonical.canonicalize(occurrences(spark, {}), sessions(spark, t=1), known=True).collect()
+    kind = {"provider": "anthropic", "raw_model": CLAUDE}
+    two = occurrences(spark, kind | {"session_id": "t", "output_tokens": 9, "cache_read_tokens": 1}, kind | {"byte_offset": 11})
+    with pytest.raises(Exception, match="a source of two sessions"):
+        canonical.canonicalize(two.withColumn("input_other_tokens", F.col("byte_offset")), sessions(spark, s=1, t=1), known=True).collect()
+
+
+def test_places_of_occurrences(spark, tmp_path):
+    """As a window over each whole session gives them; only an order's lines are sorted together."""
+    rng = random.Random(5)
+    day = datetime.datetime(1994, 1, 1)
+    orders = [(k, rng.randrange(120), day) for k in range(0, 400, 3)]
+    items = [(rng.randrange(0, 420), rng.randrange(9), rng.randrange(4), rng.randrange(3), float(rng.randrange(3)), 5.0, 0.1, 0.2, "N", "O", day) for _ in range(900)]
+    names = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(items, names).write.parquet(f"{tmp_path}/lineitem.parquet")
+    occ = Data(spark, str(tmp_path)).occurrences
+    customer = {k: c for k, c, _ in orders}
+    want, at = [], {}
+    for r in sorted((r for r in items if r[0] in customer), key=lambda r: (r[0], r[3], r[1], r[2], r[10], *r[4:10])):
+        session = customer[r[0]] % 50
+        at[session] = at.get(session, 0) + 1
+        want.append((str(session), at[session], f"request:p{r[1] % 13}:{r[1]}-{r[2]}", int(r[4])))
+    assert sorted(map(tuple, occ.select("session_id", "byte_offset", "event_fingerprint", "input_other_tokens").collect())) == sorted(want)
+    windows = [x for x in occ._jdf.queryExecution().analyzed().toString().splitlines() if "Window [row_number" in x]
+    assert windows and all("l_orderkey" in x.split("windowspecdefinition(")[1].split(",")[0] for x in windows)
+
+
 def _rates(spark, **changes):
     flat = dict.fromkeys(("input_nano_per_token", "output_nano_per_token", "cache_read_nano_per_token", "cache_creation_nano_per_token", "cache_creation_5m_nano_per_token", "cache_creation_1h_nano_per_token"), 1)
     return {"rate_id": 1, "provider": "moonshotai", "model_key": "kimi-k3", "raw_alias": None, **flat, "source_name": "models.dev", "confidence": "exact", "effective_at_ms": None, "snapshot_id": None, "is_active": True} | changes
