@@ -1,12 +1,18 @@
 """Strict reading of JSON values: what a number, a time and presence are."""
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Largest integer that the logs' writers can hold exactly.
 SAFE = 9_007_199_254_740_991
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are made once a row. A filter behind a plain column is pushed below it, and makes
+    it anew wherever it names it: a line would be parsed dozens of times."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
+
+
 def json(line: Column) -> Column:
     return F.try_parse_json(line)
 

@@ -25,8 +25,7 @@ def placed(df: DataFrame) -> DataFrame:
 
 def _relevant(lines: DataFrame) -> DataFrame:
     rows = lines.where(F.col("text").isNull() | F.col("text").contains('"assistant"') & F.col("text").contains('"usage"'))
-    rows = rows.withColumn("v", V.json(F.col("text")))
-    return rows.withColumn("bad", ~F.coalesce(V.is_object(F.col("v")), F.lit(False)))
+    return V.once(V.once(rows, v=V.json(F.col("text"))), bad=~V.is_object(F.col("v")))
 
 
 def malformed(lines: DataFrame) -> DataFrame:
@@ -43,20 +42,20 @@ def usage_records(lines: DataFrame) -> DataFrame:
     optional = lambda path: F.when(V.present(v, path), V.count(v, path)).otherwise(F.lit(0).cast("long"))
     typed = V.is_object(V.at(v, f"{use}.cache_creation"))
     hour, short = (F.when(typed, optional(f"{use}.cache_creation.ephemeral_{k}_input_tokens")).otherwise(F.lit(0).cast("long")) for k in ("1h", "5m"))
-    rows = rows.withColumns({"_type": V.text(v, "$.type"), "model": V.filled(v, "$.message.model"), "timestamp_ms": V.time_ms(v, "$.timestamp"), "_total": V.count(v, f"{use}.cache_creation_input_tokens"), "cache_creation_1h_tokens": hour, "cache_creation_5m_tokens": short, "input_other_tokens": V.count(v, f"{use}.input_tokens"), "cache_read_tokens": V.count(v, f"{use}.cache_read_input_tokens"), "output_tokens": V.count(v, f"{use}.output_tokens")})
+    message = V.filled(v, "$.message.id")
+    rows = V.once(rows, **{"request_metadata": message, "provider_request_id": F.coalesce(V.filled(v, "$.requestId"), message), "step_uuid": V.filled(v, "$.uuid"), "_type": V.text(v, "$.type"), "model": V.filled(v, "$.message.model"), "timestamp_ms": V.time_ms(v, "$.timestamp"), "_total": V.count(v, f"{use}.cache_creation_input_tokens"), "cache_creation_1h_tokens": hour, "cache_creation_5m_tokens": short, "input_other_tokens": V.count(v, f"{use}.input_tokens"), "cache_read_tokens": V.count(v, f"{use}.cache_read_input_tokens"), "output_tokens": V.count(v, f"{use}.output_tokens")})
     rows = rows.withColumn("cache_creation_tokens", F.col("_total") - F.col("cache_creation_1h_tokens") - F.col("cache_creation_5m_tokens"))
     total = sum((F.col(c) for c in TOKENS[1:]), F.col(TOKENS[0]))
     rows = rows.where((F.col("_type") == "assistant") & F.col("model").isNotNull() & (F.col("model") != "<synthetic>") & F.col("timestamp_ms").isNotNull() & (F.col("cache_creation_tokens") >= 0) & (total > 0))
-    message = V.filled(v, "$.message.id")
-    return rows.select("path", "byte_offset", "model", F.coalesce(V.filled(v, "$.requestId"), message).alias("provider_request_id"), V.filled(v, "$.uuid").alias("step_uuid"), message.alias("request_metadata"), "timestamp_ms", *TOKENS)
+    return rows.select("path", "byte_offset", "model", "provider_request_id", "step_uuid", "request_metadata", "timestamp_ms", *TOKENS)
 
 
 def sessions(lines: DataFrame, modified: DataFrame) -> DataFrame:
     """A row per transcript: first and last time, last title and directory. Without any time the
     file's own counts (modified: path, modified_ms)."""
     v = F.col("v")
-    rows = placed(lines).where(~F.col("path").rlike(SUB)).withColumn("v", V.json(F.col("text"))).where(V.is_object(v))
-    rows = rows.withColumns({"_ms": V.time_ms(v, "$.timestamp"), "_title": F.when(V.text(v, "$.type") == "ai-title", V.filled(v, "$.aiTitle")), "_cwd": V.filled(v, "$.cwd")})
+    rows = V.once(placed(lines).where(~F.col("path").rlike(SUB)), v=V.json(F.col("text"))).where(V.is_object(v))
+    rows = V.once(rows, **{"_ms": V.time_ms(v, "$.timestamp"), "_title": F.when(V.text(v, "$.type") == "ai-title", V.filled(v, "$.aiTitle")), "_cwd": V.filled(v, "$.cwd")})
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("byte_offset")))
     own = rows.groupBy("path", "project", "session_id").agg(F.min("_ms").alias("a"), F.max("_ms").alias("b"), last("_title").alias("title"), last("_cwd").alias("work_directory"))
     own = own.join(modified.select("path", "modified_ms"), "path", "left")
@@ -69,7 +68,7 @@ def agents(lines: DataFrame) -> DataFrame:
     first skill, else not at all."""
     rows = placed(lines)
     v = F.col("v")
-    rows = rows.withColumn("v", F.when(F.col("path").rlike(SUB) & (F.col("byte_offset") < IDENTITY_BYTES), V.json(F.col("text"))))
+    rows = V.once(rows, v=F.when(F.col("path").rlike(SUB) & (F.col("byte_offset") < IDENTITY_BYTES), V.json(F.col("text"))))
     name = lambda path: F.nullif(F.trim(V.text(v, path)), F.lit(""))
     rows = rows.withColumns({"_agent": name("$.attributionAgent"), "_skill": name("$.attributionSkill")})
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("byte_offset")))
@@ -93,9 +92,9 @@ def marker(v: Column) -> Column:
 def scan(lines: DataFrame) -> DataFrame:
     """Every line that isn't blank, for diagnostics: path, byte_offset, malformed, uuid,
     parent_uuid, timestamp_ms (of strings alone) and kind. lines are split with their tail."""
-    rows = lines.where(F.col("text").isNull() | (F.trim("text") != "")).withColumn("v", V.json(F.col("text")))
-    v = F.col("v")
-    good = V.is_object(v)
+    rows = V.once(lines.where(F.col("text").isNull() | (F.trim("text") != "")), v=V.json(F.col("text")))
+    v, good = F.col("v"), F.col("_good")
+    rows = V.once(rows, _good=V.is_object(v))
     at = F.unix_millis(F.try_to_timestamp(V.text(v, "$.timestamp")))
     return rows.select("path", "byte_offset", (~good).alias("malformed"), F.when(good, V.text(v, "$.uuid")).alias("uuid"), F.when(good, V.text(v, "$.parentUuid")).alias("parent_uuid"), F.when(good, at).alias("timestamp_ms"), F.when(good & at.isNotNull(), marker(v)).alias("kind"))
 

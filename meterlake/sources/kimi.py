@@ -25,8 +25,8 @@ def _parsed(lines: DataFrame, *words: str) -> DataFrame:
     has = F.col("text").contains(words[0])
     for w in words[1:]:
         has = has | F.col("text").contains(w)
-    rows = lines.where(F.col("text").isNull() | has).withColumn("v", V.json(F.col("text")))
-    return rows.withColumn("bad", F.col("v").isNull()).withColumn("type", F.when(V.is_object(F.col("v")), V.text(F.col("v"), "$.type")))
+    rows = V.once(lines.where(F.col("text").isNull() | has), v=V.json(F.col("text")))
+    return V.once(rows, bad=F.col("v").isNull(), type=F.when(V.is_object(F.col("v")), V.text(F.col("v"), "$.type")))
 
 
 def malformed(lines: DataFrame) -> DataFrame:
@@ -55,7 +55,7 @@ def _turns(lines: DataFrame) -> DataFrame:
     ends = (F.col("type") == "context.append_loop_event") & (V.text(v, "$.event.type") == "step.end")
     identity = F.struct(V.filled(v, "$.event.messageId").alias("request"), metadata.alias("metadata"), V.filled(v, "$.event.uuid").alias("uuid"))
     counts = {c: V.count(v, f"$.usage.{k}") if k else F.lit(0).cast("long") for c, k in _TOKENS.items()}
-    rows = rows.withColumns({**counts, "model": V.filled(v, "$.model"), "timestamp_ms": V.time_ms(v, "$.time")})
+    rows = V.once(rows, **counts, model=V.filled(v, "$.model"), timestamp_ms=V.time_ms(v, "$.time"))
     used = (F.col("type") == "usage.record") & (V.text(v, "$.usageScope") == "turn")
     used &= F.col("model").isNotNull() & F.col("timestamp_ms").isNotNull() & (sum((F.col(c) for c in TOKENS[1:]), F.col(TOKENS[0])) > 0)
     return rows.withColumns({"_step": F.when(ends, identity), "_used": F.coalesce(used, F.lit(False))})

@@ -252,3 +252,11 @@ def test_many_files_are_read_by_few_tasks(spark, tmp_path):
     assert lines.listed(spark, str(tmp_path)).count() == 301
     assert lines.files(spark, str(tmp_path), "1?.jsonl").count() == 10
     assert lines.read(spark, str(tmp_path / "none")).count() == 0
+
+
+@pytest.mark.parametrize("of", [claude.usage_records, claude.malformed, claude.scan, kimi.usage_records, kimi.requests], ids=lambda f: f"{f.__module__}.{f.__name__}")
+def test_lines_are_parsed_once(spark, of):
+    """However many filters ask for a line's fields, no plan parses it more often than it reads it."""
+    lines = spark.createDataFrame([("p", 0, "{}")], "path string, byte_offset long, text string")
+    plan = of(lines.repartition(2))._jdf.queryExecution().optimizedPlan().toString()
+    assert 1 <= plan.count("parseJson") <= plan.count("LogicalRDD") + plan.count("LocalRelation")
