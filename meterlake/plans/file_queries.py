@@ -40,8 +40,7 @@ def claude_malformed(d: Data):
 
 @query
 def claude_sessions(d: Data):
-    folder = _transcripts(d)
-    return claude.sessions(_text(d, folder), lines.listed(d.spark, folder))
+    return claude.session_rows(d.spark, _transcripts(d))
 
 
 @query
@@ -52,8 +51,9 @@ def claude_agents(d: Data):
 @query
 def claude_scan(d: Data):
     """Markers of every line, counted by file."""
-    found = claude.placed(claude.scan(_text(d, _transcripts(d), tail=True)))
-    return found.groupBy("session_id", "agent_id", "kind").agg(F.count("*").alias("lines"), F.count_if("malformed").alias("malformed"), F.max("timestamp_ms").alias("last_ms"))
+    rows = claude.scan(_text(d, _transcripts(d), tail=True))
+    by_path = rows.groupBy("path", "kind").agg(F.count("*").alias("lines"), F.count_if("malformed").alias("malformed"), F.max("timestamp_ms").alias("last_ms"))
+    return claude.placed(by_path).groupBy("session_id", "agent_id", "kind").agg(F.sum("lines").alias("lines"), F.sum("malformed").alias("malformed"), F.max("last_ms").alias("last_ms"))
 
 
 @query

@@ -12,21 +12,27 @@ def write_files(rows: DataFrame, folder: str) -> int:
     of files. A task that runs again writes the same files."""
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows come sorted by path, so one file is open at a time."""
+        """Rows come sorted by path, so one file is open at a time. Its lines are written 1 MB at once."""
         import pyarrow.fs as pafs
 
         store, top = pafs.FileSystem.from_uri(folder)
-        out, current, files, inside = None, None, 0, None
+        out, current, files, inside, held, size = None, None, 0, None, [], 0
         for batch in batches:
-            for path, text in zip(batch["path"], batch["text"], strict=True):
+            for path, text in zip(batch["path"].tolist(), batch["text"].tolist(), strict=True):
                 if path != current:
                     if out is not None:
+                        out.write("".join(held).encode())
                         out.close()
                     if inside != (inside := f"{top}/{path}".rsplit("/", 1)[0]):
                         store.create_dir(inside, recursive=True)
-                    out, current, files = store.open_output_stream(f"{top}/{path}"), path, files + 1
-                out.write(f"{text}\n".encode())
+                    out, current, files, held, size = store.open_output_stream(f"{top}/{path}"), path, files + 1, [], 0
+                held.append(f"{text}\n")
+                size += len(held[-1])
+                if size >= 1 << 20:
+                    out.write("".join(held).encode())
+                    held, size = [], 0
         if out is not None:
+            out.write("".join(held).encode())
             out.close()
         yield pd.DataFrame({"files": [files]})
 

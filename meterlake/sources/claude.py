@@ -23,6 +23,11 @@ def placed(df: DataFrame) -> DataFrame:
     return rows.withColumns({"project": part(1), "session_id": F.concat(F.lit("anthropic:"), part(2)), "agent_id": F.when(sub, F.regexp_extract("path", SUB, 3)).otherwise("main")})
 
 
+def of_sessions(path: Column) -> Column:
+    """Whether a path is that of a session's own transcript; sessions() takes nothing from others."""
+    return path.rlike(MAIN) & ~path.rlike(SUB)
+
+
 def _relevant(lines: DataFrame) -> DataFrame:
     rows = lines.where(F.col("text").isNull() | F.col("text").contains('"assistant"') & F.col("text").contains('"usage"'))
     return V.once(V.once(rows, v=V.json(F.col("text"))), bad=~V.is_object(F.col("v")))
@@ -54,11 +59,12 @@ def sessions(lines: DataFrame, modified: DataFrame) -> DataFrame:
     """A row per transcript: first and last time, last title and directory. Without any time the
     file's own counts (modified: path, modified_ms)."""
     v = F.col("v")
-    rows = V.once(placed(lines).where(~F.col("path").rlike(SUB)), v=V.json(F.col("text"))).where(V.is_object(v))
-    rows = V.once(rows, **{"_ms": V.time_ms(v, "$.timestamp"), "_title": F.when(V.text(v, "$.type") == "ai-title", V.filled(v, "$.aiTitle")), "_cwd": V.filled(v, "$.cwd")})
+    rows = lines.where(of_sessions(F.col("path"))).withColumn("v", V.json(F.col("text")))
+    rows = rows.select("path", "byte_offset", V.is_object(v).alias("_good"), V.time_ms(v, "$.timestamp").alias("_ms"), F.when(V.text(v, "$.type") == "ai-title", V.filled(v, "$.aiTitle")).alias("_title"), V.filled(v, "$.cwd").alias("_cwd"))
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("byte_offset")))
-    own = rows.groupBy("path", "project", "session_id").agg(F.min("_ms").alias("a"), F.max("_ms").alias("b"), last("_title").alias("title"), last("_cwd").alias("work_directory"))
-    own = own.join(modified.select("path", "modified_ms"), "path", "left")
+    # a value that is no object has no part, so it adds nothing to a path that has objects
+    own = rows.groupBy("path").agg(F.count_if("_good").alias("_objects"), F.min("_ms").alias("a"), F.max("_ms").alias("b"), last("_title").alias("title"), last("_cwd").alias("work_directory"))
+    own = placed(own.where("_objects > 0")).join(modified.select("path", "modified_ms"), "path", "left")
     workspace = F.coalesce(F.nullif(labels.workspace_of(F.col("work_directory")), F.lit("")), F.col("project"))
     return own.select("session_id", F.lit("anthropic").alias("provider"), workspace.alias("workspace_key"), "work_directory", "title", F.coalesce("a", "modified_ms").alias("created_at_ms"), F.coalesce("b", "modified_ms").alias("updated_at_ms"))
 
@@ -92,14 +98,21 @@ def marker(v: Column) -> Column:
 def scan(lines: DataFrame) -> DataFrame:
     """Every line that isn't blank, for diagnostics: path, byte_offset, malformed, uuid,
     parent_uuid, timestamp_ms (of strings alone) and kind. lines are split with their tail."""
-    rows = V.once(lines.where(F.col("text").isNull() | (F.trim("text") != "")), v=V.json(F.col("text")))
     v, good = F.col("v"), F.col("_good")
-    rows = V.once(rows, _good=V.is_object(v))
+    rows = lines.where(F.col("text").isNull() | (F.trim("text") != "")).withColumn("v", V.json(F.col("text"))).withColumn("_good", V.is_object(v))
     at = F.unix_millis(F.try_to_timestamp(V.text(v, "$.timestamp")))
     return rows.select("path", "byte_offset", (~good).alias("malformed"), F.when(good, V.text(v, "$.uuid")).alias("uuid"), F.when(good, V.text(v, "$.parentUuid")).alias("parent_uuid"), F.when(good, at).alias("timestamp_ms"), F.when(good & at.isNotNull(), marker(v)).alias("kind"))
 
 
+def session_rows(spark: SparkSession, root: str, listing: DataFrame | None = None) -> DataFrame:
+    """sessions() of the transcripts below a folder, of which only the sessions' own are opened."""
+    listing = lines.found(spark, root, [".jsonl"]) if listing is None else listing
+    own = listing.where(of_sessions(F.col("path")))
+    return sessions(lines.texts(lines.read(spark, root, listing=own)), own.select("path", "modified_ms"))
+
+
 def parts(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Usage records, sessions and agents below <root>/projects."""
-    text, found = lines.texts(lines.read(spark, root)), lines.listed(spark, root)
-    return placed(usage_records(text)), sessions(text, found).select(*[c.split()[0] for c in SESSION.split(", ")]), agents(text).select(*[c.split()[0] for c in AGENT.split(", ")])
+    listing = lines.found(spark, root, [".jsonl"])
+    text = lines.texts(lines.read(spark, root, listing=listing))
+    return placed(usage_records(text)), session_rows(spark, root, listing).select(*[c.split()[0] for c in SESSION.split(", ")]), agents(text).select(*[c.split()[0] for c in AGENT.split(", ")])

@@ -56,11 +56,12 @@ def files(spark: SparkSession, folder: str, pattern: str = "*.jsonl") -> DataFra
     return _dealt(listing, "size", RANGE, "path").mapInArrow(contents, "path string, content binary, modified_ms long")
 
 
-def read(spark: SparkSession, folder: str, suffix: str = ".jsonl", tail: bool = False) -> DataFrame:
+def read(spark: SparkSession, folder: str, suffix: str = ".jsonl", tail: bool = False, listing: DataFrame | None = None) -> DataFrame:
     """path, byte_offset and line of files of any size below a folder, as split() gives them: tasks list
-    the files and read ranges of their bytes, many short files by one task."""
-    listing = found(spark, folder, [suffix]).where("size > 0")
-    new = listing.select("path", F.lit(0).cast("long").alias("generation"), F.lit(0).cast("long").alias("start"), F.col("size").alias("upto"))
+    the files and read ranges of their bytes, many short files by one task. listing: those of the files that
+    are to be read, as found() gives them, where it is known already."""
+    listing = found(spark, folder, [suffix]) if listing is None else listing
+    new = listing.where("size > 0").select("path", F.lit(0).cast("long").alias("generation"), F.lit(0).cast("long").alias("start"), F.col("size").alias("upto"))
     return _lines_of(new, folder, RANGE, tail).select("path", "byte_offset", "line")
 
 
@@ -136,18 +137,22 @@ def _read(store, part: _Range, tail: bool = False) -> Iterator[tuple]:
                     break
             else:
                 return
+        *whole, last = rest.split(b"\n")
+        held = [last]  # what is read of the line that goes on, joined once
         while at < part.end:
-            cut = rest.find(b"\n")
-            if cut < 0:
-                if not (chunk := f.read(1 << 20)):
-                    if tail and rest:
-                        yield "line", part.path, part.generation, at, rest.removesuffix(b"\r")
+            for line in whole:
+                yield "line", part.path, part.generation, at, line.removesuffix(b"\r")
+                at += len(line) + 1
+                if at >= part.end:
                     return
-                rest += chunk
-                continue
-            line = rest[:cut]
-            yield "line", part.path, part.generation, at, line.removesuffix(b"\r")
-            at, rest = at + cut + 1, rest[cut + 1 :]
+            if not (chunk := f.read(1 << 20)):
+                if tail and (rest := b"".join(held)):
+                    yield "line", part.path, part.generation, at, rest.removesuffix(b"\r")
+                return
+            first, *whole = chunk.split(b"\n")
+            held.append(first)
+            if whole:
+                whole, held = [b"".join(held), *whole[:-1]], whole[-1:]
 
 
 def _ranges(path: str, generation: int, start: int, end: int, size: int) -> list[_Range]:

@@ -260,3 +260,32 @@ def test_lines_are_parsed_once(spark, of):
     lines = spark.createDataFrame([("p", 0, "{}")], "path string, byte_offset long, text string")
     plan = of(lines.repartition(2))._jdf.queryExecution().optimizedPlan().toString()
     assert 1 <= plan.count("parseJson") <= plan.count("LogicalRDD") + plan.count("LocalRelation")
+
+
+def test_sessions_open_their_own_transcripts_alone(spark, tmp_path):
+    """A subagent's file that has gone since it was listed is not asked for; a value that is no object counts
+    for nothing, and a transcript without an object is no session."""
+    p = tmp_path / "projects" / "p"
+    (p / "s1" / "subagents").mkdir(parents=True)
+    (p / "s1.jsonl").write_text('[1]\n{"timestamp":"2026-07-01T00:00:00Z","cwd":"/x/y"}\n"2026"\n')
+    (p / "s2.jsonl").write_text('[{"timestamp":"2026-07-01T00:00:00Z"}]\n{bad\n')
+    (p / "s1" / "subagents" / "agent-a.jsonl").write_text("{}\n")
+    listing = lines.found(spark, str(tmp_path), [".jsonl"])
+    (p / "s1" / "subagents" / "agent-a.jsonl").unlink()
+    (own,) = claude.session_rows(spark, str(tmp_path), listing).collect()
+    assert (own.session_id, own.workspace_key, own.created_at_ms) == ("anthropic:s1", "y", 1782864000000)
+
+
+def test_lines_across_chunks_and_ranges(spark, tmp_path):
+    """Lines shorter and longer than what is read at once, by one range and by many."""
+    text = [b"x" * n for n in (3, 0, (1 << 20) - 5, 1, 3 << 20, 7, 2)]
+    (tmp_path / "a.jsonl").write_bytes(b"\n".join(text[:3]) + b"\r\n" + b"\n".join(text[3:]))
+    whole, at = [], 0
+    for i, line in enumerate(text):
+        whole.append((at, len(line)))
+        at += len(line) + 1 + (i == 2)
+    for size in (1 << 26, 1 << 20, 300_000):
+        for tail in (False, True):
+            new = lines.found(spark, str(tmp_path), [".jsonl"]).selectExpr("path", "0L generation", "0L start", "size upto")
+            got = lines._lines_of(new, str(tmp_path), size, tail).selectExpr("byte_offset", "octet_length(line)").collect()
+            assert sorted(map(tuple, got)) == (whole if tail else whole[:-1])
