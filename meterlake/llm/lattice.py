@@ -78,16 +78,20 @@ class Pieces:
     def __setstate__(self, state: dict) -> None:
         self.__init__(**state)
 
-    def find(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Numbers of the pieces at byte ranges, -1 where there is none."""
-        codes = T.word_hashes(data, starts, ends, lower=False)
-        out = np.full(len(codes), -1, np.int32)
-        for shift, table in zip(self.shifts, self.tables, strict=True):
-            at = table[(codes >> shift) & self.mask]
-            out = np.where((at >= 0) & (self.codes[at] == codes), at, out)
-        if len(self.rest):
-            at = self.rest[np.minimum(np.searchsorted(self.codes[self.rest], codes), len(self.rest) - 1)]
-            out = np.where(self.codes[at] == codes, at, out)
+    def find(self, eight: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+        """Numbers of the pieces at byte ranges of one size, -1 where there is none; eight: T.eights of the
+        bytes. Only where another piece has the place in one table can a piece be in the next."""
+        codes = T.run_hashes(eight, starts, size)
+        out = self.tables[0][codes >> self.shifts[0]]
+        other = np.flatnonzero((self.codes[out] != codes) & (out >= 0))
+        if len(other):
+            left = codes[other]
+            at = self.tables[1][(left >> self.shifts[1]) & self.mask]
+            at = np.where(self.codes[at] == left, at, -1)
+            if len(self.rest):
+                third = self.rest[np.minimum(np.searchsorted(self.codes[self.rest], left), len(self.rest) - 1)]
+                at = np.where(self.codes[third] == left, third, at)
+            out[other] = at
         return out
 
 
@@ -146,11 +150,12 @@ class Lattice:
         self.n, self.words, self.sets = n, len(starts), len(logp)
         self.edges: list[tuple[int, np.ndarray, np.ndarray]] = []  # length, numbers by start, log weights
         weights = np.concatenate([logp, np.full((self.sets, 1), -np.inf)], axis=1)
+        eight = T.eights(data)
         for k in range(1, min(n, pieces.longest) + 1):
             start = (starts[None, :] + np.arange(n - k + 1)[:, None]).ravel()
-            number = pieces.find(data, start, start + k).reshape(n - k + 1, -1)
+            number = pieces.find(eight, start, k).reshape(n - k + 1, -1)
             if (number >= 0).any():
-                self.edges.append((k, number, weights[:, number]))
+                self.edges.append((k, number, np.take(weights, number, axis=1)))
         self.a = np.zeros((n + 1, self.sets, self.words))
         for j in range(1, n + 1):
             self.a[j] = _add(np.stack([self.a[j - k] + w[:, j - k] for k, _, w in self.edges if k <= j]))
@@ -160,12 +165,16 @@ class Lattice:
         b = np.zeros_like(self.a)
         for i in range(self.n - 1, -1, -1):
             b[i] = _add(np.stack([b[i + k] + w[:, i] for k, _, w in self.edges if k <= self.n - i]))
+        # places in arrays laid flat, of which one index is quicker to follow than three
+        a, b, many = self.a.ravel(), b.ravel(), self.words * (self.sets - 1)
         for k, number, w in self.edges:
-            at = np.nonzero(number >= 0)
+            at = np.flatnonzero(number.ravel() >= 0)
+            row, found, w = at % self.words, number.ravel()[at], w.reshape(self.sets, -1)
+            start = at + at // self.words * many
             for c in range(self.sets):
-                i, r = at
-                part = np.exp(self.a[i, c, r] + w[c, i, r] + b[i + k, c, r] - self.a[self.n, c, r]) * share[c, r]
-                counts[c] += np.bincount(number[i, r], part, counts.shape[1])
+                first = start + c * self.words
+                part = np.exp(a[first] + w[c, at] + b[first + k * (many + self.words)] - self.a[self.n, c, row]) * share[c, row]
+                counts[c] += np.bincount(found, part, counts.shape[1])
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

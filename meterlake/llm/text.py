@@ -62,11 +62,27 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a number; zeros follow the last."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+
+
+def run_hashes(eight: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """word_hashes() of ranges of one size, 1 at least, without lower-casing, by the eights of their bytes."""
+    h = np.array([size], np.uint64) * _A + _C
+    for k in range(0, size, 8):
+        part = eight[starts + k] if k else eight[starts]
+        if size - k < 8:
+            part &= U((1 << 8 * (size - k)) - 1)
+        h = mix((h ^ part) * _A + U(k + 1))
+    return h
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
     """A 64-bit hash of each byte range, after A-Z are lower-cased."""
-    padded = np.zeros(len(data) + 8, np.uint8)
-    padded[: len(data)] = _LOWER[data] if lower else data
-    eight = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    eight = eights(_LOWER[data] if lower else data)
     size = ends - starts
     h = size.astype(np.uint64) * _A + _C
     rest, k = np.arange(len(starts)), 0

@@ -386,3 +386,20 @@ def test_very_long_words_teach_the_lattice(spark):
     words = spark.createDataFrame([(1, bytearray(b" " + b"ab" * 1100), 1, 1, 1)], "code long, word binary, c long, n long, c_0 long")
     made = L._learn(words, pieces, 1)
     assert np.exp(made.logp[0, entries.index(b"ab")]) > 0.3
+
+
+def test_pieces_are_found_by_their_size():
+    """Ranges of one size have the hash of any ranges, and give the piece that stands there, also of those
+    that meet another in a table."""
+    from meterlake.llm import lattice as L
+    from meterlake.llm import text as T
+
+    entries = [bytes([b]) for b in range(256)] + [bytes([97 + i % 26, 97 + i // 26 % 26]) * (1 + i % 9) + bytes([97 + i % 7]) for i in range(3000)]
+    entries = [*dict.fromkeys(entries)]
+    pieces = L.Pieces(entries, np.zeros(len(entries)))
+    data = np.frombuffer(b"".join(entries), np.uint8)
+    number = {e: i for i, e in enumerate(entries)}
+    for size in range(1, 20):
+        starts = np.arange(len(data) - size + 1)
+        assert (T.run_hashes(T.eights(data), starts, size) == T.word_hashes(data, starts, starts + size, lower=False)).all()
+        assert pieces.find(T.eights(data), starts, size).tolist() == [number.get(data[s : s + size].tobytes(), -1) for s in starts]
