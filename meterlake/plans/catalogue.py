@@ -159,7 +159,8 @@ def health_counts(d: Data):
 
 @query
 def canonical_calls(d: Data):
-    return d.canonical.select("event_fingerprint", "canonical_source_path", "canonical_byte_offset", "timestamp_ms", "provider", "raw_model", "session_id", "is_metered", *TOKENS)
+    own = ["timestamp_ms", "provider", "raw_model", "session_id", "is_metered"]
+    return d.canonical_with(*own).select("event_fingerprint", "canonical_source_path", "canonical_byte_offset", *own, *TOKENS)
 
 
 @query
@@ -201,18 +202,18 @@ def rate_best_match(d: Data):
 
 @query
 def priced_calls(d: Data):
-    return pricing.price(d.canonical, d.rates).select("event_fingerprint", *COSTS, "rate_id", "resolved_model_key", "pricing_confidence", "pricing_basis")
+    return pricing.price(d.unpriced, d.rates).select("event_fingerprint", *COSTS, "rate_id", "resolved_model_key", "pricing_confidence", "pricing_basis")
 
 
 @query
 def reprice_totals(d: Data):
-    new = pricing.price(d.canonical, d.rates)
+    new = pricing.price(d.unpriced, d.rates)
     return new.agg(F.count("*").alias("calls"), F.count_if(F.col("total_cost_nano").isNotNull()).alias("priced_calls"), F.count_if(F.col("total_cost_nano").isNull()).alias("unpriced_calls"), F.coalesce(F.sum("total_cost_nano"), F.lit(0)).alias("total_cost_nano"))
 
 
 @query
 def sticky_price(d: Data):
-    return pricing.sticky_price(d.canonical, d.previous, d.rates).select("event_fingerprint", "total_cost_nano", "rate_id", "pricing_confidence")
+    return pricing.sticky_price(d.unpriced, d.previous, d.rates).select("event_fingerprint", "total_cost_nano", "rate_id", "pricing_confidence")
 
 
 @query

@@ -91,16 +91,18 @@ class Data:
         """lineitem with orders as occurrences: a part of a supplier is a call, each order repeats it.
 
         A line's place in its session is its place in its order behind all lines of the session's orders
-        before: lines are dealt by order alone, and only orders are summed along a session."""
+        before: lines are dealt by order alone, and only orders are summed along a session. Lines that differ in
+        l_returnflag or l_linestatus alone, the last of the order, are equal occurrences: neither is sent."""
         lines = self.table("lineitem")
         o = self.table("orders").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_custkey") % 50).alias("_session"), "o_orderdate")
         sized = o.join(lines.groupBy("l_orderkey").agg(F.count("*").alias("_n")), "l_orderkey")
         upto = running(sized, F.col("l_orderkey"), 1 << 20, [], {"_upto": F.col("_n")}, by="_session")
-        rows = lines.join(upto, "l_orderkey")
+        # places need the lines by order anyway: were they broadcast, the same shuffle would carry wider rows
+        rows = lines.hint("merge").join(upto, "l_orderkey")
         session = F.col("_session")
         names = [r["model_key"] if r["provider"] == "anthropic" else f"moonshot-ai/{r['model_key']}" for r in catalogs.bundled_rows()]
         index = F.col("l_partkey") % 13
-        own = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
+        own = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
         place = F.col("_upto") - F.col("_n") + F.row_number().over(own)
         tokens = [F.floor("l_quantity"), F.floor(F.col("l_discount") * 100 + 0.5), F.lit(0), F.lit(0), F.floor("l_extendedprice"), F.floor(F.col("l_tax") * 100 + 0.5)]
         request = F.concat(F.lit("p"), index.cast("string"), F.lit(":"), F.col("l_partkey").cast("string"), F.lit("-"), F.col("l_suppkey").cast("string"))
@@ -121,22 +123,30 @@ class Data:
     def occurrence_agents(self) -> DataFrame:
         return self.occurrence_sessions.select("session_id", F.lit("main").alias("agent_id"), F.lit("main").alias("agent_key"), F.lit("Main").alias("agent_label"), F.lit("main").alias("agent_type"))
 
+    def canonical_with(self, *keep: str) -> DataFrame:
+        """Calls with these columns of their attribution. A line without part or supplier is no call."""
+        rows = self.occurrences.where("event_fingerprint is not null")
+        return canonical.canonicalize(rows, self.occurrence_sessions, known=True, keep=list(keep))
+
     @cached_property
     def canonical(self) -> DataFrame:
-        """A line without part or supplier is no call."""
-        rows = self.occurrences.where("event_fingerprint is not null")
-        return canonical.canonicalize(rows, self.occurrence_sessions, known=True)
+        return self.canonical_with(*canonical.PAYLOAD)
+
+    @cached_property
+    def unpriced(self) -> DataFrame:
+        """Calls with what a price asks for."""
+        return self.canonical_with("timestamp_ms", "raw_model")
 
     @cached_property
     def classified(self) -> DataFrame:
-        return canonical.classified(self.occurrences, canonical.attributed(self.occurrences, self.occurrence_sessions))
+        return canonical.classified(self.occurrences, canonical.attributed(self.occurrences, self.occurrence_sessions, known=True))
 
     @cached_property
     def previous(self) -> DataFrame:
         """A ledger of before: two thirds of the calls, some with other usage, at bundled rates. They are
         told by fingerprint and time, which each call has, so both ledgers come from one aggregation."""
         part = F.when(F.col("timestamp_ms").isNotNull(), F.split("event_fingerprint", "[:-]")[2].cast("long"))
-        rows = self.canonical.where(part % 3 != 0)
+        rows = self.unpriced.where(part % 3 != 0)
         return pricing.price(rows.withColumn("output_tokens", F.col("output_tokens") + F.when(part % 4 == 0, 1).otherwise(0)), self.bundled)
 
     @cached_property

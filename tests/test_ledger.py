@@ -138,6 +138,35 @@ def test_known_sessions_are_held_to_it(spark):
         canonical.canonicalize(two.withColumn("input_other_tokens", F.col("byte_offset")), sessions(spark, s=1, t=1), known=True).collect()
 
 
+def test_calls_carry_what_is_asked_for(spark):
+    """Buffers that are shuffled hold no column that isn't asked for; the others are as in whole calls."""
+    occ, s = occurrences(spark, *_random(3)), sessions(spark, **{f"s{i}": i // 2 for i in range(6)})
+    occ = occ.withColumn("provider", F.when(F.col("event_fingerprint") != "f3", F.col("provider")))
+    plan = lambda df: "".join(x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Scan " not in x)
+    for known in (True, False):
+        whole, some = (canonical.canonicalize(occ, s, known=known, **k) for k in ({}, {"keep": ["raw_model", "is_metered"]}))
+        assert sorted(map(str, some.collect())) == sorted(map(str, whole.select(*some.columns).collect()))
+        assert "metering_basis" in plan(whole) and not any(c in plan(some) for c in ("provider_request_id", "metering_basis"))
+    first = canonical.attributed(occ, s, known=True)
+    assert sorted(map(str, first.collect())) == sorted(map(str, canonical.attributed(occ, s).collect()))
+    assert "timestamp_ms" not in plan(first)
+    with pytest.raises(Exception, match="no age is known"):
+        canonical.attributed(occ, sessions(spark, t=1), known=True).collect()
+
+
+def test_lines_go_by_order_without_their_flags(spark, tmp_path):
+    day = datetime.datetime(1994, 1, 1)
+    items = [(1, 5, 2, 3, 4.0, 5.0, 0.1, 0.2, flag, status, day) for flag in "NRN" for status in "OF"]
+    names = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"
+    spark.createDataFrame([(1, 7, day)], "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(items, names).write.parquet(f"{tmp_path}/lineitem.parquet")
+    occ = Data(spark, str(tmp_path)).occurrences
+    plan = occ._jdf.queryExecution().executedPlan().toString()
+    assert "l_returnflag" not in plan and "l_linestatus" not in plan and "SortMergeJoin [l_orderkey" in plan
+    rows = [tuple(r) for r in occ.collect()]
+    assert sorted(r[2] for r in rows) == [1, 2, 3, 4, 5, 6] and len({(*r[:2], *r[3:]) for r in rows}) == 1
+
+
 def test_places_of_occurrences(spark, tmp_path):
     """As a window over each whole session gives them; only an order's lines are sorted together."""
     rng = random.Random(5)
