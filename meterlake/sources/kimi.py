@@ -83,15 +83,18 @@ def open_steps(lines: DataFrame) -> DataFrame:
 def requests(lines: DataFrame) -> DataFrame:
     """Turn usages with the latest request before them: path, byte_offset, requested_ms,
     message_count, system_prompt_hash, tools_hash. Every turn usage spends a request; a request
-    without a time answers nothing."""
+    without a time answers nothing.
+
+    As many as usages, though Spark takes what tasks read for as little as the listing of their files: hence
+    the hint, or a join would send them all to the driver to be broadcast."""
     v = F.col("v")
     rows = _parsed(lines, "llm.request", "usage.record")
     at = V.time_ms(v, "$.time")
     request = F.struct(at.alias("requested_ms"), V.count(v, "$.messageCount").alias("message_count"), V.filled(v, "$.systemPromptHash").alias("system_prompt_hash"), V.filled(v, "$.toolsHash").alias("tools_hash"))
     turn = F.coalesce((F.col("type") == "usage.record") & (V.text(v, "$.usageScope") == "turn"), F.lit(False))
-    rows = rows.withColumns({"_request": F.when(F.col("type") == "llm.request", request), "_turn": turn})
+    rows = V.once(rows, _request=F.when(F.col("type") == "llm.request", request), _turn=turn)
     rows = carried(rows, F.col("_request"), F.col("_turn"), "r").where("_turn and r.requested_ms is not null")
-    return rows.select("path", "byte_offset", "r.requested_ms", "r.message_count", "r.system_prompt_hash", "r.tools_hash")
+    return rows.select("path", "byte_offset", "r.requested_ms", "r.message_count", "r.system_prompt_hash", "r.tools_hash").hint("merge")
 
 
 def cache_calls(calls: DataFrame, found: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from meterlake.operators import catalog, reconcile
 from meterlake.schemas import ACCOUNT_STATE, SESSION
@@ -59,6 +60,20 @@ def test_kimi_requests(spark, tmp_path):
     assert [(r["requested_ms"], r["message_count"], r["system_prompt_hash"], r["tools_hash"]) for r in got] == [(5, 2, "h", None), (9, None, None, None)]
 
 
+def test_requests_are_not_broadcast(spark, tmp_path):
+    """They are as many as usages, but count as little as the listing of the files that they stand in."""
+    request = json.dumps({"type": "llm.request", "time": 5, "messageCount": 2})
+    put(tmp_path / "sessions/ws/s/wire.jsonl", usage(), request, usage(), usage())
+    text = lines.texts(lines.read(spark, f"file://{tmp_path}", "wire.jsonl"))
+    own = kimi.usage_records(text).select("path", "byte_offset", "timestamp_ms")
+    both = own.join(kimi.requests(text), ["path", "byte_offset"], "left")
+    calls = own.select(F.lit("moonshotai").alias("provider"), F.lit("s").alias("session_id"), F.lit("main").alias("agent_id"), F.lit("m").alias("raw_model"), "timestamp_ms", F.lit("f").alias("event_fingerprint"), F.lit(0).alias("cache_read_tokens"), F.lit(0).alias("input_other_tokens"), F.col("path").alias("canonical_source_path"), F.col("byte_offset").alias("canonical_byte_offset"))
+    for made in (both, kimi.cache_calls(calls, kimi.requests(text))):
+        assert [r["message_count"] for r in rows(made, F.col("message_count").asc_nulls_last())] == [2, None, None]
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert not [x for x in plan.splitlines() if "BroadcastHashJoin" in x and "byte_offset" in x]
+
+
 def test_kimi_state(spark, tmp_path):
     put(tmp_path / "sessions/ws/s1/state.json", json.dumps({"createdAt": "2026-08-01T00:00:00Z", "title": "", "workDir": "/w", "agents": {"main": {"type": "main"}, "x": {"type": "odd", "parentAgentId": "main"}, "bad": 3}}), end="")
     files = lines.files(spark, str(tmp_path), "state.json")
