@@ -5,6 +5,8 @@ it. Operations compose, and what a whole chunk does is what its last operation d
 summed up by one row; the value at a chunk's beginning comes from the rows of the chunks before it, and
 only lines of one chunk are sorted together. A file of any length needs no task that holds it."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,18 +24,24 @@ def _last(operation: str, order: str) -> Column:
     return F.max_by(operation, F.when(F.col(operation).isNotNull(), F.col(order)))
 
 
-def carried(lines: DataFrame, value: Column, clears: Column, name: str, path: str = "path", order: str = "byte_offset", chunk: int = CHUNK) -> DataFrame:
+def carried(lines: DataFrame, value: Column, clears: Column, name: str, path: str = "path", order: str = "byte_offset", chunk: int = CHUNK, raw: DataFrame | None = None, made: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Adds the latest value before each line of its file, forgotten after a line that clears it.
 
     value: null where a line has none. clears is seen by the lines after it; a line that clears carries
-    nothing on. order: a number that no two lines of a file share; it decides the chunk."""
+    nothing on. order: a number that no two lines of a file share; it decides the chunk.
+
+    Only files of several chunks are summed up, one path for each chunk at most. raw and made: where lines
+    are made(raw) at some cost, those of other files aren't made again for it."""
     place = F.coalesce(F.floor(F.col(order) / chunk), F.lit(-1)).cast("long")
-    rows = lines.withColumns({"_operation": _operation(value, clears), "_chunk": place})
-    sums = rows.groupBy(path, "_chunk").agg(_last("_operation", order).alias("_last"))
+    dealt = lambda df: df.withColumns({"_operation": _operation(value, clears), "_chunk": place})
+    behind = (F.col(order) >= chunk) | (F.col(order) < 0) | F.col(order).isNull()
+    raw, made = (lines, lambda df: df) if raw is None or made is None else (raw, made)
+    several = raw.where(behind).select(path).distinct()
+    sums = dealt(made(raw.join(F.broadcast(several), path, "left_semi"))).groupBy(path, "_chunk").agg(_last("_operation", order).alias("_last"))
     before = Window.partitionBy(path).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     entry = sums.withColumn("_entry", F.last("_last", ignorenulls=True).over(before)).drop("_last")
     own = Window.partitionBy(path, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_own", F.last("_operation", ignorenulls=True).over(own))
+    rows = dealt(lines).withColumn("_own", F.last("_operation", ignorenulls=True).over(own))
     rows = rows.join(entry.where("_entry is not null"), [path, "_chunk"], "left")
     return rows.withColumn(name, F.coalesce("_own", "_entry")["v"]).drop("_operation", "_chunk", "_own", "_entry")
 

@@ -84,10 +84,11 @@ class Commit:
         self.parts[table] = {_WHOLE: path}
 
     def write_buckets(self, table: str, df: DataFrame, key: str, buckets: Iterable[int]) -> None:
-        """df takes the place of the table's rows in these buckets of key; the others stay."""
+        """df takes the place of the table's rows in these buckets of key; the others stay. A bucket's rows are
+        brought together first, as many tasks as its size asks for, or each task would write a file a bucket."""
         path = f"{table}/v{self.version}"
         rows = df.withColumn("_bucket", bucket_of(key))
-        rows.write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.store.folder}/{path}")
+        rows.hint("rebalance", F.col("_bucket")).write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.store.folder}/{path}")
         made = {name.removeprefix("_bucket=") for name in self.store._names(path) if name.startswith("_bucket=")}
         kept = {b: p for b, p in self.parts.get(table, {}).items() if b not in {str(b) for b in buckets}}
         self.parts[table] = kept | {b: f"{path}/_bucket={b}" for b in made}

@@ -34,31 +34,37 @@ def malformed(lines: DataFrame) -> DataFrame:
     return _parsed(lines, "usage.record", "context.append_loop_event").groupBy("path").agg(F.count_if("bad").alias("malformed"))
 
 
-def _label(path: str):
+def _label(v: Column, path: str):
     """A string, or a number as JSON writes it."""
-    v = F.col("v")
     return F.when(V.kind(V.at(v, path)).isin("STRING", "BIGINT", "DECIMAL", "DOUBLE"), F.try_variant_get(v, path, "string"))
 
 
 def _turns(lines: DataFrame) -> DataFrame:
-    """Lines with what a step's end tells (_step) and whether a usage record counts (_used)."""
-    v = F.col("v")
+    """Lines with what a step's end tells (_step) and whether a usage record counts (_used).
+
+    In many small steps, so that the JVM compiles the code of each (V.counts)."""
+    v, u, s = F.col("v"), F.col("_u"), F.col("_s")
     rows = _parsed(lines, "usage.record", "context.append_loop_event")
-    step, turn = _label("$.event.step"), _label("$.event.turnId")
+    event = F.when(F.col("type") == "context.append_loop_event", V.at(v, "$.event"))
+    rows = V.once(rows, _u=F.when(F.col("type") == "usage.record", v), _e=event)
+    rows = V.once(rows, _s=F.when(V.text(F.col("_e"), "$.type") == "step.end", F.col("_e")))
 
     def quoted(path: str, x: Column) -> Column:
         text = F.concat(F.lit('"'), F.regexp_replace(x, r'(["\\])', r"\\$1"), F.lit('"'))
-        return F.when(x.isNull(), F.lit("null")).when(V.kind(V.at(v, path)) == "STRING", text).otherwise(x)
-
-    both = F.concat(F.lit('{"step":'), quoted("$.event.step", step), F.lit(',"turnId":'), quoted("$.event.turnId", turn), F.lit("}"))
-    metadata = F.when(step.isNotNull() | turn.isNotNull(), both)
-    ends = (F.col("type") == "context.append_loop_event") & (V.text(v, "$.event.type") == "step.end")
-    identity = F.struct(V.filled(v, "$.event.messageId").alias("request"), metadata.alias("metadata"), V.filled(v, "$.event.uuid").alias("uuid"))
-    counts = {c: V.count(v, f"$.usage.{k}") if k else F.lit(0).cast("long") for c, k in _TOKENS.items()}
-    rows = V.once(rows, **counts, model=V.filled(v, "$.model"), timestamp_ms=V.time_ms(v, "$.time"))
-    used = (F.col("type") == "usage.record") & (V.text(v, "$.usageScope") == "turn")
-    used &= F.col("model").isNotNull() & F.col("timestamp_ms").isNotNull() & (sum((F.col(c) for c in TOKENS[1:]), F.col(TOKENS[0])) > 0)
-    return rows.withColumns({"_step": F.when(ends, identity), "_used": F.coalesce(used, F.lit(False))})
+        return F.when(x.isNull(), F.lit("null")).when(V.kind(V.at(s, path)) == "STRING", text).otherwise(x)
+
+    labels = {"_label_step": "$.step", "_label_turn": "$.turnId"}
+    rows = V.once(rows, **{c: _label(s, path) for c, path in labels.items()})
+    step, turn = (F.when(F.coalesce(*labels).isNotNull(), quoted(path, F.col(c))) for c, path in labels.items())
+    rows = V.once(rows, _metadata=F.concat(F.lit('{"step":'), step, F.lit(',"turnId":'), turn, F.lit("}")))
+    identity = F.struct(V.filled(s, "$.messageId").alias("request"), F.col("_metadata").alias("metadata"), V.filled(s, "$.uuid").alias("uuid"))
+    rows = V.once(rows, _step=F.when(s.isNotNull(), identity))
+    rows = V.counts(rows, **{c: (u, f"$.usage.{k}") for c, k in _TOKENS.items() if k}, _time=(u, "$.time"))
+    nothing = {c: F.lit(0).cast("long") for c, k in _TOKENS.items() if not k}
+    rows = V.once(rows, **nothing, model=V.filled(u, "$.model"), timestamp_ms=V.time_ms(u, "$.time", F.col("_time")))
+    used = (V.text(u, "$.usageScope") == "turn") & F.col("model").isNotNull() & F.col("timestamp_ms").isNotNull()
+    used &= sum((F.col(c) for c in TOKENS[1:]), F.col(TOKENS[0])) > 0
+    return V.once(rows, _used=F.coalesce(used, F.lit(False))).select(*lines.columns, "model", "timestamp_ms", *TOKENS, "_step", "_used")
 
 
 def usage_records(lines: DataFrame) -> DataFrame:
@@ -66,10 +72,12 @@ def usage_records(lines: DataFrame) -> DataFrame:
 
     lines: path, byte_offset, text, perhaps with step, an identity from before the first line. A
     step's identity is spent by the next record that counts, not by records that don't."""
-    rows = _turns(lines)
-    if "step" in lines.columns:
-        rows = rows.withColumn("_step", F.coalesce("step", "_step"))
-    rows = carried(rows, F.col("_step"), F.col("_used"), "_identity").where("_used")
+
+    def made(lines: DataFrame) -> DataFrame:
+        rows = _turns(lines)
+        return rows.withColumn("_step", F.coalesce("step", "_step")) if "step" in lines.columns else rows
+
+    rows = carried(made(lines), F.col("_step"), F.col("_used"), "_identity", raw=lines, made=made).where("_used")
     identity = [F.col(f"_identity.{a}").alias(b) for a, b in (("request", "provider_request_id"), ("uuid", "step_uuid"), ("metadata", "request_metadata"))]
     return rows.select("path", "byte_offset", "model", *identity, "timestamp_ms", *TOKENS)
 
@@ -80,6 +88,17 @@ def open_steps(lines: DataFrame) -> DataFrame:
     return carried_on(_turns(lines), own, F.col("_used"), "s").select("path", "s.byte_offset", "s.text")
 
 
+def _asked(lines: DataFrame) -> DataFrame:
+    """Lines with their request (_request) and whether they are a turn's usage (_turn)."""
+    v, q = F.col("v"), F.col("_q")
+    rows = _parsed(lines, "llm.request", "usage.record")
+    turn = F.coalesce((F.col("type") == "usage.record") & (V.text(v, "$.usageScope") == "turn"), F.lit(False))
+    rows = V.once(rows, _q=F.when(F.col("type") == "llm.request", v), _turn=turn)
+    rows = V.counts(rows, _time=(q, "$.time"), _messages=(q, "$.messageCount"))
+    request = F.struct(V.time_ms(q, "$.time", F.col("_time")).alias("requested_ms"), F.col("_messages").alias("message_count"), V.filled(q, "$.systemPromptHash").alias("system_prompt_hash"), V.filled(q, "$.toolsHash").alias("tools_hash"))
+    return V.once(rows, _request=F.when(q.isNotNull(), request))
+
+
 def requests(lines: DataFrame) -> DataFrame:
     """Turn usages with the latest request before them: path, byte_offset, requested_ms,
     message_count, system_prompt_hash, tools_hash. Every turn usage spends a request; a request
@@ -87,13 +106,7 @@ def requests(lines: DataFrame) -> DataFrame:
 
     As many as usages, though Spark takes what tasks read for as little as the listing of their files: hence
     the hint, or a join would send them all to the driver to be broadcast."""
-    v = F.col("v")
-    rows = _parsed(lines, "llm.request", "usage.record")
-    at = V.time_ms(v, "$.time")
-    request = F.struct(at.alias("requested_ms"), V.count(v, "$.messageCount").alias("message_count"), V.filled(v, "$.systemPromptHash").alias("system_prompt_hash"), V.filled(v, "$.toolsHash").alias("tools_hash"))
-    turn = F.coalesce((F.col("type") == "usage.record") & (V.text(v, "$.usageScope") == "turn"), F.lit(False))
-    rows = V.once(rows, _request=F.when(F.col("type") == "llm.request", request), _turn=turn)
-    rows = carried(rows, F.col("_request"), F.col("_turn"), "r").where("_turn and r.requested_ms is not null")
+    rows = carried(_asked(lines), F.col("_request"), F.col("_turn"), "r", raw=lines, made=_asked).where("_turn and r.requested_ms is not null")
     return rows.select("path", "byte_offset", "r.requested_ms", "r.message_count", "r.system_prompt_hash", "r.tools_hash").hint("merge")
 
 

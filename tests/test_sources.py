@@ -1,6 +1,7 @@
 """Log lines, the two families' parsers, exports and catalogs, on files in a temporary folder."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -277,6 +278,35 @@ def test_lines_are_parsed_once(spark, of):
     assert 1 <= plan.count("parseJson") <= plan.count("LogicalRDD") + plan.count("LocalRelation")
 
 
+@pytest.mark.parametrize("of", [kimi.usage_records, kimi.open_steps, kimi.requests], ids=lambda f: f.__name__)
+def test_parsers_are_compiled(spark, of):
+    """The JVM compiles no method of more than 8,000 bytes; lines took five times as long by such."""
+    lines = spark.createDataFrame([("p", 0, "{}")], "path string, byte_offset long, text string")
+    debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else nothing is compiled before it runs
+    try:
+        code = debug.codegenString(of(lines.repartition(2))._jdf.queryExecution().executedPlan())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", code)]
+    assert sizes and max(sizes) < 8000
+
+
+def test_short_files_are_parsed_once(spark, tmp_path):
+    """Chunks are summed up of files that have several; others' lines aren't made for it. A long file's step
+    is carried from chunk to chunk all the same."""
+    text = [("short", 0, step("u1")), ("short", 9, usage()), ("long", 0, step("u2")), ("long", 5 << 24, usage()), ("long", 6 << 24, usage())]
+    schema = "path string, byte_offset long, text string"
+    spark.createDataFrame(text, schema).write.parquet(f"{tmp_path}/all")
+    got = lambda df: {(r.path, r.byte_offset): r.step_uuid for r in df.collect()}
+    assert got(kimi.usage_records(spark.read.parquet(f"{tmp_path}/all"))) == {("short", 9): "u1", ("long", 5 << 24): "u2", ("long", 6 << 24): None}
+    spark.read.parquet(f"{tmp_path}/all").where("path = 'short'").write.parquet(f"{tmp_path}/short")
+    made = kimi.usage_records(spark.read.parquet(f"{tmp_path}/short"))
+    assert got(made) == {("short", 9): "u1"}
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 2 and plan.count("Join LeftSemi") == 1 and "parseJson" not in plan.split("Join LeftSemi")[1]
+
+
 def test_sessions_open_their_own_transcripts_alone(spark, tmp_path):
     """A subagent's file that has gone since it was listed is not asked for; a value that is no object counts
     for nothing, and a transcript without an object is no session."""

@@ -169,3 +169,15 @@ def test_writers_do_not_overwrite_each_other(spark, tmp_path):
     with pytest.raises(RuntimeError):
         two.publish()
     assert store.versions() == [1]
+
+
+def test_buckets_are_few_files(spark, tmp_path):
+    """A bucket's rows come together before they are written, however many tasks made them."""
+    from meterlake.sinks.store import BUCKETS, Store
+
+    store = Store(spark, f"file://{tmp_path}/store")
+    commit = store.begin()
+    commit.write_buckets("t", spark.range(0, 5000, 1, 16).select(F.col("id").cast("string").alias("k")), "k", range(BUCKETS))
+    commit.publish()
+    assert len(list((tmp_path / "store/t/v1").glob("*/*.parquet"))) <= 2 * BUCKETS
+    assert store.read("t", "k string").distinct().count() == store.read("t", "k string").count() == 5000
